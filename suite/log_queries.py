@@ -1,0 +1,462 @@
+"""Log look-ups, statistics, new rows, merges and contexts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textlake.functions import text as tx
+from textlake.operators import context, log, merge
+
+from .views import oracle, query, spark_view
+
+
+def observations(spark, sf_dir):
+    obs = spark_view(spark, sf_dir, "v_obs").withColumnRenamed("created_s", "created_at")
+    return obs.withColumn("content_hash", tx.content_hash("content"))
+
+
+def sessions(spark, sf_dir):
+    rows = spark_view(spark, sf_dir, "v_sess")
+    return rows.withColumnsRenamed({"started_s": "started_at", "ended_s": "ended_at"})
+
+
+OBS = "id, session_id, project, type, content, created_s AS created_at"
+SESS = "id, project, started_s AS started_at, ended_s AS ended_at, summary"
+OBS_COLUMNS = ["id", "session_id", "project", "type", "content", "created_at"]
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "filter_observations",
+    oracle(
+        f"""SELECT {OBS} FROM v_obs
+        WHERE {ASCII_LOWER.format('content')} LIKE '%100% of the_ca%' AND project = 'p3' AND type = 'error'
+        ORDER BY created_s DESC, id LIMIT 20""",
+        "v_obs",
+    ),
+)
+def _(spark, sf):
+    return log.filter_observations(observations(spark, sf), "100% OF the_CA", "p3", "error").select(OBS_COLUMNS)
+
+
+@query(
+    "filter_observations_all",
+    oracle(f"SELECT {OBS} FROM v_obs ORDER BY created_s DESC, id LIMIT 20", "v_obs"),
+)
+def _(spark, sf):
+    return log.filter_observations(observations(spark, sf)).select(OBS_COLUMNS)
+
+
+@query(
+    "recent_observations",
+    oracle(f"SELECT {OBS} FROM v_obs WHERE project = 'p1' ORDER BY created_s DESC, id LIMIT 5", "v_obs"),
+)
+def _(spark, sf):
+    return log.recent_observations(observations(spark, sf), "p1").select(OBS_COLUMNS)
+
+
+@query("recall", oracle(f"SELECT {OBS} FROM v_obs ORDER BY created_s DESC, id LIMIT 20", "v_obs"))
+def _(spark, sf):
+    return log.recall(observations(spark, sf), 0).select(OBS_COLUMNS)
+
+
+@query("observation_by_id", oracle(f"SELECT {OBS} FROM v_obs WHERE id = 5002", "v_obs"))
+def _(spark, sf):
+    return log.observation_by_id(observations(spark, sf), 5002).select(OBS_COLUMNS)
+
+
+@query(
+    "filter_sessions",
+    oracle(
+        f"""SELECT {SESS} FROM v_sess WHERE project = 'p2' AND started_s >= 1704153600
+        ORDER BY started_s DESC, id LIMIT 10""",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    return log.filter_sessions(sessions(spark, sf), "p2", 1704153600, 10)
+
+
+@query(
+    "search_observations",
+    oracle(
+        f"SELECT {OBS} FROM v_obs WHERE contains(content, 'ntion') ORDER BY created_s DESC, id LIMIT 20", "v_obs"
+    ),
+)
+def _(spark, sf):
+    return log.search_observations(observations(spark, sf), "ntion").select(OBS_COLUMNS)
+
+
+@query("search_observations_empty", oracle(f"SELECT {OBS} FROM v_obs WHERE false", "v_obs"))
+def _(spark, sf):
+    return log.search_observations(observations(spark, sf), "").select(OBS_COLUMNS)
+
+
+_TIMELINE = """
+    SELECT s.session_rank, s.id AS session_id, s.project, s.started_s AS started_at, s.ended_s AS ended_at,
+           s.summary, o.id AS obs_id, o.type, o.content, o.created_s AS created_at
+    FROM (SELECT *, CAST(row_number() OVER (ORDER BY started_s DESC, id) AS BIGINT) AS session_rank
+          FROM v_sess ORDER BY started_s DESC, id LIMIT 20) s
+    LEFT JOIN v_obs o ON o.session_id = s.id"""
+
+
+@query("timeline", oracle(_TIMELINE, "v_obs", "v_sess"))
+def _(spark, sf):
+    return log.timeline(sessions(spark, sf), observations(spark, sf))
+
+
+@query(
+    "filter_timeline",
+    oracle("SELECT * FROM t WHERE project = 'p5' AND type = 'bug'", "v_obs", "v_sess", t=_TIMELINE.replace("LIMIT 20", "LIMIT 200")),
+)
+def _(spark, sf):
+    entries = log.timeline(sessions(spark, sf), observations(spark, sf), limit=200)
+    return log.filter_timeline(entries, "p5", "bug")
+
+
+@query(
+    "preview_sessions",
+    oracle(
+        """SELECT id, strftime(make_timestamp(started_s * 1000000), '%Y-%m-%dT%H:%M') AS started, project,
+        CASE WHEN summary IS NULL OR summary = '' THEN '(in progress)' ELSE summary END AS summary FROM v_sess""",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    rows = sessions(spark, sf)
+    return log.preview_sessions(rows.withColumn("started_at", F.timestamp_seconds("started_at")))
+
+
+@query(
+    "preview_rows",
+    oracle(
+        """SELECT id, strftime(make_timestamp(created_s * 1000000), '%Y-%m-%dT%H:%M') AS created, type,
+        substr(content, 1, 100) AS content FROM v_obs""",
+        "v_obs",
+    ),
+)
+def _(spark, sf):
+    rows = observations(spark, sf)
+    return log.preview_observations(rows.withColumn("created_at", F.timestamp_seconds("created_at")))
+
+
+@query(
+    "memory_stats",
+    oracle(
+        """SELECT (SELECT count(*) FROM v_obs) AS observation_count, count(*) AS session_count,
+        max(started_s) AS last_session FROM v_sess""",
+        "v_obs",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    return log.memory_stats(observations(spark, sf), sessions(spark, sf))
+
+
+@query("stored_bytes")
+def _(spark, sf):
+    return log.stored_bytes(spark_view(spark, sf, "conversations"))
+
+
+@query(
+    "session_observation_counts",
+    oracle(
+        """SELECT s.id AS session_id, count(o.id) AS observations
+        FROM v_sess s LEFT JOIN v_obs o ON o.session_id = s.id GROUP BY s.id""",
+        "v_obs",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    return log.session_observation_counts(sessions(spark, sf), observations(spark, sf))
+
+
+@query("list_projects", oracle("SELECT DISTINCT project FROM v_sess WHERE project <> '' ORDER BY 1", "v_sess"))
+def _(spark, sf):
+    return log.list_projects(sessions(spark, sf))
+
+
+# --- new rows -------------------------------------------------------------
+
+
+@query(
+    "open_sessions",
+    oracle(
+        """SELECT user_id AS id, concat('p', CAST(user_id % 8 AS STRING)) AS project, 1704067200 AS started_at,
+        CAST(NULL AS BIGINT) AS ended_at, CAST(NULL AS STRING) AS summary FROM (SELECT DISTINCT user_id FROM events)"""
+    ),
+)
+def _(spark, sf):
+    users = spark_view(spark, sf, "events").select("user_id").distinct()
+    requests = users.select(
+        F.col("user_id").alias("id"), F.concat(F.lit("p"), (F.col("user_id") % 8).cast("string")).alias("project")
+    )
+    opened = log.open_sessions(requests, F.lit(1704067200).cast("bigint"))
+    return opened.withColumn("ended_at", F.unix_timestamp("ended_at"))
+
+
+@query(
+    "close_sessions",
+    oracle(
+        """SELECT s.id, s.project, s.started_s AS started_at,
+          CASE WHEN u.id IS NULL THEN s.ended_s ELSE u.ended_s END AS ended_at,
+          CASE WHEN u.id IS NULL THEN s.summary ELSE u.summary END AS summary
+        FROM v_sess s LEFT JOIN (
+          SELECT session_id AS id, created_s AS ended_s, content AS summary FROM v_obs
+          QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_s DESC) = 1) u ON u.id = s.id""",
+        "v_obs",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    notes = observations(spark, sf)
+    updates = notes.select(
+        F.col("session_id").alias("id"), F.col("created_at").alias("ended_at"), F.col("content").alias("summary")
+    )
+    return log.close_sessions(sessions(spark, sf), updates)
+
+
+@query(
+    "mark_incomplete",
+    oracle(
+        """SELECT s.id, s.project, s.started_s AS started_at,
+          CASE WHEN s.ended_s IS NULL AND m.at IS NOT NULL THEN m.at ELSE s.ended_s END AS ended_at,
+          CASE WHEN s.ended_s IS NULL AND m.at IS NOT NULL THEN '[incomplete]' ELSE s.summary END AS summary
+        FROM v_sess s LEFT JOIN (SELECT session_id, min(created_s) + 7 AS at FROM v_obs GROUP BY 1) m
+          ON m.session_id = s.id""",
+        "v_obs",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    marks = observations(spark, sf).select(
+        F.col("session_id").alias("id"), (F.col("created_at") + 7).alias("ended_at")
+    )
+    return log.mark_incomplete(sessions(spark, sf), marks)
+
+
+@query(
+    "orphan_sessions",
+    oracle(
+        """SELECT id, project, started_s AS started_at,
+          CASE WHEN ended_s IS NULL AND next_s IS NOT NULL THEN next_s ELSE ended_s END AS ended_at,
+          CASE WHEN ended_s IS NULL AND next_s IS NOT NULL THEN '[incomplete]' ELSE summary END AS summary
+        FROM (SELECT *, lead(started_s) OVER (PARTITION BY project ORDER BY started_s, id) AS next_s FROM v_sess)""",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    return log.orphan_sessions(sessions(spark, sf))
+
+
+_NOTES = "SELECT event_id AS note_id, concat(event_type, ': ', props) AS text FROM events"
+
+
+def _backfilled(spark, sf):
+    notes = spark_view(spark, sf, "events").select(
+        F.col("event_id").alias("note_id"), F.concat("event_type", F.lit(": "), "props").alias("text")
+    )
+    return log.backfill_notes(sessions(spark, sf), notes, F.lit(1704067200).cast("bigint"))
+
+
+@query(
+    "backfill_notes",
+    oracle(
+        """SELECT sha256(concat(sid, chr(1), CAST(note_id AS STRING))) AS id, sid AS session_id,
+          'legacy' AS project, 'note' AS type, text AS content, sha256(text) AS content_hash, 1704067200 AS created_at
+        FROM n, (SELECT sha256(concat('backfill', chr(1), 'legacy')) AS sid)""",
+        n=_NOTES,
+    ),
+)
+def _(spark, sf):
+    return _backfilled(spark, sf)[1]
+
+
+@query(
+    "backfill_session",
+    oracle(
+        """SELECT sha256(concat('backfill', chr(1), 'legacy')) AS id, 'legacy' AS project, 1704067200 AS started_at,
+        1704067200 AS ended_at, '[migrated from index.bin]' AS summary FROM n LIMIT 1""",
+        n=_NOTES,
+    ),
+)
+def _(spark, sf):
+    return _backfilled(spark, sf)[0]
+
+
+@query("backfill_notes_again", oracle("SELECT note_id, text FROM n WHERE false", n=_NOTES))
+def _(spark, sf):
+    notes = spark_view(spark, sf, "events").select(
+        F.col("event_id").alias("note_id"), F.concat("event_type", F.lit(": "), "props").alias("text")
+    )
+    now = F.lit(1704067200).cast("bigint")
+    old = sessions(spark, sf).withColumn("id", F.col("id").cast("string"))
+    after = old.unionByName(log.backfill_notes(old, notes, now)[0])
+    again = log.backfill_notes(after, notes, now)[1]
+    return again.select(F.lit(0).cast("bigint").alias("note_id"), F.col("content").alias("text"))
+
+
+# --- merges ---------------------------------------------------------------
+
+
+def _local(df):
+    return df.where(F.col("id") % 3 != 0)
+
+
+def _remote(df):
+    return df.where(F.col("id") % 2 == 0)
+
+
+def _remote_sessions(spark, sf):
+    both = F.col("id") % 3 != 0
+    changed = F.when(F.col("id") % 4 == 0, F.concat("summary", F.lit(" (longer)"))).otherwise(
+        F.substring("summary", 1, 10)
+    )
+    return _remote(sessions(spark, sf)).withColumn("summary", F.when(both, changed).otherwise(F.col("summary")))
+
+
+_MERGED_OBS = """
+    SELECT * FROM v_obs WHERE id % 3 <> 0
+    UNION ALL
+    (SELECT * FROM v_obs WHERE id % 2 = 0 AND content NOT IN (SELECT content FROM v_obs WHERE id % 3 <> 0)
+     QUALIFY row_number() OVER (PARTITION BY content ORDER BY created_s, id) = 1)"""
+
+
+@query("merge_observations", oracle(f"SELECT {OBS}, sha256(content) AS content_hash FROM m", "v_obs", m=_MERGED_OBS))
+def _(spark, sf):
+    obs = observations(spark, sf)
+    return merge.merge_observations(_local(obs), _remote(obs))
+
+
+@query(
+    "merge_logs_twice",
+    oracle(f"SELECT {OBS}, sha256(content) AS content_hash FROM m", "v_obs", m=_MERGED_OBS),
+)
+def _(spark, sf):
+    obs, sess = observations(spark, sf), sessions(spark, sf)
+    remote = (_remote_sessions(spark, sf), _remote(obs))
+    once = merge.merge_logs((_local(sess), _local(obs)), remote)
+    return merge.merge_logs(once, remote)[1]
+
+
+_MERGED_SESS = """
+    SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NOT NULL THEN l.project ELSE r.project END AS project,
+      CASE WHEN l.id IS NOT NULL THEN l.started_s ELSE r.started_s END AS started_at,
+      CASE WHEN l.id IS NOT NULL THEN l.ended_s ELSE r.ended_s END AS ended_at,
+      CASE WHEN l.id IS NULL THEN r.summary
+           WHEN coalesce(r.summary, '') <> '' AND (coalesce(l.summary, '') = '' OR length(r.summary) > length(l.summary))
+           THEN r.summary ELSE l.summary END AS summary
+    FROM (SELECT * FROM v_sess WHERE id % 3 <> 0) l
+    FULL OUTER JOIN (
+      SELECT id, project, started_s, ended_s,
+        CASE WHEN id % 3 = 0 THEN summary WHEN id % 4 = 0 THEN summary || ' (longer)'
+             ELSE substr(summary, 1, 10) END AS summary
+      FROM v_sess WHERE id % 2 = 0) r ON l.id = r.id"""
+
+
+@query("merge_sessions", oracle(_MERGED_SESS, "v_sess"))
+def _(spark, sf):
+    return merge.merge_sessions(_local(sessions(spark, sf)), _remote_sessions(spark, sf))
+
+
+@query(
+    "merge_logs",
+    oracle(
+        """SELECT (SELECT count(*) FROM m) AS observations, (SELECT sum(id) FROM m)::BIGINT AS id_sum,
+        count(*) AS sessions, sum(length(coalesce(summary, '')))::BIGINT AS summary_chars FROM s""",
+        "v_obs",
+        "v_sess",
+        m=_MERGED_OBS,
+        s=_MERGED_SESS,
+    ),
+)
+def _(spark, sf):
+    obs = observations(spark, sf)
+    sess, merged = merge.merge_logs(
+        (_local(sessions(spark, sf)), _local(obs)), (_remote_sessions(spark, sf), _remote(obs))
+    )
+    totals = merged.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+    return sess.agg(
+        F.count(F.lit(1)).alias("sessions"),
+        F.sum(F.length(F.coalesce("summary", F.lit("")))).alias("summary_chars"),
+    ).select(
+        totals.select("n").scalar().alias("observations"),
+        totals.select("id_sum").scalar().alias("id_sum"),
+        "sessions",
+        "summary_chars",
+    )
+
+
+@query(
+    "id_conflicts",
+    oracle(
+        """SELECT o.id FROM (SELECT id, content FROM v_obs WHERE id % 2 = 0) o
+        WHERE o.id % 3 <> 0 AND concat(o.content, '!') NOT IN (SELECT content FROM v_obs WHERE id % 3 <> 0)
+        AND o.id IN (SELECT min(id) FROM v_obs WHERE id % 2 = 0 GROUP BY content)""",
+        "v_obs",
+    ),
+)
+def _(spark, sf):
+    obs = observations(spark, sf)
+    changed = _remote(obs).withColumn("content", F.concat("content", F.lit("!")))
+    changed = changed.withColumn("content_hash", tx.content_hash("content"))
+    return merge.id_conflicts(_local(obs), changed).select("id")
+
+
+# --- contexts -------------------------------------------------------------
+
+_SUMMARY = """
+    SELECT project, summary FROM (
+      SELECT *, row_number() OVER (PARTITION BY project ORDER BY started_s DESC, id) AS n FROM v_sess)
+    WHERE n = 1 AND coalesce(summary, '') <> ''"""
+
+_LINES = """
+    SELECT project, CAST(n AS BIGINT) AS rank, id, line, CAST(length(line) // 4 AS BIGINT) AS cost FROM (
+      SELECT *, concat('- [', type, '] ', content) AS line,
+        row_number() OVER (PARTITION BY project ORDER BY created_s DESC, id) AS n FROM v_obs) WHERE n <= 10"""
+
+
+@query("last_session_summary", oracle(_SUMMARY, "v_sess"))
+def _(spark, sf):
+    return context.last_session_summary(sessions(spark, sf))
+
+
+@query(
+    "budget_pack",
+    oracle(
+        """SELECT * FROM (SELECT project, rank, id, line, cost,
+          CAST(sum(cost) OVER (PARTITION BY project ORDER BY rank) AS BIGINT) AS used FROM lines) WHERE used <= 600""",
+        "v_obs",
+        lines=_LINES,
+    ),
+)
+def _(spark, sf):
+    packed = context.budget_pack(observations(spark, sf), 600)
+    return packed.select("project", "rank", "id", "line", "cost", "used")
+
+
+_STATUS = "Sync: auto · last push 5m ago"
+
+
+@query(
+    "build_context",
+    oracle(
+        f"""SELECT p.project, concat_ws(chr(10) || chr(10), 'Rules first.', '{_STATUS}', f.t, packed.t) AS context
+        FROM (SELECT project FROM v_sess UNION SELECT project FROM v_obs) p
+        LEFT JOIN f USING (project)
+        LEFT JOIN (
+          SELECT project, concat('## Recent Observations', chr(10), string_agg(line, chr(10) ORDER BY rank)) AS t
+          FROM (SELECT l.*, sum(l.cost) OVER (PARTITION BY l.project ORDER BY l.rank)
+                  + {len(_STATUS) // 4} + coalesce(length(f.t) // 4, 0) AS used
+                FROM lines l LEFT JOIN f ON f.project = l.project)
+          WHERE used <= 900 GROUP BY project) packed USING (project)""",
+        "v_obs",
+        "v_sess",
+        lines=_LINES,
+        s=_SUMMARY,
+        f=f"""SELECT project, concat('## Last Session', chr(10), summary) AS t FROM s
+          WHERE length(concat('## Last Session', chr(10), summary)) // 4 + {len(_STATUS) // 4} <= 900""",
+    ),
+)
+def _(spark, sf):
+    return context.build_context(sessions(spark, sf), observations(spark, sf), 900, _STATUS, "Rules first.")

@@ -1,0 +1,295 @@
+"""Text search, byte histograms, similarity, and the safety screen."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textlake.functions import patterns
+from textlake.functions import text as tx
+from textlake.functions import vectors as vec
+from textlake.operators import offsets, safety, vectors
+
+from .views import oracle, query, spark_view
+
+NEEDLE = "ene"
+# Occurrences overlap ("enene"): split on the two bytes that cannot, then test the rest.
+_PIECES = "SELECT doc_id, string_split(text, 'en') AS parts FROM documents WHERE contains(text, 'ene')"
+_OFFSETS = """
+    SELECT doc_id, position FROM (
+      SELECT doc_id, k, n, starts_with(parts[k + 1], 'e') OR (parts[k + 1] = '' AND k + 1 < n) AS hit,
+        CAST(sum(octet_length(encode(parts[k])) + 2) OVER (PARTITION BY doc_id ORDER BY k) - 2 AS BIGINT) AS position
+      FROM (SELECT doc_id, parts, len(parts) AS n, unnest(range(1, len(parts))) AS k FROM pieces)) WHERE hit"""
+
+
+@query(
+    "find_offsets",
+    oracle(
+        """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY position) AS BIGINT) AS ord, position
+        FROM hits""",
+        pieces=_PIECES,
+        hits=_OFFSETS,
+    ),
+)
+def _(spark, sf):
+    return offsets.find_offsets(spark_view(spark, sf, "documents"), ["doc_id"], "text", NEEDLE)
+
+
+@query(
+    "find_offsets_capped",
+    oracle(
+        """SELECT * FROM (
+          SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY position) AS BIGINT) AS ord, position
+          FROM hits) WHERE ord <= 3""",
+        pieces=_PIECES,
+        hits=_OFFSETS,
+    ),
+)
+def _(spark, sf):
+    return offsets.find_offsets(spark_view(spark, sf, "documents"), ["doc_id"], "text", NEEDLE, 3)
+
+
+@query("contains_batch", "SELECT doc_id, contains(text, 'ère') AS hit FROM documents")
+def _(spark, sf):
+    return offsets.contains_batch(spark_view(spark, sf, "documents"), ["doc_id"], "text", "ère")
+
+
+@query(
+    "arrow_lines",
+    """SELECT page_id, CAST(k AS BIGINT) AS line_no, lines[k] AS line
+    FROM (SELECT page_id, lines, unnest(range(1, len(lines) + 1)) AS k
+          FROM (SELECT page_id, string_split(html, chr(10)) AS lines FROM pages)) WHERE contains(lines[k], '->')""",
+)
+def _(spark, sf):
+    return offsets.arrow_lines(spark_view(spark, sf, "pages"), ["page_id"], "html")
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def _(spark, sf):
+    return spark_view(spark, sf, "documents").select("doc_id", tx.content_hash("text").alias("content_hash"))
+
+
+@query("estimate_tokens", "SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents")
+def _(spark, sf):
+    return spark_view(spark, sf, "documents").select("doc_id", tx.estimate_tokens("text").alias("tokens"))
+
+
+@query(
+    "time_ago",
+    """SELECT event_id, CASE WHEN d < 60 THEN concat(CAST(d AS STRING), 's ago')
+      WHEN d < 3600 THEN concat(CAST(d // 60 AS STRING), 'm ago')
+      WHEN d < 86400 THEN concat(CAST(d // 3600 AS STRING), 'h ago')
+      ELSE concat(CAST(d // 86400 AS STRING), 'd ago') END AS ago
+    FROM (SELECT event_id, max(s) OVER () - s AS d
+          FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events))""",
+)
+def _(spark, sf):
+    events = spark_view(spark, sf, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    now = events.groupBy().agg(F.max("s").alias("now")).scalar()
+    return events.select("event_id", tx.time_ago("s", now).alias("ago"))
+
+
+@query(
+    "truncate_bytes",
+    """SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 127 THEN text ELSE concat((
+        SELECT max(p) FROM (SELECT substr(text, 1, n) AS p FROM range(1, 125) t(n))
+        WHERE octet_length(encode(p)) <= 124), '...') END AS cut FROM documents""",
+)
+def _(spark, sf):
+    return spark_view(spark, sf, "documents").select("doc_id", tx.truncate_bytes("text", 127).alias("cut"))
+
+
+# --- histograms and vectors -----------------------------------------------
+
+_BYTES = """
+    SELECT doc_id, CAST(concat('0x', h) AS BIGINT) AS byte, count(*) AS cnt
+    FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) GROUP BY ALL"""
+
+
+@query("byte_histogram", oracle("SELECT doc_id, byte, cnt FROM b", b=_BYTES))
+def _(spark, sf):
+    return vectors.byte_histogram(spark_view(spark, sf, "documents"), ["doc_id"], "text")
+
+
+@query(
+    "l2_normalize",
+    """SELECT vec_id, CAST(i AS BIGINT) AS i, round(CAST(embedding[i + 1] AS DOUBLE) / n, 6) AS x
+    FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i,
+            sqrt(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE)))) AS n
+          FROM embeddings)""",
+)
+def _(spark, sf):
+    unit = spark_view(spark, sf, "embeddings").select("vec_id", F.posexplode(vec.l2_normalize("embedding")).alias("i", "x"))
+    return unit.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+_SCORES = """
+    SELECT v.vec_id, v.label,
+      round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))
+        / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))
+        / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score
+    FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"""
+
+
+def _scored(spark, sf):
+    table = spark_view(spark, sf, "embeddings")
+    q = vectors.query_vector(table.orderBy("vec_id").limit(1), "embedding")
+    scored = vectors.score_vectors(table, "embedding", q)
+    return scored.select("vec_id", F.col("label").cast("bigint").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query("score_vectors", oracle("SELECT vec_id, label::BIGINT AS label, score FROM s", s=_SCORES))
+def _(spark, sf):
+    return _scored(spark, sf)
+
+
+@query("cosine", oracle("SELECT vec_id, score AS cosine FROM s", s=_SCORES))
+def _(spark, sf):
+    return _scored(spark, sf).select("vec_id", F.col("score").alias("cosine"))
+
+
+_TOP = """SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS BIGINT) AS rank
+    FROM s ORDER BY score DESC, vec_id LIMIT 10"""
+
+
+@query("top_k", oracle(_TOP, s=_SCORES))
+def _(spark, sf):
+    return vectors.top_k(_scored(spark, sf), 10, ties=["vec_id"]).select("vec_id", "score", "rank")
+
+
+@query(
+    "fetch_hits",
+    oracle(
+        "SELECT t.vec_id, t.score, t.rank, e.label::BIGINT AS label FROM t JOIN embeddings e USING (vec_id)",
+        s=_SCORES,
+        t=_TOP,
+    ),
+)
+def _(spark, sf):
+    hits = vectors.top_k(_scored(spark, sf), 10, ties=["vec_id"]).select("vec_id", "score", "rank")
+    table = spark_view(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
+    return vectors.fetch_hits(hits, table, "vec_id").select("vec_id", "score", "rank", "label")
+
+
+@query("with_embedding", "SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings WHERE embedding IS NOT NULL")
+def _(spark, sf):
+    rows = vectors.with_embedding(spark_view(spark, sf, "embeddings"), id_col="vec_id")
+    return rows.select("vec_id", F.size("embedding").cast("bigint").alias("dim"))
+
+
+@query("drop_embedding", "SELECT vec_id, label::BIGINT AS label FROM embeddings")
+def _(spark, sf):
+    return vectors.drop_embedding(spark_view(spark, sf, "embeddings")).withColumn("label", F.col("label").cast("bigint"))
+
+
+FUZZY = "the nation of ents"
+
+
+def byte_scores(table: str, key: str, text: str, needle: str) -> dict[str, str]:
+    """Oracle parts: cosine of each text's byte counts with those of ``needle``."""
+    return {
+        "q": f"""SELECT CAST(concat('0x', h) AS BIGINT) AS byte, count(*) AS qc
+          FROM (SELECT unnest(regexp_extract_all(hex(encode('{needle}')), '..')) AS h) GROUP BY 1""",
+        "c": f"""SELECT {key}, CAST(concat('0x', h) AS BIGINT) AS byte, count(*) AS cnt
+          FROM (SELECT {key}, unnest(regexp_extract_all(hex(encode({text})), '..')) AS h FROM {table}) GROUP BY ALL""",
+        "scores": f"""SELECT {key}, round(CAST(sum(cnt * coalesce(qc, 0)) AS DOUBLE)
+            / sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) / (SELECT sqrt(CAST(sum(qc * qc) AS DOUBLE)) FROM q), 6) AS score
+          FROM c LEFT JOIN q USING (byte) GROUP BY {key}""",
+    }
+
+
+@query(
+    "fuzzy_search_observations",
+    oracle(
+        """SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM scores
+        WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5""",
+        **byte_scores("documents", "doc_id", "text", FUZZY),
+    ),
+)
+def _(spark, sf):
+    docs = spark_view(spark, sf, "documents").select("doc_id", vec.byte_counts("text").alias("embedding"))
+    q = vec.literal_vector(vec.text_vector(FUZZY))
+    scored = vectors.score_vectors(docs, "embedding", q).withColumn("score", F.round("score", 6))
+    best = vectors.top_k(scored, 5, ties=["doc_id"]).where("score > 0")
+    return best.select("doc_id", "score", "rank")
+
+
+# --- safety ---------------------------------------------------------------
+
+_HEX_CLASS = {
+    "A-Z0-9": "3[0-9]|4[1-9A-F]|5[0-9A]",
+    "A-Za-z0-9_": "3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F",
+    "A-Za-z0-9_-": "3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F|2D",
+    "A-Za-z0-9_.-": "3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F|2D|2E",
+    None: "..",
+}
+_LEAK_ROWS = ", ".join(
+    f"({i}, '{p}', {max(0, n - len(p))}, '(?:{_HEX_CLASS[c]})*', '{d}')"
+    for i, (p, n, c, d) in enumerate(patterns.LEAK_PREFIXES)
+)
+# Offsets by splitting, tails by walking the hex pairs up to a whitespace byte.
+LEAKS = {
+    "lp": f"SELECT * FROM (VALUES {_LEAK_ROWS}) t(i, prefix, least, hexclass, descr)",
+    "lparts": """SELECT doc_id, i, prefix, least, hexclass, descr, text, string_split(text, prefix) AS parts
+      FROM v_planted, lp WHERE contains(text, prefix)""",
+    "lcut": """SELECT doc_id, i, least, hexclass, descr, text,
+        CAST(sum(octet_length(encode(parts[k])) + length(prefix)) OVER w - length(prefix) AS BIGINT) AS position,
+        CAST(sum(length(parts[k]) + length(prefix)) OVER w AS BIGINT) AS chars
+      FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM lparts) WINDOW w AS (PARTITION BY doc_id, i ORDER BY k)""",
+    "lcand": """SELECT doc_id, i, least, hexclass, descr, position, regexp_extract(hex(encode(substr(text, chars + 1))),
+        '^((?:..)*?)(?:09|0A|0B|0C|0D|1C|1D|1E|1F|20|85|A0|$)', 1) AS tail FROM lcut""",
+    "leaks": """SELECT doc_id, 'secret_leak' AS kind, descr AS pattern, position FROM lcand
+      WHERE length(tail) // 2 >= least AND regexp_full_match(tail, hexclass)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, position ORDER BY i) = 1""",
+}
+# "disregard" overlaps itself by its last letter, so it is split without it.
+_PHRASE_ROWS = ", ".join(
+    f"({i}, '{p.lower()}', '{p.lower()[:-1] if p == 'disregard' else p.lower()}', '{d}')"
+    for i, (p, d) in enumerate(patterns.INJECTION_PHRASES)
+)
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+INJECTIONS = {
+    "ip": f"SELECT * FROM (VALUES {_PHRASE_ROWS}) t(i, phrase, head, descr)",
+    "iparts": f"""SELECT doc_id, i, phrase, head, descr, {_LOWERED} AS low, string_split({_LOWERED}, head) AS parts
+      FROM v_planted, ip WHERE contains({_LOWERED}, phrase)""",
+    "icand": """SELECT doc_id, i, descr, phrase, low,
+        CAST(sum(octet_length(encode(parts[k])) + length(head)) OVER w - length(head) AS BIGINT) AS position,
+        CAST(sum(length(parts[k]) + length(head)) OVER w - length(head) AS BIGINT) AS chars
+      FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM iparts) WINDOW w AS (PARTITION BY doc_id, i ORDER BY k)""",
+    "injections": """SELECT doc_id, 'injection' AS kind, descr AS pattern, position FROM icand
+      WHERE substr(low, chars + 1, length(phrase)) = phrase
+      QUALIFY row_number() OVER (PARTITION BY doc_id, position ORDER BY i) = 1""",
+}
+
+
+@query("scan_leaks", oracle("SELECT * FROM leaks", "v_planted", **LEAKS))
+def _(spark, sf):
+    return safety.scan_leaks(spark_view(spark, sf, "v_planted"), ["doc_id"], "text")
+
+
+@query("scan_injection", oracle("SELECT * FROM injections", "v_planted", **INJECTIONS))
+def _(spark, sf):
+    return safety.scan_injection(spark_view(spark, sf, "v_planted"), ["doc_id"], "text")
+
+
+@query(
+    "scan_safety",
+    oracle("SELECT * FROM leaks UNION ALL SELECT * FROM injections", "v_planted", **LEAKS, **INJECTIONS),
+)
+def _(spark, sf):
+    return safety.scan(spark_view(spark, sf, "v_planted"), ["doc_id"], "text")
+
+
+@query(
+    "partition_by_safety",
+    oracle(
+        """SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM leaks) AS accepted,
+        (SELECT count(*) FROM leaks l WHERE l.doc_id = v.doc_id) AS warnings FROM v_planted v""",
+        "v_planted",
+        **LEAKS,
+    ),
+)
+def _(spark, sf):
+    accepted, rejected, warnings = safety.partition_by_safety(spark_view(spark, sf, "v_planted"), ["doc_id"], "text")
+    counts = warnings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("warnings"))
+    kept = accepted.select("doc_id", F.lit(True).alias("accepted"), F.lit(0).cast("bigint").alias("warnings"))
+    return kept.unionByName(rejected.select("doc_id", F.lit(False).alias("accepted")).join(counts, "doc_id"))

@@ -38,8 +38,8 @@ def l2_normalize(v) -> Column:
 
 
 def cosine(v, query, query_norm=None) -> Column:
-    """dot/(|v||q|), 0 when that denominator is 0."""
-    qn = norm(query) if query_norm is None else query_norm
+    """dot/(|v||q|), 0 when that denominator is 0; pass the norm of a known query."""
+    qn = norm(query) if query_norm is None else F.lit(query_norm)
     denominator = norm(v) * qn
     return F.when(denominator > 0, dot(v, query) / denominator).otherwise(F.lit(0.0))
 

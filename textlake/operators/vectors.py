@@ -38,17 +38,23 @@ def drop_embedding(df: DataFrame, vector="embedding") -> DataFrame:
 
 
 def query_vector(df: DataFrame, vector) -> Column:
-    """The vector of a one-row DataFrame as a scalar subquery.
+    """The vector of a one-row DataFrame, scaled to length 1, as a scalar subquery.
 
     Spark evaluates it once and binds the value as a literal, so scoring needs
     neither a join nor a driver-side value.
     """
-    return df.select(vector).scalar()
+    return df.select(V.l2_normalize(vector).alias(vector)).scalar()
 
 
 def score_vectors(df: DataFrame, vector, query: Column, out="score") -> DataFrame:
-    """Adds the cosine of every vector with one query vector; a narrow projection."""
-    return df.withColumn(out, V.cosine(vector, query))
+    """Adds the cosine of every vector with one query vector; a narrow projection.
+
+    The query has length 1 (or is zero and scores 0 everywhere), as a byte
+    histogram has, so its norm is not worked out per row.
+    """
+    # Bound to a column first: a subquery may not stand inside a lambda.
+    bound = df.withColumn("_query", query)
+    return bound.withColumn(out, V.cosine(vector, "_query", 1.0)).drop("_query")
 
 
 def top_k(df: DataFrame, k: int, score="score", ties=()) -> DataFrame:
