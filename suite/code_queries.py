@@ -17,16 +17,12 @@ from .views import oracle, query, spark_view
 KEYS = ["path"]
 
 
-def byte_text():
-    return tx.byte_view("content")
-
-
 def sources(spark, sf):
     return spark_view(spark, sf, "v_src")
 
 
 def functions(spark, sf):
-    return code.extract_functions(sources(spark, sf), KEYS, byte_text())
+    return code.extract_functions(sources(spark, sf), KEYS)
 
 
 # One row per character with the brace depth after it; the sources are ASCII.
@@ -91,17 +87,17 @@ def _(spark, sf):
 
 @query("count_exports", code_oracle("SELECT path, exports::BIGINT AS exports FROM flags"))
 def _(spark, sf):
-    return sources(spark, sf).select("path", flags.count_exports(byte_text()).alias("exports"))
+    return sources(spark, sf).select("path", flags.count_exports(tx.byte_view("content")).alias("exports"))
 
 
 @query("type_flags", code_oracle("SELECT path, type_mask FROM flags"))
 def _(spark, sf):
-    return sources(spark, sf).select("path", flags.type_flags(byte_text()).cast("bigint").alias("type_mask"))
+    return sources(spark, sf).select("path", flags.type_flags(tx.byte_view("content")).cast("bigint").alias("type_mask"))
 
 
 @query("call_flags", code_oracle("SELECT path, intrinsics_mask FROM flags"))
 def _(spark, sf):
-    return sources(spark, sf).select("path", flags.call_flags(byte_text()).cast("bigint").alias("intrinsics_mask"))
+    return sources(spark, sf).select("path", flags.call_flags(tx.byte_view("content")).cast("bigint").alias("intrinsics_mask"))
 
 
 @query(
@@ -112,17 +108,17 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return code.file_flags(sources(spark, sf), KEYS, byte_text()).select("path", "simd_width")
+    return code.file_flags(sources(spark, sf), KEYS).select("path", "simd_width")
 
 
 @query("arch_tag", code_oracle("SELECT path, arch FROM flags"))
 def _(spark, sf):
-    return sources(spark, sf).select("path", flags.arch_tag(byte_text()).alias("arch"))
+    return sources(spark, sf).select("path", flags.arch_tag(tx.byte_view("content")).alias("arch"))
 
 
 @query("first_open_brace", code_oracle("SELECT path, position, open_pos::BIGINT AS open_position FROM opened"))
 def _(spark, sf):
-    return code.first_open_brace(sources(spark, sf), KEYS, byte_text())
+    return code.first_open_brace(sources(spark, sf), KEYS)
 
 
 @query(
@@ -142,7 +138,7 @@ def _(spark, sf):
     WHERE o.ch = '{' GROUP BY ALL""",
 )
 def _(spark, sf):
-    return code.brace_depth(spark_view(spark, sf, "pages"), ["page_id"], tx.byte_view("html"))
+    return code.brace_depth(spark_view(spark, sf, "pages"), ["page_id"], "html")
 
 
 @query(
@@ -342,7 +338,7 @@ COLLAPSE = {
       SELECT name, tags[t] AS tag, min((p_partkey, line_no, idx, t)) AS r
       FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS t FROM s) GROUP BY 1, 2) GROUP BY name""",
     "collapsed": f"""SELECT sj.name, 'intrinsic' AS category, {_cut('sj.j', 127)} AS signature,
-        coalesce({_cut('tj.j', 255)}, 'auto-extracted, not yet curated') AS description
+        CASE WHEN tj.j IS NULL THEN 'auto-extracted, not yet curated' ELSE {_cut('tj.j', 255)} END AS description
       FROM sj LEFT JOIN tj ON tj.name = sj.name""",
 }
 

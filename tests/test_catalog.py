@@ -1,0 +1,102 @@
+import random
+
+import pytest
+
+from conftest import plan, rows
+from textlake.operators import catalog
+
+
+def extract(spark, text):
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    return catalog.extract_signatures(df, ["id"], "text")
+
+
+def test_only_doc_lines_give_signatures(spark):
+    text = "fn a() -> i32 { 1 }\n \t/// foo(a) -> b\n// minus- sign\n// no(a) -> b\nx /// late(a) -> b\n///none\n"
+    assert rows(extract(spark, text), "line_no", "name", "signature") == [(2, "foo", "foo(a) -> b")]
+
+
+def test_variants_and_tags(spark):
+    text = (
+        "/// maddubs_i16(u8x16, i8x16) -> i16x8  (AVX2 vpmaddubsw) (acc: i32x4) (8x16) ( )\n"
+        "//// cvt( i16x4 )  ->  f32x4, cvt(i16x8)->f32x8\n"
+        "/// été(x\xa0) -> _y (naïve)"
+    )
+    got = extract(spark, text).orderBy("line_no", "idx")
+    assert rows(got, "signature", "tags") == [
+        ("maddubs_i16(u8x16, i8x16) -> i16x8", ["AVX2 vpmaddubsw"]),
+        ("cvt(i16x4) -> f32x4", []),
+        ("cvt(i16x8) -> f32x8", []),
+        ("été(x) -> _y", ["x", "naïve"]),
+    ]
+
+
+def test_dispatch_names(spark):
+    text = '"vdot_i32" => Some(..)\n"reduce_add" | "reduce_max"| "reduce_min" =>\n"guard" if x\n"Upper" => y, "lone"'
+    df = spark.createDataFrame([(text,), (text,)], "text string")
+    got = sorted(r.name for r in catalog.extract_dispatch_names(df, "text").collect())
+    assert got == ["guard", "reduce_add", "reduce_max", "reduce_min", "vdot_i32"]
+
+
+def cut(text, limit):
+    b = text.encode()
+    return text if len(b) <= limit else b[: limit - 3].decode("utf-8", "ignore") + "..."
+
+
+def test_collapse_equals_a_loop(spark):
+    rng = random.Random(2)
+    data = []
+    for place in range(600):
+        name = rng.choice(["hot", "hot", "b", "c"])
+        tags = [rng.choice(["tag é", "x", "much longer tag", "", "y" * 90]) for _ in range(rng.randrange(3))]
+        data.append((place, name, f"{name}({'字' * rng.randrange(30)}) -> f{rng.randrange(40)}", tags))
+    df = spark.createDataFrame(data, "place int, name string, signature string, tags array<string>").repartition(4)
+    sigs, tags = {}, {}
+    for _, name, sig, row_tags in sorted(data, key=lambda r: r[0]):
+        sigs.setdefault(name, dict()).setdefault(sig)
+        for t in row_tags:
+            if t:
+                tags.setdefault(name, dict()).setdefault(t)
+    want = {n: (cut("; ".join(sigs[n]), 127), cut("; ".join(tags[n]), 255)) for n in sigs}
+    got = catalog.collapse_signatures(df, ["place"])
+    assert {r.name: (r.signature, r.description) for r in got.collect()} == want
+    assert "WindowGroupLimit" in plan(got)
+
+
+def test_collapse_without_tags(spark):
+    df = spark.createDataFrame([(1, "a", "a() -> b", [])], "place int, name string, signature string, tags array<string>")
+    assert rows(catalog.collapse_signatures(df, ["place"])) == [("a", "intrinsic", "a() -> b", "auto-extracted, not yet curated")]
+
+
+ENTRY = "name string, category string, signature string, description string"
+
+
+@pytest.fixture(scope="module")
+def merged(spark):
+    curated = spark.createDataFrame(
+        [(0, "reduce_add", "intrinsic", "s", "Horizontal sum"), (1, "fma", "intrinsic", "s", "adds a product")],
+        "ordinal int, " + ENTRY,
+    )
+    scraped = spark.createDataFrame([("fma", "x", "x", "x"), ("zip", "i", "s", None), ("add_sat", "i", "s", "saturating")], ENTRY)
+    return catalog.merge_catalog(curated, scraped)
+
+
+def test_curated_entries_win(merged):
+    got = rows(merged.orderBy("origin", "ordinal", "name"), "name", "description")
+    assert got == [("reduce_add", "Horizontal sum"), ("fma", "adds a product"), ("add_sat", "saturating"), ("zip", None)]
+
+
+@pytest.mark.parametrize(
+    "query, want",
+    [("FMA", ["fma"]), ("add", ["reduce_add", "fma", "add_sat"]), ("zip", ["zip"]), ("nothing", []), ("a", ["reduce_add", "fma", "add_sat"])],
+)
+def test_lookup(merged, query, want):
+    assert [r.name for r in catalog.lookup_reference(merged, query).collect()] == want
+
+
+def test_undocumented_and_first_seen(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    docs = spark.createDataFrame([("a",), ("a",)], "name string")
+    assert rows(catalog.undocumented_names(names, docs)) == [("b", "intrinsic", "b(...) -> ?", "no doc comment")]
+    df = spark.createDataFrame([("x", 3), ("y", 1), ("x", 2)], "v string, place int")
+    assert sorted(rows(catalog.distinct_first_seen(df, "v", ["place"]))) == [("x", 2), ("y", 1)]

@@ -30,7 +30,7 @@ def byte_view_of_binary(c) -> Column:
 
 def from_byte_view(c) -> Column:
     """The text whose byte view is given; broken sequences become U+FFFD."""
-    return F.decode(F.encode(col(c), "ISO-8859-1"), "UTF-8")
+    return F.make_valid_utf8(F.encode(col(c), "ISO-8859-1").cast("string"))
 
 
 def needle_bytes(needle: str) -> str:

@@ -4,31 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import code as C
-from ..functions.text import from_byte_view, lines_universal, rstrip, strip
+from ..functions.text import byte_view, byte_view_of_binary, from_byte_view, lines_universal, rstrip, strip
 from .offsets import match_rows, running_position
 
 _BRACE = "[{}]"
 
 
+def file_bytes(files: DataFrame, content: str) -> Column:
+    """Byte view of a text or binary column."""
+    binary = isinstance(files.schema[content].dataType, T.BinaryType)
+    return byte_view_of_binary(content) if binary else byte_view(content)
+
+
+def _holds(files: DataFrame, content: str, needle: str) -> Column:
+    """Whether a text or binary column holds an ASCII string; no decoding."""
+    binary = isinstance(files.schema[content].dataType, T.BinaryType)
+    return F.contains(F.col(content), F.lit(needle.encode() if binary else needle))
+
+
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _events(files: DataFrame, keys, b: Column, at: str, carry=(), extra=None) -> DataFrame:
+def _events(files: DataFrame, keys, b: Column, at: str, carry=(), tag=None) -> DataFrame:
     """Braces (and whatever else ``at`` matches) of every file in order.
 
     Adds ``position``, ``line`` (newlines before the event) and ``level``. A
     brace and its partner share a level: the depth outside of the pair.
     """
-    arrays = {
-        "kind": lambda p: F.transform(p, lambda x: F.substring(x, 1, 1)),
-        "newlines": lambda p: F.transform(p, _newlines),
-        **(extra or {}),
-    }
-    rows = match_rows(files, keys, b, at, carry=carry, extra=arrays)
+    measure = {"kind": lambda p: F.substring(p, 1, 1), "newlines": _newlines}
+    rows = match_rows(files, keys, b, at, carry, measure, tag)
     in_file = W.partitionBy(*keys).orderBy("ord")
     before = in_file.rowsBetween(W.unboundedPreceding, -1)
     upto = in_file.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -57,10 +66,10 @@ def _with_partner(events: DataFrame, keys) -> DataFrame:
     )
 
 
-def brace_depth(files: DataFrame, keys, b: Column) -> DataFrame:
+def brace_depth(files: DataFrame, keys, content="content") -> DataFrame:
     """(keys, open_position, level, close_position) of every ``{``."""
-    with_braces = files.where(F.contains(b, F.lit("{")))
-    pairs = _with_partner(_events(with_braces, keys, b, _BRACE), keys).where("kind = '{'")
+    events = _events(files.where(_holds(files, content, "{")), keys, file_bytes(files, content), _BRACE)
+    pairs = _with_partner(events, keys).where("kind = '{'")
     return pairs.select(
         *keys,
         F.col("position").alias("open_position"),
@@ -81,48 +90,47 @@ def _with_first_open(events: DataFrame, keys) -> DataFrame:
 
 _EXPORT_OR_BRACE = C.EXPORT + "|" + _BRACE
 # Group 1 is the text up to the next "(", empty if there is none.
-_EXPORT_NAME = "(?=" + C.EXPORT + r"([^(]*\()|" + C.EXPORT + "|" + _BRACE + ")"
+_EXPORT_NAME = C.EXPORT + r"([^(]*\()|" + C.EXPORT + "|" + _BRACE
 
 
-def _export_events(files: DataFrame, keys, b: Column) -> DataFrame:
-    exporting = files.where(F.contains(b, F.lit(C.EXPORT)))
+def _export_events(files: DataFrame, keys, content) -> DataFrame:
+    exporting = files.where(_holds(files, content, C.EXPORT)).select(
+        *keys, file_bytes(files, content).alias("_text")
+    )
     flagged = exporting.select(
         *keys,
-        b.alias("_b"),
-        C.type_flags(b).alias("type_mask"),
-        C.call_flags(b).alias("intrinsics_mask"),
-        C.arch_tag(b).alias("arch"),
-        _newlines(b).alias("file_newlines"),
-    )
-    names = lambda _: F.concat(
-        F.array(F.lit("")), F.regexp_extract_all(F.col("_b"), F.lit(_EXPORT_NAME), F.lit(1))
+        "_text",
+        C.type_flags("_text").alias("type_mask"),
+        C.call_flags("_text").alias("intrinsics_mask"),
+        C.arch_tag("_text").alias("arch"),
+        _newlines(F.col("_text")).alias("file_newlines"),
     )
     carry = ["type_mask", "intrinsics_mask", "arch", "file_newlines"]
-    events = _events(flagged, keys, F.col("_b"), _EXPORT_OR_BRACE, carry=carry, extra={"name": names})
+    events = _events(flagged, keys, F.col("_text"), _EXPORT_OR_BRACE, carry, _EXPORT_NAME)
     return _with_first_open(_with_partner(events, keys), keys).where("kind = 'e'")
 
 
-def first_open_brace(files: DataFrame, keys, b: Column) -> DataFrame:
+def first_open_brace(files: DataFrame, keys, content="content") -> DataFrame:
     """(keys, position, open_position): first ``{`` at or after each export, if any."""
-    return _export_events(files, keys, b).select(
+    return _export_events(files, keys, content).select(
         *keys, "position", F.col("open.position").alias("open_position")
     )
 
 
-def extract_functions(files: DataFrame, keys, b: Column) -> DataFrame:
+def extract_functions(files: DataFrame, keys, content="content") -> DataFrame:
     """One row per exported function with a name.
 
-    ``keys`` identify a file and ``b`` is its byte view. Width, architecture
-    and masks are those of the whole file. One shuffle of the events by file;
-    the text stays behind in the map stage.
+    ``keys`` identify a file and ``content`` is its text or its bytes. Width,
+    architecture and masks are those of the whole file. One shuffle of the
+    events by file; the text stays behind in the map stage.
     """
-    named = _export_events(files, keys, b).where("name <> ''")
+    named = _export_events(files, keys, content).where("tag <> ''")
     line_count = (
         F.when(F.col("open").isNull(), 1)
         .otherwise(F.coalesce(F.col("open.close_line"), F.col("file_newlines")) - F.col("line") + 1)
         .cast("bigint")
     )
-    bare = F.substring(F.col("name"), F.lit(1), F.length("name") - 1)
+    bare = F.substring(F.col("tag"), F.lit(1), F.length("tag") - 1)
     return named.select(
         *keys,
         strip(from_byte_view(bare)).alias("func_name"),
@@ -136,16 +144,17 @@ def extract_functions(files: DataFrame, keys, b: Column) -> DataFrame:
     )
 
 
-def file_flags(files: DataFrame, keys, b: Column) -> DataFrame:
+def file_flags(files: DataFrame, keys, content="content") -> DataFrame:
     """Masks, width, architecture and export count per file, also of files without exports."""
-    return files.select(
+    texts = files.select(*keys, file_bytes(files, content).alias("_text"))
+    flagged = texts.select(
         *keys,
-        C.count_exports(b).alias("exports"),
-        C.type_flags(b).cast("bigint").alias("type_mask"),
-        C.simd_width(C.type_flags(b)).cast("bigint").alias("simd_width"),
-        C.call_flags(b).cast("bigint").alias("intrinsics_mask"),
-        C.arch_tag(b).alias("arch"),
+        C.count_exports("_text").alias("exports"),
+        C.type_flags("_text").cast("bigint").alias("type_mask"),
+        C.call_flags("_text").cast("bigint").alias("intrinsics_mask"),
+        C.arch_tag("_text").alias("arch"),
     )
+    return flagged.withColumn("simd_width", C.simd_width("type_mask").cast("bigint"))
 
 
 def attach_embeddings(functions: DataFrame, embeddings: DataFrame, key="path") -> DataFrame:

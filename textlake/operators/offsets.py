@@ -9,21 +9,30 @@ from pyspark.sql import Window as W
 from ..functions.text import PAD, byte_view, contains_bytes, java_quote, needle_bytes
 
 
-def match_rows(df: DataFrame, ids, b: Column, at: str, carry=(), extra=None) -> DataFrame:
+def match_rows(df: DataFrame, ids, b: Column, at: str, carry=(), measure=None, tag=None) -> DataFrame:
     """One row per match of ``at`` plus a head row (``ord`` 0) per text.
 
     Splitting at a lookahead cuts the text in front of every match, overlapping
     ones included; the padding character keeps a match at byte 0 from swallowing
     the head. Only sizes and small values leave the projection, never the text.
-    ``extra`` maps a name to a function of the array of pieces.
+    ``measure`` maps a name to a function of a piece; ``tag`` is a regex whose
+    group 1 is kept for every match.
     """
-    pieces = F.split(F.concat(F.lit(PAD), b), f"(?={at})")
-    arrays = {"size": F.transform(pieces, F.length)}
-    for name, make in (extra or {}).items():
-        arrays[name] = make(pieces)
-    zipped = F.arrays_zip(*[a.alias(n) for n, a in arrays.items()])
-    exploded = df.select(*ids, *carry, F.posexplode(zipped).alias("ord", "m"))
-    return exploded.select(*ids, *carry, "ord", "m.*")
+    # Separate steps: a generator does not share work between its arguments, and
+    # columns used several times are not merged into their users.
+    texts = df.select(*ids, *carry, b.alias("_b"))
+    pieces = F.split(F.concat(F.lit(PAD), "_b"), f"(?={at})").alias("_pieces")
+    values = {"size": F.length, **(measure or {})}
+    if tag is None:
+        cut = texts.select(*ids, *carry, pieces)
+        found = F.transform("_pieces", lambda p: F.struct(*[f(p).alias(n) for n, f in values.items()]))
+    else:
+        tags = F.concat(F.array(F.lit("")), F.regexp_extract_all("_b", F.lit(f"(?={tag})"), F.lit(1)))
+        cut = texts.select(*ids, *carry, pieces, tags.alias("_tags"))
+        found = F.zip_with(
+            "_pieces", "_tags", lambda p, t: F.struct(*[f(p).alias(n) for n, f in values.items()], t.alias("tag"))
+        )
+    return cut.select(*ids, *carry, F.posexplode(found).alias("ord", "m")).select(*ids, *carry, "ord", "m.*")
 
 
 def running_position(ids) -> Column:
@@ -34,15 +43,8 @@ def running_position(ids) -> Column:
 
 def tagged_positions(df: DataFrame, ids, b: Column, at: str) -> DataFrame:
     """(ids, position, tag) for every match of ``at``; tag is its group 1."""
-    with_tags = lambda _: F.concat(
-        F.array(F.lit("")), F.regexp_extract_all(b, F.lit(f"(?={at})"), F.lit(1))
-    )
-    rows = match_rows(df, ids, b, at, extra={"tag": with_tags})
-    return (
-        rows.withColumn("position", running_position(ids))
-        .where("ord > 0")
-        .select(*ids, "position", "tag")
-    )
+    rows = match_rows(df, ids, b, at, tag=at)
+    return rows.withColumn("position", running_position(ids)).where("ord > 0").select(*ids, "position", "tag")
 
 
 def find_offsets(df: DataFrame, ids, text, needle: str, max_results: int | None = None) -> DataFrame:

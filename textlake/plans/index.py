@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.text import byte_view_of_binary
 from ..operators import catalog as cat
 from ..operators import code, log, vectors
 
@@ -16,8 +16,7 @@ def build_index(files: DataFrame, curated: DataFrame, documented=None, dispatch=
     ``files`` come from ``load_source_tree``; ``documented`` and ``dispatch``
     are (path, text) frames to scrape signatures and names from.
     """
-    b = byte_view_of_binary("content")
-    functions = code.extract_functions(files, ["root_no", "path"], b)
+    functions = code.extract_functions(files, ["root_no", "path"])
     once = files.where("root_no = 0").unionByName(
         files.where("root_no > 0").join(files.where("root_no = 0").select("path"), "path", "left_anti")
     )
@@ -94,6 +93,4 @@ def search_all(
 
 
 def _ranked(limited: DataFrame, *order: Column | str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     return limited.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))
