@@ -14,7 +14,7 @@ from textlake.streaming.ingest import stream_merge, stream_safe_ingest
 from .code_queries import CODE, functions, sources
 from .log_queries import _MERGED_OBS, _local, _remote, observations, sessions
 from .text_queries import LEAKS
-from .views import VIEWS, oracle, query, spark_view
+from .views import TABLES, VIEWS, oracle, query, spark_view
 
 EPOCH = 1704067200
 
@@ -114,8 +114,7 @@ def _(spark, sf):
 
 @query("stream_safe_ingest", oracle(_INGESTED, "v_planted", **LEAKS))
 def _(spark, sf):
-    documents = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(documents).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = spark.readStream.schema(TABLES["documents"]).option("pathGlobFilter", "documents.parquet").parquet(sf)
     sql = VIEWS["v_planted"].replace("FROM documents", "FROM {documents}")
     path = shared_dir(spark, "stream")
     job = stream_safe_ingest(
@@ -138,11 +137,10 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    conversations = spark.read.parquet(f"{sf}/conversations.parquet").schema
     path = shared_dir(spark, "merge")
     obs = observations(spark, sf)
     tables.append_log(_local(obs), f"{path}/log")
-    stream = spark.readStream.schema(conversations).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    stream = spark.readStream.schema(TABLES["conversations"]).option("pathGlobFilter", "conversations.parquet").parquet(sf)
     sql = VIEWS["v_obs"].replace("FROM conversations", "FROM {conversations}")
     arriving = spark.sql(sql, conversations=stream).withColumnRenamed("created_s", "created_at")
     arriving = arriving.withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))

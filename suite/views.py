@@ -4,7 +4,20 @@ from __future__ import annotations
 
 import re
 
-TABLES = ["documents", "conversations", "events", "embeddings", "pages", "labels", "benchmark", "part"]
+from textlake.sources.tables import spread
+
+# Named, so that reading a table needs no job that looks into its files.
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
+# Tables with work per row that outweighs reading them, and their row key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
 
 VIEWS = {
     "v_obs": """
@@ -93,7 +106,8 @@ FROM part
 def spark_view(spark, sf_dir: str, name: str):
     """The DataFrame of a table or of a view."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
     sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", sql)]
     for table in used:

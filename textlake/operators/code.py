@@ -185,14 +185,16 @@ def source_snippet(functions: DataFrame, files: DataFrame, text="content", key="
     """Adds ``snippet``: the lines of each function, NULL if longer than ``max_lines``.
 
     Clipped to the end of the file. Meant for the few rows of a finished search:
-    the lines of a file are split once per row that asks for them.
+    the files are first reduced to those asked for, so that Spark can broadcast
+    the few paths and leaves the other texts where they are.
     """
     lines = lines_universal(F.col("_text"))
     start = F.greatest(F.lit(0), F.col("line_start") - 1)
     end = F.least(F.size(lines), start + F.col("line_count"))
     taken = F.greatest(end - start, F.lit(0)).cast("int")
     body = rstrip(F.array_join(F.slice(lines, (start + 1).cast("int"), taken), "\n"))
-    joined = functions.join(files.select(key, F.col(text).alias("_text")), key, "left")
+    needed = files.join(functions.select(key).distinct(), key, "left_semi")
+    joined = functions.join(needed.select(key, F.col(text).alias("_text")), key, "left")
     return joined.withColumn("snippet", F.when(end - start <= max_lines, body)).drop("_text")
 
 

@@ -26,19 +26,17 @@ def last_session_summary(sessions: DataFrame) -> DataFrame:
 
 
 def _recent_lines(observations: DataFrame) -> DataFrame:
-    # Ranked on three narrow columns; rank <= 10 is applied in every task before
-    # the shuffle, so a project with a third of the log sends ten rows per task.
-    # The contents are then fetched by id for the few rows that are left.
+    # rank <= 10 is applied in every task before the shuffle, so a project with
+    # a third of the log sends ten rows per task.
     newest = W.partitionBy("project").orderBy(F.desc("created_at"), F.asc("id"))
-    ranked = (
-        observations.select("project", "created_at", "id")
+    line = F.concat(F.lit("- ["), F.col("type"), F.lit("] "), F.col("content"))
+    return (
+        observations.select("project", "created_at", "id", "type", "content")
         .withColumn("rank", F.row_number().over(newest))
         .where(F.col("rank") <= RECENT)
-        .select("project", F.col("rank").cast("bigint").alias("rank"), "id")
+        .select("project", F.col("rank").cast("bigint").alias("rank"), "id", line.alias("line"))
+        .withColumn("cost", estimate_tokens("line"))
     )
-    line = F.concat(F.lit("- ["), F.col("type"), F.lit("] "), F.col("content"))
-    texts = observations.select("id", line.alias("line"))
-    return texts.join(ranked, "id").withColumn("cost", estimate_tokens("line"))
 
 
 def _within(lines: DataFrame, left: Column) -> DataFrame:

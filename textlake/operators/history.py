@@ -43,13 +43,11 @@ def history_summary(hist: DataFrame) -> DataFrame:
 def latest_accepted(hist: DataFrame) -> DataFrame:
     """The last accepted iteration per benchmark, in file order.
 
-    The place is found by a hash aggregate of two numbers and the row is then
-    fetched by (name, pos), a key without hot values. Spark broadcasts the
-    places if they turn out small.
+    ``row_number = 1`` leaves one row per benchmark and task before the shuffle.
     """
+    latest = W.partitionBy("name").orderBy(F.desc("pos"))
     accepted = hist.where(_flag("accepted"))
-    places = accepted.groupBy("name").agg(F.max("pos").alias("pos"))
-    return accepted.join(places, ["name", "pos"], "left_semi").select(*hist.columns)
+    return accepted.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*hist.columns)
 
 
 def what_works(hist: DataFrame, total: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ def new_observations(local: DataFrame, remote: DataFrame) -> DataFrame:
     """
     first = W.partitionBy("content_hash").orderBy("created_at", "id")
     winners = remote.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    hashes = winners.select("content_hash")
+    hashes = remote.select("content_hash").distinct()
     known = local.select("content_hash").join(hashes, "content_hash", "left_semi").distinct()
     return winners.join(known, "content_hash", "left_anti").select(*remote.columns)
 

@@ -18,6 +18,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.ignoreMissingFiles": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

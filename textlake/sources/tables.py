@@ -55,3 +55,21 @@ def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def export_snapshot(df: DataFrame, path: str) -> None:
     """A verbatim copy of a log table."""
     df.write.mode("overwrite").parquet(path)
+
+
+# Spark makes no scan split smaller than this (spark.sql.files.openCostInBytes).
+_LEAST_SPLIT = 4 * 1024 * 1024
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Spreads a table over all cores if its files are too small to occupy them.
+
+    Scans are split by 4 MB at least and by whole row groups, so that a small
+    file with heavy text work runs in one task. Above 4 MB per core, which is
+    any table worth a cluster, the table is returned as it is. Spreading by the
+    row keys serves later windows per row, and filters and column pruning pass
+    through it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores, *keys) if size < cores * _LEAST_SPLIT else table
