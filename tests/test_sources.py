@@ -4,9 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan, rows
 from textlake.operators import history
 from textlake.plans.index import build_index, search_all
+from textlake.session import shared_dir
 from textlake.sources import files, tables
 
 SRC = "export func batch_cosine(q) {\n let v: f32x8 = load(q)\n}\n"
@@ -79,6 +80,20 @@ def test_index_build_store_and_search(spark, tree, tmp_path):
     assert search_all(fns, no_log, "cosine", scope="functions", arch="aarch64").count() == 0
 
 
+def test_shared_folder_is_the_one_the_session_names(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
+    assert first.startswith(base + "/x-") and first != second
+
+
+def test_small_tables_are_spread_and_large_ones_left_alone(spark, tmp_path, monkeypatch):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert "REPARTITION_BY_NUM" in plan(tables.spread(table, "id"))
+    monkeypatch.setattr(tables, "_LEAST_SPLIT", 1)
+    assert tables.spread(table, "id") is table
+
+
 def test_reference_catalog(spark, tmp_path):
     entries = [{"name": n, "category": "type", "signature": n, "description": n} for n in "zyx"]
     path = put(tmp_path, "catalog.json", json.dumps({"version": 1, "entries": entries}, indent=2))
@@ -100,6 +115,8 @@ STEPS = [
 def benchmarks(tmp_path):
     put(tmp_path, "dot/history.json", json.dumps(STEPS, indent=1))
     put(tmp_path, "sum v2/history.json", json.dumps([STEPS[1]]))
+    put(tmp_path, "dot/old/history.json", json.dumps([STEPS[0]]))
+    put(tmp_path, "history.json", json.dumps([STEPS[0]]))
     put(tmp_path, "none/program.md", "# Goal\n# The Strategy space\n\n- one\n#! strategy again\n- two\n# Other\n- three\n")
     put(tmp_path, "dot/program.md", "no heading about it\n# Goal\ntext")
     return str(tmp_path)

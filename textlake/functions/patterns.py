@@ -64,12 +64,18 @@ LEAK_PREFIXES = [
 SPACE_BYTES = r"\t-\r\x1c-\x20\x85\xa0"
 
 
-def _first_byte_guard(strings, nocase=False) -> str:
-    """Lookahead on the possible first bytes: most positions fail on this alone."""
-    firsts = {s[0] for s in strings}
-    if nocase:
-        firsts = {x for ch in firsts for x in (ch.lower(), ch.upper())}
-    return "(?=[" + "".join("\\" + ch if not ch.isalnum() else ch for ch in sorted(firsts)) + "])"
+def _guard(strings, nocase=False) -> str:
+    """Lookahead on the possible first three bytes: nearly all positions fail on it alone.
+
+    Without it every position would try every alternative in turn.
+    """
+    classes = ""
+    for i in range(3):
+        chars = {s[i] for s in strings if len(s) >= 3}
+        if nocase:
+            chars = {x for ch in chars for x in (ch.lower(), ch.upper())}
+        classes += "[" + "".join(java_quote(ch) for ch in sorted(chars)) + "]"
+    return "(?=" + "|".join([classes, *[java_quote(s) for s in strings if len(s) < 3]]) + ")"
 
 
 def _leak_alternative(prefix, min_total, char_class) -> str:
@@ -87,18 +93,24 @@ _phrases = [p for p, _ in INJECTION_PHRASES]
 
 # On the byte view: group 1 is the prefix or phrase that wins at a position.
 LEAK_AT = (
-    _first_byte_guard(_leak_prefixes)
+    _guard(_leak_prefixes)
     + "("
     + "|".join(_leak_alternative(p, n, c) for p, n, c, _ in LEAK_PREFIXES)
     + ")"
 )
 INJECTION_AT = (
-    "(?i)" + _first_byte_guard(_phrases, True) + "(" + "|".join(map(java_quote, _phrases)) + ")"
+    "(?i)" + _guard(_phrases, True) + "(" + "|".join(map(java_quote, _phrases)) + ")"
 )
 
+# On the plain text: the marks of two bytes are looked for on their own, which
+# leaves the other phrases with a guard of three classes.
+SHORT_PHRASES = [p for p in _phrases if len(p) < 3]
+_long_phrases = [p for p in _phrases if len(p) >= 3]
+LONG_PHRASE = "(?i)" + _guard(_long_phrases, True) + "(?:" + "|".join(map(java_quote, _long_phrases)) + ")"
+
 # On the plain text: a cheap necessary condition for LEAK_AT.
 LEAK_HINT = (
-    _first_byte_guard(_leak_prefixes) + "(?:" + "|".join(map(java_quote, _leak_prefixes)) + ")"
+    _guard(_leak_prefixes) + "(?:" + "|".join(map(java_quote, _leak_prefixes)) + ")"
 )
 
 

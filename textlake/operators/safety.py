@@ -17,7 +17,11 @@ def has_leak(text) -> Column:
 
 
 def has_injection(text) -> Column:
-    return F.coalesce(col(text).rlike(P.INJECTION_AT), F.lit(False))
+    """Whether the text holds an injection phrase."""
+    found = col(text).rlike(P.LONG_PHRASE)
+    for mark in P.SHORT_PHRASES:
+        found = F.contains(col(text), F.lit(mark)) | found
+    return F.coalesce(found, F.lit(False))
 
 
 def scan_leaks(df: DataFrame, ids, text) -> DataFrame:

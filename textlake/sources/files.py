@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import strip
 
@@ -101,14 +100,21 @@ def load_reference_catalog(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def _folder_name() -> Column:
-    return F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -2))
+def _whole_files(spark: SparkSession, base: str, leaf: str) -> DataFrame | None:
+    """(name, value) of every ``<base>/<name>/<leaf>``; None if there is no ``base``.
 
-
-def _below(spark, base, leaf):
-    names = [n for n, is_dir in _list_dir(spark, base) or [] if is_dir]
-    present = [n for n in names if (leaf, False) in (_list_dir(spark, f"{base.rstrip('/')}/{n}") or [])]
-    return [f"{_no_glob(base.rstrip('/'))}/{_no_glob(n)}/{leaf}" for n in present]
+    Spark lists the folders, in parallel when they are many.
+    """
+    if _list_dir(spark, base) is None:
+        return None
+    texts = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", leaf)
+        .text(_no_glob(base.rstrip("/")), wholetext=True)
+    )
+    parts = F.split(F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:(?://)?(?=/)", ""), "/")
+    depth = len(re.sub(r"^file:(?://)?(?=/)", "", base.rstrip("/")).split("/")) + 2
+    return texts.where(F.size(parts) == depth).select(F.element_at(parts, -2).alias("name"), "value")
 
 
 def list_benchmarks(spark: SparkSession, base) -> DataFrame:
@@ -119,13 +125,9 @@ def list_benchmarks(spark: SparkSession, base) -> DataFrame:
 
 def load_histories(spark: SparkSession, base) -> DataFrame:
     """One row per iteration of every ``<base>/<name>/history.json``, with its place."""
-    paths = _below(spark, base, "history.json")
-    schema = T.StructType.fromDDL(
-        "name string, pos bigint, iteration bigint, accepted boolean, correct boolean, time_us double, hypothesis string"
-    )
-    if not paths:
-        return spark.createDataFrame([], schema)
-    whole = spark.read.text(paths, wholetext=True).select(_folder_name().alias("name"), "value")
+    whole = _whole_files(spark, base, "history.json")
+    if whole is None:
+        whole = spark.createDataFrame([], "name string, value string")
     rows = F.from_json("value", HISTORY_SCHEMA, {"mode": "FAILFAST"})
     return whole.select("name", F.posexplode(rows).alias("pos", "h")).select(
         "name", F.col("pos").cast("bigint").alias("pos"), "h.*"
@@ -167,8 +169,7 @@ def strategy_section(text) -> Column:
 
 def load_strategy_notes(spark: SparkSession, base) -> DataFrame:
     """(name, strategy) from ``<base>/<name>/program.md``; NULL without such a section."""
-    paths = _below(spark, base, "program.md")
-    if not paths:
-        return spark.createDataFrame([], "name string, strategy string")
-    whole = spark.read.text(paths, wholetext=True)
-    return whole.select(_folder_name().alias("name"), strategy_section(F.col("value")).alias("strategy"))
+    whole = _whole_files(spark, base, "program.md")
+    if whole is None:
+        whole = spark.createDataFrame([], "name string, value string")
+    return whole.select("name", strategy_section(F.col("value")).alias("strategy"))
