@@ -54,6 +54,12 @@ def test_offsets_against_search(spark):
         assert offsets_of(spark, texts, needle) == {i: brute_offsets(t, needle) for i, t in enumerate(texts)}
 
 
+def test_offsets_in_binary_columns(spark):
+    df = spark.createDataFrame([(1, b"\xff\xfeab\xffab"), (2, b"")], "id int, b binary")
+    assert sorted(rows(offsets.find_offsets(df, ["id"], "b", "ab"))) == [(1, 1, 2), (1, 2, 5)]
+    assert sorted(rows(offsets.contains_batch(df, ["id"], "b", "ab"))) == [(1, True), (2, False)]
+
+
 def test_contains_batch_never_crosses_rows(spark):
     df = spark.createDataFrame([(0, "abc"), (1, "def"), (2, "xabcdefx"), (3, None)], "id int, text string")
     hit = lambda needle: dict(rows(offsets.contains_batch(df, ["id"], "text", needle)))

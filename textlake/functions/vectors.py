@@ -56,9 +56,9 @@ def literal_vector(values) -> Column:
     return F.lit([float(x) for x in values])
 
 
-def _make_byte_counts():
+def _byte_counts_udf(unit: bool):
     # Nested so that the function travels to the executors by value.
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<float>" if unit else "array<int>")
     def byte_counts(texts):
         import numpy
         import pyarrow
@@ -71,6 +71,10 @@ def _make_byte_counts():
         counts = numpy.zeros((len(binary), 256), dtype=numpy.int32)
         for row, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
             counts[row] = numpy.bincount(data[lo:hi], minlength=256)
+        if unit:
+            exact = counts.astype(numpy.float64)
+            length = numpy.sqrt((exact * exact).sum(axis=1, keepdims=True))
+            counts = (exact / numpy.where(length > 0, length, 1)).astype(numpy.float32)
         sizes = numpy.arange(0, 256 * (len(binary) + 1), 256, dtype=numpy.int32)
         mask = pyarrow.array(texts.is_null().to_numpy(zero_copy_only=False))
         return pyarrow.ListArray.from_arrays(
@@ -86,4 +90,9 @@ def byte_counts(c) -> Column:
     The one Arrow UDF of the library: a row's bytes are counted in place, while
     a native explode would make one row per byte and shuffle them by row id.
     """
-    return _make_byte_counts()(col(c))
+    return _byte_counts_udf(False)(col(c))
+
+
+def unit_byte_counts(c) -> Column:
+    """``byte_counts`` scaled to length 1, as stored for a text; zeros for an empty one."""
+    return _byte_counts_udf(True)(col(c))

@@ -4,28 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import code as C
-from ..functions.text import byte_view, byte_view_of_binary, from_byte_view, lines_universal, rstrip, strip
-from .offsets import match_rows, running_position
+from ..functions.text import from_byte_view, lines_universal, rstrip, strip
+from .offsets import bytes_of, holds, match_rows, running_position
 
 _BRACE = "[{}]"
 
 
-def file_bytes(files: DataFrame, content: str) -> Column:
-    """Byte view of a text or binary column."""
-    binary = isinstance(files.schema[content].dataType, T.BinaryType)
-    return byte_view_of_binary(content) if binary else byte_view(content)
-
-
-def _holds(files: DataFrame, content: str, needle: str) -> Column:
-    """Whether a text or binary column holds an ASCII string; no decoding."""
-    binary = isinstance(files.schema[content].dataType, T.BinaryType)
-    return F.contains(F.col(content), F.lit(needle.encode() if binary else needle))
-
-
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -68,7 +55,7 @@ def _with_partner(events: DataFrame, keys) -> DataFrame:
 
 def brace_depth(files: DataFrame, keys, content="content") -> DataFrame:
     """(keys, open_position, level, close_position) of every ``{``."""
-    events = _events(files.where(_holds(files, content, "{")), keys, file_bytes(files, content), _BRACE)
+    events = _events(files.where(holds(files, content, "{")), keys, bytes_of(files, content), _BRACE)
     pairs = _with_partner(events, keys).where("kind = '{'")
     return pairs.select(
         *keys,
@@ -94,8 +81,8 @@ _EXPORT_NAME = C.EXPORT + r"([^(]*\()|" + C.EXPORT + "|" + _BRACE
 
 
 def _export_events(files: DataFrame, keys, content) -> DataFrame:
-    exporting = files.where(_holds(files, content, C.EXPORT)).select(
-        *keys, file_bytes(files, content).alias("_text")
+    exporting = files.where(holds(files, content, C.EXPORT)).select(
+        *keys, bytes_of(files, content).alias("_text")
     )
     flagged = exporting.select(
         *keys,
@@ -146,7 +133,7 @@ def extract_functions(files: DataFrame, keys, content="content") -> DataFrame:
 
 def file_flags(files: DataFrame, keys, content="content") -> DataFrame:
     """Masks, width, architecture and export count per file, also of files without exports."""
-    texts = files.select(*keys, file_bytes(files, content).alias("_text"))
+    texts = files.select(*keys, bytes_of(files, content).alias("_text"))
     flagged = texts.select(
         *keys,
         C.count_exports("_text").alias("exports"),

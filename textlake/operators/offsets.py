@@ -4,9 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.text import PAD, byte_view, contains_bytes, java_quote, needle_bytes
+from ..functions.text import (
+    PAD,
+    byte_view,
+    byte_view_of_binary,
+    contains_bytes,
+    java_quote,
+    needle_bytes,
+)
+
+
+def _is_binary(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.BinaryType)
+
+
+def bytes_of(df: DataFrame, name: str) -> Column:
+    """Byte view of a text or binary column."""
+    return byte_view_of_binary(name) if _is_binary(df, name) else byte_view(name)
+
+
+def holds(df: DataFrame, name: str, needle: str) -> Column:
+    """Case-sensitive substring test on a text or binary column, without decoding it.
+
+    An empty needle matches nothing.
+    """
+    if _is_binary(df, name) and needle:
+        return F.contains(F.col(name), F.lit(needle.encode("utf-8")))
+    return contains_bytes(name, needle)
 
 
 def match_rows(df: DataFrame, ids, b: Column, at: str, carry=(), measure=None, tag=None) -> DataFrame:
@@ -53,9 +80,8 @@ def find_offsets(df: DataFrame, ids, text, needle: str, max_results: int | None
     ``ids`` must identify a row. Texts without the needle are dropped in the
     scan; the shuffle by id carries three integers per hit.
     """
-    hits = df.where(contains_bytes(text, needle)) if needle else df.where(F.lit(False))
     at = java_quote(needle_bytes(needle)) or "(?!)"
-    rows = match_rows(hits, ids, byte_view(text), at)
+    rows = match_rows(df.where(holds(df, text, needle)), ids, bytes_of(df, text), at)
     if max_results is not None:
         rows = rows.where(F.col("ord") <= max_results)
     return (
@@ -67,7 +93,7 @@ def find_offsets(df: DataFrame, ids, text, needle: str, max_results: int | None
 
 def contains_batch(df: DataFrame, ids, text, needle: str) -> DataFrame:
     """(ids, hit): whether each text contains ``needle``; an empty needle never hits."""
-    return df.select(*ids, F.coalesce(contains_bytes(text, needle), F.lit(False)).alias("hit"))
+    return df.select(*ids, F.coalesce(holds(df, text, needle), F.lit(False)).alias("hit"))
 
 
 def arrow_lines(df: DataFrame, ids, text) -> DataFrame:

@@ -21,8 +21,7 @@ def byte_histogram(df: DataFrame, ids, text) -> DataFrame:
 
 def embed(df: DataFrame, text, out="embedding") -> DataFrame:
     """Adds the unit byte histogram of ``text`` as a dense float vector."""
-    counted = df.withColumn(out, V.byte_counts(text))
-    return counted.withColumn(out, V.l2_normalize(out).cast("array<float>"))
+    return df.withColumn(out, V.unit_byte_counts(text))
 
 
 def with_embedding(df: DataFrame, vector="embedding", project=None, id_col="id") -> DataFrame:
