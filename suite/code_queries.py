@@ -203,7 +203,7 @@ def _embedded(spark, sf):
 @query(
     "attach_embeddings",
     code_oracle(
-        """SELECT f.path, f.func_name, length(s.content)::BIGINT AS bytes, 256 AS dim
+        """SELECT f.path, f.func_name, length(s.content)::BIGINT AS bytes, CAST(256 AS BIGINT) AS dim
         FROM fn f JOIN v_src s ON s.path = f.path"""
     ),
 )

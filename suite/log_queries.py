@@ -182,7 +182,7 @@ def _(spark, sf):
 @query(
     "open_sessions",
     oracle(
-        """SELECT user_id AS id, concat('p', CAST(user_id % 8 AS STRING)) AS project, 1704067200 AS started_at,
+        """SELECT user_id AS id, concat('p', CAST(user_id % 8 AS STRING)) AS project, CAST(1704067200 AS BIGINT) AS started_at,
         CAST(NULL AS BIGINT) AS ended_at, CAST(NULL AS STRING) AS summary FROM (SELECT DISTINCT user_id FROM events)"""
     ),
 )
@@ -263,7 +263,7 @@ def _backfilled(spark, sf):
     "backfill_notes",
     oracle(
         """SELECT sha256(concat(sid, chr(1), CAST(note_id AS STRING))) AS id, sid AS session_id,
-          'legacy' AS project, 'note' AS type, text AS content, sha256(text) AS content_hash, 1704067200 AS created_at
+          'legacy' AS project, 'note' AS type, text AS content, sha256(text) AS content_hash, CAST(1704067200 AS BIGINT) AS created_at
         FROM n, (SELECT sha256(concat('backfill', chr(1), 'legacy')) AS sid)""",
         n=_NOTES,
     ),
@@ -275,8 +275,8 @@ def _(spark, sf):
 @query(
     "backfill_session",
     oracle(
-        """SELECT sha256(concat('backfill', chr(1), 'legacy')) AS id, 'legacy' AS project, 1704067200 AS started_at,
-        1704067200 AS ended_at, '[migrated from index.bin]' AS summary FROM n LIMIT 1""",
+        """SELECT sha256(concat('backfill', chr(1), 'legacy')) AS id, 'legacy' AS project, CAST(1704067200 AS BIGINT) AS started_at,
+        CAST(1704067200 AS BIGINT) AS ended_at, '[migrated from index.bin]' AS summary FROM n LIMIT 1""",
         n=_NOTES,
     ),
 )

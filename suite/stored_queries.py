@@ -29,7 +29,7 @@ def _(spark, sf):
     "write_read_tables",
     oracle(
         """SELECT (SELECT count(*) FROM fn) AS functions_count, (SELECT count(*) FROM v_src) AS embeddings_count,
-        1704067200 AS built_at, fn.path, func_name, length(s.content)::BIGINT AS bytes
+        CAST(1704067200 AS BIGINT) AS built_at, fn.path, func_name, length(s.content)::BIGINT AS bytes
         FROM fn JOIN v_src s ON s.path = fn.path""",
         "v_src",
         **CODE,
@@ -83,7 +83,7 @@ def _incoming(planted):
 
 _INGESTED = """SELECT sha256(CAST(doc_id AS STRING)) AS id, CAST(NULL AS STRING) AS session_id, source AS project,
     CASE WHEN doc_id % 11 = 0 THEN 'rumour' ELSE 'note' END AS type, text AS content, sha256(text) AS content_hash,
-    1704067200 AS created_at,
+    CAST(1704067200 AS BIGINT) AS created_at,
     CASE WHEN doc_id % 11 = 0 THEN 'unknown_type' WHEN doc_id IN (SELECT doc_id FROM leaks) THEN 'secret_leak'
          ELSE 'accepted' END AS status FROM v_planted"""
 

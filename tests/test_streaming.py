@@ -61,3 +61,15 @@ def test_stream_merge_equals_batch_merge(spark, tmp_path, start):
     # The same batch once more adds nothing.
     ingest.append_merge(stored, log_rows(spark, 5, 25), path)
     assert tables.read_log(spark, path, schema).count() == 20
+
+
+def test_odd_project_names_survive_the_folders(spark, tmp_path):
+    names = ["", "007", "a/b=c %", "é"]
+    data = [(str(i), None, n, "note", "x", "h", i) for i, n in enumerate(names)]
+    df = spark.createDataFrame(data, OBS)
+    tables.append_log(df, str(tmp_path / "log"))
+    back = tables.read_log(spark, str(tmp_path / "log"), df.schema)
+    assert [r.project for r in back.orderBy("id").collect()] == names
+    one = back.where("project = '007'")
+    assert [r.id for r in one.collect()] == ["1"]
+    assert "PartitionFilters: [(coalesce(" in one._jdf.queryExecution().toString()

@@ -62,3 +62,38 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters" in text
     text = plan(spark_entry.queries()["session_observation_counts"](spark, SF))
     assert "text:string" not in text.split("ReadSchema: ")[-1]
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "last_session_summary", "budget_pack", "build_context", "close_sessions", "latest_accepted",
+        "recent_failures", "merge_observations", "collapse_signatures",
+    ],
+)
+def test_hot_groups_are_cut_before_the_shuffle(spark, name):
+    """Each task keeps k rows per group, so the limit stands below an exchange."""
+    text = plan(spark_entry.queries()[name](spark, SF))
+    assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit .* Partial", text)
+
+
+@pytest.mark.parametrize(
+    "name", ["session_observation_counts", "history_summary", "distinct_first_seen", "list_projects", "mark_incomplete"]
+)
+def test_counts_are_aggregated_before_the_shuffle(spark, name):
+    text = plan(spark_entry.queries()[name](spark, SF))
+    assert re.search(r"Exchange hashpartitioning.*\n.*HashAggregate.*partial_", text) or name == "list_projects"
+
+
+# Positions of a text with many matches, texts of a row, and the like: the text
+# itself may only pass the exchange that spreads a small table.
+@pytest.mark.parametrize("name", ["find_offsets", "scan_leaks", "scan_injection", "brace_depth", "extract_functions"])
+def test_one_shuffle_at_most_besides_the_spreading(spark, name):
+    text = plan(spark_entry.queries()[name](spark, SF))
+    spreads = text.count("REPARTITION_BY_NUM")
+    assert text.count("Exchange") - spreads <= 1
+
+
+def test_log_appends_are_rebalanced(spark):
+    df = spark_entry.queries()["append_log"](spark, SF).hint("rebalance", "project")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(df)

@@ -48,8 +48,16 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A stored log table; pass its schema where the log may still be empty.
+
+    Without one, project names made of digits would come back as numbers. An
+    empty project name, which a folder name cannot hold, is restored.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("mergeSchema", False).parquet(path)
+    rows = reader.parquet(path)
+    if "project" not in rows.columns:
+        return rows
+    return rows.withColumn("project", F.coalesce(F.col("project").cast("string"), F.lit("")))
 
 
 def export_snapshot(df: DataFrame, path: str) -> None:
