@@ -92,15 +92,14 @@ _leak_prefixes = [p for p, *_ in LEAK_PREFIXES]
 _phrases = [p for p, _ in INJECTION_PHRASES]
 
 # On the byte view: group 1 is the prefix or phrase that wins at a position.
-LEAK_AT = (
-    _guard(_leak_prefixes)
-    + "("
-    + "|".join(_leak_alternative(p, n, c) for p, n, c, _ in LEAK_PREFIXES)
-    + ")"
-)
-INJECTION_AT = (
-    "(?i)" + _guard(_phrases, True) + "(" + "|".join(map(java_quote, _phrases)) + ")"
-)
+_leaks = "|".join(_leak_alternative(p, n, c) for p, n, c, _ in LEAK_PREFIXES)
+_injections = "(?i:" + "|".join(map(java_quote, _phrases)) + ")"
+LEAK_AT = _guard(_leak_prefixes) + "(" + _leaks + ")"
+INJECTION_AT = "(?i:" + _guard(_phrases, True) + ")(" + _injections + ")"
+
+# Both tables in one pass: no prefix and phrase can match at the same position,
+# because they differ within their first three bytes.
+ANY_AT = "(?:" + _guard(_leak_prefixes) + "|(?i:" + _guard(_phrases, True) + "))(" + _leaks + "|" + _injections + ")"
 
 # On the plain text: the marks of two bytes are looked for on their own, which
 # leaves the other phrases with a guard of three classes.
@@ -124,3 +123,7 @@ def leak_description(prefix) -> Column:
 
 def injection_description(phrase) -> Column:
     return _lookup([(p.lower(), d) for p, d in INJECTION_PHRASES], F.lower(col(phrase)))
+
+
+def is_leak_prefix(tag) -> Column:
+    return col(tag).isin(_leak_prefixes)

@@ -20,7 +20,7 @@ def byte_view(c) -> Column:
 
     Regexes, ``split``, ``length`` and ``substring`` on it count bytes.
     """
-    return F.decode(F.encode(col(c), "UTF-8"), "ISO-8859-1")
+    return F.decode(col(c).cast("binary"), "ISO-8859-1")
 
 
 def byte_view_of_binary(c) -> Column:
@@ -72,7 +72,7 @@ def contains_nocase(c, needle: str) -> Column:
 
 
 def content_hash(c) -> Column:
-    return F.sha2(F.encode(col(c), "UTF-8"), 256)
+    return F.sha2(col(c).cast("binary"), 256)
 
 
 def estimate_tokens(c) -> Column:

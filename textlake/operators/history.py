@@ -53,10 +53,10 @@ def latest_accepted(hist: DataFrame) -> DataFrame:
 def what_works(hist: DataFrame, total: int | None = None) -> DataFrame:
     """Last accepted time and hypothesis of every improved benchmark, with the shares."""
     counts = hist.groupBy("name").agg(F.count(F.lit(1)).alias("iterations"))
-    totals = history_summary(hist).groupBy().agg(
-        F.count_if(F.col("accepted") > 0).alias("improved"), F.count(F.lit(1)).alias("benchmarks")
-    )
-    benchmarks = F.lit(total).cast("bigint") if total is not None else totals.select("benchmarks").scalar()
+    improved = F.count_if(F.col("accepted") > 0).alias("improved")
+    summary = history_summary(hist).groupBy().agg(F.struct(improved, F.count(F.lit(1)).alias("benchmarks")).alias("t"))
+    totals = summary.scalar()
+    benchmarks = F.lit(total).cast("bigint") if total is not None else totals["benchmarks"]
     wins = latest_accepted(hist).select(
         "name", _time().alias("time_us"), F.substring(F.coalesce("hypothesis", F.lit("")), 1, 70).alias("strategy")
     )
@@ -65,7 +65,7 @@ def what_works(hist: DataFrame, total: int | None = None) -> DataFrame:
         "time_us",
         "strategy",
         "iterations",
-        totals.select("improved").scalar().alias("improved"),
+        totals["improved"].alias("improved"),
         benchmarks.alias("benchmarks"),
     )
 

@@ -41,8 +41,19 @@ def scan_injection(df: DataFrame, ids, text) -> DataFrame:
 
 
 def scan(df: DataFrame, ids, text) -> DataFrame:
-    """Both scans; within a text injections come first, each by position."""
-    return scan_injection(df, ids, text).unionByName(scan_leaks(df, ids, text))
+    """Both scans in one pass over the texts.
+
+    Sort by (ids, kind, position) for injections first, each by position.
+    """
+    suspect = df.where(has_injection(text) | has_leak(text))
+    found = tagged_positions(suspect, ids, byte_view(text), P.ANY_AT)
+    leak = P.is_leak_prefix("tag")
+    return found.select(
+        *ids,
+        F.when(leak, P.SECRET_LEAK).otherwise(P.INJECTION).alias("kind"),
+        F.when(leak, P.leak_description("tag")).otherwise(P.injection_description("tag")).alias("pattern"),
+        "position",
+    )
 
 
 def gate(df: DataFrame, text, out="accepted") -> DataFrame:

@@ -23,14 +23,21 @@ def judged(rows: DataFrame, key_cols, created_at: Column | None = None) -> DataF
     return log.observation_rows(rows, key_cols, created_at).withColumn("status", status)
 
 
-def ingest_observations(rows: DataFrame, path: str, key_cols, created_at: Column | None = None, mode="append") -> None:
-    """Writes rows below ``path``, partitioned by status.
+def ingest_observations(rows: DataFrame, path: str, key_cols, created_at: Column | None = None, batch=None) -> None:
+    """Appends rows below ``path``, partitioned by status.
+
+    With a ``batch`` name they go to a folder of that batch, which is written
+    over when the job is run again, so that a repeated job adds nothing twice.
 
     The texts are read and screened once; readers of one status touch only its
     files, and the positions of the warnings are worked out from the refused
     files alone (see ``quarantine_warnings``).
     """
-    judged(rows, key_cols, created_at).write.mode(mode).partitionBy("status").parquet(path)
+    writer = judged(rows, key_cols, created_at).write.partitionBy("status")
+    if batch is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def accepted_rows(stored: DataFrame) -> DataFrame:

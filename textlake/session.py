@@ -22,6 +22,15 @@ RECOMMENDED = {
 }
 
 
+def cluster_settings(total_cores: int) -> dict[str, str]:
+    """Shuffle settings for a cluster: many small partitions, merged by AQE.
+
+    Eight per core keep a partition of a 100 TB shuffle on 4,000 cores near
+    3 GB before compression, which sorts with little spill.
+    """
+    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, 8 * total_cores))}
+
+
 def build_session(app_name="textlake", master=None, **conf) -> SparkSession:
     """Session with the recommended settings; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
