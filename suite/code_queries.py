@@ -184,12 +184,11 @@ def _(spark, sf):
         """SELECT f.path, f.func_name, f.line_start::BIGINT AS line_start,
           rtrim(array_to_string(string_split(s.content, chr(10))[f.line_start:f.line_start + f.line_count - 1], chr(10)),
             ' ' || chr(10)) AS snippet
-        FROM (SELECT * FROM fn ORDER BY path, line_start LIMIT 40) f JOIN v_src s ON s.path = f.path"""
+        FROM fn f JOIN v_src s ON s.path = f.path"""
     ),
 )
 def _(spark, sf):
-    hits = functions(spark, sf).orderBy("path", "line_start").limit(40)
-    return code.source_snippet(hits, sources(spark, sf)).select("path", "func_name", "line_start", "snippet")
+    return code.source_snippet(functions(spark, sf), sources(spark, sf)).select("path", "func_name", "line_start", "snippet")
 
 
 QUERY_TEXT = "export func second f32x16"
@@ -231,11 +230,6 @@ def _(spark, sf):
     return code.filter_arch(best, "x86_64").select("path", "func_name", "line_start", "arch", "score", "rank")
 
 
-_MEMORY = """SELECT 'memory' AS scope, CAST(row_number() OVER (ORDER BY created_s DESC, id) AS BIGINT) AS rank,
-    CAST(id AS STRING) AS id, type AS title, substr(content, 1, 100) AS text
-    FROM v_obs WHERE contains(content, 'second') OR contains(content, 'Repeated') ORDER BY created_s DESC, id LIMIT 5"""
-
-
 @query(
     "search_all",
     oracle(
@@ -368,18 +362,20 @@ def _(spark, sf):
     return catalog.undocumented_names(names, signatures(spark, sf))
 
 
-_CURATED = """SELECT min(p_partkey) AS ordinal, replace(p_name, ' ', '_') AS name, 'type' AS category,
-    max(p_brand) AS signature, concat('made of ', max(p_type)) AS description
-    FROM part WHERE p_name LIKE 'l%' GROUP BY 2"""
+_CURATED = """SELECT min(p_partkey) AS ordinal, concat('cvt_', lower(p_type)) AS name, 'type' AS category,
+    max(p_brand) AS signature, concat('made of ', max(p_name)) AS description FROM part GROUP BY p_type"""
 
 
 def _curated(spark, sf):
-    part = spark_view(spark, sf, "part").where("p_name LIKE 'l%'")
-    return part.groupBy(F.translate("p_name", " ", "_").alias("name")).agg(
-        F.min("p_partkey").alias("ordinal"),
-        F.lit("type").alias("category"),
-        F.max("p_brand").alias("signature"),
-        F.concat(F.lit("made of "), F.max("p_type")).alias("description"),
+    return (
+        spark_view(spark, sf, "part")
+        .groupBy(F.concat(F.lit("cvt_"), F.lower("p_type")).alias("name"))
+        .agg(
+            F.min("p_partkey").alias("ordinal"),
+            F.lit("type").alias("category"),
+            F.max("p_brand").alias("signature"),
+            F.concat(F.lit("made of "), F.max("p_name")).alias("description"),
+        )
     )
 
 

@@ -299,43 +299,37 @@ def _(spark, sf):
 # --- merges ---------------------------------------------------------------
 
 
-def _local(df):
-    return df.where(F.col("id") % 3 != 0)
-
-
-def _remote(df):
-    return df.where(F.col("id") % 2 == 0)
+def remote_observations(spark, sf_dir):
+    obs = spark_view(spark, sf_dir, "v_remote_obs").withColumnRenamed("created_s", "created_at")
+    return obs.withColumn("content_hash", tx.content_hash("content"))
 
 
-def _remote_sessions(spark, sf):
-    both = F.col("id") % 3 != 0
-    changed = F.when(F.col("id") % 4 == 0, F.concat("summary", F.lit(" (longer)"))).otherwise(
-        F.substring("summary", 1, 10)
-    )
-    return _remote(sessions(spark, sf)).withColumn("summary", F.when(both, changed).otherwise(F.col("summary")))
+def remote_sessions(spark, sf_dir):
+    rows = spark_view(spark, sf_dir, "v_remote_sess")
+    return rows.withColumnsRenamed({"started_s": "started_at", "ended_s": "ended_at"})
 
 
-_MERGED_OBS = """
-    SELECT * FROM v_obs WHERE id % 3 <> 0
+MERGED_OBS = """
+    SELECT * FROM v_obs
     UNION ALL
-    (SELECT * FROM v_obs WHERE id % 2 = 0 AND content NOT IN (SELECT content FROM v_obs WHERE id % 3 <> 0)
+    (SELECT * FROM v_remote_obs WHERE content NOT IN (SELECT content FROM v_obs)
      QUALIFY row_number() OVER (PARTITION BY content ORDER BY created_s, id) = 1)"""
 
 
-@query("merge_observations", oracle(f"SELECT {OBS}, sha256(content) AS content_hash FROM m", "v_obs", m=_MERGED_OBS))
+_MERGED = oracle(
+    f"SELECT {OBS}, sha256(content) AS content_hash FROM m", "v_obs", "v_remote_obs", m=MERGED_OBS
+)
+
+
+@query("merge_observations", _MERGED)
 def _(spark, sf):
-    obs = observations(spark, sf)
-    return merge.merge_observations(_local(obs), _remote(obs))
+    return merge.merge_observations(observations(spark, sf), remote_observations(spark, sf))
 
 
-@query(
-    "merge_logs_twice",
-    oracle(f"SELECT {OBS}, sha256(content) AS content_hash FROM m", "v_obs", m=_MERGED_OBS),
-)
+@query("merge_logs_twice", _MERGED)
 def _(spark, sf):
-    obs, sess = observations(spark, sf), sessions(spark, sf)
-    remote = (_remote_sessions(spark, sf), _remote(obs))
-    once = merge.merge_logs((_local(sess), _local(obs)), remote)
+    remote = (remote_sessions(spark, sf), remote_observations(spark, sf))
+    once = merge.merge_logs((sessions(spark, sf), observations(spark, sf)), remote)
     return merge.merge_logs(once, remote)[1]
 
 
@@ -346,17 +340,12 @@ _MERGED_SESS = """
       CASE WHEN l.id IS NULL THEN r.summary
            WHEN coalesce(r.summary, '') <> '' AND (coalesce(l.summary, '') = '' OR length(r.summary) > length(l.summary))
            THEN r.summary ELSE l.summary END AS summary
-    FROM (SELECT * FROM v_sess WHERE id % 3 <> 0) l
-    FULL OUTER JOIN (
-      SELECT id, project, started_s, ended_s,
-        CASE WHEN id % 3 = 0 THEN summary WHEN id % 4 = 0 THEN summary || ' (longer)'
-             ELSE substr(summary, 1, 10) END AS summary
-      FROM v_sess WHERE id % 2 = 0) r ON l.id = r.id"""
+    FROM v_sess l FULL OUTER JOIN v_remote_sess r ON l.id = r.id"""
 
 
-@query("merge_sessions", oracle(_MERGED_SESS, "v_sess"))
+@query("merge_sessions", oracle(_MERGED_SESS, "v_sess", "v_remote_sess"))
 def _(spark, sf):
-    return merge.merge_sessions(_local(sessions(spark, sf)), _remote_sessions(spark, sf))
+    return merge.merge_sessions(sessions(spark, sf), remote_sessions(spark, sf))
 
 
 @query(
@@ -366,14 +355,15 @@ def _(spark, sf):
         count(*) AS sessions, sum(length(coalesce(summary, '')))::BIGINT AS summary_chars FROM s""",
         "v_obs",
         "v_sess",
-        m=_MERGED_OBS,
+        "v_remote_obs",
+        "v_remote_sess",
+        m=MERGED_OBS,
         s=_MERGED_SESS,
     ),
 )
 def _(spark, sf):
-    obs = observations(spark, sf)
     sess, merged = merge.merge_logs(
-        (_local(sessions(spark, sf)), _local(obs)), (_remote_sessions(spark, sf), _remote(obs))
+        (sessions(spark, sf), observations(spark, sf)), (remote_sessions(spark, sf), remote_observations(spark, sf))
     )
     totals = merged.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
     return sess.agg(
@@ -390,17 +380,16 @@ def _(spark, sf):
 @query(
     "id_conflicts",
     oracle(
-        """SELECT o.id FROM (SELECT id, content FROM v_obs WHERE id % 2 = 0) o
-        WHERE o.id % 3 <> 0 AND concat(o.content, '!') NOT IN (SELECT content FROM v_obs WHERE id % 3 <> 0)
-        AND o.id IN (SELECT min(id) FROM v_obs WHERE id % 2 = 0 GROUP BY content)""",
+        """SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY content ORDER BY created_s, id) AS n
+          FROM (SELECT id - 1000000000 AS id, content, created_s FROM v_remote_obs
+                WHERE content NOT IN (SELECT content FROM v_obs))) WHERE n = 1""",
         "v_obs",
+        "v_remote_obs",
     ),
 )
 def _(spark, sf):
-    obs = observations(spark, sf)
-    changed = _remote(obs).withColumn("content", F.concat("content", F.lit("!")))
-    changed = changed.withColumn("content_hash", tx.content_hash("content"))
-    return merge.id_conflicts(_local(obs), changed).select("id")
+    clashing = remote_observations(spark, sf).withColumn("id", F.col("id") - 1000000000)
+    return merge.id_conflicts(observations(spark, sf), clashing).select("id")
 
 
 # --- contexts -------------------------------------------------------------

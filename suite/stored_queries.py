@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlake.functions import vectors as vec
-from textlake.operators import log
 from textlake.plans import ingest
 from textlake.session import shared_dir
 from textlake.sources import files, tables
 from textlake.streaming.ingest import stream_merge, stream_safe_ingest
 
 from .code_queries import CODE, functions, sources
-from .log_queries import _MERGED_OBS, _local, _remote, observations, sessions
+from .log_queries import MERGED_OBS, observations, remote_observations, sessions
 from .text_queries import LEAKS
 from .views import TABLES, VIEWS, oracle, query, spark_view
 
@@ -55,8 +54,8 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_dir(spark, "log")
     obs = observations(spark, sf).select("id", "project", "type", "content", "created_at")
-    tables.append_log(obs.where("id % 2 = 0"), path)
-    tables.append_log(obs.where("id % 2 = 1"), path)
+    tables.append_log(obs.where("type = 'note'"), path)
+    tables.append_log(obs.where("type <> 'note'"), path)
     return tables.read_log(spark, path, obs.schema)
 
 
@@ -133,17 +132,17 @@ def _(spark, sf):
     oracle(
         "SELECT id, session_id, project, type, content, created_s AS created_at, sha256(content) AS content_hash FROM m",
         "v_obs",
-        m=_MERGED_OBS,
+        "v_remote_obs",
+        m=MERGED_OBS,
     ),
 )
 def _(spark, sf):
     path = shared_dir(spark, "merge")
     obs = observations(spark, sf)
-    tables.append_log(_local(obs), f"{path}/log")
-    stream = spark.readStream.schema(TABLES["conversations"]).option("pathGlobFilter", "conversations.parquet").parquet(sf)
-    sql = VIEWS["v_obs"].replace("FROM conversations", "FROM {conversations}")
-    arriving = spark.sql(sql, conversations=stream).withColumnRenamed("created_s", "created_at")
-    arriving = arriving.withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))
-    job = stream_merge(_remote(arriving), f"{path}/log", f"{path}/checkpoint", obs.schema)
+    tables.append_log(obs, f"{path}/log")
+    # The other machine's rows arrive as files.
+    tables.export_snapshot(remote_observations(spark, sf), f"{path}/arriving")
+    arriving = spark.readStream.schema(obs.schema).parquet(f"{path}/arriving")
+    job = stream_merge(arriving, f"{path}/log", f"{path}/checkpoint", obs.schema)
     job.awaitTermination()
     return tables.read_log(spark, f"{path}/log", obs.schema)

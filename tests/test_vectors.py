@@ -90,3 +90,10 @@ def test_with_and_drop_embedding(spark):
     df = spark.createDataFrame([(1, "p", [1.0]), (2, "q", None), (3, "q", [2.0])], "id int, project string, embedding array<float>")
     assert rows(vectors.with_embedding(df, project="q")) == [(3, [2.0])]
     assert vectors.drop_embedding(df).columns == ["id", "project"]
+
+
+def test_unit_counts_equal_normalized_counts(spark):
+    df = spark.createDataFrame([("aab",), ("",), ("é字 long text " * 9,), (None,)], "t string")
+    counted = df.select(V.unit_byte_counts("t").alias("u"), V.byte_counts("t").alias("c"))
+    for r in counted.select("u", V.l2_normalize("c").alias("n")).collect():
+        assert r.u == (None if r.n is None else pytest.approx(r.n, abs=1e-6))

@@ -89,6 +89,7 @@ def byte_counts(c) -> Column:
 
     The one Arrow UDF of the library: a row's bytes are counted in place, while
     a native explode would make one row per byte and shuffle them by row id.
+    Bind it to a column before vector expressions: Spark takes no UDF in a lambda.
     """
     return _byte_counts_udf(False)(col(c))
 
