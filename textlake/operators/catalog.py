@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import strip, truncate_bytes
+from ..functions.text import contains_nocase, strip, truncate_bytes
 
 # Java regexes; (?U) gives \w, \d and \s their Unicode meaning. The look-behind
 # starts a name at the start of a word only, which keeps the search linear.
@@ -133,7 +133,5 @@ def lookup_reference(catalog: DataFrame, query: str, limit: int = 5, order=("ori
     q = query.lower()
     exact = F.lower("name") == q
     any_exact = catalog.where(exact).groupBy().agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
-    mention = F.contains(F.lower("name"), F.lit(q)) | F.contains(
-        F.lower(F.coalesce("description", F.lit(""))), F.lit(q)
-    )
+    mention = contains_nocase("name", q) | contains_nocase(F.coalesce("description", F.lit("")), q)
     return catalog.where(F.when(any_exact, exact).otherwise(mention)).orderBy(*order).limit(limit)

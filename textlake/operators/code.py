@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import code as C
-from ..functions.text import from_byte_view, lines_universal, rstrip, strip
+from ..functions.text import contains_nocase, from_byte_view, lines_universal, rstrip, strip
 from .offsets import bytes_of, holds, match_rows, running_position
 
 _BRACE = "[{}]"
@@ -156,10 +156,7 @@ def filter_arch(df: DataFrame, arch) -> DataFrame:
 
 def search_functions(functions: DataFrame, query: str) -> DataFrame:
     """Functions whose name or path contains ``query`` in any case."""
-    q = F.lit(query.lower())
-    return functions.where(
-        F.contains(F.lower("func_name"), q) | F.contains(F.lower("path"), q)
-    )
+    return functions.where(contains_nocase("func_name", query) | contains_nocase("path", query))
 
 
 def first_matches(matches: DataFrame, limit: int = 10) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import contains_nocase
+
 # Fixed values.
 KEYWORDS = [
     ("unroll", "Loop unrolling (2x-8x)"),
@@ -93,7 +95,7 @@ def winning_keywords(hist: DataFrame) -> DataFrame:
 
 def history_detail(hist: DataFrame, query: str = "") -> DataFrame:
     """Every iteration of the benchmarks whose name holds ``query`` in any case."""
-    return hist.where(F.contains(F.lower("name"), F.lit(query.lower()))).select(
+    return hist.where(contains_nocase("name", query)).select(
         "name",
         "pos",
         F.when(_flag("accepted"), "ACCEPTED").otherwise("rejected").alias("status"),

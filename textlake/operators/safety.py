@@ -61,6 +61,14 @@ def gate(df: DataFrame, text, out="accepted") -> DataFrame:
     return df.withColumn(out, ~has_leak(text))
 
 
+def require_clean(df: DataFrame, text) -> DataFrame:
+    """The same rows; the job that reads them fails at the first credential.
+
+    For writes that must be all or nothing.
+    """
+    return df.where(F.assert_true(~has_leak(text), F.lit("text holds a credential")).isNull())
+
+
 def partition_by_safety(df: DataFrame, ids, text):
     """(accepted rows, rejected rows, warnings of the rejected rows)."""
     leak = has_leak(text)
