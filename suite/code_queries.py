@@ -9,6 +9,7 @@ from textlake.functions import text as tx
 from textlake.functions import vectors as vec
 from textlake.operators import catalog, code, vectors
 from textlake.plans.index import search_all
+from textlake.sources import files
 
 from .log_queries import observations
 from .text_queries import byte_scores
@@ -416,6 +417,16 @@ def _(spark, sf):
     return catalog.lookup_reference(_merged(spark, sf), "RING")
 
 
+@query(
+    "catalog_entries",
+    """SELECT p_partkey, 0::BIGINT AS ordinal, p_name AS name, 'type' AS category, p_brand AS signature,
+      concat('a ->', p_type) AS description FROM part
+    UNION ALL SELECT p_partkey, 1, lower(p_type), NULL, NULL, NULL FROM part""",
+)
+def _(spark, sf):
+    return files.catalog_entries(spark_view(spark, sf, "v_catalog"), ["p_partkey"], "text")
+
+
 @query(
     "distinct_first_seen",
     "SELECT p_name, min(p_partkey) AS first_seen FROM part GROUP BY p_name",

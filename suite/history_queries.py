@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textlake.operators import history
+from textlake.sources import files
 
 from .views import oracle, query, spark_view
 
@@ -15,6 +18,28 @@ _LAST = "SELECT * FROM v_hist WHERE accepted QUALIFY row_number() OVER (PARTITIO
 _TIME = "CASE WHEN time_us <> 0 THEN time_us END"
 
 
+@query(
+    "history_iterations",
+    """SELECT event_id, 0::BIGINT AS pos, 0::BIGINT AS iteration, event_type = 'purchase' AS accepted,
+      CAST(NULL AS BOOLEAN) AS correct, CASE WHEN event_type = 'signup' THEN NULL ELSE value END AS time_us,
+      concat('é ', event_type) AS hypothesis FROM events
+    UNION ALL SELECT event_id, 1, user_id, NULL, true, NULL, NULL FROM events""",
+)
+def _(spark, sf):
+    return files.history_iterations(spark_view(spark, sf, "v_history"), ["event_id"], "text")
+
+
+@query(
+    "strategy_notes",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN NULL
+      ELSE concat(CASE p_partkey % 4 WHEN 3 THEN concat('x', chr(10), chr(10)) ELSE '' END,
+        '- ', p_type, chr(10), chr(10), '- ', p_brand) END AS strategy FROM part""",
+)
+def _(spark, sf):
+    programs = spark_view(spark, sf, "v_program")
+    return programs.select("p_partkey", files.strategy_section(F.col("text")).alias("strategy"))
+
+
 @query("latest_accepted", oracle("SELECT * FROM last", "v_hist", last=_LAST))
 def _(spark, sf):
     return history.latest_accepted(hist(spark, sf))

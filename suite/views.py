@@ -99,6 +99,29 @@ SELECT concat('proj', CAST(p_partkey % 4 AS STRING), '/kernels/k', CAST(p_partke
            WHEN 3 THEN concat('  reduce_and(x) sqrt(y)', chr(10), '}', chr(10), 'export func third(c: u8x16) { select(c) }', chr(10))
            ELSE concat('} export func tail() { store(q) }', chr(10), '// f32x4') END) AS content
 FROM part
+""",
+    # Texts of benchmark folders: a program description, a history and a catalog.
+    "v_program": """
+SELECT p_partkey,
+       concat('# Goal', chr(10), p_name, chr(10),
+         CASE p_partkey % 4 WHEN 0 THEN '## The STRATEGY space' WHEN 1 THEN '#Strategy'
+           WHEN 2 THEN 'no strategy heading' ELSE concat('# strategy', chr(10), 'x', chr(10), '# more strategy') END,
+         chr(10), chr(10), '- ', p_type, chr(13), chr(10), chr(10), '- ', p_brand, '  ',
+         CASE WHEN p_partkey % 3 = 0 THEN concat(chr(13), chr(10), '# Other', chr(10), '- never') ELSE '' END) AS text
+FROM part
+""",
+    "v_history": """
+SELECT event_id,
+       concat('[{"iteration": 0, "accepted": ', CASE WHEN event_type = 'purchase' THEN 'true' ELSE 'false' END,
+         ', "time_us": ', CASE WHEN event_type = 'signup' THEN 'null' ELSE CAST(value AS STRING) END,
+         ', "hypothesis": "é ', event_type, '"}, {"correct": true, "iteration": ', CAST(user_id AS STRING), '}]') AS text
+FROM events
+""",
+    "v_catalog": """
+SELECT p_partkey,
+       concat('{"version": 1, "entries": [{"name": "', p_name, '", "category": "type", "signature": "', p_brand,
+         '", "description": "a ->', p_type, '"}, {"name": "', lower(p_type), '", "extra": [1]}]}') AS text
+FROM part
 """,
     # Documentation lines made of the part rows, with repeats per name.
     "v_doc": """

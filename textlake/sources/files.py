@@ -91,12 +91,24 @@ def load_source_tree(spark: SparkSession, roots, suffix=".ea", skip_dirs=SKIP_DI
     return reduce(DataFrame.unionByName, parts)
 
 
+def catalog_entries(texts: DataFrame, ids, value="value") -> DataFrame:
+    """(ids, ordinal, name, category, signature, description) of catalog files, in file order."""
+    entries = F.from_json(value, CATALOG_SCHEMA, {"mode": "FAILFAST"})["entries"]
+    return texts.select(*ids, F.posexplode(entries).alias("pos", "e")).select(
+        *ids, F.col("pos").cast("bigint").alias("ordinal"), "e.*"
+    )
+
+
 def load_reference_catalog(spark: SparkSession, path) -> DataFrame:
     """(ordinal, name, category, signature, description) in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", CATALOG_SCHEMA, {"mode": "FAILFAST"})["entries"]
-    return whole.select(F.posexplode(entries).alias("pos", "e")).select(
-        F.col("pos").cast("bigint").alias("ordinal"), "e.*"
+    return catalog_entries(spark.read.text(path, wholetext=True), [])
+
+
+def history_iterations(texts: DataFrame, ids, value="value") -> DataFrame:
+    """(ids, pos, iteration, accepted, correct, time_us, hypothesis) of history files."""
+    rows = F.from_json(value, HISTORY_SCHEMA, {"mode": "FAILFAST"})
+    return texts.select(*ids, F.posexplode(rows).alias("pos", "h")).select(
+        *ids, F.col("pos").cast("bigint").alias("pos"), "h.*"
     )
 
 
@@ -128,10 +140,7 @@ def load_histories(spark: SparkSession, base) -> DataFrame:
     whole = _whole_files(spark, base, "history.json")
     if whole is None:
         whole = spark.createDataFrame([], "name string, value string")
-    rows = F.from_json("value", HISTORY_SCHEMA, {"mode": "FAILFAST"})
-    return whole.select("name", F.posexplode(rows).alias("pos", "h")).select(
-        "name", F.col("pos").cast("bigint").alias("pos"), "h.*"
-    )
+    return history_iterations(whole, ["name"])
 
 
 def strategy_section(text) -> Column:
