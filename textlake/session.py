@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 
 # Set on top of Spark's defaults by build_session. Sizes are per task, so they
 # hold for 25 MB as well as for 100 TB: scan splits of 128 MB, shuffle
-# partitions coalesced by AQE towards 128 MB, hot shuffle partitions split.
+# partitions coalesced by AQE towards 128 MB, hot shuffle partitions split. A
+# gated write has three outcomes, which four open files per task take without
+# sorting the rows by outcome first.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +19,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.ignoreMissingFiles": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
