@@ -45,10 +45,10 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], out: str, chunk_
     )
     inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
     return (
-        dealt.withColumn("_rank", F.row_number().over(inside) - 1)
+        dealt.withColumn("_inside", F.row_number().over(inside) - 1)
         .join(before, [*group, "_chunk"])
-        .withColumn(out, (F.col("_before") + F.col("_rank")).cast("bigint"))
-        .drop("_chunk", "_before", "_rank")
+        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("bigint"))
+        .drop("_chunk", "_before", "_inside")
     )
 
 
@@ -68,3 +68,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages", PAGES)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels", LABELS)

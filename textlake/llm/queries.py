@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlake.llm import exact_dedup, sharding
-from textlake.llm.common import documents
+from textlake.llm import exact_dedup, html_extract, license_scan, line_dedup, near_dup, packing, quality, sharding, url_filter
+from textlake.llm.common import documents, labels, pages, stored
+
+
+def word_tokenizer() -> str:
+    """The vocabulary of public tokenizers that op1 uses; the file is found on every machine by the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +49,89 @@ FROM n""",
 def op4(spark, sf_dir):
     marked = exact_dedup.mark_copies_of_table(spark, sf_dir)
     return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+# The rules of op2, and the hosts that its block list names.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+SPAM_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org"]
+
+
+@query(
+    "op2_bloom_url_filter",
+    r"""
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+       ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+p AS (SELECT page_id, url, row_number() OVER () AS n,
+        CASE WHEN url LIKE '%://%' THEN
+          translate(split_part(split_part(split_part(substr(url, instr(url, '://') + 3), '/', 1), '?', 1), '#', 1),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+        CASE WHEN url LIKE '%://%' THEN split_part(split_part(substr(url, instr(url, '://') + 3), '?', 1), '#', 1)
+          ELSE '' END AS rest,
+        CASE WHEN url LIKE '%?%' THEN split_part(substr(split_part(url, '#', 1), instr(url, '?') + 1), '#', 1) ELSE '' END AS q
+      FROM pages),
+h AS (SELECT *, substr(rest, length(host) + 1) AS path FROM p),
+c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') ||
+        CASE WHEN k = '' THEN '' ELSE '?' || k END AS canonical
+      FROM (SELECT *, regexp_replace(regexp_replace(q, '(?:^|&)(?:utm_\w+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS k FROM h)),
+fit AS (SELECT c.n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+          arg_max(r.verdict, length(r.host || r.path)) AS verdict
+        FROM c JOIN rules r ON (c.host = r.host OR c.host LIKE '%.' || r.host) AND starts_with(c.path, r.path) GROUP BY c.n)
+SELECT page_id, c.host, c.path, fit.rule,
+       coalesce(fit.verdict, CASE WHEN host IN ('cheap-pills.example.com', 'spam-farm.example.org')
+           OR host LIKE '%.cheap-pills.example.com' OR host LIKE '%.spam-farm.example.org'
+           OR (url LIKE '%://%' AND canonical IN (SELECT canonical FROM c WHERE page_id % 50 = 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fit USING (n)""",
+)
+def op2(spark, sf_dir):
+    """Judges all pages by the rules, a list of hosts, and the canonical URLs of every fiftieth page as listed ones."""
+    rows = pages(spark, sf_dir)
+    rules = url_filter.prefixes(spark, URL_RULES)
+    hosts = url_filter.prefixes(spark, [("block", h, "") for h in SPAM_HOSTS]).withColumn("rule", F.lit(None).cast("string"))
+    seen = rows.where("page_id % 50 = 0").select(*url_filter.whole(F.col("url"), "block"))
+    return url_filter.judge(rows, rules.unionByName(hosts).unionByName(seen))
+
+
+@query("op6_license_scan")
+def op6(spark, sf_dir):
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+@query("op8_site_style_tree")
+def op8(spark, sf_dir):
+    found = html_extract.extract(pages(spark, sf_dir))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op10_isolation_forest")
+def op10(spark, sf_dir):
+    measured = stored(quality.measure(documents(spark, sf_dir)), "statistics")
+    model = quality.fit(measured, labels(spark, sf_dir))
+    return quality.judge(measured, model).drop("features")
+
+
+@query("op1_cutting_stock_packing")
+def op1(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), word_tokenizer(), payload="crc32")
+
+
+@query("op5_deletion_neighbourhood_lines")
+def op5(spark, sf_dir):
+    marked = line_dedup.mark_lines(documents(spark, sf_dir))
+    return marked.select(
+        "place.doc_id",
+        "place.line",
+        F.col("first.doc_id").alias("keep_doc_id"),
+        F.col("first.line").alias("keep_line"),
+        "kept",
+    )
+
+
+@query("op3_lsh_forest_join")
+def op3(spark, sf_dir):
+    return near_dup.join(documents(spark, sf_dir))
