@@ -1,17 +1,60 @@
-"""The pipeline over documents: quality rules, line dedup, near-duplicate join, packing."""
+"""The pipeline over documents: quality rules, line dedup, near-duplicate join, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage returns as Parquet and
+reads it again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
-from textlake.llm.common import documents, stored
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textlake.llm import bloom, line_dedup, near_dup, packing, quality
+from textlake.llm.common import documents, labels, stored
+from textlake.llm.queries import word_tokenizer
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the isolation forest, which is fitted on this stage's labelled input."""
+    sampled = stored(quality.labelled(labels(spark, sf_dir)), "labelled")
+    measured = quality.measure(docs.join(F.broadcast(sampled), "doc_id", "left_semi"))
+    return quality.keep(docs, quality.fit(measured, sampled))
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that equal an earlier one or are one word apart from it.
+
+    A document of which nothing is left goes. n_chars follows the text.
+    """
+    kept = line_dedup.drop_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    removed = stored(near_dup.join(docs).where("NOT kept").select("doc_id").distinct(), "removed")
+    maybe, others = bloom.split(docs, removed, [F.col("doc_id")])
+    return maybe.join(removed, "doc_id", "left_anti").select(*docs.columns).unionByName(others)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    return packing.pack_documents(docs, word_tokenizer(), payload="crc32")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", unique_lines),
+    ("ngram_jaccard_join", unique_documents),
+    ("packing", packed),
+]
 
-# The rules' forest and the packing can't be told in SQL; tests/llm checks the stages against brute force.
+# The forest, the signatures and the linear program have no SQL form; tests/llm checks every stage by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

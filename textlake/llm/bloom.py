@@ -39,3 +39,12 @@ def possible(words: Column, key: list[Column], log2_words: int = LOG2_WORDS) ->
     """Whether a key may be in the filter; a key that was built in always may."""
     word, mask = word_and_mask(key, log2_words)
     return F.get(words, word).bitwiseAND(mask) == mask
+
+
+def split(rows: DataFrame, keys: DataFrame, of: list[Column], log2_words: int = LOG2_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among ``keys``, and rows whose key is not: only the former have to be joined.
+
+    ``keys`` is read more than once and has the key's columns in the order of ``of``.
+    """
+    held = possible(build(keys, keys.columns, log2_words).scalar(), of, log2_words)
+    return rows.where(held), rows.where(~held)

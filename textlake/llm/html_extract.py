@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,12 +105,12 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
             by_host.setdefault(r["host"], set()).add(r["path"])
         sent = pages.sparkSession.sparkContext.broadcast(by_host)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [main_text(x, sent.value.get(h, frozenset())) for h, x in zip(batch["host"], batch["html"], strict=True)]
-                yield batch[["page_id", "url"]].assign(text=texts)
+                hosts, htmls = batch.column("host").to_pylist(), batch.column("html").to_pylist()
+                yield _with_texts(batch, [main_text(x, sent.value.get(h, frozenset())) for h, x in zip(hosts, htmls, strict=True)])
 
-        return rows.mapInPandas(run, "page_id bigint, url string, text string")
+        return rows.mapInArrow(run, _TEXTS)
 
     # A host's nodes are dealt over its paths; a page asks for its own paths only.
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +131,18 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
         .agg(F.collect_set("path").alias("low"))
     )
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, set() if l is None else set(l)) for l, x in zip(batch["low"], batch["html"], strict=True)]
-            yield batch[["page_id", "url"]].assign(text=texts)
+            lows, htmls = batch.column("low").to_pylist(), batch.column("html").to_pylist()
+            yield _with_texts(batch, [main_text(x, set(low or ())) for low, x in zip(lows, htmls, strict=True)])
 
-    return own.join(wanted, "key", "left").select("page_id", "url", "html", "low").mapInPandas(cut, "page_id bigint, url string, text string")
+    return own.join(wanted, "key", "left").select("page_id", "url", "html", "low").mapInArrow(cut, _TEXTS)
+
+
+_TEXTS = "page_id bigint, url string, text string"
+
+
+def _with_texts(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    # A lone surrogate, as a reference may spell it, has no UTF-8 form.
+    plain = [t.encode("utf-8", "replace").decode() for t in texts]
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(plain, pa.string())], ["page_id", "url", "text"])

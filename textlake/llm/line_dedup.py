@@ -198,13 +198,15 @@ def drop_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"_id": F.col(id_col), "_of": F.xxhash64(text)})
-    joined = rows.join(dropped, rows["_id"].eqNullSafe(dropped["_id"]) & (rows["_of"] == dropped["_of"]), "left")
-    # By position in an array of flags: a look-up per line, however many lines go.
-    lines = F.split(text, "\n")
-    flags = F.array_sort("_dropped")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(flags, i.cast("bigint")))
-    shown = F.array_join(kept, "\n")
-    return joined.select(
-        *[F.when(F.col("_dropped").isNull(), docs[c]).otherwise(shown).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.col("_dropped").isNull().alias("_whole"),
-    ).where(F.col("_whole") | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop("_whole")
+    dropped = stored(dropped, "dropped-lines")
+    # Texts that lose no line are not shuffled.
+    maybe, whole = bloom.split(rows, dropped.select("_id", "_of"), [F.col("_id"), F.col("_of")])
+    joined = maybe.withColumnsRenamed({"_id": "_id2", "_of": "_of2"}).join(
+        dropped, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_of") == F.col("_of2")), "left"
+    )
+    lines = F.zip_with(F.split(text, "\n"), F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    left = F.filter(lines, lambda line: ~F.array_contains("_dropped", line["i"].cast("bigint")))
+    shown = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(left["x"], "\n"))
+    changed = joined.select(*[shown.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_dropped").isNull().alias("_whole"))
+    kept = changed.where(F.col("_whole") | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop("_whole")
+    return kept.unionByName(whole.select(*docs.columns))

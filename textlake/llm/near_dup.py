@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +79,13 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node, number of shingles and labels of every text that has words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles_of(w) for w in batch["words"]]
-            yield batch[["doc_id", "node"]].assign(shingles=[len(s) for s in own], labels=[labels_of(s) for s in own])
+            own = [shingles_of(w.values.to_numpy()) for w in batch.column("words")]
+            columns = [pa.array([len(s) for s in own], pa.int64()), pa.array([labels_of(s) for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "node", "shingles", "labels"])
 
-    return _hashed(docs, id_col, text_col).mapInPandas(run, "doc_id bigint, node binary, shingles bigint, labels binary")
+    return _hashed(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, node binary, shingles bigint, labels binary")
 
 
 def _prefix(tree: Column, depth: int) -> Column:
@@ -194,15 +196,16 @@ def _verified(docs: DataFrame, nodes: DataFrame, depth: int, least: tuple[int, i
         "blocks",
     )
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[["doc_id", "node"]].assign(set=[shingles_of(w).astype("<u8").tobytes() for w in batch["words"]])
+            own = [shingles_of(w.values.to_numpy()).astype("<u8").tobytes() for w in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], ["doc_id", "node", "set"])
 
     own = F.col(id_col)
     among = docs.where(bloom.possible(bloom.build(dealt, ["doc_id"]).scalar(), [own]))
     read = (
         _hashed(among, id_col, text_col)
-        .mapInPandas(sets, "doc_id bigint, node binary, set binary")
+        .mapInArrow(sets, "doc_id bigint, node binary, set binary")
         .join(dealt.withColumnRenamed("doc_id", "rep_id"), "node")
         .where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
         .dropDuplicates(["node"])

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,23 +72,27 @@ def pieces(
     kind = {"ids": "ids array<int>", "crc32": "ids_crc32 bigint"}[payload]
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part = batch.iloc[i : i + 200]
-                out = []
-                for doc_id, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]]), strict=True):
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                of, out = [], []
+                for n, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         piece = ids[4 * start : 4 * (start + capacity)]
-                        shown = zlib.crc32(piece) if payload == "crc32" else np.frombuffer(piece, "<u4").astype(np.int32)
-                        out.append((doc_id, start, len(piece) // 4, total, shown))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", kind.split()[0]])
-
+                        shown = zlib.crc32(piece) if payload == "crc32" else np.frombuffer(piece, "<u4").tolist()
+                        of.append(n)
+                        out.append((start, len(piece) // 4, total, shown))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns], names)
+
+    names = ["doc_id", "start", "length", "doc_tokens", payload if payload == "ids" else "ids_crc32"]
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int32()) if payload == "ids" else pa.int64()]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id bigint, start bigint, length bigint, doc_tokens bigint, {kind}")
+    return rows.mapInArrow(run, f"doc_id bigint, start bigint, length bigint, doc_tokens bigint, {kind}")
 
 
 def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -234,19 +238,19 @@ def pack(cut: DataFrame, capacity: int = 4096, unit: int = 16) -> DataFrame:
     columns = sized.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema) + ", _rank bigint, sequence_id bigint"
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence = np.zeros(len(batch), np.int64)
-            classes, ranks = batch["_class"].to_numpy(), batch["_rank"].to_numpy()
+            sequence = np.zeros(batch.num_rows, np.int64)
+            classes, ranks = batch.column("_class").to_numpy(), batch.column("_rank").to_numpy()
             for size in np.unique(classes):
                 mine = classes == size
                 at = np.searchsorted(found.starts[size], ranks[mine], "right") - 1
                 first, each = found.of[size][at].T
                 sequence[mine] = first + (ranks[mine] - found.starts[size][at]) // each
-            yield batch.assign(sequence_id=sequence)
+            yield batch.append_column("sequence_id", pa.array(sequence))
 
     numbered = ranked(sized, ["_class"], ["doc_id", "start"], "_rank")
-    dealt = numbered.select(*columns, "_rank").mapInPandas(deal, schema)
+    dealt = numbered.select(*columns, "_rank").mapInArrow(deal, schema)
     # A sequence has at most ``capacity`` pieces.
     before = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_class", "_rank")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from textlake.llm import exact_dedup, html_extract, license_scan, line_dedup, near_dup, packing, quality, sharding, url_filter
+from textlake.llm import exact_dedup, html_extract, license_scan, line_dedup, near_dup, packing, quality, sentence_pieces, sharding, url_filter
 from textlake.llm.common import documents, labels, pages, stored
 
 
 def word_tokenizer() -> str:
-    """The vocabulary of public tokenizers that op1 uses; the file is found on every machine by the package."""
-    import public_tokenizers
-
+    """The vocabulary that op1 uses, a file of the package of public tokenizers."""
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    """The model that op7 uses."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -111,8 +115,8 @@ def op8(spark, sf_dir):
 @query("op10_isolation_forest")
 def op10(spark, sf_dir):
     measured = stored(quality.measure(documents(spark, sf_dir)), "statistics")
-    model = quality.fit(measured, labels(spark, sf_dir))
-    return quality.judge(measured, model).drop("features")
+    model = quality.fit(measured, quality.labelled(labels(spark, sf_dir)))
+    return quality.judge(measured, model)
 
 
 @query("op1_cutting_stock_packing")
@@ -135,3 +139,9 @@ def op5(spark, sf_dir):
 @query("op3_lsh_forest_join")
 def op3(spark, sf_dir):
     return near_dup.join(documents(spark, sf_dir))
+
+
+@query("op7_max_plus_pieces")
+def op7(spark, sf_dir):
+    encoded = sentence_pieces.encode(documents(spark, sf_dir), piece_model())
+    return encoded.withColumn("n_ids", F.size("ids").cast("bigint"))

@@ -48,9 +48,9 @@ def _labels(host: Column) -> Column:
 
 def prefixes(spark, rows: list[tuple[str, str, str]]) -> DataFrame:
     """A list of (verdict, host, path) prefixes."""
-    return spark.createDataFrame(
-        [("prefix", v, h, p, f"{h}{p}") for v, h, p in rows], "kind string, verdict string, host string, path string, rule string"
-    )
+    names = ("kind", "verdict", "host", "path", "rule")
+    entries = [[F.lit(x).alias(n) for n, x in zip(names, ("prefix", v, h, p, f"{h}{p}"), strict=True)] for v, h, p in rows]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*e) for e in entries])))
 
 
 def whole(urls: Column, verdict: str) -> list[Column]:
