@@ -8,12 +8,12 @@ from textlake.functions import code as flags
 from textlake.functions import text as tx
 from textlake.functions import vectors as vec
 from textlake.operators import catalog, code, vectors
-from textlake.plans.index import search_all
+from textlake.plans.index import build_index, search_all
 from textlake.sources import files
 
 from .log_queries import observations
 from .text_queries import byte_scores
-from .views import oracle, query, spark_view
+from .views import VIEWS, oracle, query, spark_view
 
 KEYS = ["path"]
 
@@ -46,21 +46,21 @@ CODE = {
     "opened": """SELECT e.path, e.position, min(b.open_pos) AS open_pos FROM exports e
       LEFT JOIN braces b ON b.path = e.path AND b.open_pos >= e.position GROUP BY ALL""",
     "flags": """SELECT path,
-        (CASE WHEN contains(s, 'f32x4') THEN 1 ELSE 0 END + CASE WHEN contains(s, 'f32x8') THEN 2 ELSE 0 END
-         + CASE WHEN contains(content, 'f32x16') THEN 4 ELSE 0 END + CASE WHEN contains(s, 'i32x4') THEN 8 ELSE 0 END
-         + CASE WHEN contains(s, 'i32x8') THEN 16 ELSE 0 END + CASE WHEN contains(content, 'i32x16') THEN 32 ELSE 0 END
-         + CASE WHEN contains(s, 'u8x16') THEN 64 ELSE 0 END)::BIGINT AS type_mask,
-        (CASE WHEN regexp_matches(content, '(?s)re.{4}_a..\\(') THEN 1 ELSE 0 END
-         + CASE WHEN regexp_matches(content, '(?s)fma\\(.{7}') THEN 2 ELSE 0 END
-         + CASE WHEN regexp_matches(content, '(?s)spla.\\(.{5}') THEN 4 ELSE 0 END
-         + CASE WHEN regexp_matches(content, '(?s)load\\(.{6}') THEN 8 ELSE 0 END
-         + CASE WHEN regexp_matches(content, '(?s)stor.\\(.{5}') THEN 16 ELSE 0 END
-         + CASE WHEN regexp_matches(content, '(?s)sele..\\(.{4}') THEN 32 ELSE 0 END
-         + CASE WHEN regexp_matches(content, '(?s)sqrt\\(.{6}') THEN 64 ELSE 0 END)::BIGINT AS intrinsics_mask,
+        (CASE WHEN contains(content, 'f32x4') THEN 1 ELSE 0 END + CASE WHEN contains(content, 'f32x8') THEN 2 ELSE 0 END
+         + CASE WHEN contains(content, 'f32x16') THEN 4 ELSE 0 END + CASE WHEN contains(content, 'i32x4') THEN 8 ELSE 0 END
+         + CASE WHEN contains(content, 'i32x8') THEN 16 ELSE 0 END + CASE WHEN contains(content, 'i32x16') THEN 32 ELSE 0 END
+         + CASE WHEN contains(content, 'u8x16') THEN 64 ELSE 0 END)::BIGINT AS type_mask,
+        (CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])reduce_add\\(') THEN 1 ELSE 0 END
+         + CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])fma\\(') THEN 2 ELSE 0 END
+         + CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])splat\\(') THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])load\\(') THEN 8 ELSE 0 END
+         + CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])store\\(') THEN 16 ELSE 0 END
+         + CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])select\\(') THEN 32 ELSE 0 END
+         + CASE WHEN regexp_matches(content, '(^|[^A-Za-z0-9_])sqrt\\(') THEN 64 ELSE 0 END)::BIGINT AS intrinsics_mask,
         CASE WHEN contains(lower(content), 'aarch64') THEN 'aarch64' ELSE 'x86_64' END AS arch,
         len(string_split(content, 'export func ')) - 1 AS exports
-      FROM (SELECT path, content, substr(content, 1, length(content) - 1) AS s FROM v_src)""",
-    "fn": """SELECT e.path, trim(string_split(e.rest, '(')[1], ' ' || chr(9) || chr(10) || chr(13)) AS func_name,
+      FROM v_src""",
+    "fn": """SELECT e.path, trim(regexp_extract(e.body, '^[^({}\\n]*'), ' ' || chr(9) || chr(13)) AS func_name,
         e.position, pt.nl + 1 AS line_start,
         CASE WHEN p.open_pos IS NULL THEN 1
              ELSE coalesce(cl.nl, (SELECT max(nl) FROM walk w WHERE w.path = e.path)) - pt.nl + 1 END AS line_count,
@@ -195,9 +195,12 @@ def _(spark, sf):
 QUERY_TEXT = "export func second f32x16"
 
 
+def _vectors(spark, sf):
+    return sources(spark, sf).select("path", vec.byte_counts("content").alias("embedding"))
+
+
 def _embedded(spark, sf):
-    vectors_of_files = sources(spark, sf).select("path", vec.byte_counts("content").alias("embedding"))
-    return code.attach_embeddings(functions(spark, sf), vectors_of_files)
+    return code.attach_embeddings(functions(spark, sf), _vectors(spark, sf))
 
 
 @query(
@@ -225,47 +228,79 @@ _SRC_SCORES = byte_scores("v_src", "path", "content", QUERY_TEXT)
     code_oracle("SELECT * FROM top WHERE score > 0 AND arch = 'x86_64'", **_SRC_SCORES, top=_FUZZY_FN),
 )
 def _(spark, sf):
-    q = vec.literal_vector(vec.text_vector(QUERY_TEXT))
-    scored = vectors.score_vectors(_embedded(spark, sf), "embedding", q).withColumn("score", F.round("score", 6))
-    best = vectors.top_k(scored, 10, ties=["path", "line_start"]).where("score > 0")
-    return code.filter_arch(best, "x86_64").select("path", "func_name", "line_start", "arch", "score", "rank")
+    best = vectors.fuzzy_search_functions(functions(spark, sf), _vectors(spark, sf), QUERY_TEXT, 10, "x86_64")
+    return best.select("path", "func_name", "line_start", "arch", "score", "rank")
+
+
+_SNIPPET = """rtrim(array_to_string(string_split(s.content, chr(10))[f.line_start:f.line_start + f.line_count - 1], chr(10)),
+            ' ' || chr(10))"""
+_FUNCTION_HITS = f"""SELECT 'function' AS scope, rank, concat(f.path, ':', CAST(f.line_start AS STRING)) AS id, func_name AS title,
+    arch AS text, simd_width::BIGINT AS simd_width, line_count::BIGINT AS line_count, total, {_SNIPPET} AS snippet
+  FROM hits f JOIN v_src s ON s.path = f.path"""
+_MEMORY_HITS = """SELECT 'memory' AS scope, rank, CAST(id AS STRING) AS id, type AS title, content AS text,
+    CAST(NULL AS BIGINT) AS simd_width, CAST(NULL AS BIGINT) AS line_count, total, CAST(NULL AS STRING) AS snippet FROM found"""
+
+
+def _found(needle):
+    return f"""SELECT *, CAST(row_number() OVER (ORDER BY created_s DESC, id) AS BIGINT) AS rank, count(*) OVER () AS total
+      FROM v_obs WHERE contains(content, '{needle}') ORDER BY created_s DESC, id LIMIT 5"""
 
 
 @query(
     "search_all",
     oracle(
-        """SELECT * FROM (SELECT 'function' AS scope, CAST(row_number() OVER (ORDER BY path, line_start) AS BIGINT) AS rank,
-          concat(path, ':', CAST(line_start AS STRING)) AS id, func_name AS title, arch AS text
-          FROM fn WHERE contains(func_name, 'cond') ORDER BY path, line_start LIMIT 10)
-        UNION ALL SELECT * FROM (SELECT 'memory' AS scope, CAST(row_number() OVER (ORDER BY created_s DESC, id) AS BIGINT) AS rank,
-          CAST(id AS STRING) AS id, type AS title, substr(content, 1, 100) AS text
-          FROM v_obs WHERE contains(content, 'cond') ORDER BY created_s DESC, id LIMIT 5)""",
+        f"{_FUNCTION_HITS} UNION ALL {_MEMORY_HITS}",
         "v_src",
         "v_obs",
         **CODE,
+        hits="""SELECT *, CAST(row_number() OVER (ORDER BY path, line_start) AS BIGINT) AS rank, count(*) OVER () AS total
+          FROM fn WHERE contains(lower(func_name), 'cond') OR contains(lower(path), 'cond') ORDER BY path, line_start LIMIT 10""",
+        found=_found("cond"),
     ),
 )
 def _(spark, sf):
-    return search_all(functions(spark, sf), observations(spark, sf), "cond")
+    return search_all(functions(spark, sf), observations(spark, sf), "cond", files=sources(spark, sf))
+
+
+@query("search_all_memory", oracle(_MEMORY_HITS, "v_obs", found=_found("Repeated")))
+def _(spark, sf):
+    return search_all(None, observations(spark, sf), "Repeated", scope="memory")
 
 
 @query(
-    "search_all_memory",
+    "search_all_unlimited",
     oracle(
-        """SELECT 'memory' AS scope, CAST(row_number() OVER (ORDER BY created_s DESC, id) AS BIGINT) AS rank,
-        CAST(id AS STRING) AS id, type AS title, substr(content, 1, 100) AS text
-        FROM v_obs WHERE contains(content, 'Repeated') ORDER BY created_s DESC, id LIMIT 5""",
+        """SELECT 'memory' AS scope, CAST(NULL AS BIGINT) AS rank, CAST(id AS STRING) AS id, type AS title, content AS text,
+        CAST(NULL AS BIGINT) AS simd_width, CAST(NULL AS BIGINT) AS line_count, count(*) OVER () AS total,
+        CAST(NULL AS STRING) AS snippet FROM v_obs WHERE contains(content, 'Repeated')""",
         "v_obs",
     ),
 )
 def _(spark, sf):
-    return search_all(None, observations(spark, sf), "Repeated", scope="memory")
+    return search_all(None, observations(spark, sf), "Repeated", scope="memory", observation_limit=None)
+
 
+_OBS_SCORES = {f"o_{k}": v.replace(" q)", " o_q)").replace("FROM c LEFT JOIN q", "FROM o_c LEFT JOIN o_q").replace("FROM c ", "FROM o_c ") for k, v in byte_scores("v_obs", "id", "content", QUERY_TEXT).items()}
 
-@query("search_all_fuzzy")
+
+@query(
+    "search_all_fuzzy",
+    oracle(
+        f"""{_FUNCTION_HITS} UNION ALL {_MEMORY_HITS}""",
+        "v_src",
+        "v_obs",
+        **CODE,
+        **_SRC_SCORES,
+        **_OBS_SCORES,
+        hits="""SELECT fn.*, CAST(row_number() OVER (ORDER BY score DESC, fn.path, fn.line_start) AS BIGINT) AS rank,
+          CAST(NULL AS BIGINT) AS total FROM fn JOIN scores USING (path) ORDER BY score DESC, fn.path, fn.line_start LIMIT 10""",
+        found="""SELECT v_obs.*, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS total
+          FROM v_obs JOIN o_scores USING (id) ORDER BY score DESC, id LIMIT 5""",
+    ),
+)
 def _(spark, sf):
-    obs = vectors.embed(observations(spark, sf), "content")
-    return search_all(_embedded(spark, sf), obs, QUERY_TEXT, fuzzy=True)
+    obs = observations(spark, sf).withColumn("embedding", vec.byte_counts("content"))
+    return search_all(functions(spark, sf), obs, QUERY_TEXT, fuzzy=True, embeddings=_vectors(spark, sf), files=sources(spark, sf))
 
 
 # --- catalog --------------------------------------------------------------
@@ -332,14 +367,17 @@ COLLAPSE = {
     "tj": """SELECT name, string_agg(tag, '; ' ORDER BY r) AS j FROM (
       SELECT name, tags[t] AS tag, min((p_partkey, line_no, idx, t)) AS r
       FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS t FROM s) GROUP BY 1, 2) GROUP BY name""",
-    "collapsed": f"""SELECT sj.name, 'intrinsic' AS category, {_cut('sj.j', 127)} AS signature,
-        CASE WHEN tj.j IS NULL THEN 'auto-extracted, not yet curated' ELSE {_cut('tj.j', 255)} END AS description
-      FROM sj LEFT JOIN tj ON tj.name = sj.name""",
+    "collapsed": """SELECT sj.name, 'intrinsic' AS category, sj.j AS signature,
+        coalesce(tj.j, 'auto-extracted, not yet curated') AS description FROM sj LEFT JOIN tj ON tj.name = sj.name""",
 }
+_SHOWN = f"""SELECT sj.name, 'intrinsic' AS category, {_cut('sj.j', 127)} AS signature,
+    CASE WHEN tj.j IS NULL THEN 'auto-extracted, not yet curated' ELSE {_cut('tj.j', 255)} END AS description
+  FROM sj LEFT JOIN tj ON tj.name = sj.name"""
+_PLACE = ["p_partkey", "line_no", "idx"]
 
 
 def collapsed(spark, sf):
-    return catalog.collapse_signatures(signatures(spark, sf), ["p_partkey", "line_no", "idx"])
+    return catalog.collapse_signatures(signatures(spark, sf), _PLACE)
 
 
 @query("collapse_signatures", oracle("SELECT * FROM collapsed", "v_doc", **COLLAPSE))
@@ -347,13 +385,43 @@ def _(spark, sf):
     return collapsed(spark, sf)
 
 
+@query("collapse_signatures_shown", oracle("SELECT * FROM shown", "v_doc", **COLLAPSE, shown=_SHOWN))
+def _(spark, sf):
+    return catalog.collapse_signatures(signatures(spark, sf), _PLACE, signature_bytes=127, description_bytes=255)
+
+
+@query(
+    "signature_rows",
+    oracle("SELECT name, signature, min(p_partkey) AS first_key, count(*) OVER () AS n FROM s GROUP BY ALL", "v_doc", lines=_DOC_LINES, s=_SIGS),
+)
+def _(spark, sf):
+    rows = catalog.signature_rows(signatures(spark, sf), _PLACE).select("name", "signature", F.col("first_seen.p_partkey").alias("first_key"))
+    return rows.withColumn("n", rows.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@query(
+    "tag_rows",
+    oracle(
+        "SELECT name, tag, min(p_partkey) AS first_key FROM (SELECT name, p_partkey, unnest(tags) AS tag FROM s) GROUP BY ALL",
+        "v_doc",
+        lines=_DOC_LINES,
+        s=_SIGS,
+    ),
+)
+def _(spark, sf):
+    return catalog.tag_rows(signatures(spark, sf), _PLACE).select("name", "tag", F.col("first_seen.p_partkey").alias("first_key"))
+
+
+DISPATCHED = r"""SELECT DISTINCT unnest(regexp_extract_all(text, '"([a-z]\w*)"\s*(?:\||=>|if)', 1)) AS name FROM v_doc"""
+
+
 @query(
     "undocumented_names",
     oracle(
-        r"""SELECT name, 'intrinsic' AS category, concat(name, '(...) -> ?') AS signature, 'no doc comment' AS description
-        FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '"([a-z]\w*)"\s*(?:\||=>|if)', 1)) AS name FROM v_doc)
-        WHERE name NOT IN (SELECT name FROM s)""",
+        """SELECT name, 'intrinsic' AS category, concat(name, '(...) -> ?') AS signature, 'no doc comment' AS description
+        FROM d WHERE name NOT IN (SELECT name FROM s)""",
         "v_doc",
+        d=DISPATCHED,
         lines=_DOC_LINES,
         s=_SIGS,
     ),
@@ -433,3 +501,49 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return catalog.distinct_first_seen(spark_view(spark, sf, "part"), "p_name", ["p_partkey"])
+
+
+# A tree of three overlapping roots: all sources, those of two projects, and half of one of these.
+_ROOTED = """SELECT 0 AS root_no, path, content FROM v_src
+    UNION ALL SELECT 1, path, content FROM v_src WHERE path LIKE 'proj1/%' OR path LIKE 'proj2/%'
+    UNION ALL SELECT 2, path, content FROM v_src WHERE path LIKE 'proj2/%' AND length(path) % 2 = 0"""
+
+
+@query(
+    "build_index",
+    code_oracle(
+        """SELECT (SELECT count(*) FROM fn JOIN rooted USING (path)) AS functions,
+        (SELECT count(DISTINCT path) FROM rooted) AS embeddings, (SELECT sum(length(content)) FROM v_src)::BIGINT AS bytes,
+        (SELECT count(DISTINCT path) FROM rooted) AS unit_vectors, (SELECT count(*) FROM m) AS catalog""",
+        rooted=_ROOTED,
+        v_doc=VIEWS["v_doc"],
+        **COLLAPSE,
+        d=DISPATCHED,
+        cur=_CURATED,
+        m="""SELECT name FROM cur UNION SELECT name FROM collapsed UNION SELECT name FROM d""",
+    ),
+)
+def _(spark, sf):
+    files_of = spark.sql(_ROOTED.replace("v_src", "{v_src}"), v_src=sources(spark, sf))
+    docs = spark_view(spark, sf, "v_doc").select(F.col("p_partkey").cast("string").alias("path"), "text")
+    fns, vectors_of, cat = build_index(files_of, _curated(spark, sf), docs, docs)
+    norms = vectors_of.join(sources(spark, sf).select("path", F.octet_length("content").alias("n")), "path")
+    one = lambda df, c, name: df.groupBy().agg(c.alias("x")).scalar().alias(name)
+    return spark.range(1).select(
+        one(fns, F.count(F.lit(1)), "functions"),
+        one(vectors_of, F.count(F.lit(1)), "embeddings"),
+        one(norms, F.sum("n"), "bytes"),
+        one(vectors_of, F.count_if(F.abs(vec.norm("embedding") - 1) < 1e-5), "unit_vectors"),
+        one(cat, F.count(F.lit(1)), "catalog"),
+    )
+
+
+@query(
+    "source_paths",
+    oracle(
+        """SELECT p_partkey, ends_with(below, '.ea') AND p_partkey % 9 NOT IN (0, 3, 5, 8) AS is_source FROM v_paths""",
+        "v_paths",
+    ),
+)
+def _(spark, sf):
+    return spark_view(spark, sf, "v_paths").select("p_partkey", files.is_source(F.col("below")).alias("is_source"))

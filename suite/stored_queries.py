@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlake.functions import code as flags
+from textlake.functions import text as tx
 from textlake.functions import vectors as vec
 from textlake.plans import ingest
 from textlake.session import shared_dir
@@ -18,10 +20,26 @@ from .views import TABLES, VIEWS, oracle, query, spark_view
 EPOCH = 1704067200
 
 
-@query("load_source_tree")
+@query(
+    "load_source_tree",
+    oracle(
+        """SELECT concat('n=', CAST(p_partkey % 40 AS STRING)) AS folder, sum(octet_length(encode(content)) + 1)::BIGINT AS bytes,
+        sum(len(string_split(content, 'export func ')) - 1)::BIGINT AS exports
+        FROM (SELECT CAST(regexp_extract(path, 'k(\\d+)[.]ea', 1) AS BIGINT) AS p_partkey, content FROM v_src)
+        WHERE p_partkey % 40 <> 7 GROUP BY 1""",
+        "v_src",
+    ),
+)
 def _(spark, sf):
-    found = files.load_source_tree(spark, [sf], suffix=".parquet")
-    return found.select("root_no", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """Writes the sources as a tree of folders, one of which is to be skipped, and reads it again."""
+    path = shared_dir(spark, "tree")
+    number = F.regexp_extract("path", r"k(\d+)[.]ea", 1).cast("bigint") % 40
+    texts = sources(spark, sf).select(number.alias("n"), F.col("content").alias("value"))
+    texts.repartition(8, "n").write.partitionBy("n").text(path)
+    found = files.load_source_tree(spark, [path], suffix=".txt", skip_dirs=["n=7"])
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(
+        F.sum("length").alias("bytes"), F.sum(flags.count_exports(tx.byte_view_of_binary("content"))).alias("exports")
+    )
 
 
 @query(
@@ -80,7 +98,8 @@ def _incoming(planted):
     )
 
 
-_INGESTED = """SELECT sha256(CAST(doc_id AS STRING)) AS id, CAST(NULL AS STRING) AS session_id, source AS project,
+_ID = "sha256(concat(CAST(length(CAST(doc_id AS STRING)) AS STRING), ':', CAST(doc_id AS STRING)))"
+_INGESTED = f"""SELECT {_ID} AS id, CAST(NULL AS STRING) AS session_id, source AS project,
     CASE WHEN doc_id % 11 = 0 THEN 'rumour' ELSE 'note' END AS type, text AS content, sha256(text) AS content_hash,
     CAST(1704067200 AS BIGINT) AS created_at,
     CASE WHEN doc_id % 11 = 0 THEN 'unknown_type' WHEN doc_id IN (SELECT doc_id FROM leaks) THEN 'secret_leak'
@@ -91,7 +110,7 @@ def _ingested(spark, sf):
     path = shared_dir(spark, "ingest")
     incoming = _incoming(spark_view(spark, sf, "v_planted"))
     ingest.ingest_observations(incoming, path, ["note_id"], F.lit(EPOCH).cast("bigint"))
-    return spark.read.parquet(path)
+    return ingest.ingested(spark, path, "bigint").drop("batch")
 
 
 @query("ingest_observations", oracle(_INGESTED, "v_planted", **LEAKS))
@@ -99,10 +118,30 @@ def _(spark, sf):
     return _ingested(spark, sf)
 
 
+@query(
+    "ingest_observations_batches",
+    oracle(
+        f"""SELECT *, CASE WHEN id IN (SELECT {_ID} FROM v_planted WHERE doc_id % 2 = 0) THEN '007' ELSE 'unnamed' END AS batch
+        FROM i""",
+        "v_planted",
+        **LEAKS,
+        i=_INGESTED,
+    ),
+)
+def _(spark, sf):
+    """Named batches, one of them twice, and unnamed rows on one path."""
+    path = shared_dir(spark, "ingest")
+    incoming, now = _incoming(spark_view(spark, sf, "v_planted")), F.lit(EPOCH).cast("bigint")
+    for _ in range(2):
+        ingest.ingest_observations(incoming.where("note_id % 2 = 0"), path, ["note_id"], now, batch="007")
+    ingest.ingest_observations(incoming.where("note_id % 2 = 1"), path, ["note_id"], now)
+    return ingest.ingested(spark, path, "bigint")
+
+
 @query(
     "quarantine_warnings",
     oracle(
-        """SELECT sha256(CAST(doc_id AS STRING)) AS id, kind, pattern, position FROM leaks WHERE doc_id % 11 <> 0""",
+        f"""SELECT {_ID} AS id, kind, pattern, position FROM leaks WHERE doc_id % 11 <> 0""",
         "v_planted",
         **LEAKS,
     ),

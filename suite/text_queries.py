@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlake.functions import patterns
 from textlake.functions import text as tx
 from textlake.functions import vectors as vec
 from textlake.operators import offsets, safety, vectors
@@ -207,25 +206,29 @@ def byte_scores(table: str, key: str, text: str, needle: str) -> dict[str, str]:
 )
 def _(spark, sf):
     docs = spark_view(spark, sf, "documents").select("doc_id", vec.byte_counts("text").alias("embedding"))
-    q = vec.literal_vector(vec.text_vector(FUZZY))
-    scored = vectors.score_vectors(docs, "embedding", q).withColumn("score", F.round("score", 6))
-    best = vectors.top_k(scored, 5, ties=["doc_id"]).where("score > 0")
-    return best.select("doc_id", "score", "rank")
+    return vectors.fuzzy_search(docs, FUZZY, 5, ties=["doc_id"]).select("doc_id", "score", "rank")
 
 
 # --- safety ---------------------------------------------------------------
 
-_HEX_CLASS = {
-    "A-Z0-9": "3[0-9]|4[1-9A-F]|5[0-9A]",
-    "A-Za-z0-9_": "3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F",
-    "A-Za-z0-9_-": "3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F|2D",
-    "A-Za-z0-9_.-": "3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F|2D|2E",
-    None: "..",
-}
-_LEAK_ROWS = ", ".join(
-    f"({i}, '{p}', {max(0, n - len(p))}, '(?:{_HEX_CLASS[c]})*', '{d}')"
-    for i, (p, n, c, d) in enumerate(patterns.LEAK_PREFIXES)
-)
+# Fixed values, written out so that a wrong entry of the library shows: number, prefix, least bytes behind it, hex
+# pairs that these may be, description.
+_UPPER = "(?:3[0-9]|4[1-9A-F]|5[0-9A])*"
+_WORD = "(?:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F)*"
+_DASH = "(?:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F|2D)*"
+_DOT = "(?:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|5F|2D|2E)*"
+_ANY = "(?:..)*"
+_LEAK_ROWS = f"""
+    (0, 'sk-ant-api', 10, '{_DASH}', 'Anthropic API key'), (1, 'sk-proj-', 12, '{_DASH}', 'OpenAI API key (project)'),
+    (2, 'sk-', 17, '{_DASH}', 'OpenAI API key'), (3, 'AKIA', 16, '{_UPPER}', 'AWS access key'),
+    (4, 'ghp_', 36, '{_WORD}', 'GitHub personal token'), (5, 'gho_', 36, '{_WORD}', 'GitHub OAuth token'),
+    (6, 'ghu_', 36, '{_WORD}', 'GitHub user token'), (7, 'ghs_', 36, '{_WORD}', 'GitHub server token'),
+    (8, 'ghr_', 36, '{_WORD}', 'GitHub refresh token'), (9, 'github_pat_', 29, '{_WORD}', 'GitHub fine-grained PAT'),
+    (10, 'xoxb-', 10, '{_DASH}', 'Slack bot token'), (11, 'xoxp-', 10, '{_DASH}', 'Slack user token'),
+    (12, 'xoxa-', 10, '{_DASH}', 'Slack app token'), (13, 'SG.', 37, '{_DOT}', 'SendGrid API key'),
+    (14, 'sk_live_', 16, '{_WORD}', 'Stripe live API key'), (15, 'sk_test_', 16, '{_WORD}', 'Stripe test API key'),
+    (16, 'sess_', 27, '{_WORD}', 'Session token'), (17, '-----BEGIN', 0, '{_ANY}', 'PEM private key'),
+    (18, 'AIza', 35, '{_DASH}', 'Google API key'), (19, 'Bearer ', 20, '{_ANY}', 'Bearer token')"""
 # Offsets by splitting, tails by walking the hex pairs up to a whitespace byte.
 LEAKS = {
     "lp": f"SELECT * FROM (VALUES {_LEAK_ROWS}) t(i, prefix, least, hexclass, descr)",
@@ -241,11 +244,20 @@ LEAKS = {
       WHERE length(tail) // 2 >= least AND regexp_full_match(tail, hexclass)
       QUALIFY row_number() OVER (PARTITION BY doc_id, position ORDER BY i) = 1""",
 }
-# "disregard" overlaps itself by its last letter, so it is split without it.
-_PHRASE_ROWS = ", ".join(
-    f"({i}, '{p.lower()}', '{p.lower()[:-1] if p == 'disregard' else p.lower()}', '{d}')"
-    for i, (p, d) in enumerate(patterns.INJECTION_PHRASES)
-)
+# Number, phrase, what a text is split by, description. "disregard" overlaps itself by its last letter,
+# so it is split without it.
+_PHRASE_ROWS = """
+    (0, 'ignore previous', 'ignore previous', 'override previous instructions'),
+    (1, 'ignore all previous', 'ignore all previous', 'override ALL previous instructions'),
+    (2, 'disregard', 'disregar', 'potential instruction override'),
+    (3, 'forget everything', 'forget everything', 'attempt to reset context'),
+    (4, 'you are now', 'you are now', 'role change attempt'), (5, 'act as', 'act as', 'role manipulation'),
+    (6, 'pretend to be', 'pretend to be', 'role manipulation'), (7, 'system:', 'system:', 'system message injection'),
+    (8, 'assistant:', 'assistant:', 'assistant response injection'), (9, 'user:', 'user:', 'user message injection'),
+    (10, '<|', '<|', 'special token injection'), (11, '|>', '|>', 'special token injection'),
+    (12, '[inst]', '[inst]', 'instruction token injection'), (13, '[/inst]', '[/inst]', 'instruction token injection'),
+    (14, 'new instructions', 'new instructions', 'new instruction attempt'),
+    (15, 'updated instructions', 'updated instructions', 'instruction update attempt')"""
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 INJECTIONS = {
     "ip": f"SELECT * FROM (VALUES {_PHRASE_ROWS}) t(i, phrase, head, descr)",

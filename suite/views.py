@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from textlake.sources.tables import spread
-
 # Named, so that reading a table needs no job that looks into its files.
 TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -16,9 +14,6 @@ TABLES = {
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
 }
 
-# Tables with work per row that outweighs reading them, and their row key.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
-
 VIEWS = {
     "v_obs": """
 SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id,
@@ -51,7 +46,8 @@ SELECT concat('k', CAST(user_id % 20 AS STRING)) AS name,
        event_type <> 'error' AS correct,
        CASE WHEN event_type = 'signup' THEN NULL ELSE value END AS time_us,
        CASE event_id % 6 WHEN 0 THEN 'Unroll the loop 4x' WHEN 1 THEN 'drop PREFETCH hints'
-                         WHEN 2 THEN 'widen to f32x8' WHEN 3 THEN 'second accumulator'
+                         WHEN 2 THEN 'widen to f32x8'
+                         WHEN 3 THEN concat('second accumulator', repeat(', then another one', 8))
                          WHEN 4 THEN 'fuse both passes' ELSE 'reorder branches' END AS hypothesis
 FROM events
 """,
@@ -92,6 +88,9 @@ SELECT concat('proj', CAST(p_partkey % 4 AS STRING), '/kernels/k', CAST(p_partke
        concat('// ', p_name, chr(10),
          CASE WHEN p_partkey % 3 = 0 THEN concat('#[cfg(AArch64)]', chr(10)) ELSE '' END,
          'export func batch_', lower(substr(p_brand, 1, 5)), CAST(p_partkey % 10 AS STRING), ' (a: *f32) {', chr(10),
+         CASE WHEN p_partkey % 97 = 0 THEN concat(repeat(concat('export func many', chr(10)), 300), 'tail(x) { }', chr(10))
+              WHEN p_partkey % 89 = 0 THEN concat(repeat(concat('  a = load(b)', chr(10)), 70), '}', chr(10))
+              ELSE '' END,
          CASE p_partkey % 5
            WHEN 0 THEN concat('  let x: f32x8 = splat(0.0)', chr(10), '  if a { fma(x) }', chr(10), '}', chr(10))
            WHEN 1 THEN concat('  let x: f32x16 = load(a) }', chr(10), 'export func second(b: i32)', chr(10))
@@ -99,6 +98,15 @@ SELECT concat('proj', CAST(p_partkey % 4 AS STRING), '/kernels/k', CAST(p_partke
            WHEN 3 THEN concat('  reduce_and(x) sqrt(y)', chr(10), '}', chr(10), 'export func third(c: u8x16) { select(c) }', chr(10))
            ELSE concat('} export func tail() { store(q) }', chr(10), '// f32x4') END) AS content
 FROM part
+""",
+    # Paths below a root, some in folders to skip and some that only look like it.
+    "v_paths": """
+SELECT p_partkey,
+       concat(CASE p_partkey % 9 WHEN 0 THEN 'target/' WHEN 1 THEN '_lib/' WHEN 2 THEN '.hid/a/' WHEN 3 THEN 'a/.git/b/'
+                WHEN 4 THEN 'targets/' WHEN 5 THEN 'a/build/' WHEN 6 THEN '' WHEN 7 THEN 'venv.old/' ELSE 'x/.venv/' END,
+              CASE p_partkey % 4 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE 'k' END, lower(substr(p_brand, 1, 5)),
+              CASE p_partkey % 5 WHEN 0 THEN '.eab' WHEN 1 THEN '.EA' ELSE '.ea' END) AS below
+FROM part
 """,
     # Texts of benchmark folders: a program description, a history and a catalog.
     "v_program": """
@@ -131,7 +139,8 @@ SELECT p_partkey,
            concat('  /// ', replace(p_name, ' ', '_'), '(a: f32x', CAST(p_size % 3 AS STRING), ', ',
                   CASE WHEN p_partkey % 2 = 0 THEN ' b ' ELSE 'é' END, ') -> vec',
                   CAST(p_size % 4 AS STRING), CASE p_partkey % 3
-                    WHEN 0 THEN concat('  ( ', lower(p_type), ' )')
+                    WHEN 0 THEN concat('  ( ', lower(p_type), ' )',
+                      CASE WHEN p_partkey % 30 = 0 THEN concat(' (', repeat('wide tag ', 40), 'end)') ELSE '' END)
                     WHEN 1 THEN concat(', cvt_', lower(p_type), '(i16x4)->f32x4 (tag ', CAST(p_size % 5 AS STRING), ')')
                     ELSE ' ()' END) END, chr(10),
          '    "', replace(p_name, ' ', '_'), '" | "cvt_', lower(p_type), '" => x, "Not_Lower" => y, "',
@@ -144,8 +153,7 @@ FROM part
 def spark_view(spark, sf_dir: str, name: str):
     """The DataFrame of a table or of a view."""
     if name in TABLES:
-        table = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
-        return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
+        return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     used = [t for t in [*TABLES, *VIEWS] if re.search(rf"\bFROM {t}\b", sql)]
     for table in used:

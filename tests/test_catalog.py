@@ -57,10 +57,15 @@ def test_collapse_equals_a_loop(spark):
         for t in row_tags:
             if t:
                 tags.setdefault(name, dict()).setdefault(t)
-    want = {n: (cut("; ".join(sigs[n]), 127), cut("; ".join(tags[n]), 255)) for n in sigs}
+    whole = {n: ("; ".join(sigs[n]), "; ".join(tags[n])) for n in sigs}
     got = catalog.collapse_signatures(df, ["place"])
-    assert {r.name: (r.signature, r.description) for r in got.collect()} == want
-    assert "WindowGroupLimit" in plan(got)
+    assert {r.name: (r.signature, r.description) for r in got.collect()} == whole
+    shown = catalog.collapse_signatures(df, ["place"], signature_bytes=127, description_bytes=255)
+    want = {n: (cut(s, 127), cut(t, 255)) for n, (s, t) in whole.items()}
+    assert {r.name: (r.signature, r.description) for r in shown.collect()} == want
+    assert "WindowGroupLimit" in plan(shown)
+    assert catalog.signature_rows(df, ["place"]).count() == sum(map(len, sigs.values()))
+    assert catalog.tag_rows(df, ["place"]).count() == sum(map(len, tags.values()))
 
 
 def test_collapse_without_tags(spark):
@@ -92,6 +97,7 @@ def test_curated_entries_win(merged):
 )
 def test_lookup(merged, query, want):
     assert [r.name for r in catalog.lookup_reference(merged, query).collect()] == want
+    assert [r.name for r in catalog.lookup_reference(merged, query, None).collect()] == want
 
 
 def test_undocumented_and_first_seen(spark):

@@ -4,10 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan, rows
-from textlake.operators import history
+from conftest import rows
+from textlake.operators import code, history
 from textlake.plans.index import build_index, search_all
-from textlake.session import shared_dir
+from textlake.session import ensure_shared_dir, shared_dir
 from textlake.sources import files, tables
 
 SRC = "export func batch_cosine(q) {\n let v: f32x8 = load(q)\n}\n"
@@ -52,6 +52,16 @@ def test_missing_and_overlapping_roots(spark, tree):
     assert files.load_source_tree(spark, [str(tree / "target")]).count() == 1
 
 
+def test_one_vector_per_path_below_three_roots(spark, tmp_path):
+    for name in ["a/c.ea", "b/c.ea", "b/s/c.ea"]:
+        put(tmp_path, name)
+    found = files.load_source_tree(spark, [str(tmp_path / r) for r in ("a", "b", "b/s")])
+    no_catalog = spark.createDataFrame([], "ordinal int, name string, category string, signature string, description string")
+    functions, embeddings, _ = build_index(found, no_catalog)
+    assert functions.count() == 4 and embeddings.count() == 3
+    assert code.attach_embeddings(functions, embeddings).count() == 4
+
+
 def test_index_build_store_and_search(spark, tree, tmp_path):
     found = files.load_source_tree(spark, [str(tree), str(tree / "kernels")])
     curated = spark.createDataFrame(
@@ -74,8 +84,11 @@ def test_index_build_store_and_search(spark, tree, tmp_path):
     ]
     fns = stored["functions"]
     no_log = spark.createDataFrame([], "id string, type string, content string, created_at bigint, project string")
-    hits = search_all(fns, no_log, "COSINE")
-    assert [r.rank for r in hits.collect()] == [1, 2, 3, 4]
+    hits = search_all(fns, no_log, "COSINE", files=found.where("root_no = 0"))
+    assert [(r.rank, r.total, r.simd_width, r.line_count, r.snippet) for r in hits.collect()] == [(i, 4, 8, 3, SRC.strip()) for i in range(1, 5)]
+    assert [r.rank for r in search_all(fns, no_log, "COSINE", function_limit=None).collect()] == [None] * 4
+    attached = code.attach_embeddings(fns, stored["embeddings"])
+    assert attached.count() == 4
     assert search_all(fns, no_log, "cosine", scope="memory").count() == 0
     assert search_all(fns, no_log, "cosine", scope="functions", arch="aarch64").count() == 0
 
@@ -86,12 +99,68 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert first.startswith(base + "/x-") and first != second
 
 
-def test_small_tables_are_spread_and_large_ones_left_alone(spark, tmp_path, monkeypatch):
-    spark.range(100).write.parquet(str(tmp_path / "t"))
-    table = spark.read.parquet(str(tmp_path / "t"))
-    assert "REPARTITION_BY_NUM" in plan(tables.spread(table, "id"))
-    monkeypatch.setattr(tables, "_LEAST_SPLIT", 1)
-    assert tables.spread(table, "id") is table
+def test_a_session_without_a_shared_folder(spark):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("Context", (), {"master": master})
+
+    alone, cluster = Session("local[2]"), Session("spark://host:7077")
+    for session in (alone, cluster):
+        with pytest.raises(ValueError):
+            shared_dir(session, "x")
+        ensure_shared_dir(session)
+    assert shared_dir(alone, "x") != shared_dir(alone, "x")
+    with pytest.raises(ValueError):
+        shared_dir(cluster, "x")
+
+
+def test_names_that_spark_hides(spark, tmp_path):
+    names = ["a.ea", "_top.ea", ".dot.ea", "_lib/x.ea", ".hid/e.ea", "k/_h.ea", "k/.h.ea", "k/b.ea", "k/_in/c.ea", "k/sub/d.ea"]
+    for name in names:
+        put(tmp_path, name)
+    for skipped in [".git/_x.ea", "k/.venv/x.ea", "a.eab"]:
+        put(tmp_path, skipped)
+    got = files.load_source_tree(spark, [str(tmp_path)])
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in got.collect()) == sorted(names)
+    below = spark.createDataFrame([(n,) for n in [*names, ".git/_x.ea", "k/.venv/x.ea", "a.eab"]], "below string")
+    assert below.where(files.is_source(F.col("below"))).count() == len(names)
+
+
+def test_files_that_cannot_be_read_are_reported(spark, tmp_path):
+    put(tmp_path, "a.ea")
+    os.symlink(tmp_path / "nowhere", tmp_path / "gone.ea")
+    assert files.load_source_tree(spark, [str(tmp_path)]).count() == 1
+    skipped = files.load_source_tree(spark, [str(tmp_path)], skipped=True).collect()
+    assert [os.path.basename(r.path) for r in skipped] in (["gone.ea"], [])
+    listed = spark.createDataFrame([(str(tmp_path / "a.ea"),), (str(tmp_path / "vanished.ea"),)], "path string")
+    got = {os.path.basename(r.path): (r.content, r.error is None) for r in files.read_files(listed).collect()}
+    assert got == {"a.ea": (SRC.encode(), True), "vanished.ea": (None, False)}
+
+
+def test_scrape_sources(spark, tmp_path):
+    for name in ["intrinsics_a.rs", "intrinsics_b.rs", "intrinsics.rs", "other.rs", "deep/intrinsics_c.rs"]:
+        put(tmp_path, f"one/src/typeck/{name}", name)
+    put(tmp_path, "two/src/intrinsics_a.rs", "x")
+    documented, dispatch = files.load_scrape_sources(spark, [str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "none")])
+    assert sorted(rows(documented, "text")) == [("intrinsics_a.rs",), ("intrinsics_b.rs",)]
+    assert rows(dispatch, "text") == [("intrinsics.rs",)]
+
+
+def test_a_rebuilt_index(spark, tmp_path):
+    one = spark.createDataFrame([("a",)], "name string")
+    path = str(tmp_path / "ix")
+    with pytest.raises(ValueError):
+        tables.read_tables(spark, path)
+    tables.write_tables(path, F.lit(1), catalog=one, functions=one)
+    before = tables.read_tables(spark, path)
+    tables.write_tables(path, F.lit(2), catalog=one.unionAll(one))
+    after = tables.read_tables(spark, path)
+    assert rows(after["meta"], "built_at", "catalog_count") == [(2, 2)] and set(after) == {"meta", "catalog"}
+    # Who read the first version before goes on with it.
+    assert before["catalog"].count() == 1 and before["functions"].count() == 1
 
 
 def test_reference_catalog(spark, tmp_path):
@@ -130,6 +199,7 @@ def test_histories(spark, benchmarks):
     assert rows(history.latest_accepted(hist), "name", "pos") == [("dot", 4)]
     assert rows(history.what_works(hist, 3)) == [("dot", None, "PREFETCH less", 6, 1, 3)]
     assert rows(history.winning_keywords(hist), "keyword") == [("prefetch",)]
+    assert rows(history.accepted_iterations(hist, "dot").orderBy("pos"), "pos", "hypothesis") == [(0, "Unroll 4x"), (4, "PREFETCH less")]
     assert rows(history.winning_keywords(hist.where("name <> 'dot'"))) == []
     detail = history.history_detail(hist, "DOT").orderBy("pos")
     assert [r.status for r in detail.collect()] == ["ACCEPTED", "rejected", "rejected", "rejected", "ACCEPTED", "rejected"]
@@ -144,6 +214,15 @@ def test_histories(spark, benchmarks):
     assert history.recent_failures(hist.where("name = 'sum v2'")).first().reason == "wrong output"
 
 
+def test_benchmarks_that_spark_hides(spark, tmp_path):
+    for name in ["_k", ".x", "plain"]:
+        put(tmp_path, f"{name}/history.json", json.dumps(STEPS[:2]))
+        put(tmp_path, f"{name}/program.md", "# Strategy\n- one\n")
+    assert sorted(r.name for r in files.load_histories(spark, str(tmp_path)).collect()) == [".x", ".x", "_k", "_k", "plain", "plain"]
+    assert {r.strategy for r in files.load_strategy_notes(spark, str(tmp_path)).collect()} == {"- one"}
+    assert files.load_strategy_notes(spark, str(tmp_path)).count() == 3
+
+
 def test_no_histories(spark, tmp_path):
     put(tmp_path, "a/other.txt")
     put(tmp_path, "b/other.txt")

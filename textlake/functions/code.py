@@ -20,22 +20,17 @@ TYPE_BITS = [
     (64, "u8x16"),
 ]
 
-# Bit, call name, bytes that are tested ("." is any byte). Some
-# names are tested loosely, so reduce_and( also counts as reduce_add(.
+# Bit, call name.
 CALL_BITS = [
-    (1, "reduce_add", "re...._a..("),
-    (2, "fma", "fma("),
-    (4, "splat", "spla.("),
-    (8, "load", "load("),
-    (16, "store", "stor.("),
-    (32, "select", "sele..("),
-    (64, "sqrt", "sqrt("),
+    (1, "reduce_add"),
+    (2, "fma"),
+    (4, "splat"),
+    (8, "load"),
+    (16, "store"),
+    (32, "select"),
+    (64, "sqrt"),
 ]
 
-# A type name has to start 6 bytes before the end of the text, a call 11.
-TYPE_WINDOW = 6
-CALL_WINDOW = 11
-
 EXPORT = "export func "
 
 
@@ -44,26 +39,15 @@ def _or_bits(bits) -> Column:
 
 
 def type_flags(b) -> Column:
-    """Bit set of the vector type names that occur."""
-    text = col(b)
-    shorter = F.substring(text, F.lit(1), F.length(text) - 1)
-    bits = []
-    for bit, name in TYPE_BITS:
-        where = text if len(name) == TYPE_WINDOW else shorter
-        bits.append(F.when(F.contains(where, F.lit(name)), F.lit(bit)).otherwise(F.lit(0)))
-    return _or_bits(bits)
+    """Bit set of the vector type names that occur anywhere in the text."""
+    return _or_bits([F.when(F.contains(col(b), F.lit(name)), F.lit(bit)).otherwise(F.lit(0)) for bit, name in TYPE_BITS])
 
 
 def call_flags(b) -> Column:
-    """Bit set of the calls that occur."""
-    bits = []
-    for bit, _, mask in CALL_BITS:
-        regex = "(?s)" + mask.replace("(", r"\(")
-        room = CALL_WINDOW - len(mask)
-        if room:
-            regex += f"(?=.{{{room}}})"
-        bits.append(F.when(col(b).rlike(regex), F.lit(bit)).otherwise(F.lit(0)))
-    return _or_bits(bits)
+    """Bit set of the calls that occur: the name, not as the end of a longer one, and an opening parenthesis."""
+    return _or_bits(
+        [F.when(col(b).rlike(rf"(?<![A-Za-z0-9_]){name}\("), F.lit(bit)).otherwise(F.lit(0)) for bit, name in CALL_BITS]
+    )
 
 
 def simd_width(type_mask) -> Column:

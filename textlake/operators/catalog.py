@@ -18,9 +18,6 @@ _DISPATCH = rf'(?U)"([a-z]\w*)"{_SPACE}*(?:\||=>|if)'
 _DOC_LINE = r"\A[ \t]*///"
 _DOC_LEAD = rf"(?U)\A{_SPACE}*+/*+{_SPACE}*+"
 
-SIGNATURE_BYTES = 127
-DESCRIPTION_BYTES = 255
-
 
 def extract_signatures(df: DataFrame, ids, text) -> DataFrame:
     """(ids, line_no, idx, name, signature, tags) of the ``///`` lines with an arrow."""
@@ -70,29 +67,43 @@ def distinct_first_seen(df: DataFrame, value, order, within=()) -> DataFrame:
     return df.groupBy(*within, value).agg(first.alias("first_seen"))
 
 
-def _joined_first_seen(df, value, order, max_bytes, out) -> DataFrame:
-    # Values are not empty, so max_bytes + 1 of them overflow the cut: the text
-    # kept depends on no later one, and a name never gathers more than that.
-    first = distinct_first_seen(df, value, order, ["name"])
-    place = W.partitionBy("name").orderBy("first_seen", value)
-    kept = first.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= max_bytes + 1)
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda s: s[value]), "; "
-    )
-    return kept.groupBy("name").agg(truncate_bytes(joined, max_bytes).alias(out))
+def signature_rows(signatures: DataFrame, order) -> DataFrame:
+    """(name, signature, first_seen): each signature of a name once."""
+    return distinct_first_seen(signatures, "signature", order, ["name"])
+
+
+def tag_rows(signatures: DataFrame, order) -> DataFrame:
+    """(name, tag, first_seen): each tag of a name once; empty tags go."""
+    tags = signatures.select("name", *order, F.posexplode("tags").alias("_tag_no", "tag")).where("tag <> ''")
+    return distinct_first_seen(tags, "tag", [*order, "_tag_no"], ["name"])
+
+
+def _joined(first: DataFrame, value, max_bytes, out) -> DataFrame:
+    if max_bytes is not None:
+        # Values are not empty, so max_bytes + 1 of them overflow the cut: the text
+        # kept depends on no later one, and a name never gathers more than that.
+        place = W.partitionBy("name").orderBy("first_seen", value)
+        first = first.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= max_bytes + 1).drop("_n")
+    ordered = F.array_sort(F.collect_list(F.struct("first_seen", value)))
+    text = F.array_join(F.transform(ordered, lambda s: s[value]), "; ")
+    return first.groupBy("name").agg((text if max_bytes is None else truncate_bytes(text, max_bytes)).alias(out))
 
 
 def collapse_signatures(
-    signatures: DataFrame, order, category="intrinsic", untagged="auto-extracted, not yet curated"
+    signatures: DataFrame,
+    order,
+    category="intrinsic",
+    untagged="auto-extracted, not yet curated",
+    signature_bytes: int | None = None,
+    description_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per name: its distinct signatures and tags in order of first sight.
+    """One row per name: its distinct signatures and tags in order of first sight, joined by "; ".
 
-    Both are joined by "; " and cut to 127 and 255 bytes. ``order`` names the
-    columns that give a row its place.
+    ``order`` names the columns that give a row its place. The texts are whole unless a number of bytes to show is
+    given. All different signatures of a name meet in its row; ``signature_rows`` and ``tag_rows`` keep them apart.
     """
-    sigs = _joined_first_seen(signatures, "signature", order, SIGNATURE_BYTES, "signature")
-    exploded = signatures.select("name", *order, F.posexplode("tags").alias("_tag_no", "tag")).where("tag <> ''")
-    tags = _joined_first_seen(exploded, "tag", [*order, "_tag_no"], DESCRIPTION_BYTES, "description")
+    sigs = _joined(signature_rows(signatures, order), "signature", signature_bytes, "signature")
+    tags = _joined(tag_rows(signatures, order), "tag", description_bytes, "description")
     return sigs.join(tags, "name", "left").select(
         "name",
         F.lit(category).alias("category"),
@@ -124,14 +135,16 @@ def merge_catalog(curated: DataFrame, scraped: DataFrame) -> DataFrame:
     )
 
 
-def lookup_reference(catalog: DataFrame, query: str, limit: int = 5, order=("origin", "ordinal", "name")) -> DataFrame:
+def lookup_reference(catalog: DataFrame, query: str, limit: int | None = 5, order=("origin", "ordinal", "name")) -> DataFrame:
     """Entries named ``query``; if there are none, those that mention it.
 
     Names and descriptions are compared in any case; the first ``limit`` in
-    table order are kept. Whether an exact name exists is a scalar subquery.
+    table order are kept (``None``: all). Whether an exact name exists is a
+    scalar subquery.
     """
     q = query.lower()
     exact = F.lower("name") == q
     any_exact = catalog.where(exact).groupBy().agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     mention = contains_nocase("name", q) | contains_nocase(F.coalesce("description", F.lit("")), q)
-    return catalog.where(F.when(any_exact, exact).otherwise(mention)).orderBy(*order).limit(limit)
+    found = catalog.where(F.when(any_exact, exact).otherwise(mention)).orderBy(*order)
+    return found if limit is None else found.limit(limit)

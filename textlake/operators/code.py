@@ -17,14 +17,14 @@ def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _events(files: DataFrame, keys, b: Column, at: str, carry=(), tag=None) -> DataFrame:
+def _events(files: DataFrame, keys, b: Column, at: str, carry=(), measure=None) -> DataFrame:
     """Braces (and whatever else ``at`` matches) of every file in order.
 
     Adds ``position``, ``line`` (newlines before the event) and ``level``. A
     brace and its partner share a level: the depth outside of the pair.
     """
-    measure = {"kind": lambda p: F.substring(p, 1, 1), "newlines": _newlines}
-    rows = match_rows(files, keys, b, at, carry, measure, tag)
+    measure = {"kind": lambda p: F.substring(p, 1, 1), "newlines": _newlines, **(measure or {})}
+    rows = match_rows(files, keys, b, at, carry, measure)
     in_file = W.partitionBy(*keys).orderBy("ord")
     before = in_file.rowsBetween(W.unboundedPreceding, -1)
     upto = in_file.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -76,8 +76,8 @@ def _with_first_open(events: DataFrame, keys) -> DataFrame:
 
 
 _EXPORT_OR_BRACE = C.EXPORT + "|" + _BRACE
-# Group 1 is the text up to the next "(", empty if there is none.
-_EXPORT_NAME = C.EXPORT + r"([^(]*\()|" + C.EXPORT + "|" + _BRACE
+# The rest of a line behind an export, up to a parenthesis.
+_NAME = "(?s)^" + C.EXPORT + r"([^(\n]*).*"
 
 
 def _export_events(files: DataFrame, keys, content) -> DataFrame:
@@ -91,9 +91,13 @@ def _export_events(files: DataFrame, keys, content) -> DataFrame:
         C.call_flags("_text").alias("intrinsics_mask"),
         C.arch_tag("_text").alias("arch"),
         _newlines(F.col("_text")).alias("file_newlines"),
+        # Bytes in front of the last parenthesis, -1 if there is none.
+        (F.length("_text") - F.length(F.substring_index("_text", "(", -1)) - 1).alias("last_paren"),
     )
-    carry = ["type_mask", "intrinsics_mask", "arch", "file_newlines"]
-    events = _events(flagged, keys, F.col("_text"), _EXPORT_OR_BRACE, carry, _EXPORT_NAME)
+    carry = ["type_mask", "intrinsics_mask", "arch", "file_newlines", "last_paren"]
+    # A piece ends at the next export or brace, so that the names of a text together are no longer than the text.
+    measure = {"name": lambda p: F.when(F.startswith(p, F.lit(C.EXPORT)), F.regexp_extract(p, _NAME, 1))}
+    events = _events(flagged, keys, F.col("_text"), _EXPORT_OR_BRACE, carry, measure=measure)
     return _with_first_open(_with_partner(events, keys), keys).where("kind = 'e'")
 
 
@@ -105,22 +109,22 @@ def first_open_brace(files: DataFrame, keys, content="content") -> DataFrame:
 
 
 def extract_functions(files: DataFrame, keys, content="content") -> DataFrame:
-    """One row per exported function with a name.
+    """One row per exported function: an export with a parenthesis somewhere behind it.
 
-    ``keys`` identify a file and ``content`` is its text or its bytes. Width,
-    architecture and masks are those of the whole file. One shuffle of the
-    events by file; the text stays behind in the map stage.
+    The name is what follows on the line up to a parenthesis, brace or further export, without white space at its
+    ends. ``keys`` identify a file and ``content`` is its text or its bytes. Width, architecture and masks are those
+    of the whole file. One shuffle of the events by file; the text stays behind in the map stage, and what leaves it
+    grows linearly with the text.
     """
-    named = _export_events(files, keys, content).where("tag <> ''")
+    named = _export_events(files, keys, content).where(F.col("last_paren") > F.col("position"))
     line_count = (
         F.when(F.col("open").isNull(), 1)
         .otherwise(F.coalesce(F.col("open.close_line"), F.col("file_newlines")) - F.col("line") + 1)
         .cast("bigint")
     )
-    bare = F.substring(F.col("tag"), F.lit(1), F.length("tag") - 1)
     return named.select(
         *keys,
-        strip(from_byte_view(bare)).alias("func_name"),
+        strip(from_byte_view(F.col("name"))).alias("func_name"),
         "position",
         (F.col("line") + 1).cast("bigint").alias("line_start"),
         line_count.alias("line_count"),
@@ -159,27 +163,40 @@ def search_functions(functions: DataFrame, query: str) -> DataFrame:
     return functions.where(contains_nocase("func_name", query) | contains_nocase("path", query))
 
 
-def first_matches(matches: DataFrame, limit: int = 10) -> DataFrame:
-    """The first ``limit`` matches in table order and the number of all of them."""
+def first_matches(matches: DataFrame, limit: int | None = 10) -> DataFrame:
+    """The first ``limit`` matches in table order (``None``: all) and the number of all of them."""
     total = matches.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return matches.orderBy("path", "line_start").limit(limit).withColumn("total", total)
+    ordered = matches.orderBy("path", "line_start")
+    return (ordered if limit is None else ordered.limit(limit)).withColumn("total", total)
 
 
-def source_snippet(functions: DataFrame, files: DataFrame, text="content", key="path", max_lines=50) -> DataFrame:
-    """Adds ``snippet``: the lines of each function, NULL if longer than ``max_lines``.
+def source_snippet(functions: DataFrame, files: DataFrame, text="content", key="path", max_lines=None) -> DataFrame:
+    """Adds ``snippet``: the lines of each function, clipped to the end of the file.
 
-    Clipped to the end of the file. Meant for the few rows of a finished search:
-    the files are first reduced to those asked for, so that Spark can broadcast
-    the few paths and leaves the other texts where they are.
+    With ``max_lines`` longer functions give NULL. The ranges that are asked for are collected by file first, so
+    that a text is joined and split once and only slices of it are copied; files that none asks for stay where they
+    are.
     """
-    lines = lines_universal(F.col("_text"))
-    start = F.greatest(F.lit(0), F.col("line_start") - 1)
-    end = F.least(F.size(lines), start + F.col("line_count"))
-    taken = F.greatest(end - start, F.lit(0)).cast("int")
-    body = rstrip(F.array_join(F.slice(lines, (start + 1).cast("int"), taken), "\n"))
-    needed = files.join(functions.select(key).distinct(), key, "left_semi")
-    joined = functions.join(needed.select(key, F.col(text).alias("_text")), key, "left")
-    return joined.withColumn("snippet", F.when(end - start <= max_lines, body)).drop("_text")
+    asked = functions.select(key, "line_start", "line_count").distinct()
+    ranges = asked.groupBy(key).agg(F.collect_list(F.struct("line_start", "line_count")).alias("_ranges"))
+    split = files.select(key, lines_universal(F.col(text)).alias("_lines")).join(ranges, key)
+    start = lambda r: F.greatest(F.lit(0), r["line_start"] - 1)
+    end = lambda r: F.least(F.size("_lines"), start(r) + r["line_count"])
+    taken = lambda r: F.greatest(end(r) - start(r), F.lit(0)).cast("int")
+    cut = F.transform(
+        "_ranges",
+        lambda r: F.struct(
+            r["line_start"].alias("line_start"),
+            r["line_count"].alias("line_count"),
+            taken(r).alias("taken"),
+            F.array_join(F.slice("_lines", (start(r) + 1).cast("int"), taken(r)), "\n").alias("body"),
+        ),
+    )
+    pieces = split.select(key, F.inline(cut))
+    shown = rstrip(F.col("body"))
+    if max_lines is not None:
+        shown = F.when(F.col("taken") <= max_lines, shown)
+    return functions.join(pieces.select(key, "line_start", "line_count", shown.alias("snippet")), [key, "line_start", "line_count"], "left")
 
 
 def index_stats(functions: DataFrame, files: DataFrame, catalog: DataFrame) -> DataFrame:

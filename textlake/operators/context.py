@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import estimate_tokens
 
-RECENT = 10
+# Parts of a project that are sorted by tasks of their own.
+_PARTS = 64
 SUMMARY_HEADING = "## Last Session\n"
 RECENT_HEADING = "## Recent Observations\n"
 
@@ -25,15 +26,20 @@ def last_session_summary(sessions: DataFrame) -> DataFrame:
     )
 
 
-def _recent_lines(observations: DataFrame) -> DataFrame:
-    # rank <= 10 is applied in every task before the shuffle, so a project with
-    # a third of the log sends ten rows per task.
-    newest = W.partitionBy("project").orderBy(F.desc("created_at"), F.asc("id"))
+def _recent_lines(observations: DataFrame, budget: int, recent: int | None) -> DataFrame:
+    # A line costs one token at least, so that no more than ``budget`` lines can fit. The newest of each of some
+    # parts of a project come first, so that a project with a third of the log is not sorted by one task.
+    most = max(0, budget) if recent is None else min(recent, max(0, budget))
+    order = [F.desc("created_at"), F.asc("id")]
+    newest = W.partitionBy("project").orderBy(*order)
+    of_part = W.partitionBy("project", F.pmod(F.xxhash64("id"), F.lit(_PARTS))).orderBy(*order)
     line = F.concat(F.lit("- ["), F.col("type"), F.lit("] "), F.col("content"))
     return (
         observations.select("project", "created_at", "id", "type", "content")
+        .withColumn("rank", F.row_number().over(of_part))
+        .where(F.col("rank") <= most)
         .withColumn("rank", F.row_number().over(newest))
-        .where(F.col("rank") <= RECENT)
+        .where(F.col("rank") <= most)
         .select("project", F.col("rank").cast("bigint").alias("rank"), "id", line.alias("line"))
         .withColumn("cost", estimate_tokens("line"))
     )
@@ -46,17 +52,17 @@ def _within(lines: DataFrame, left: Column) -> DataFrame:
     return lines.withColumn("used", F.sum("cost").over(upto)).where(F.col("used") <= left)
 
 
-def budget_pack(observations: DataFrame, budget: int = 2000) -> DataFrame:
-    """(project, rank, id, line, cost, used): the newest lines that fit the budget."""
-    return _within(_recent_lines(observations), F.lit(budget))
+def budget_pack(observations: DataFrame, budget: int = 2000, recent: int | None = None) -> DataFrame:
+    """(project, rank, id, line, cost, used): the newest lines that fit the budget, ``recent`` at most if given."""
+    return _within(_recent_lines(observations, budget, recent), F.lit(budget))
 
 
-def build_context(sessions, observations, budget=2000, status=None, preamble="") -> DataFrame:
+def build_context(sessions, observations, budget=2000, status=None, preamble="", recent=None) -> DataFrame:
     """(project, context) for every project of either table.
 
     Status line (always, charged), last summary if it fits (else skipped), the
-    packed observations; parts are joined by blank lines. ``preamble`` comes
-    first and is not charged.
+    packed observations (``recent`` at most if given); parts are joined by
+    blank lines. ``preamble`` comes first and is not charged.
     """
     projects = sessions.select("project").union(observations.select("project")).distinct()
     status_cost = len(status) // 4 if status else 0
@@ -67,9 +73,9 @@ def build_context(sessions, observations, budget=2000, status=None, preamble="")
         .withColumn("summary_cost", estimate_tokens("summary_text"))
         .where(F.col("summary_cost") + status_cost <= budget)
     )
-    lines = _recent_lines(observations).join(summaries.select("project", "summary_cost"), "project", "left")
+    lines = _recent_lines(observations, budget, recent).join(summaries.select("project", "summary_cost"), "project", "left")
     left = F.lit(budget - status_cost) - F.coalesce("summary_cost", F.lit(0))
-    # At most ten lines per project.
+    # As many lines per project as the budget has tokens, at most.
     packed = (
         _within(lines, left)
         .groupBy("project")

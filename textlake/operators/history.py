@@ -60,7 +60,7 @@ def what_works(hist: DataFrame, total: int | None = None) -> DataFrame:
     totals = summary.scalar()
     benchmarks = F.lit(total).cast("bigint") if total is not None else totals["benchmarks"]
     wins = latest_accepted(hist).select(
-        "name", _time().alias("time_us"), F.substring(F.coalesce("hypothesis", F.lit("")), 1, 70).alias("strategy")
+        "name", _time().alias("time_us"), F.coalesce("hypothesis", F.lit("")).alias("strategy")
     )
     return wins.join(counts, "name").select(
         "name",
@@ -101,7 +101,14 @@ def history_detail(hist: DataFrame, query: str = "") -> DataFrame:
         F.when(_flag("accepted"), "ACCEPTED").otherwise("rejected").alias("status"),
         _time().alias("time_us"),
         F.when(_flag("correct"), "correct").otherwise("WRONG").alias("verdict"),
-        F.substring(F.coalesce("hypothesis", F.lit("")), 1, 90).alias("hypothesis"),
+        F.coalesce("hypothesis", F.lit("")).alias("hypothesis"),
+    )
+
+
+def accepted_iterations(hist: DataFrame, query: str = "") -> DataFrame:
+    """What worked: every accepted iteration of the benchmarks whose name holds ``query``, with its whole hypothesis."""
+    return hist.where(_flag("accepted") & contains_nocase("name", query)).select(
+        "name", "pos", _time().alias("time_us"), F.coalesce("hypothesis", F.lit("n/a")).alias("hypothesis")
     )
 
 
@@ -121,6 +128,6 @@ def recent_failures(hist: DataFrame, limit: int = 5) -> DataFrame:
             "name",
             "pos",
             reason.alias("reason"),
-            F.substring(F.coalesce("hypothesis", F.lit("n/a")), 1, 100).alias("hypothesis"),
+            F.coalesce("hypothesis", F.lit("n/a")).alias("hypothesis"),
         )
     )

@@ -22,8 +22,10 @@ BACKFILL_MARKER = "[migrated from index.bin]"
 IN_PROGRESS = "(in progress)"
 
 
-def _newest(df: DataFrame, time: str, limit: int) -> DataFrame:
-    return df.orderBy(F.desc(time), F.asc("id")).limit(limit)
+def _newest(df: DataFrame, time: str, limit: int | None) -> DataFrame:
+    """The newest ``limit`` rows, all of them without a limit, newest first."""
+    ordered = df.orderBy(F.desc(time), F.asc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _of_project(df: DataFrame, project) -> DataFrame:
@@ -45,8 +47,8 @@ def recent_observations(obs, project=None, limit=5) -> DataFrame:
 
 
 def recall(obs, last=None) -> DataFrame:
-    """Newest ``last`` observations of all projects; 0 or nothing means 20."""
-    return recent_observations(obs, limit=last or 20)
+    """Newest ``last`` observations of all projects; 0 or nothing means 20, "all" all of them."""
+    return recent_observations(obs, limit=None if last == "all" else last or 20)
 
 
 def observation_by_id(obs, obs_id) -> DataFrame:
@@ -72,11 +74,13 @@ def timeline(sessions, obs, project=None, limit=20, since=None) -> DataFrame:
     a session without any keeps one row of NULLs. The sessions are limited
     before the join, so Spark knows that they are few, broadcasts them and
     filters the observations in place: a session holding a third of the log is
-    never gathered in one task.
+    never gathered in one task. ``limit=None`` gives all sessions, without a
+    rank (NULL), which would take one task: sort by start and id instead.
     """
     newest = filter_sessions(sessions, project, since, limit)
+    rank = F.row_number().over(W.orderBy(F.desc("started_at"), F.asc("id"))) if limit is not None else F.lit(None)
     ranked = newest.select(
-        F.row_number().over(W.orderBy(F.desc("started_at"), F.asc("id"))).cast("bigint").alias("session_rank"),
+        rank.cast("bigint").alias("session_rank"),
         F.col("id").alias("session_id"),
         "project",
         "started_at",
@@ -89,7 +93,8 @@ def timeline(sessions, obs, project=None, limit=20, since=None) -> DataFrame:
     empty = ranked.join(used.distinct(), "session_id", "left_anti")
     both = filled.unionByName(empty, allowMissingColumns=True)
     columns = [*ranked.columns, "obs_id", "type", "content", "created_at"]
-    return both.select(*columns).orderBy("session_rank", "created_at", "obs_id")
+    order = ["session_rank"] if limit is not None else [F.desc("started_at"), "session_id"]
+    return both.select(*columns).orderBy(*order, "created_at", "obs_id")
 
 
 def filter_timeline(entries, project=None, obs_type=None) -> DataFrame:
@@ -118,18 +123,20 @@ def preview_observations(obs, chars=100) -> DataFrame:
     )
 
 
-def memory_stats(obs, sessions) -> DataFrame:
-    """One row: both counts and the newest session start (NULL without sessions)."""
+def memory_stats(obs, sessions, *stored_at: str) -> DataFrame:
+    """One row: both counts, the newest session start (NULL without sessions) and the bytes of the files below
+    ``stored_at`` (0 without any)."""
     n_obs = obs.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = stored_bytes(obs.sparkSession, *stored_at).scalar() if stored_at else F.lit(0).cast("bigint")
     return sessions.groupBy().agg(
         F.count(F.lit(1)).alias("session_count"), F.max("started_at").alias("last_session")
-    ).select(n_obs.alias("observation_count"), "session_count", "last_session")
+    ).select(n_obs.alias("observation_count"), "session_count", "last_session", size.alias("stored_bytes"))
 
 
-def stored_bytes(table: DataFrame) -> DataFrame:
-    """One row: bytes of the files behind a table that was read from files."""
-    files = table.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("stored_bytes"))
+def stored_bytes(spark, *paths: str) -> DataFrame:
+    """One row: bytes of the files below ``paths``, from their listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    return files.select("length").groupBy().agg(F.coalesce(F.sum("length"), F.lit(0)).alias("stored_bytes"))
 
 
 def session_observation_counts(sessions, obs) -> DataFrame:
@@ -152,10 +159,12 @@ def observation_rows(df, key_cols, created_at: Column | None = None) -> DataFram
     """Completes (project, type, content, ...) rows to observations.
 
     The id is a hash of ``key_cols``, which identify a source row, so that a
-    task that is run again makes the same ids. Equal contents stay apart: local
-    writes are not deduplicated.
+    task that is run again makes the same ids. Each value goes in with its
+    length, NULL without one, so that different keys give different texts. Equal
+    contents stay apart: local writes are not deduplicated.
     """
-    key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key_cols])
+    values = [F.col(c).cast("string") for c in key_cols]
+    key = F.concat(*[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values])
     have = set(df.columns)
     return df.select(
         F.sha2(key, 256).alias("id"),

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import content_hash
+
+
+def _hash() -> Column:
+    """The row's hash, worked out where a row has none."""
+    return F.coalesce("content_hash", content_hash("content"), F.lit("")).alias("_hash")
+
 
 def new_observations(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Remote rows whose content is not in ``local``, the first one per content.
 
-    The hash is global, not per project. ``row_number = 1`` keeps one row per
-    hash in every task before the shuffle, so a content that makes up a third
-    of the remote log leaves one row per task. The known hashes are looked up by
-    a semi join: the local side is not shuffled when the remote part is small
-    enough for Spark to broadcast it, and only hashes are read from it.
+    The hash is global, not per project; rows without one are compared by that of their content. Known contents go
+    first, so that of a log that was merged before next to nothing is sorted: the hashes that both sides have come
+    out of a semi join, which reads only hashes from the local side and does not shuffle it when the remote part is
+    small enough for Spark to broadcast. ``row_number = 1`` then keeps one row per hash in every task before the
+    shuffle, so a content that makes up a third of the remote log leaves one row per task.
     """
-    first = W.partitionBy("content_hash").orderBy("created_at", "id")
-    winners = remote.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    hashes = remote.select("content_hash").distinct()
-    known = local.select("content_hash").join(hashes, "content_hash", "left_semi").distinct()
-    return winners.join(known, "content_hash", "left_anti").select(*remote.columns)
+    arriving = remote.select("*", _hash())
+    known = local.select(_hash()).join(arriving.select("_hash").distinct(), "_hash", "left_semi").distinct()
+    first = W.partitionBy("_hash").orderBy("created_at", "id")
+    unknown = arriving.join(known, "_hash", "left_anti")
+    return unknown.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*remote.columns)
 
 
 def merge_observations(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Every local row unchanged plus the new remote ones."""
+    """Every local row unchanged plus the new remote ones.
+
+    Ids are taken as they come; ``id_conflicts`` lists the new rows whose id the log has already.
+    """
     return local.unionByName(new_observations(local, remote))
 
 

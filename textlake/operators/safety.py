@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import byte_view, col
+from ..session import shared_dir
 from .offsets import tagged_positions
 
 
@@ -24,9 +25,18 @@ def has_injection(text) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def _may_inject(text) -> Column:
+    """A cheap necessary condition for a phrase: the possible first letters of one."""
+    found = col(text).rlike(P.PHRASE_HINT)
+    for mark in P.SHORT_PHRASES:
+        found = F.contains(col(text), F.lit(mark)) | found
+    return found
+
+
 def scan_leaks(df: DataFrame, ids, text) -> DataFrame:
     """(ids, kind, pattern, position) of every credential, by byte position."""
-    found = tagged_positions(df.where(has_leak(text)), ids, byte_view(text), P.LEAK_AT)
+    # The hint only: a text without a credential has no position and vanishes there.
+    found = tagged_positions(df.where(col(text).rlike(P.LEAK_HINT)), ids, byte_view(text), P.LEAK_AT)
     return found.select(
         *ids, F.lit(P.SECRET_LEAK).alias("kind"), P.leak_description("tag").alias("pattern"), "position"
     )
@@ -34,7 +44,7 @@ def scan_leaks(df: DataFrame, ids, text) -> DataFrame:
 
 def scan_injection(df: DataFrame, ids, text) -> DataFrame:
     """(ids, kind, pattern, position) of every injection phrase, by byte position."""
-    found = tagged_positions(df.where(has_injection(text)), ids, byte_view(text), P.INJECTION_AT)
+    found = tagged_positions(df.where(_may_inject(text)), ids, byte_view(text), P.INJECTION_AT)
     return found.select(
         *ids, F.lit(P.INJECTION).alias("kind"), P.injection_description("tag").alias("pattern"), "position"
     )
@@ -45,7 +55,7 @@ def scan(df: DataFrame, ids, text) -> DataFrame:
 
     Sort by (ids, kind, position) for injections first, each by position.
     """
-    suspect = df.where(has_injection(text) | has_leak(text))
+    suspect = df.where(_may_inject(text) | col(text).rlike(P.LEAK_HINT))
     found = tagged_positions(suspect, ids, byte_view(text), P.ANY_AT)
     leak = P.is_leak_prefix("tag")
     return found.select(
@@ -69,8 +79,20 @@ def require_clean(df: DataFrame, text) -> DataFrame:
     return df.where(F.assert_true(~has_leak(text), F.lit("text holds a credential")).isNull())
 
 
-def partition_by_safety(df: DataFrame, ids, text):
-    """(accepted rows, rejected rows, warnings of the rejected rows)."""
-    leak = has_leak(text)
-    rejected = df.where(leak)
-    return df.where(~leak), rejected, scan_leaks(df, ids, text)
+def partition_by_safety(df: DataFrame, ids, text, label="screened"):
+    """(accepted rows, rejected rows, warnings of the rejected rows).
+
+    The texts are read and screened once and stored by verdict in the shared folder; each result reads its part, and
+    positions are worked out for the rejected texts alone.
+    """
+    path = shared_dir(df.sparkSession, label)
+    gate(df, text, "_accepted").write.partitionBy("_accepted").parquet(path)
+    # A verdict that no row has leaves no folder.
+    screened = df.sparkSession.read.schema(f"{_ddl(df)}, _accepted boolean").parquet(path)
+    accepted = screened.where("_accepted").drop("_accepted")
+    rejected = screened.where("NOT _accepted").drop("_accepted")
+    return accepted, rejected, scan_leaks(rejected, ids, text)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

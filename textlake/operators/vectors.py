@@ -64,14 +64,34 @@ def top_k(df: DataFrame, k: int, score="score", ties=()) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))
 
 
-def fuzzy_search(df: DataFrame, query: str, k: int, vector="embedding", ties=(), arch=None) -> DataFrame:
-    """Top k by similarity to the byte histogram of ``query``.
+def similarity(df: DataFrame, query: str, vector="embedding", out="score", digits=6) -> DataFrame:
+    """Adds the similarity to the byte histogram of ``query``.
+
+    It is rounded, so that the last digits of a sum make no order between equal vectors.
+    """
+    q = V.literal_vector(V.text_vector(query))
+    return score_vectors(df, vector, q, out).withColumn(out, F.round(out, digits))
+
+
+def fuzzy_search(df: DataFrame, query: str, k: int, vector="embedding", ties=(), project=None, arch=None) -> DataFrame:
+    """Top k by similarity to the byte histogram of ``query``, in one project if it is named.
 
     Rows with a score above 0 are kept after the top k is taken, and the
     architecture filter comes last, so it can leave fewer than exist.
     """
-    q = V.literal_vector(V.text_vector(query))
-    best = top_k(score_vectors(df, vector, q), k, ties=ties).where("score > 0")
+    rows = df.where(F.col("project") == project) if project else df
+    best = top_k(similarity(rows.where(F.col(vector).isNotNull()), query, vector), k, ties=ties).where("score > 0")
+    return best.where(F.col("arch") == arch) if arch else best
+
+
+def fuzzy_search_functions(functions: DataFrame, embeddings: DataFrame, query: str, k: int, arch=None) -> DataFrame:
+    """Top k functions by the similarity of their files to ``query``.
+
+    Each file is scored once and only (path, score) is joined to its functions. The architecture filter comes last,
+    so it can leave fewer than exist.
+    """
+    scores = similarity(embeddings, query).select("path", "score")
+    best = top_k(functions.join(scores, "path"), k, ties=("path", "line_start")).where("score > 0")
     return best.where(F.col("arch") == arch) if arch else best
 
 

@@ -17,10 +17,9 @@ def build_index(files: DataFrame, curated: DataFrame, documented=None, dispatch=
     are (path, text) frames to scrape signatures and names from.
     """
     functions = code.extract_functions(files, ["root_no", "path"])
-    once = files.where("root_no = 0").unionByName(
-        files.where("root_no > 0").join(files.where("root_no = 0").select("path"), "path", "left_anti")
-    )
-    embeddings = vectors.embed(once.select("path", "content"), "content").select("path", "embedding")
+    # A path below several roots has one vector; it is picked among the finished vectors, so no text is shuffled.
+    vectors_of = vectors.embed(files.select("root_no", "path", "content"), "content")
+    embeddings = vectors_of.groupBy("path").agg(F.min_by("embedding", "root_no").alias("embedding"))
     catalog = curated.select(
         F.lit(0).cast("bigint").alias("origin"),
         F.col("ordinal").cast("bigint").alias("ordinal"),
@@ -40,29 +39,38 @@ def build_index(files: DataFrame, curated: DataFrame, documented=None, dispatch=
 
 
 def search_all(
-    functions: DataFrame,
+    functions: DataFrame | None,
     observations: DataFrame,
     query: str,
     scope="all",
     fuzzy=False,
     arch=None,
-    function_limit=10,
-    observation_limit=5,
+    function_limit: int | None = 10,
+    observation_limit: int | None = 5,
+    embeddings: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
-    """(scope, rank, id, title, text): function hits, then observation hits.
+    """(scope, rank, id, title, text, simd_width, line_count, total, snippet): function hits, then observation hits.
 
-    ``scope`` is all, functions or memory. For a fuzzy search both inputs carry
-    an ``embedding`` column. Each branch ends in a top-k, so the union is small.
+    ``scope`` is all, functions or memory. ``text`` is the architecture of a function and the whole content of an
+    observation, ``total`` the number of all hits of a substring search, ``snippet`` the lines of a function if
+    ``files`` (path, content) are given. A fuzzy search needs the files' ``embeddings`` and observations with an
+    ``embedding`` column. Each branch ends in a top-k, so the union is small; without a limit (``None``) all hits
+    come, by path and line or newest first, and have no rank.
     """
+    none = F.lit(None)
     branches = []
     if scope in ("all", "functions"):
         if fuzzy:
-            hits = vectors.fuzzy_search(
-                functions, query, function_limit, ties=("path", "line_start"), arch=arch
-            )
+            hits = vectors.fuzzy_search_functions(functions, embeddings, query, function_limit, arch).withColumn("total", none)
         else:
             found = code.filter_arch(code.search_functions(functions, query), arch)
-            hits = _ranked(found.orderBy("path", "line_start").limit(function_limit), "path", "line_start")
+            first = code.first_matches(found, function_limit)
+            hits = _ranked(first, function_limit, "path", "line_start")
+        if files is not None:
+            hits = code.source_snippet(hits, files)
+        else:
+            hits = hits.withColumn("snippet", none)
         branches.append(
             hits.select(
                 F.lit("function").alias("scope"),
@@ -70,27 +78,38 @@ def search_all(
                 F.concat_ws(":", "path", F.col("line_start").cast("string")).alias("id"),
                 F.col("func_name").alias("title"),
                 F.col("arch").alias("text"),
+                F.col("simd_width").cast("bigint").alias("simd_width"),
+                F.col("line_count").cast("bigint").alias("line_count"),
+                F.col("total").cast("bigint").alias("total"),
+                F.col("snippet").cast("string").alias("snippet"),
             )
         )
     if scope in ("all", "memory"):
         if fuzzy:
-            embedded = observations.where(F.col("embedding").isNotNull())
-            hits = vectors.fuzzy_search(embedded, query, observation_limit, ties=("id",))
+            hits = vectors.fuzzy_search(observations, query, observation_limit, ties=("id",)).withColumn("total", none)
         else:
-            found = log.search_observations(observations, query, limit=observation_limit)
-            hits = _ranked(found, F.desc("created_at"), "id")
+            every = log.search_observations(observations, query, limit=None)
+            total = every.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
+            found = log.search_observations(observations, query, limit=observation_limit).withColumn("total", total)
+            hits = _ranked(found, observation_limit, F.desc("created_at"), "id")
         branches.append(
             hits.select(
                 F.lit("memory").alias("scope"),
                 "rank",
                 F.col("id").cast("string").alias("id"),
                 F.col("type").alias("title"),
-                F.substring("content", 1, 100).alias("text"),
+                F.col("content").alias("text"),
+                none.cast("bigint").alias("simd_width"),
+                none.cast("bigint").alias("line_count"),
+                F.col("total").cast("bigint").alias("total"),
+                none.cast("string").alias("snippet"),
             )
         )
     both = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
-    return both.orderBy("scope", "rank")
+    return both.orderBy("scope", "rank", "id")
 
 
-def _ranked(limited: DataFrame, *order: Column | str) -> DataFrame:
-    return limited.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))
+def _ranked(hits: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """Numbers the few rows of a limit."""
+    rank = F.lit(None) if limit is None else F.row_number().over(W.orderBy(*order))
+    return hits.withColumn("rank", rank.cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import log, merge, safety
@@ -23,11 +23,20 @@ def judged(rows: DataFrame, key_cols, created_at: Column | None = None) -> DataF
     return log.observation_rows(rows, key_cols, created_at).withColumn("status", status)
 
 
+UNNAMED = "unnamed"
+STORED_SCHEMA = (
+    "id string, session_id string, project string, type string, content string, content_hash string, "
+    "created_at {time}, status string, batch string"
+)
+
+
 def ingest_observations(rows: DataFrame, path: str, key_cols, created_at: Column | None = None, batch=None) -> None:
-    """Appends rows below ``path``, partitioned by status.
+    """Appends rows below ``path``, partitioned by batch and status.
 
     With a ``batch`` name they go to a folder of that batch, which is written
-    over when the job is run again, so that a repeated job adds nothing twice.
+    over when the job is run again, so that a repeated job adds nothing twice;
+    without one they are added to the folder of the unnamed ones. Read with
+    ``ingested``.
 
     The texts are read and screened once; readers of one status touch only its
     files, and the positions of the warnings are worked out from the refused
@@ -35,11 +44,16 @@ def ingest_observations(rows: DataFrame, path: str, key_cols, created_at: Column
     """
     writer = judged(rows, key_cols, created_at).write.partitionBy("status")
     if batch is None:
-        writer.mode("append").parquet(path)
+        writer.mode("append").parquet(f"{path}/batch={UNNAMED}")
     else:
         writer.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def ingested(spark: SparkSession, path: str, time_type="timestamp") -> DataFrame:
+    """All rows below ``path`` with their status and batch, which is text whatever its name looks like."""
+    return spark.read.schema(STORED_SCHEMA.format(time=time_type)).parquet(path)
+
+
 def accepted_rows(stored: DataFrame) -> DataFrame:
     return stored.where(F.col("status") == ACCEPTED).drop("status")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,20 +19,20 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.files.ignoreMissingFiles": "true",
     "spark.sql.maxConcurrentOutputFileWriters": "4",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
-def cluster_settings(total_cores: int) -> dict[str, str]:
-    """Shuffle settings for a cluster: many small partitions, merged by AQE.
+def cluster_settings(total_cores: int, largest_shuffle_bytes: int = 0) -> dict[str, str]:
+    """Shuffle partitions that AQE starts from: 128 MB each of the largest shuffle, and two per core at least.
 
-    Eight per core keep a partition of a 100 TB shuffle on 4,000 cores near
-    3 GB before compression, which sorts with little spill.
+    AQE merges partitions that turn out small, but cuts large ones only where they are skewed, so that the number
+    has to come from the bytes.
     """
-    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, 8 * total_cores))}
+    by_bytes = -(-largest_shuffle_bytes // (128 << 20))
+    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, 2 * total_cores, by_bytes))}
 
 
 def build_session(app_name="textlake", master=None, **conf) -> SparkSession:
@@ -47,17 +48,19 @@ def build_session(app_name="textlake", master=None, **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the cluster's ``spark.checkpoint.dir``.
-
-    Every executor must reach it, so a machine-local folder is made up only
-    for a local master that names none (as in tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder name below the cluster's ``spark.checkpoint.dir``, which every executor must reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = spark.conf.get("textlake.local.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="textlake-")
-            spark.conf.set("textlake.local.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+# Where ensure_shared_dir keeps its folder: spark.checkpoint.dir can't be set in a running session.
+_OWN = "textlake.shared.dir"
+
+
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Gives a session on one machine that names no shared folder one of its own, as tests do; others stay as they are."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
+    if not named and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        spark.conf.set(_OWN, tempfile.mkdtemp(prefix="textlake-"))

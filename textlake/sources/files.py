@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import shared_dir
 
 # Folders that hold no sources.
 SKIP_DIRS = [
@@ -34,61 +35,119 @@ HISTORY_SCHEMA = (
 )
 
 
-def _list_dir(spark: SparkSession, folder: str):
-    """(name, is_dir) of the direct children, sorted; None if there is no such folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
-        return None
-    return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(path))
+_LISTED = "root_no int, root string, path string, name string, is_dir boolean, length bigint, modified timestamp"
 
 
-def _no_glob(path: str) -> str:
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+def _file_system(path: str):
+    """File system and path in it, in a task; local paths need no scheme."""
+    from pyarrow import fs
 
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
 
-def load_source_tree(spark: SparkSession, roots, suffix=".ea", skip_dirs=SKIP_DIRS) -> DataFrame:
+
+def _children(batches):
+    """What stands in each folder of (root_no, root, path); a folder that is missing or can't be read has nothing."""
+    import pandas
+    from pyarrow import fs
+
+    columns = [c.split()[0] for c in _LISTED.split(", ")]
+    for batch in batches:
+        for number, root, folder in zip(batch["root_no"], batch["root"], batch["path"], strict=True):
+            system, inside = _file_system(folder)
+            try:
+                found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+            except OSError:
+                found = []
+            base = folder.rstrip("/")
+            rows = [
+                (number, root, f"{base}/{x.base_name}", x.base_name, x.type == fs.FileType.Directory, x.size or 0, x.mtime)
+                for x in found
+            ]
+            for i in range(0, len(rows), 10_000):
+                yield pandas.DataFrame(rows[i : i + 10_000], columns=columns)
+
+
+def _list_folders(folders: DataFrame) -> DataFrame:
+    """The direct children of folders (root_no, root, path); folders are spread over the tasks."""
+    spread = folders.repartition(F.xxhash64("path"))
+    return spread.select("root_no", "root", "path").mapInPandas(_children, _LISTED)
+
+
+def _roots(spark: SparkSession, roots) -> DataFrame:
+    schema = "root_no int, root string, path string"
+    return spark.createDataFrame([(n, r, r.rstrip("/") or "/") for n, r in enumerate(roots)], schema)
+
+
+def _contents(batches):
+    """Adds content, or the error of a file that can't be read; a file at a time."""
+    for batch in batches:
+        for i in range(len(batch)):
+            one = batch.iloc[i : i + 1]
+            content, error = None, None
+            try:
+                system, inside = _file_system(one["path"].iloc[0])
+                with system.open_input_stream(inside) as f:
+                    content = f.read()
+            except OSError as e:
+                error = str(e)
+            yield one.assign(content=[content], error=[error])
+
+
+def read_files(listed: DataFrame) -> DataFrame:
+    """Adds content and error to listed files; one of the two is NULL. Contents are read in the tasks."""
+    plain = listed.drop("content", "error")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.repartition(F.xxhash64("path")).mapInPandas(_contents, f"{ddl}, content binary, error string")
+
+
+def is_source(below: Column, suffix=".ea", skip_dirs=SKIP_DIRS) -> Column:
+    """Whether a path below a root is a source: its suffix fits and no folder on the way is one to skip."""
+    folders = F.slice(F.split(below, "/"), F.lit(1), F.size(F.split(below, "/")) - 1)
+    return F.endswith(below, F.lit(suffix)) & ~F.arrays_overlap(folders, F.array(*map(F.lit, skip_dirs)))
+
+
+def list_source_tree(spark: SparkSession, roots, suffix=".ea", skip_dirs=SKIP_DIRS) -> DataFrame:
+    """(root_no, root, path, length, modified) of all sources below ``roots``, whatever their names begin with.
+
+    Folders are rows: a level of all trees is listed in the tasks and written to the shared folder, and gives the
+    folders of the next one. Folders to skip are not listed. Only the number of folders left comes to the driver.
+    """
+    folders, levels = _roots(spark, roots), []
+    while True:
+        path = shared_dir(spark, "listing")
+        _list_folders(folders).write.parquet(path)
+        level = spark.read.schema(_LISTED).parquet(path)
+        levels.append(level.where(~F.col("is_dir") & F.endswith("name", F.lit(suffix))))
+        folders = level.where(F.col("is_dir") & ~F.col("name").isin(list(skip_dirs)))
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels).select("root_no", "root", "path", "length", "modified")
+
+
+def load_source_tree(spark: SparkSession, roots, suffix=".ea", skip_dirs=SKIP_DIRS, skipped=False) -> DataFrame:
     """(root_no, root, path, content, length, modified) of all sources below ``roots``.
 
-    Folders named in ``skip_dirs`` are left out at any depth below a root: at
-    the first level they are not even listed, deeper ones are filtered by path.
-    A missing root gives no rows, a file that vanishes or cannot be read is
-    skipped, and a file below two roots comes once for each. Sort by (root_no, path).
+    Folders named in ``skip_dirs`` are left out at any depth below a root. A missing root gives no rows, and a file
+    below two roots comes once for each. A file that vanishes or cannot be read is no row; with ``skipped`` these
+    files are returned instead: (root_no, root, path, error). Sort by (root_no, path).
     """
-    parts = []
-    for number, root in enumerate(roots):
-        base = root.rstrip("/")
-        children = _list_dir(spark, base) or []
-        wanted = [n for n, is_dir in children if (n not in skip_dirs if is_dir else n.endswith(suffix))]
-        if not wanted:
-            continue
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*" + suffix)
-            .option("ignoreMissingFiles", True)
-            .option("ignoreCorruptFiles", True)
-            .load([f"{_no_glob(base)}/{_no_glob(n)}" for n in wanted])
-        )
-        local = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
-        plain = re.sub(r"^file:(?://)?(?=/)", "", base)
-        below = F.split(F.substring(local, F.lit(len(plain) + 2), F.length(local)), "/")
-        folders = F.slice(below, F.lit(1), F.size(below) - 1)
-        parts.append(
-            files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, skip_dirs)))).select(
-                F.lit(number).alias("root_no"),
-                F.lit(root).alias("root"),
-                local.alias("path"),
-                "content",
-                "length",
-                F.col("modificationTime").alias("modified"),
-            )
-        )
-    if not parts:
-        schema = "root_no int, root string, path string, content binary, length bigint, modified timestamp"
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    read = read_files(list_source_tree(spark, roots, suffix, skip_dirs))
+    if skipped:
+        return read.where("error IS NOT NULL").select("root_no", "root", "path", "error")
+    return read.where("error IS NULL").select("root_no", "root", "path", "content", "length", "modified")
+
+
+def load_scrape_sources(spark: SparkSession, roots) -> tuple[DataFrame, DataFrame]:
+    """(path, text) of ``src/typeck/intrinsics_*.rs`` and of ``src/typeck/intrinsics.rs`` below each project.
+
+    The former document signatures, the latter dispatches names; a project without the folder has neither.
+    """
+    folders = _roots(spark, [f"{r.rstrip('/')}/src/typeck" for r in roots])
+    listed = _list_folders(folders).where("NOT is_dir AND name LIKE 'intrinsics%.rs'")
+    read = read_files(listed).where("error IS NULL").select("name", "path", F.decode("content", "UTF-8").alias("text"))
+    documented = read.where(F.startswith("name", F.lit("intrinsics_"))).select("path", "text")
+    return documented, read.where("name = 'intrinsics.rs'").select("path", "text")
 
 
 def catalog_entries(texts: DataFrame, ids, value="value") -> DataFrame:
@@ -112,35 +171,25 @@ def history_iterations(texts: DataFrame, ids, value="value") -> DataFrame:
     )
 
 
-def _whole_files(spark: SparkSession, base: str, leaf: str) -> DataFrame | None:
-    """(name, value) of every ``<base>/<name>/<leaf>``; None if there is no ``base``.
+def _folders(spark: SparkSession, base: str) -> DataFrame:
+    return _list_folders(_roots(spark, [base])).where("is_dir")
 
-    Spark lists the folders, in parallel when they are many.
-    """
-    if _list_dir(spark, base) is None:
-        return None
-    texts = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", leaf)
-        .text(_no_glob(base.rstrip("/")), wholetext=True)
-    )
-    parts = F.split(F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:(?://)?(?=/)", ""), "/")
-    depth = len(re.sub(r"^file:(?://)?(?=/)", "", base.rstrip("/")).split("/")) + 2
-    return texts.where(F.size(parts) == depth).select(F.element_at(parts, -2).alias("name"), "value")
+
+def _whole_files(spark: SparkSession, base: str, leaf: str) -> DataFrame:
+    """(name, value) of every ``<base>/<name>/<leaf>``; no rows if there is no ``base``."""
+    paths = _folders(spark, base).select("name", F.concat("path", F.lit(f"/{leaf}")).alias("path"))
+    found = read_files(paths).where("error IS NULL")
+    return found.select("name", F.decode("content", "UTF-8").alias("value"))
 
 
 def list_benchmarks(spark: SparkSession, base) -> DataFrame:
     """Names of all folders below ``base``, also those without a history."""
-    names = [(n,) for n, is_dir in _list_dir(spark, base) or [] if is_dir]
-    return spark.createDataFrame(names, "name string")
+    return _folders(spark, base).select("name")
 
 
 def load_histories(spark: SparkSession, base) -> DataFrame:
     """One row per iteration of every ``<base>/<name>/history.json``, with its place."""
-    whole = _whole_files(spark, base, "history.json")
-    if whole is None:
-        whole = spark.createDataFrame([], "name string, value string")
-    return history_iterations(whole, ["name"])
+    return history_iterations(_whole_files(spark, base, "history.json"), ["name"])
 
 
 def strategy_section(text) -> Column:
@@ -179,6 +228,4 @@ def strategy_section(text) -> Column:
 def load_strategy_notes(spark: SparkSession, base) -> DataFrame:
     """(name, strategy) from ``<base>/<name>/program.md``; NULL without such a section."""
     whole = _whole_files(spark, base, "program.md")
-    if whole is None:
-        whole = spark.createDataFrame([], "name string, value string")
     return whole.select("name", strategy_section(F.col("value")).alias("strategy"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +18,55 @@ SESSION_SCHEMA = "id string, project string, started_at timestamp, ended_at time
 
 
 def write_tables(path: str, built_at: Column, **tables: DataFrame) -> None:
-    """Writes the index tables and, last, a one-row ``meta`` table with their counts.
+    """Writes the index tables as a new version and, last, a ``meta`` row with their counts.
 
-    A reader that finds ``meta`` finds complete tables. Embeddings are stored
-    once per file, keyed by path.
+    Readers take the newest version in ``meta``, so that they find complete tables of one build while another one
+    is written. One build may write at a time. Embeddings are stored once per file, keyed by path.
     """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    number = (_meta(spark, path).agg(F.max("version_no")).first()[0] or 0) + 1
     for name in INDEX_TABLES:
         if name in tables:
-            tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
+            tables[name].write.parquet(f"{path}/{version}/{name}")
+    stored = [n for n in INDEX_TABLES if n in tables]
     counts = [
-        spark.read.parquet(f"{path}/{n}").groupBy().agg(F.count(F.lit(1)).alias("n")).scalar().alias(f"{n}_count")
-        for n in INDEX_TABLES
-        if n in tables
+        spark.read.parquet(f"{path}/{version}/{n}").groupBy().agg(F.count(F.lit(1)).alias("n")).scalar().alias(f"{n}_count")
+        for n in stored
     ]
-    spark.range(1).select(built_at.alias("built_at"), *counts).write.mode("overwrite").parquet(f"{path}/meta")
+    missing = [F.lit(None).cast("bigint").alias(f"{n}_count") for n in INDEX_TABLES if n not in tables]
+    row = spark.range(1).select(
+        F.lit(number).cast("bigint").alias("version_no"),
+        F.lit(version).alias("version"),
+        built_at.cast("bigint").alias("built_at"),
+        *counts,
+        *missing,
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{path}/meta")
+
+
+_META = "version_no bigint, version string, built_at bigint, " + ", ".join(f"{n}_count bigint" for n in INDEX_TABLES)
+
+
+def _meta(spark: SparkSession, path: str) -> DataFrame:
+    """One row per version; none if nothing was written."""
+    try:
+        return spark.read.schema(_META).parquet(f"{path}/meta")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(0).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _META.split(", ")])
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    meta = spark.read.parquet(f"{path}/meta")
-    stored = [c.removesuffix("_count") for c in meta.columns if c.endswith("_count")]
-    return {"meta": meta, **{n: spark.read.parquet(f"{path}/{n}") for n in stored}}
+    """The tables of the newest version and its ``meta`` row."""
+    newest = _meta(spark, path).orderBy(F.desc("version_no")).limit(1)
+    meta = newest.first()
+    if meta is None:
+        raise ValueError(f"no complete index below {path}")
+    stored = [n for n in INDEX_TABLES if meta[f"{n}_count"] is not None]
+    row = newest.select("built_at", *[f"{n}_count" for n in stored])
+    return {"meta": row, **{n: spark.read.parquet(f"{path}/{meta['version']}/{n}") for n in stored}}
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -63,21 +94,3 @@ def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def export_snapshot(df: DataFrame, path: str) -> None:
     """A verbatim copy of a log table."""
     df.write.mode("overwrite").parquet(path)
-
-
-# Spark makes no scan split smaller than this (spark.sql.files.openCostInBytes).
-_LEAST_SPLIT = 4 * 1024 * 1024
-
-
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a table over all cores if its files are too small to occupy them.
-
-    Scans are split by 4 MB at least and by whole row groups, so that a small
-    file with heavy text work runs in one task. Above 4 MB per core, which is
-    any table worth a cluster, the table is returned as it is. Spreading by the
-    row keys serves later windows per row, and filters and column pruning pass
-    through it.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores, *keys) if size < cores * _LEAST_SPLIT else table
