@@ -11,6 +11,7 @@ import duckdb
 import pytest
 import public_tokenizers
 import sentencepiece
+from cases import frame, odd_texts
 from test_license_scan import base
 from test_line_dedup import brute as brute_lines
 from test_near_dup import brute as brute_links
@@ -183,3 +184,19 @@ def test_the_library_does_not_import_the_subpackage():
         for file in (root / folder).rglob("*.py"):
             if "llm" not in file.relative_to(root).parts:
                 assert not re.search(r"^\s*(from|import)\s+\S*llm", file.read_text(), re.M)
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, repeated rows, null and empty texts pass every stage, and what a stage gives fits the next."""
+    rows = frame(spark, odd_texts()).selectExpr("doc_id", "text", "lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    nameless = rows.where("doc_id = 10").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars")
+    rows = rows.unionByName(nameless)
+    stages = dict(corpus_pipeline.STAGES)
+    for frame_in in (rows, rows.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame_in, SF)
+            assert out.columns == frame_in.columns and out.count() <= frame_in.count(), name
+        assert stages["packing"](spark, frame_in, SF).agg({"doc_tokens": "count"}).first()[0] >= frame_in.count()
+    unique = stages["ngram_jaccard_join"](spark, rows, SF)
+    # Copies with and without ids, texts of the same words, and near copies of the line of 30 words go.
+    assert sorted(r["doc_id"] for r in unique.collect()) == [0, 1, 2, 3, 5, 6, 8, 9, 10, 14, 15]

@@ -70,22 +70,23 @@ def labels_of(shingles: np.ndarray) -> bytes:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (a digest of the words in order) and the words' hashes, for texts that have words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    """doc_id, node (a digest of the words in order), hashes of the text and of its words, for texts that have words."""
+    of = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), of.alias("text_hash"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     node = F.substring(F.unhex(F.sha2(F.array_join("w", " "), 256)), 1, 16)
-    return rows.select("doc_id", node.alias("node"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
+    return rows.select("doc_id", node.alias("node"), "text_hash", F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, number of shingles and labels of every text that has words."""
+    """doc_id, node, text_hash, number of shingles and labels of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles_of(w.values.to_numpy()) for w in batch.column("words")]
             columns = [pa.array([len(s) for s in own], pa.int64()), pa.array([labels_of(s) for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "node", "shingles", "labels"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "node", "text_hash", "shingles", "labels"])
 
-    return _hashed(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, node binary, shingles bigint, labels binary")
+    return _hashed(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, node binary, text_hash bigint, shingles bigint, labels binary")
 
 
 def _prefix(tree: Column, depth: int) -> Column:
@@ -228,11 +229,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, depth: int, least: tuple[int, i
 def join(
     docs: DataFrame, least: tuple[int, int] = LEAST, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, rep_id, class_id, n_links, and kept.
+    """One row per document: doc_id, text_hash, rep_id, class_id, n_links, and kept.
 
     rep_id is the smallest id of a document with the same words, n_links the number of other texts (each counted
     once, however many copies it has) at a similarity of at least ``least``, class_id the smallest id of the
-    documents that are connected by links, and kept whether the row is that document.
+    documents that are connected by links, and kept whether the row is that document. text_hash (xxhash64 of the text,
+    null as empty) tells rows with one id apart.
 
     Texts without words, null included, are similar to nothing: their class is the row itself and they are kept. A
     text of fewer than five words has one shingle. Rows that repeat with the same id and words are one document. A
@@ -260,11 +262,13 @@ def join(
     named = linked.join(nodes.select("node", "rep_id"), "node").groupBy("component").agg(F.min("rep_id").alias("class_id"))
     classes = linked.join(named, "component").select("node", "class_id").join(links, "node")
     about = nodes.select("node", "rep_id").join(classes, "node", "left")
-    with_words = signatures.select("doc_id", "node").join(about, "node").select(
-        "doc_id", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    with_words = signatures.select("doc_id", "node", "text_hash").join(about, "node").select(
+        "doc_id", "text_hash", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
     )
     own = F.col(id_col)
     without = docs.where(F.size(words_of(F.col(text_col))) == 0).select(
-        own.alias("doc_id"), own.alias("rep_id"), own.alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
+        own.alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+        own.alias("rep_id"), own.alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
     )
     return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -124,7 +124,25 @@ def op1(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), word_tokenizer(), payload="crc32")
 
 
-@query("op5_deletion_neighbourhood_lines")
+@query(
+    "op5_deletion_neighbourhood_lines",
+    r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+l AS (SELECT doc_id, n - 1 AS line, doc_id * 10000000 + n - 1 AS place, trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS w
+      FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS n FROM parts)),
+d AS (SELECT w, min(place) AS place, string_split(w, ' ') AS ws FROM l WHERE w <> '' GROUP BY w),
+v AS (SELECT place, 0 AS i, w AS variant FROM d WHERE len(ws) >= 10
+      UNION ALL SELECT place, i, array_to_string(ws[1:i - 1], ' ') || ' ' || array_to_string(ws[i + 1:], ' ')
+      FROM (SELECT place, ws, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) >= 10)),
+u AS (SELECT place, i, md5(trim(variant, ' ')) AS variant FROM v),
+g AS (SELECT variant, i, min(place) AS first FROM u GROUP BY ALL),
+k AS (SELECT variant, min(first) FILTER (WHERE i = 0) AS whole, min(first) FILTER (WHERE i > 0) AS cut FROM g GROUP BY variant),
+m AS (SELECT u.place, min(CASE WHEN u.i = 0 THEN k.cut ELSE least(g.first, k.whole) END) AS first
+      FROM u JOIN k USING (variant) JOIN g USING (variant, i) GROUP BY u.place),
+f AS (SELECT d.w, least(d.place, m.first) AS first FROM d LEFT JOIN m USING (place))
+SELECT l.doc_id, l.line, f.first // 10000000 AS keep_doc_id, f.first % 10000000 AS keep_line, f.first = l.place AS kept
+FROM l JOIN f USING (w)""",
+)
 def op5(spark, sf_dir):
     marked = line_dedup.mark_lines(documents(spark, sf_dir))
     return marked.select(
@@ -136,9 +154,28 @@ def op5(spark, sf_dir):
     )
 
 
-@query("op3_lsh_forest_join")
+@query(
+    "op3_lsh_forest_join",
+    r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS rep FROM t WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT DISTINCT rep, array_to_string(w[i:i + 4], ' ') AS run
+      FROM (SELECT rep, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM c)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.rep < b.rep GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reached AS (SELECT DISTINCT a AS node, a AS other FROM links
+            UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other),
+class AS (SELECT node AS rep, min(other) AS class_id FROM reached GROUP BY node),
+degree AS (SELECT a AS rep, count(*) AS n_links FROM links GROUP BY a)
+SELECT t.doc_id, coalesce(c.rep, t.doc_id) AS rep_id, coalesce(class.class_id, c.rep, t.doc_id) AS class_id,
+       coalesce(degree.n_links, 0) AS n_links, t.doc_id = coalesce(class.class_id, c.rep, t.doc_id) AS kept
+FROM t LEFT JOIN c ON t.w = c.w LEFT JOIN class ON class.rep = c.rep LEFT JOIN degree ON degree.rep = c.rep""",
+)
 def op3(spark, sf_dir):
-    return near_dup.join(documents(spark, sf_dir))
+    return near_dup.join(documents(spark, sf_dir)).drop("text_hash")
 
 
 @query("op7_max_plus_pieces")
