@@ -69,8 +69,14 @@ def _byte_counts_udf(unit: bool):
         data = binary.buffers()[2]
         data = numpy.frombuffer(data, dtype=numpy.uint8) if data else numpy.empty(0, numpy.uint8)
         counts = numpy.zeros((len(binary), 256), dtype=numpy.int32)
-        for row, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
-            counts[row] = numpy.bincount(data[lo:hi], minlength=256)
+        # Slices of rows of about a megabyte, so that short texts share a call and long ones need little room.
+        lo = 0
+        while lo < len(binary):
+            hi = max(lo + 1, int(numpy.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
+            rows = numpy.repeat(numpy.arange(hi - lo), numpy.diff(offsets[lo : hi + 1]))
+            codes = rows * 256 + data[offsets[lo] : offsets[hi]]
+            counts[lo:hi] = numpy.bincount(codes, minlength=256 * (hi - lo)).reshape(-1, 256)
+            lo = hi
         if unit:
             exact = counts.astype(numpy.float64)
             length = numpy.sqrt((exact * exact).sum(axis=1, keepdims=True))

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from ..functions.text import content_hash
 
 
-def _hash() -> Column:
+def row_hash() -> Column:
     """The row's hash, worked out where a row has none."""
-    return F.coalesce("content_hash", content_hash("content"), F.lit("")).alias("_hash")
+    return F.coalesce("content_hash", content_hash("content"), F.lit(""))
 
 
 def new_observations(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -23,8 +23,8 @@ def new_observations(local: DataFrame, remote: DataFrame) -> DataFrame:
     small enough for Spark to broadcast. ``row_number = 1`` then keeps one row per hash in every task before the
     shuffle, so a content that makes up a third of the remote log leaves one row per task.
     """
-    arriving = remote.select("*", _hash())
-    known = local.select(_hash()).join(arriving.select("_hash").distinct(), "_hash", "left_semi").distinct()
+    arriving = remote.select("*", row_hash().alias("_hash"))
+    known = local.select(row_hash().alias("_hash")).join(arriving.select("_hash").distinct(), "_hash", "left_semi").distinct()
     first = W.partitionBy("_hash").orderBy("created_at", "id")
     unknown = arriving.join(known, "_hash", "left_anti")
     return unknown.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*remote.columns)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import new_observations
+from ..operators.merge import new_observations, row_hash
 from ..plans.ingest import judged
+from ..session import shared_dir
 from ..sources.tables import append_log, read_log
 
 
@@ -31,19 +33,38 @@ def stream_safe_ingest(
     )
 
 
+_BUCKETS = "hash string, bucket string"
+
+
+def _add_hashes(rows: DataFrame, path: str) -> None:
+    """Adds the rows' hashes to a table that is partitioned by their first two digits."""
+    hashes = rows.select(row_hash().alias("hash")).distinct()
+    hashes.withColumn("bucket", F.substring("hash", 1, 2)).write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def stream_merge(remote: DataFrame, path: str, checkpoint: str, schema, trigger=None) -> StreamingQuery:
     """Merges arriving observations into the log at ``path``.
 
-    Each micro-batch appends the rows whose content the log lacks. Running a
-    batch again finds its rows in place, so a retry is safe, and no state grows
-    with the stream. One such query may write to a log at a time.
+    Each micro-batch appends the rows whose content the log lacks. The log's hashes are read once, when the stream
+    starts, into a table by their first digits; a micro-batch reads the parts of that table that its own hashes fall
+    into. A stream that starts again after a failure reads the log anew and so finds what was appended before, so a
+    retry is safe. One such query may write to a log at a time.
     """
+    known_at = shared_dir(remote.sparkSession, "known-hashes")
+    _add_hashes(read_log(remote.sparkSession, path, schema), known_at)
 
     def merge_batch(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        store = read_log(spark, path, schema)
-        # Written out before the log is read again by the next batch.
-        append_log(new_observations(store, batch.select(*store.columns)), path)
+        arriving = batch.select(*read_log(spark, path, schema).columns)
+        # At most 256 values.
+        buckets = [r[0] for r in arriving.select(F.substring(row_hash(), 1, 2)).distinct().collect()]
+        known = spark.read.schema(_BUCKETS).parquet(known_at).where(F.col("bucket").isin(buckets))
+        fresh_at = shared_dir(spark, "fresh")
+        local = known.select(F.col("hash").alias("content_hash"), F.lit(None).cast("string").alias("content"))
+        new_observations(local, arriving).write.parquet(fresh_at)
+        fresh = spark.read.schema(arriving.schema).parquet(fresh_at)
+        append_log(fresh, path)
+        _add_hashes(fresh, known_at)
 
     return (
         remote.writeStream.foreachBatch(merge_batch)
