@@ -27,80 +27,91 @@ from textlake.llm.exact_dedup import normalised
 NEAR_WORDS = 10
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that have a word: place (document, line from 0, hash of the document's text) and the line's words.
-
-    Lines end at ``\\n``; runs of ASCII white space count as one space and none at the ends.
-    """
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines that have a word: place (document, line from 0, hash of the document's text) and the line as it is."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("of"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    return rows.select(
-        F.struct("doc_id", F.col("line").cast("bigint").alias("line"), "of").alias("place"), F.trim(normalised(F.col("raw"))).alias("words")
-    ).where("words <> ''")
+    return rows.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select(
+        F.struct("doc_id", F.col("line").cast("bigint").alias("line"), "of").alias("place"), "raw"
+    )
 
 
-def _digest(words: Column) -> Column:
-    return F.unhex(F.sha2(words, 256))
+def _words(raw: Column) -> Column:
+    """The words of a line, one space between them."""
+    return F.trim(normalised(raw))
 
 
-def _half_keys(words: Column) -> list[Column]:
+def _count(words: Column) -> Column:
+    """Number of words between single spaces."""
+    return F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit(""))) + 1
+
+
+def _half_keys(words: Column, count: Column) -> Column:
     """Keys that two lines one word apart share: n is the length of the shorter one, or of both."""
     keys = []
     for less in (0, 1):
-        n = F.size(words) - less
+        n = count - less
         half = F.floor(n / 2).cast("int")
-        keys.append(F.xxhash64(n, F.lit("first"), F.slice(words, F.lit(1), half)))
-        keys.append(F.xxhash64(n, F.lit("last"), F.slice(words, F.size(words) - (n - half) + 1, n - half)))
-    return keys
+        part = lambda k: F.call_function("substring_index", words, F.lit(" "), k)
+        keys.append(F.xxhash64(n, F.lit("first"), part(half)))
+        keys.append(F.xxhash64(n, F.lit("last"), part(half - n)))
+    return F.array(*keys)
+
 
+def line_keys(docs: DataFrame, near_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """place, digest (128 bits of the line's words) and, for lines of at least ``near_words`` words, half keys."""
+    rows = _raw_lines(docs, id_col, text_col).select("place", _words(F.col("raw")).alias("words"))
+    # Steps of their own, so that each is worked out once a line.
+    counted = rows.select("place", "words", _count(F.col("words")).alias("count"))
+    keys = F.when(F.col("count") >= near_words, _half_keys(F.col("words"), F.col("count")))
+    return counted.select("place", F.substring(F.unhex(F.sha2("words", 256)), 1, 16).alias("digest"), keys.alias("keys"))
 
-def distinct_lines(lines: DataFrame, near_words: int) -> DataFrame:
+
+def distinct_lines(keyed: DataFrame) -> DataFrame:
     """Each different line once: digest, earliest place, number of copies, and the half keys of long ones."""
-    words = F.split("words", " ")
-    rows = lines.select(
-        _digest(F.col("words")).alias("digest"),
-        "place",
-        F.when(F.size(words) >= near_words, F.array(*_half_keys(words))).alias("keys"),
-    )
     return (
-        rows.groupBy("digest")
+        keyed.groupBy("digest")
         .agg(F.min(F.struct("place", "keys")).alias("first"), F.count(F.lit(1)).alias("copies"))
         .select("digest", "first.place", "first.keys", "copies")
     )
 
 
 def _with_partner(distinct: DataFrame) -> DataFrame:
-    """Places of the lines that share a half with another line."""
+    """place and n of the lines that share a half with another line; n orders them by place."""
     keys = distinct.where("keys IS NOT NULL").select("place", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return keys.join(shared, "key", "left_semi").select("place").distinct()
+    found = keys.join(shared, "key", "left_semi").select("place").distinct()
+    # Ranges of places go to partitions in order, and a partition's numbers are above those of the ones before it.
+    return found.repartitionByRange("place").sortWithinPartitions("place").withColumn("n", F.monotonically_increasing_id())
 
 
 def deletion_variants(lines: DataFrame, seed: int) -> DataFrame:
-    """place, variant key and position: every line without one word, and itself at position -1.
+    """n, position and variant key: every line without one word, and itself at position -1.
 
     A key is the exclusive or of hashes of (word, position), so that running values give all variants of a line in
-    one pass over its words. ``lines`` has place and words as an array, partitioned by place.
+    one pass over its words. ``lines`` has n and words as an array, partitioned by n.
     """
-    one = lines.select("place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    here = F.xxhash64(F.lit(seed), "word", F.col("at"))
-    moved = F.xxhash64(F.lit(seed), "word", F.col("at") - 1)  # behind a deleted word
-    line = Window.partitionBy("place")
-    upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    run = one.select(
-        "place",
+    one = lines.select("n", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+    hashed = one.select(
         "n",
+        "size",
         "at",
-        here.alias("here"),
-        F.bit_xor(here).over(upto).alias("here_upto"),
-        F.bit_xor(moved).over(upto).alias("moved_upto"),
-        F.bit_xor(moved).over(line).alias("moved_all"),
+        F.xxhash64(F.lit(seed), "word", F.col("at")).alias("here"),
+        F.xxhash64(F.lit(seed), "word", F.col("at") - 1).alias("moved"),  # behind a deleted word
+    )
+    line = Window.partitionBy("n")
+    upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    run = hashed.select(
+        "*",
+        F.bit_xor("here").over(upto).alias("here_upto"),
+        F.bit_xor("moved").over(upto).alias("moved_upto"),
+        F.bit_xor("moved").over(line).alias("moved_all"),
     )
     without = F.col("here_upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("moved_all")).bitwiseXOR(F.col("moved_upto"))
-    cut = F.struct(F.col("at").alias("at"), F.xxhash64(F.col("n") - 1, without).alias("key"))
-    whole = F.struct(F.lit(-1).alias("at"), F.xxhash64(F.col("n"), "here_upto").alias("key"))
-    last = F.col("at") == F.col("n") - 1
-    return run.select("place", F.explode(F.when(last, F.array(cut, whole)).otherwise(F.array(cut))).alias("v")).select("place", "v.at", "v.key")
+    cut = F.struct(F.col("at").alias("at"), F.xxhash64(F.col("size") - 1, without).alias("key"))
+    whole = F.struct(F.lit(-1).alias("at"), F.xxhash64(F.col("size"), "here_upto").alias("key"))
+    last = F.col("at") == F.col("size") - 1
+    return run.select("n", F.explode(F.when(last, F.array(cut, whole)).otherwise(F.array(cut))).alias("v")).select("n", "v.at", "v.key")
 
 
 def _within_one_word(a: Column, b: Column) -> Column:
@@ -118,56 +129,52 @@ def _within_one_word(a: Column, b: Column) -> Column:
     )
 
 
-def match_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def match_lines(docs: DataFrame, keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each different line: digest, place of its earliest copy, number of copies, and first.
 
     ``first`` is the place of the earliest line that equals it or is one word apart, and ``place`` itself if there
-    is no earlier one.
+    is no earlier one. ``keyed`` is the stored result of ``line_keys``.
     """
-    lines = lines_of(docs, id_col, text_col)
-    distinct = stored(distinct_lines(lines, near_words), "lines")
+    distinct = stored(distinct_lines(keyed), "lines")
     partners = stored(_with_partner(distinct), "lines-with-partner")
     # Only the texts that may be among them are shuffled; the join decides.
-    key = [F.col("place")]
-    words = bloom.build(partners, ["place"]).scalar()
-    texts = (
-        lines.where(bloom.possible(words, key))
-        .join(partners, "place", "left_semi")
-        .dropDuplicates(["place"])
-        .select("place", F.split("words", " ").alias("words"))
-    )
+    raw = _raw_lines(docs, id_col, text_col)
+    maybe = raw.where(bloom.possible(bloom.build(partners, ["place"]).scalar(), [F.col("place")]))
+    texts = maybe.join(partners, "place").dropDuplicates(["n"]).select("n", F.split(_words(F.col("raw")), " ").alias("words"))
     texts = stored(texts, "line-texts")
     for seed in range(8):
         found = stored(_candidates(texts, seed), "line-matches")
-        first = texts.select(F.col("place").alias("first"), F.col("words").alias("first_words"))
-        verified = found.join(texts, "place").join(first, "first")
+        first = texts.select(F.col("n").alias("first"), F.col("words").alias("first_words"))
+        verified = found.join(texts, "n").join(first, "first")
         if verified.where(~_within_one_word(F.col("words"), F.col("first_words"))).isEmpty():
             break
     else:
         raise RuntimeError("keys of different variants agree under every seed")
-    return distinct.join(found, "place", "left").select("digest", "place", "copies", F.coalesce("first", "place").alias("first"))
+    place_of = partners.select(F.col("n").alias("first"), F.col("place").alias("first_place"))
+    places = found.join(partners, "n").join(place_of, "first").select("place", "first_place")
+    return distinct.join(places, "place", "left").select("digest", "place", "copies", F.coalesce("first_place", "place").alias("first"))
 
 
 def _candidates(texts: DataFrame, seed: int) -> DataFrame:
-    """place and first, for lines that share a variant with an earlier one."""
+    """n and first, for lines that share a variant with an earlier one."""
     variants = stored(deletion_variants(texts, seed), "line-variants")
-    by_position = variants.groupBy("key", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    by_position = variants.groupBy("key", "at").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("lines"))
     by_key = (
         by_position.groupBy("key")
         .agg(
             F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"),
             F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("cut"),
-            F.sum("n").alias("n"),
+            F.sum("lines").alias("lines"),
         )
-        .where("n > 1")
-        .drop("n")
+        .where("lines > 1")
+        .drop("lines")
     )
-    at_position = by_position.where("n > 1 AND at >= 0").select("key", "at", "first")
+    at_position = by_position.where("lines > 1 AND at >= 0").select("key", "at", "first")
     # A line that is a variant of longer ones looks at those; a shortened line looks at the line that it
     # becomes, and at those that lose a word at the same position.
-    other = variants.join(by_key, "key").select("place", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("first"))
-    same = variants.where("at >= 0").join(at_position, ["key", "at"]).select("place", "first")
-    return other.unionByName(same).where("first < place").groupBy("place").agg(F.min("first").alias("first"))
+    other = variants.join(by_key, "key").select("n", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("first"))
+    same = variants.where("at >= 0").join(at_position, ["key", "at"]).select("n", "first")
+    return other.unionByName(same).where("first < n").groupBy("n").agg(F.min("first").alias("first"))
 
 
 def mark_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,12 +184,12 @@ def mark_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc
     the same id and text are one document, whose lines are kept or dropped together. A null id sorts first. An empty
     table gives no rows, and further columns are not read.
     """
-    matched = match_lines(docs, near_words, id_col, text_col)
+    keyed = stored(line_keys(docs, near_words, id_col, text_col), "line-keys")
+    matched = match_lines(docs, keyed, id_col, text_col)
     # Lines that are alone are kept without a look.
     others = matched.where("copies > 1 OR first <> place").select("digest", F.col("first").alias("earliest"))
-    rows = lines_of(docs, id_col, text_col).select("place", _digest(F.col("words")).alias("digest"))
     first = F.coalesce("earliest", "place")
-    return rows.join(others, "digest", "left").select("place", first.alias("first"), (first == F.col("place")).alias("kept"))
+    return keyed.select("place", "digest").join(others, "digest", "left").select("place", first.alias("first"), (first == F.col("place")).alias("kept"))
 
 
 def drop_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
