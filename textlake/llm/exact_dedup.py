@@ -23,6 +23,8 @@ STATE_SETTINGS = {
     # All state partitions of an executor share one memory budget instead of having one each.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    # Else each state partition sets 4 MB of disk aside for its manifest, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
