@@ -37,7 +37,8 @@ def normalised(text: Column) -> Column:
 
 
 def sha256(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    # Never null: a join on a digest that could be null would work it out once more to test that.
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
 def keyed(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_col="doc_id", text_col="text", with_text=False) -> DataFrame:
@@ -133,7 +134,8 @@ def mark_copies(
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # A stream over no files runs no batch and leaves no folder.
-    spark.createDataFrame([], STATE_SCHEMA).write.mode("append").parquet(f"{base}/state/batch=-1")
+    nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in STATE_SCHEMA.split(", ")]
+    spark.range(0).select(*nothing).write.parquet(f"{base}/state/batch=-1")
     state = state_of(spark, f"{base}/state")
 
     classes_of_hits(keyed(read(), digest, id_col, text_col, with_text=True), state).write.parquet(f"{base}/classes")
