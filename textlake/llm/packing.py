@@ -12,7 +12,9 @@ The program sees counts only (one per class, 256 for 4096 ids), whatever the num
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +25,39 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import ranked, stored
 
-CACHED_WORDS = 400_000
+# Words that a process keeps the ids of: as many of late, and as many from before.
+CACHED_WORDS = 300_000
+# A word that ends in ASCII punctuation behind an ASCII letter, apostrophes aside: there the tokenizer always cuts.
+_ENDING = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
+# Letters up to U+00FF in UTF-8: nothing to normalise but case, and nothing to cut.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
+# Byte-level vocabularies write bytes that are no visible Latin-1 character as those from U+0100 on, in order.
+_HIDDEN_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_MARKS = {b: 256 + n for n, b in enumerate(_HIDDEN_BYTES)}
 _encoders: dict[str, _Words] = {}
 
 
+class _Kept(dict):
+    """Ids by word; a word that is not there comes from ``before`` or is made."""
+
+    def __init__(self, make, before):
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
+
+
 class _Words:
     """Token ids of single words, kept for the words that come often.
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words.
+    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words. It lower
+    cases, and cuts between letters and punctuation, so that a new word is put together from its parts, and parts of
+    plain letters go straight to the merges.
     """
 
     def __init__(self, path: str):
@@ -38,20 +65,24 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text as little-endian unsigned 32-bit numbers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            known.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.model = self.tokenizer.model
+        self.kept = _Kept(self.made, {})
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if len(self.kept) > CACHED_WORDS:
+            self.kept = _Kept(self.made, dict(self.kept))
+        return b"".join(map(self.kept.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+    def made(self, word: bytes) -> bytes:
+        if _LETTERS.match(word):
+            low = word.decode().lower().encode().decode("latin-1").translate(_BYTE_MARKS)
+            return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+        # The mark of a special token keeps its word whole.
+        if b"<|" not in word and (m := _ENDING.match(word)):
+            return self.kept[m[1]] + self.kept[m[2]]
+        found = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False)
+        return array("I", found.ids).tobytes()
 
 
 def encoder(path: str) -> _Words:
@@ -78,8 +109,8 @@ def pieces(
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 of, out = [], []
-                for n, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += end
+                for n, text in enumerate(part.column("text").to_pylist()):
+                    ids = encode(text or "") + end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         piece = ids[4 * start : 4 * (start + capacity)]
