@@ -144,8 +144,9 @@ def test_scrape_sources(spark, tmp_path):
     for name in ["intrinsics_a.rs", "intrinsics_b.rs", "intrinsics.rs", "other.rs", "deep/intrinsics_c.rs"]:
         put(tmp_path, f"one/src/typeck/{name}", name)
     put(tmp_path, "two/src/intrinsics_a.rs", "x")
+    (tmp_path / "one/src/typeck/intrinsics_c.rs").write_bytes(b"\xffc")
     documented, dispatch = files.load_scrape_sources(spark, [str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "none")])
-    assert sorted(rows(documented, "text")) == [("intrinsics_a.rs",), ("intrinsics_b.rs",)]
+    assert sorted(rows(documented, "text")) == [("intrinsics_a.rs",), ("intrinsics_b.rs",), ("\ufffdc",)]
     assert rows(dispatch, "text") == [("intrinsics.rs",)]
 
 

@@ -145,7 +145,7 @@ def load_scrape_sources(spark: SparkSession, roots) -> tuple[DataFrame, DataFram
     """
     folders = _roots(spark, [f"{r.rstrip('/')}/src/typeck" for r in roots])
     listed = _list_folders(folders).where("NOT is_dir AND name LIKE 'intrinsics%.rs'")
-    read = read_files(listed).where("error IS NULL").select("name", "path", F.decode("content", "UTF-8").alias("text"))
+    read = read_files(listed).where("error IS NULL").select("name", "path", _text("content").alias("text"))
     documented = read.where(F.startswith("name", F.lit("intrinsics_"))).select("path", "text")
     return documented, read.where("name = 'intrinsics.rs'").select("path", "text")
 
@@ -171,6 +171,11 @@ def history_iterations(texts: DataFrame, ids, value="value") -> DataFrame:
     )
 
 
+def _text(content) -> Column:
+    """The text of a file's bytes; broken sequences become U+FFFD."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
 def _folders(spark: SparkSession, base: str) -> DataFrame:
     return _list_folders(_roots(spark, [base])).where("is_dir")
 
@@ -179,7 +184,7 @@ def _whole_files(spark: SparkSession, base: str, leaf: str) -> DataFrame:
     """(name, value) of every ``<base>/<name>/<leaf>``; no rows if there is no ``base``."""
     paths = _folders(spark, base).select("name", F.concat("path", F.lit(f"/{leaf}")).alias("path"))
     found = read_files(paths).where("error IS NULL")
-    return found.select("name", F.decode("content", "UTF-8").alias("value"))
+    return found.select("name", _text("content").alias("value"))
 
 
 def list_benchmarks(spark: SparkSession, base) -> DataFrame:
