@@ -50,6 +50,18 @@ def test_texts_that_share_a_digest_are_told_apart(spark, tmp_path):
     assert sorted(got, key=repr) == wanted(rows, lambda t: str(min(len(t), 4)).encode().hex().upper())
 
 
+def test_the_place_of_the_text_that_stays(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    frame(spark, ["a", "b", "a ", "b", "a"]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    marked = exact_dedup.mark_copies(spark, lambda: spark.read.parquet(path), lambda: stream)
+    places = docs.select("doc_id", F.xxhash64("_metadata.file_path").alias("keep_file"), F.col("_metadata.row_index").alias("keep_row"))
+    found = marked.select("keep_id", "keep_file", "keep_row").distinct().join(places, ["keep_file", "keep_row"])
+    assert found.count() == marked.where("keep_id IS NOT NULL").select("keep_id").distinct().count() > 0
+    assert found.where("keep_id <=> doc_id").count() == found.count()
+
+
 def test_a_hot_text(spark, tmp_path):
     docs = frame(spark, ["same text"] * 3000 + [f"own {i % 900}" for i in range(2000)])
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

@@ -58,6 +58,18 @@ def test_all_links_are_found(spark):
     assert joined(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_prefixes_are_shortened_to_the_target(spark, monkeypatch):
+    depths = []
+    verified = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda *a: depths.append(a[2:4]) or verified(*a))
+    docs = frame(spark, near_copies(seed=8, bases=2))
+    near_dup.join(docs)
+    assert depths[0] == (6, 7) and depths[-1][0] <= 4 and all(a[1] == b[0] for a, b in zip(depths[1:], depths, strict=False))
+    depths.clear()
+    near_dup.join(docs, target=0.5)
+    assert depths == [(6, 7)]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 4)
     docs = frame(spark, near_copies(seed=7, bases=4))

@@ -103,7 +103,11 @@ def test_canonical_urls(spark):
 
 def test_filter_passes_all_that_it_holds_and_little_else(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"))
-    words = bloom.build(keys.where("substring(k, 2) % 2 = 0"), ["k"], 12).scalar()
-    got = keys.select(F.expr("substring(k, 2) % 2 = 0").alias("held"), bloom.possible(words, [F.col("k")], 12).alias("p")).groupBy("held", "p").count().collect()
-    n = {(r["held"], r["p"]): r["count"] for r in got}
+    passed, others = bloom.split(keys, keys.where("substring(k, 2) % 2 = 0"), [F.col("k")], 12)
+    n = {
+        (r["held"], p): r["count"]
+        for p, rows in ((True, passed), (False, others))
+        for r in rows.groupBy(F.expr("substring(k, 2) % 2 = 0").alias("held")).count().collect()
+    }
+    assert passed.columns == others.columns == ["k"] and sum(n.values()) == 20_000
     assert (True, False) not in n and n[True, True] == 10_000 and n.get((False, True), 0) < 500

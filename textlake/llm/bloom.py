@@ -15,9 +15,8 @@ PROBES = 4
 LOG2_WORDS = 16
 
 
-def word_and_mask(key: list[Column], log2_words: int = LOG2_WORDS) -> tuple[Column, Column]:
-    """The number of a key's word (from 0) and its bits."""
-    spread = F.xxhash64(*key)
+def _word_and_mask(spread: Column, log2_words: int) -> tuple[Column, Column]:
+    """The number of a hash's word (from 0) and its bits."""
     word = F.shiftrightunsigned(spread, 64 - log2_words).cast("int")
     mask = F.lit(0).cast("bigint")
     for i in range(PROBES):
@@ -28,23 +27,22 @@ def word_and_mask(key: list[Column], log2_words: int = LOG2_WORDS) -> tuple[Colu
 
 def build(keys: DataFrame, key: list[str], log2_words: int = LOG2_WORDS) -> DataFrame:
     """One row with the array of words; the tasks send a partial OR per word."""
-    word, mask = word_and_mask([F.col(c) for c in key], log2_words)
+    word, mask = _word_and_mask(F.xxhash64(*key), log2_words)
     bits = keys.select(word.cast("bigint").alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
     every = keys.sparkSession.range(1 << log2_words).withColumnRenamed("id", "word").join(bits, "word", "left")
     ordered = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
     return every.agg(F.transform(ordered, lambda w: w["bits"]).alias("words"))
 
 
-def possible(words: Column, key: list[Column], log2_words: int = LOG2_WORDS) -> Column:
-    """Whether a key may be in the filter; a key that was built in always may."""
-    word, mask = word_and_mask(key, log2_words)
-    return F.get(words, word).bitwiseAND(mask) == mask
-
-
 def split(rows: DataFrame, keys: DataFrame, of: list[Column], log2_words: int = LOG2_WORDS) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be among ``keys``, and rows whose key is not: only the former have to be joined.
 
-    ``keys`` is read more than once and has the key's columns in the order of ``of``.
+    ``keys`` is read more than once and has the key's columns in the order of ``of``. A key that was built in always
+    passes.
     """
-    held = possible(build(keys, keys.columns, log2_words).scalar(), of, log2_words)
-    return rows.where(held), rows.where(~held)
+    # A generator, so that the hash is a column and the key is not worked out again for each use of it.
+    hashed = rows.withColumn("_spread", F.explode(F.array(F.xxhash64(*of))))
+    words = build(keys, keys.columns, log2_words).scalar()
+    word, mask = _word_and_mask(F.col("_spread"), log2_words)
+    held = F.get(words, word).bitwiseAND(mask) == mask
+    return hashed.where(held).drop("_spread"), hashed.where(~held).drop("_spread")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textlake.llm.common import documents
+from textlake.llm import bloom
+from textlake.llm.common import documents, stored
 from textlake.session import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,29 +84,36 @@ STATE_SCHEMA = "digest binary, keep_id bigint, keep_file bigint, keep_row bigint
 def state_of(spark: SparkSession, out: str) -> DataFrame:
     """The last state of every digest: copies only grow, so that the largest count is the last."""
     rows = spark.read.schema(f"{STATE_SCHEMA}, batch bigint").parquet(out)
-    return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("copies").alias("copies"))
+    last = [F.max_by(c, "copies").alias(c) for c in ("keep_id", "keep_file", "keep_row")]
+    return rows.groupBy("digest").agg(*last, F.max("copies").alias("copies"))
 
 
 def classes_of_hits(texts: DataFrame, state: DataFrame) -> DataFrame:
     """Compares the whole texts of all hits: a row for each different text of a digest that came more than once.
 
-    A text leaves its task only as one of a digest that has copies. Digests with at least one in 2,000 of all
-    copies are dealt over several tasks (there are at most 2,000 of them, so that they can be broadcast); grouping by
-    digest and text then collapses copies before the second shuffle.
+    A text leaves its task only if its digest may have copies, which a Bloom filter says. Digests with at least one in
+    2,000 of all copies are dealt over several tasks (there are at most 2,000 of them, so that they can be broadcast);
+    grouping by digest and text then collapses copies before the second shuffle. ``state`` is read several times.
     """
     hits = state.where("copies > 1")
+    texts, _ = bloom.split(texts, hits.select("digest"), [F.col("digest")])
     total = hits.agg(F.sum("copies")).first()[0] or 0
     heavy = max(1000, total // 2000)
     salts = F.ceil(F.col("copies") / F.lit(heavy)).cast("int")
     often = hits.where(F.col("copies") >= heavy).select("digest", salts.alias("salts"))
     dealt = texts.join(F.broadcast(often), "digest", "left").select(
-        "digest", "doc_id", "norm", F.pmod(F.xxhash64("file", "row"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+        "digest", "doc_id", "norm", "file", "row", F.pmod(F.xxhash64("file", "row"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
     )
     wanted = hits.select("digest", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).alias("salt"))
     return (
         dealt.join(wanted, ["digest", "salt"], "left_semi")
         .groupBy("digest", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+        .agg(
+            F.min("doc_id").alias("keep_id"),
+            F.min_by("file", "doc_id").alias("keep_file"),
+            F.min_by("row", "doc_id").alias("keep_row"),
+            F.count(F.lit(1)).alias("copies"),
+        )
     )
 
 
@@ -117,7 +125,9 @@ def mark_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, digest, keep_id (smallest id of an equal text), group_size and kept.
+    """One row per document: doc_id, digest, keep_id (smallest id of an equal text), group_size, kept, and where the
+    text that stays is found (keep_file, a hash of the file's path, and keep_row, the row in it; null if no copy has
+    an id).
 
     ``stream`` and ``read`` give the same files as a stream and as a table. White space is compared as ``normalised``
     has it. Null and empty texts are equal to each other. Of rows that repeat with the same id, all count as the one
@@ -136,18 +146,19 @@ def mark_copies(
     # A stream over no files runs no batch and leaves no folder.
     nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in STATE_SCHEMA.split(", ")]
     spark.range(0).select(*nothing).write.parquet(f"{base}/state/batch=-1")
-    state = state_of(spark, f"{base}/state")
+    state = stored(state_of(spark, f"{base}/state"), "digests")
 
     classes_of_hits(keyed(read(), digest, id_col, text_col, with_text=True), state).write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
     clashing = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
     keys = keyed(read(), digest, id_col, text_col)
-    marked = keys.join(state, "digest").select("digest", "doc_id", "file", "row", "keep_id", "copies")
+    columns = ["digest", "doc_id", "keep_id", "keep_file", "keep_row", "copies"]
+    marked = keys.join(state, "digest").select(*columns)
     if not clashing.isEmpty():
         # Texts that only share a digest: their rows take the class of their own text.
         texts = keyed(read(), digest, id_col, text_col, with_text=True).join(clashing, "digest", "left_semi")
-        own = texts.join(classes, ["digest", "norm"]).select("digest", texts.doc_id, "file", "row", "keep_id", "copies")
+        own = texts.join(classes, ["digest", "norm"]).select(*columns)
         marked = marked.join(clashing, "digest", "left_anti").unionByName(own)
     return marked.select(
         "doc_id",
@@ -155,6 +166,8 @@ def mark_copies(
         "keep_id",
         F.col("copies").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "keep_file",
+        "keep_row",
     )
 
 

@@ -137,9 +137,10 @@ def match_lines(docs: DataFrame, keyed: DataFrame, id_col: str = "doc_id", text_
     """
     distinct = stored(distinct_lines(keyed), "lines")
     partners = stored(_with_partner(distinct), "lines-with-partner")
-    # Only the texts that may be among them are shuffled; the join decides.
-    raw = _raw_lines(docs, id_col, text_col)
-    maybe = raw.where(bloom.possible(bloom.build(partners, ["place"]).scalar(), [F.col("place")]))
+    # Only documents that may have such lines are split, and only lines that may be among them are shuffled; the join
+    # decides.
+    of_partners, _ = bloom.split(docs, partners.select("place.doc_id"), [F.col(id_col)])
+    maybe, _ = bloom.split(_raw_lines(of_partners, id_col, text_col), partners.select("place"), [F.col("place")])
     texts = maybe.join(partners, "place").dropDuplicates(["n"]).select("n", F.split(_words(F.col("raw")), " ").alias("words"))
     texts = stored(texts, "line-texts")
     for seed in range(8):

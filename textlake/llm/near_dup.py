@@ -2,9 +2,9 @@
 
 Texts with the same words are one class, which is looked up once. A class has a signature of ``TREES`` labels of
 ``DEPTH`` MinHash values; the labels of one tree, sorted, are a prefix trie. Classes that share a prefix in a tree
-are candidates. The join starts with whole labels and shortens the prefix step by step until the estimated recall
-reaches its target: a pair of similarity s shares a prefix of d values in one of t trees with probability
-p = 1 - (1 - s^d)^t, so that each verified pair stands for 1 / p pairs.
+are candidates. The join starts with whole labels and shortens the prefix until the estimated recall reaches its
+target: a pair of similarity s shares a prefix of d values in one of t trees with probability p = 1 - (1 - s^d)^t, so
+that each verified pair stands for 1 / p pairs, and the similarities found tell how far the prefix has to be shortened.
 
 Candidates are verified on their whole sets of shingles. They meet block by block: the classes that hang together by
 shared prefixes are dealt over blocks of bounded size, and a task compares two blocks and gives counts and the
@@ -26,10 +26,10 @@ from textlake.llm.common import stored
 from textlake.llm.components import components
 
 WORDS = 5
-TREES, DEPTH = 16, 6
+TREES, DEPTH = 20, 6
 # Similarity of a link, as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.9999
 # A block holds about this many classes, and about this many shingles (8 bytes each).
 BLOCK_CLASSES, BLOCK_SHINGLES = 192, 500_000
 
@@ -100,8 +100,7 @@ def _stars(nodes: DataFrame, depth: int) -> DataFrame:
     shared = stored(
         keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "prefixes"
     )
-    words = bloom.build(shared, ["key"]).scalar()
-    passed = keys.where(bloom.possible(words, [F.col("key")]))
+    passed, _ = bloom.split(keys, shared.select("key"), [F.col("key")])
     return passed.join(shared, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
 
@@ -117,10 +116,10 @@ def _sharing(left: np.ndarray, right: np.ndarray, depth: int) -> np.ndarray:
     return found
 
 
-def _verify(block: pd.DataFrame, depth: int, least: tuple[int, int]) -> pd.DataFrame:
+def _verify(block: pd.DataFrame, depth: int, done: int, least: tuple[int, int]) -> pd.DataFrame:
     """Compares the classes of two blocks, or those of one with each other.
 
-    Only pairs that share a prefix of ``depth`` values and no longer one are looked at. Rows: classes with their
+    Only pairs that share a prefix of ``depth`` values and none of ``done`` are looked at. Rows: classes with their
     numbers of links; links that connect what is linked; and the number of links by similarity, in hundredths.
     """
     block = block.sort_values("node", ignore_index=True)
@@ -129,7 +128,7 @@ def _verify(block: pd.DataFrame, depth: int, least: tuple[int, int]) -> pd.DataF
     labels = np.stack([np.frombuffer(b, ">u4").reshape(TREES, DEPTH) for b in block["labels"]])
     sets = [np.frombuffer(b, "<u8") for b in block["set"]]
     a, b = sides
-    wanted = _sharing(labels[a], labels[b], depth) & ~_sharing(labels[a], labels[b], depth + 1)
+    wanted = _sharing(labels[a], labels[b], depth) & ~_sharing(labels[a], labels[b], done)
     if one:
         wanted = np.triu(wanted, 1)
     links = np.zeros(len(block), np.int64)
@@ -179,8 +178,10 @@ def _chance(depth: int) -> np.ndarray:
     return 1 - (1 - (np.maximum(np.arange(101), 1) / 100) ** depth) ** TREES
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, depth: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Rows of ``_verify`` for all pairs whose longest shared prefix has ``depth`` values."""
+def _verified(
+    docs: DataFrame, nodes: DataFrame, depth: int, done: int, least: tuple[int, int], id_col: str, text_col: str
+) -> DataFrame:
+    """Rows of ``_verify`` for all pairs whose longest shared prefix has ``depth`` values or more, but less than ``done``."""
     together = stored(components(_stars(nodes, depth)), "together")
     sizes = (
         together.join(nodes.select("node", "shingles"), "node")
@@ -202,8 +203,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, depth: int, least: tuple[int, i
             own = [shingles_of(w.values.to_numpy()).astype("<u8").tobytes() for w in batch.column("words")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], ["doc_id", "node", "set"])
 
-    own = F.col(id_col)
-    among = docs.where(bloom.possible(bloom.build(dealt, ["doc_id"]).scalar(), [own]))
+    among, _ = bloom.split(docs, dealt.select("doc_id"), [F.col(id_col)])
     read = (
         _hashed(among, id_col, text_col)
         .mapInArrow(sets, "doc_id bigint, node binary, set binary")
@@ -222,7 +222,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, depth: int, least: tuple[int, i
         "set",
     )
     return paired.groupBy("component", "first", "second").applyInPandas(
-        lambda block: _verify(block, depth, least), "a binary, b binary, links bigint, hundredths int"
+        lambda block: _verify(block, depth, done, least), "a binary, b binary, links bigint, hundredths int"
     )
 
 
@@ -250,25 +250,35 @@ def join(
     )
     found = None
     by_similarity = np.zeros(101)
-    for depth in range(DEPTH, 0, -1):
-        rows = stored(_verified(docs, nodes, depth, least, id_col, text_col), "verified")
+    by_similarity[100 * least[0] // least[1]] = 1  # a pair at the bound is always reckoned with
+    depth, done = DEPTH, DEPTH + 1
+    while depth:
+        rows = stored(_verified(docs, nodes, depth, done, least, id_col, text_col), "verified")
         found = rows if found is None else found.unionByName(rows)
         for r in rows.where("a IS NULL").groupBy("hundredths").agg(F.sum("links").alias("links")).collect():
             by_similarity[r["hundredths"]] += r["links"]
-        if by_similarity.sum() >= target * (by_similarity / _chance(depth)).sum():
-            break
+        # All pairs by similarity, and the share of them that prefixes of each length find.
+        every = by_similarity / _chance(depth)
+        enough = [d for d in range(1, DEPTH + 1) if (every * _chance(d)).sum() >= target * every.sum()]
+        done, depth = depth, min(depth - 1, max(enough, default=1)) if depth not in enough else 0
     links = found.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     named = linked.join(nodes.select("node", "rep_id"), "node").groupBy("component").agg(F.min("rep_id").alias("class_id"))
     classes = linked.join(named, "component").select("node", "class_id").join(links, "node")
     about = nodes.select("node", "rep_id").join(classes, "node", "left")
     with_words = signatures.select("doc_id", "node", "text_hash").join(about, "node").select(
-        "doc_id", "text_hash", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+        "doc_id",
+        "text_hash",
+        "rep_id",
+        F.coalesce("class_id", "rep_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
     own = F.col(id_col)
     without = docs.where(F.size(words_of(F.col(text_col))) == 0).select(
         own.alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-        own.alias("rep_id"), own.alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
+        own.alias("rep_id"),
+        own.alias("class_id"),
+        F.lit(0).cast("bigint").alias("n_links"),
     )
     return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

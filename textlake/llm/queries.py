@@ -52,7 +52,7 @@ FROM n""",
 )
 def op4(spark, sf_dir):
     marked = exact_dedup.mark_copies_of_table(spark, sf_dir)
-    return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+    return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest", "keep_file", "keep_row")
 
 
 # The rules of op2, and the hosts that its block list names.

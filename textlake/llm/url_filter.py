@@ -80,8 +80,6 @@ def judge(pages: DataFrame, listed: DataFrame, default="allow", id_col="page_id"
         .agg(F.sort_array(F.collect_set(F.struct(_labels(F.col("host")).alias("labels"), F.length("path").alias("chars")))))
         .scalar()
     )
-    words = bloom.build(entries, ["kind", "host", "path"], log2_words).scalar()
-
     urls = pages.where(F.instr(url_col, "://") > 0).select(F.col(url_col).alias("url")).distinct()
     parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), shapes.alias("shapes"))
     fitting = F.filter("shapes", lambda s: (s["labels"] <= _labels(F.col("host"))) & (s["chars"] <= F.length("path")))
@@ -95,7 +93,8 @@ def judge(pages: DataFrame, listed: DataFrame, default="allow", id_col="page_id"
     )
     itself = F.struct(F.lit("whole").alias("kind"), canonical(F.col("url")).alias("host"), F.lit("").alias("path"))
     candidates = parts.select("url", F.inline(F.concat(F.array(itself), own)))
-    passed = candidates.where(bloom.possible(words, [F.col(c) for c in ("kind", "host", "path")], log2_words))
+    key = ["kind", "host", "path"]
+    passed, _ = bloom.split(candidates, entries.select(*key), [F.col(c) for c in key], log2_words)
     exact = passed.join(entries.hint("shuffle_hash"), ["kind", "host", "path"])
     order = F.struct(F.col("rule").isNotNull(), F.length("host") + F.length("path"), F.length("host"), F.col("verdict"))
     best = exact.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
