@@ -85,6 +85,12 @@ def test_plan_covers_the_demand():
         assert area / units - 1e-6 <= fractional <= used <= fractional + units
 
 
+def test_inverse():
+    matrix = np.random.default_rng(2).random((40, 40))
+    matrix[0, 0] = 0
+    assert np.allclose((matrix[:, :, None] * packing._inverse(matrix)[None]).sum(1), np.eye(40))
+
+
 def test_knapsack_by_brute_force():
     rnd = np.random.default_rng(9)
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from textlake.llm.common import ranked, stored
 
 # Words that a process keeps the ids of: as many of late, and as many from before.
 CACHED_WORDS = 300_000
+# Texts that are tokenised together.
+PART_BYTES = 4 << 20
 # A word that ends in ASCII punctuation behind an ASCII letter, apostrophes aside: there the tokenizer always cuts.
 _ENDING = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
 # Letters up to U+00FF in UTF-8: nothing to normalise but case, and nothing to cut.
@@ -68,16 +71,32 @@ class _Words:
         self.model = self.tokenizer.model
         self.kept = _Kept(self.made, {})
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text. Each different word of the texts is looked up once."""
         if len(self.kept) > CACHED_WORDS:
             self.kept = _Kept(self.made, dict(self.kept))
-        return b"".join(map(self.kept.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        found = list(map(self.kept.__getitem__, words.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        places = words.indices.to_numpy()
+        # Where each word's ids begin among all different words' ids, and among those of the texts.
+        begins, lengths = (np.cumsum(sizes) - sizes)[places], sizes[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = ids[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        return np.split(flat, bounds[1:-1]) if len(texts) else []
 
     def made(self, word: bytes) -> bytes:
+        if not word:  # in front of white space at a text's beginning, and behind it at the end
+            return b""
         if _LETTERS.match(word):
-            low = word.decode().lower().encode().decode("latin-1").translate(_BYTE_MARKS)
-            return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+            low = word.decode().lower().encode()
+            if low != word:
+                return self.kept[low]
+            marks = word.decode("latin-1").translate(_BYTE_MARKS)
+            return array("I", [t.id for t in self.model.tokenize(marks)]).tobytes()
         # The mark of a special token keeps its word whole.
         if b"<|" not in word and (m := _ENDING.match(word)):
             return self.kept[m[1]] + self.kept[m[2]]
@@ -92,6 +111,17 @@ def encoder(path: str) -> _Words:
     return _encoders[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of rows whose texts have about ``PART_BYTES`` together; a longer one is alone."""
+    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes) // PART_BYTES
+    at = 0
+    for end in [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]:
+        if end > at:
+            yield batch.slice(at, end - at)
+        at = end
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, payload: str = "ids", id_col="doc_id", text_col="text"
 ) -> DataFrame:
@@ -101,22 +131,19 @@ def pieces(
     numbers). A null or empty text has the end id only.
     """
     kind = {"ids": "ids array<int>", "crc32": "ids_crc32 bigint"}[payload]
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for part in _parts(batch):
                 of, out = [], []
-                for n, text in enumerate(part.column("text").to_pylist()):
-                    ids = encode(text or "") + end
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        shown = zlib.crc32(piece) if payload == "crc32" else np.frombuffer(piece, "<u4").tolist()
+                for n, ids in enumerate(encode(part.column("text"))):
+                    ids = np.concatenate([ids, end])
+                    for start in range(0, len(ids), capacity):
+                        piece = ids[start : start + capacity]
                         of.append(n)
-                        out.append((start, len(piece) // 4, total, shown))
+                        out.append((start, len(piece), len(ids), zlib.crc32(piece) if payload == "crc32" else piece))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns], names)
 
@@ -149,6 +176,25 @@ def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    # Element by element: the threads of a linear algebra library can lock up a driver that also talks to a JVM.
+    return (matrix * vector).sum(1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with pivots, row operations on the whole matrix."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        others = both[:, i].copy()
+        others[i] = 0
+        both -= others[:, None] * both[i]
+    return both[:, n:]
+
+
 def column_generation(demand: np.ndarray, most_rounds: int = 5000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each, a fractional solution: min sum x with patterns * x >= demand.
 
@@ -164,15 +210,16 @@ def column_generation(demand: np.ndarray, most_rounds: int = 5000) -> list[tuple
     basis = np.zeros((n, n))  # columns are patterns, rows are classes
     basis[np.arange(n), np.arange(n)] = units // sizes
     inverse = np.diag(1.0 / (units // sizes))
-    x = inverse @ demand[classes].astype(float)
-    for _ in range(most_rounds):
+    wanted = demand[classes].astype(float)
+    x = _times(inverse, wanted)
+    for number in range(1, most_rounds + 1):
         prices = np.zeros(units)
         prices[classes] = inverse.sum(0)  # every column costs 1
         value, pattern = _knapsack(np.maximum(prices, 0), units)
         if value <= 1 + 1e-7:
             break
         column = pattern[classes].astype(float)
-        step = inverse @ column
+        step = _times(inverse, column)
         usable = step > 1e-9
         ratio = np.full(n, np.inf)
         ratio[usable] = x[usable] / step[usable]
@@ -181,11 +228,11 @@ def column_generation(demand: np.ndarray, most_rounds: int = 5000) -> list[tuple
         x[out] = ratio[out]
         basis[:, out] = column
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[out] = row
-        if _ % 200 == 199:  # against rounding errors
-            inverse = np.linalg.inv(basis)
-            x = inverse @ demand[classes].astype(float)
+        if number % 200 == 0:  # against rounding errors
+            inverse = _inverse(basis)
+            x = _times(inverse, wanted)
     found = []
     for i in range(n):
         if x[i] > 1e-9:
