@@ -41,6 +41,7 @@ def test_article_without_the_rest():
         ("<p>&#xD800;&bogus;&am</p>", "�&bogus;&am"),
         ("<a title='>'>x</a>", "x"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<div>x</b>" * 50_000, "\n".join("x" * 50_000)),
         ("<p>" + "long " * 100_000, ("long " * 100_000).strip()),
         ('<p>"' + "<a \"b' " * 300 + "</p>", '"'),
     ],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _MARK = re.compile(
@@ -31,10 +32,11 @@ NOISE_TAGS = set(
     noframes noscript object option script search select style svg template textarea title video""".split()
 )
 NOISE_WORDS = set(
-    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
-    cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice
-    notices overlay pager pagination popup promo promotion recommended related reply replies respond share sharing
-    sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget""".split()
+    """ad adbox ads adsense adslot advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs
+    comment comments consent cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal
+    nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related
+    reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar
+    widget""".split()
 )
 NOISE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 MAIN_TAGS = {"article", "main"}
@@ -66,6 +68,7 @@ class Node:
     tag: str
     path: int
     noise: bool  # by its tag, class, id or role, or by an element around it
+    low: bool  # by its path, or by that of an element around it
     main: bool  # inside an article or main element
     styles: list[int] = field(default_factory=list)  # of its children, in order, repeats once
     content: list[int] = field(default_factory=list)  # hashes of its texts and children
@@ -74,7 +77,7 @@ class Node:
 @dataclass
 class Page:
     nodes: list[Node]
-    blocks: list[tuple[str, tuple[int, ...], bool, bool]]  # text, paths of the elements around it, noise, main
+    blocks: list[tuple[str, Node]]  # text, and the element that it stands in
 
 
 def _style(tag: str, more: str) -> tuple[str, bool]:
@@ -99,11 +102,16 @@ def _style(tag: str, more: str) -> tuple[str, bool]:
     return " ".join(style), noise and tag not in KEPT_TAGS
 
 
-def read(text: str | None) -> Page:
-    """Elements and blocks of a page. Comments, raw texts and markup go; what is left open is closed at the end."""
+def read(text: str | None, low: set[int] | frozenset[int] = frozenset()) -> Page:
+    """Elements and blocks of a page; ``low`` has the paths of branches to mark.
+
+    Comments, raw texts and markup go; what is left open is closed at the end. The work for an element or block does
+    not grow with its depth.
+    """
     text = text or ""
-    root = Node("", 0, False, False)
+    root = Node("", 0, False, False, False)
     stack, nodes, blocks, line = [root], [], [], []
+    standing: Counter[str] = Counter()  # open elements by tag
     known: dict[tuple[str, str], tuple[int, bool]] = {}
 
     def flush():
@@ -111,11 +119,11 @@ def read(text: str | None) -> Page:
             words = " ".join("".join(line).split())
             line.clear()
             if words:
-                at = stack[-1]
-                blocks.append((words, tuple(n.path for n in stack[1:]), at.noise, at.main))
+                blocks.append((words, stack[-1]))
 
     def close():
         node = stack.pop()
+        standing[node.tag] -= 1
         above = stack[-1]
         if not above.styles or above.styles[-1] != node.path:
             above.styles.append(node.path)
@@ -150,7 +158,7 @@ def read(text: str | None) -> Page:
         if m["end"] or m["end2"]:
             if tag in BLOCKS:
                 flush()
-            if any(n.tag == tag for n in reversed(stack)):
+            if standing[tag]:
                 # An inline end tag does not close the blocks around it.
                 close_open({tag}, set() if tag in BLOCKS else BLOCKS)
             continue
@@ -170,9 +178,11 @@ def read(text: str | None) -> Page:
         above = stack[-1]
         inside = above.main or tag in MAIN_TAGS
         noise = found[1] and not (tag in ("header", "hgroup") and above.main and "class" not in more and "id" not in more)
-        node = Node(tag, _fold(above.path, found[0]), above.noise or noise, inside)
+        path = _fold(above.path, found[0])
+        node = Node(tag, path, above.noise or noise, above.low or path in low, inside)
         nodes.append(node)
         stack.append(node)
+        standing[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, at)
             at = end.end() if end else len(text)

@@ -73,11 +73,7 @@ def low_nodes(nodes: DataFrame, least_pages: int = 8, least: float = 0.25) -> Da
 
 def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
     """Blocks of main text, one a line: those inside article or main if there are any, else those of the body."""
-    blocks = [
-        (text, main)
-        for text, paths, noise, main in dom.read(html).blocks
-        if not noise and (main or not low or low.isdisjoint(paths))
-    ]
+    blocks = [(text, at.main) for text, at in dom.read(html, low).blocks if not at.noise and (at.main or not at.low)]
     inside = any(main for _, main in blocks)
     return "\n".join(text for text, main in blocks if main or not inside)
 
