@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm import bloom, line_dedup, near_dup, packing, quality
-from textlake.llm.common import documents, labels, stored
+from textlake.llm.common import documents, labels, ready, stored
 from textlake.llm.queries import word_tokenizer
-from textlake.session import ensure_shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest, which is fitted on this stage's labelled input."""
-    ensure_shared_dir(spark)
+    ready(spark)
     sampled = stored(quality.labelled(labels(spark, sf_dir)), "labelled")
     measured = quality.measure(docs.join(F.broadcast(sampled), "doc_id", "left_semi"))
     return quality.keep(docs, quality.fit(measured, sampled))
@@ -28,14 +27,14 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document of which nothing is left goes. n_chars follows the text.
     """
-    ensure_shared_dir(spark)
+    ready(spark)
     kept = line_dedup.drop_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    ensure_shared_dir(spark)
+    ready(spark)
     removed = near_dup.join(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"))
     removed = stored(removed.distinct(), "removed")
     of = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -47,7 +46,7 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
-    ensure_shared_dir(spark)
+    ready(spark)
     return packing.pack_documents(docs, word_tokenizer(), payload="crc32")
 
 
@@ -63,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_shared_dir(spark)
+    ready(spark)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -7,11 +7,24 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlake.session import shared_dir
+from textlake.session import ensure_shared_dir, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# Arrow batches have this many rows, so that their texts take little room on both sides of a Python worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Settings that the queries and stages want: small Arrow batches unless the session sets a size of its own, and a
+    shared folder where there is none (see ``ensure_shared_dir``)."""
+    ensure_shared_dir(spark)
+    if int(spark.conf.get(_BATCH)) == 10_000:  # Spark's default
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z and leaves every other letter as it is."""
     return F.translate(c, UPPER, LOWER)

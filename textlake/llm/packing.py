@@ -20,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +27,6 @@ from textlake.llm.common import ranked, stored
 
 # Words that a process keeps the ids of: as many of late, and as many from before.
 CACHED_WORDS = 300_000
-# Texts that are tokenised together.
-PART_BYTES = 4 << 20
 # A word that ends in ASCII punctuation behind an ASCII letter, apostrophes aside: there the tokenizer always cuts.
 _ENDING = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
 # Letters up to U+00FF in UTF-8: nothing to normalise but case, and nothing to cut.
@@ -71,26 +68,13 @@ class _Words:
         self.model = self.tokenizer.model
         self.kept = _Kept(self.made, {})
 
-    def ids(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of every text. Each different word of the texts is looked up once."""
+    def ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
         if len(self.kept) > CACHED_WORDS:
             self.kept = _Kept(self.made, dict(self.kept))
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        words = split.flatten().cast(pa.binary()).dictionary_encode()
-        found = list(map(self.kept.__getitem__, words.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), "<u4")
-        places = words.indices.to_numpy()
-        # Where each word's ids begin among all different words' ids, and among those of the texts.
-        begins, lengths = (np.cumsum(sizes) - sizes)[places], sizes[places]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = ids[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)]
-        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
-        return np.split(flat, bounds[1:-1]) if len(texts) else []
+        return b"".join(map(self.kept.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
     def made(self, word: bytes) -> bytes:
-        if not word:  # in front of white space at a text's beginning, and behind it at the end
-            return b""
         if _LETTERS.match(word):
             low = word.decode().lower().encode()
             if low != word:
@@ -111,17 +95,6 @@ def encoder(path: str) -> _Words:
     return _encoders[path]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of rows whose texts have about ``PART_BYTES`` together; a longer one is alone."""
-    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-    number = np.cumsum(sizes) // PART_BYTES
-    at = 0
-    for end in [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]:
-        if end > at:
-            yield batch.slice(at, end - at)
-        at = end
-
-
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, payload: str = "ids", id_col="doc_id", text_col="text"
 ) -> DataFrame:
@@ -131,19 +104,22 @@ def pieces(
     numbers). A null or empty text has the end id only.
     """
     kind = {"ids": "ids array<int>", "crc32": "ids_crc32 bigint"}[payload]
-    end = np.array([end_id], "<u4")
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
         for batch in batches:
-            for part in _parts(batch):
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
                 of, out = [], []
-                for n, ids in enumerate(encode(part.column("text"))):
-                    ids = np.concatenate([ids, end])
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
+                for n, text in enumerate(part.column("text")):
+                    ids = encode(text.as_py() or "") + end
+                    total = len(ids) // 4
+                    for start in range(0, total, capacity):
+                        piece = ids[4 * start : 4 * (start + capacity)]
+                        shown = zlib.crc32(piece) if payload == "crc32" else np.frombuffer(piece, "<u4")
                         of.append(n)
-                        out.append((start, len(piece), len(ids), zlib.crc32(piece) if payload == "crc32" else piece))
+                        out.append((start, len(piece) // 4, total, shown))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns], names)
 

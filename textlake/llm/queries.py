@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from textlake.llm import exact_dedup, html_extract, license_scan, line_dedup, near_dup, packing, quality, sentence_pieces, sharding, url_filter
-from textlake.llm.common import documents, labels, pages, stored
+from textlake.llm.common import documents, labels, pages, ready, stored
 
 
 def word_tokenizer() -> str:
@@ -27,7 +27,11 @@ def query(name: str, sql: str | None = None):
     """Registers a (spark, sf_dir) -> DataFrame function and its SQL text."""
 
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            ready(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
