@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from textlake.llm.common import ranked, stored
 
 # Words that a process keeps the ids of: as many of late, and as many from before.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 # A word that ends in ASCII punctuation behind an ASCII letter, apostrophes aside: there the tokenizer always cuts.
 _ENDING = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
 # Letters up to U+00FF in UTF-8: nothing to normalise but case, and nothing to cut.
