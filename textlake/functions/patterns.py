@@ -107,9 +107,6 @@ SHORT_PHRASES = [p for p in _phrases if len(p) < 3]
 _long_phrases = [p for p in _phrases if len(p) >= 3]
 LONG_PHRASE = "(?i)" + _guard(_long_phrases, True) + "(?:" + "|".join(map(java_quote, _long_phrases)) + ")"
 
-# On the plain text: a cheap necessary condition for one of them.
-PHRASE_HINT = "(?i)" + _guard(_long_phrases, True)
-
 # On the plain text: a cheap necessary condition for LEAK_AT.
 LEAK_HINT = (
     _guard(_leak_prefixes) + "(?:" + "|".join(map(java_quote, _leak_prefixes)) + ")"

@@ -25,14 +25,6 @@ def has_injection(text) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _may_inject(text) -> Column:
-    """A cheap necessary condition for a phrase: the possible first letters of one."""
-    found = col(text).rlike(P.PHRASE_HINT)
-    for mark in P.SHORT_PHRASES:
-        found = F.contains(col(text), F.lit(mark)) | found
-    return found
-
-
 def scan_leaks(df: DataFrame, ids, text) -> DataFrame:
     """(ids, kind, pattern, position) of every credential, by byte position."""
     # The hint only: a text without a credential has no position and vanishes there.
@@ -44,7 +36,7 @@ def scan_leaks(df: DataFrame, ids, text) -> DataFrame:
 
 def scan_injection(df: DataFrame, ids, text) -> DataFrame:
     """(ids, kind, pattern, position) of every injection phrase, by byte position."""
-    found = tagged_positions(df.where(_may_inject(text)), ids, byte_view(text), P.INJECTION_AT)
+    found = tagged_positions(df.where(has_injection(text)), ids, byte_view(text), P.INJECTION_AT)
     return found.select(
         *ids, F.lit(P.INJECTION).alias("kind"), P.injection_description("tag").alias("pattern"), "position"
     )
@@ -55,7 +47,7 @@ def scan(df: DataFrame, ids, text) -> DataFrame:
 
     Sort by (ids, kind, position) for injections first, each by position.
     """
-    suspect = df.where(_may_inject(text) | col(text).rlike(P.LEAK_HINT))
+    suspect = df.where(has_injection(text) | col(text).rlike(P.LEAK_HINT))
     found = tagged_positions(suspect, ids, byte_view(text), P.ANY_AT)
     leak = P.is_leak_prefix("tag")
     return found.select(
