@@ -82,6 +82,29 @@ def test_main_text_is_kept_even_if_it_repeats(spark):
     assert set(got.values()) == {"the same story"}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_importance_decides_inside_and_beside_an_article(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", most)
+    rnd = random.Random(2)
+    text = lambda: " ".join(rnd.choices("abcdefghij", k=20))
+    pages, owns = [], []
+    for i in range(20):
+        own, more = text(), text()
+        box = "<div class=xa><p>Read all of our letters</p></div>"
+        pages.append((f"https://h.org/{i}", f"<body>{box}<article><h1>{i}</h1><p>{own}</p>{box}</article><div class=xb><p>{more}</p></div></body>"))
+        owns.append(f"{i}\n{own}\n{more}")
+    pages.append(("https://h.org/other", "<body><p>seen once</p><article><p>story</p></article></body>"))
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(21)] == [*owns, "story"]
+
+
+def test_the_query_rates_nodes_of_the_given_pages(spark):
+    from textlake.llm.common import pages
+
+    marked = html_extract.importance(html_extract.style_nodes(pages(spark, "/root/testdata/sf0.01"))).where("pages >= 8")
+    assert marked.count() > 0
+
+
 def test_empty_table(spark):
     assert extracted(spark, []) == {}
 

@@ -4,8 +4,8 @@ The pages of a host are merged into one tree: elements with the same path of tag
 node's presentation is the sequence of its children's styles, its content the text below it. The importance of a
 node is the larger of the two entropies over the host's different pages, as a share of the largest possible: a menu
 or notice that looks and reads the same on all pages has an importance near 0, an article near 1. Branches of low
-importance are removed from every page, and so are those whose tag, class, id or role says that they are no main
-text. Inside an article or main element only the latter counts.
+importance are removed from every page, inside article and main elements too, and so are those whose tag, class, id
+or role says that they are no main text. Text beside an article or main element stays if its node is important.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ from textlake.llm import dom
 from textlake.llm.common import stored
 from textlake.llm.url_filter import host_of
 
-# Nodes that are removed are sent to all tasks only up to this number (16 bytes each); beyond it they are joined.
+# Marked nodes are sent to all tasks only up to this number (16 bytes each); beyond it they are joined.
 BROADCAST_NODES = 200_000
 
 
 def style_nodes(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """A row per page and different path: host, path, a hash of the whole page, of the presentation, and of the content.
+    """A row per page and different path: host, path, a hash of the whole page, of the presentation, and of the content,
+    and whether it is inside an article or main element.
 
-    Paths inside main text are left out, as they are never removed by their importance; so are those that are
-    removed by what they are.
+    Paths that are removed by what they are are left out, and so are html, body, article and main themselves: these
+    hold whole pages and texts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,44 +39,58 @@ def style_nodes(pages: DataFrame, id_col="page_id", url_col="url", html_col="htm
             for host, html in zip(batch["host"], batch["html"], strict=True):
                 page = dom.read(html)
                 whole = dom._fold(*page.nodes[0].content)
-                by: dict[int, tuple[list[int], list[int]]] = {}
+                by: dict[tuple[int, bool], tuple[list[int], list[int]]] = {}
                 for n in page.nodes[1:]:
-                    if not (n.noise or n.main or n.tag in dom.KEPT_TAGS):
-                        styles, content = by.setdefault(n.path, ([], []))
+                    if not (n.noise or n.tag in dom.KEPT_TAGS):
+                        styles, content = by.setdefault((n.path, n.main), ([], []))
                         styles.append(dom._fold(*n.styles))
                         content.append(dom._fold(*n.content))
-                out += [(host, whole, path, dom._fold(*s), dom._fold(*c)) for path, (s, c) in by.items()]
-            yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content"])
+                out += [(host, whole, path, dom._fold(*s), dom._fold(*c), main) for (path, main), (s, c) in by.items()]
+            yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content", "main"])
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "host string, page bigint, path bigint, presentation bigint, content bigint")
+    return rows.mapInPandas(run, "host string, page bigint, path bigint, presentation bigint, content bigint, main boolean")
 
 
-def importance(nodes: DataFrame) -> DataFrame:
+def importance(nodes: DataFrame, node: tuple[str, ...] = ("host", "path")) -> DataFrame:
     """host, path, number of different pages, and importance of every node of the hosts' trees."""
     # Pages that repeat word for word count once: copies of a page say nothing about its parts.
-    once = nodes.groupBy("host", "path", "page").agg(F.min("presentation").alias("presentation"), F.min("content").alias("content"))
+    once = nodes.groupBy(*node, "page").agg(F.min("presentation").alias("presentation"), F.min("content").alias("content"))
     kinds = F.inline(
         F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("presentation", "content")])
     )
-    times = once.select("host", "path", kinds).groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    times = once.select(*node, kinds).groupBy(*node, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     m = F.sum("n")
     # log m - (sum of n log n) / m, over its largest value log m.
     entropy = F.when(m > 1, F.lit(1.0) - F.sum(F.col("n") * F.ln("n")) / m / F.ln(m)).otherwise(1.0)
-    each = times.groupBy("host", "path", "kind").agg(m.alias("pages"), entropy.alias("entropy"))
-    return each.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+    each = times.groupBy(*node, "kind").agg(m.alias("pages"), entropy.alias("entropy"))
+    return each.groupBy(*node).agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
 
 
-def low_nodes(nodes: DataFrame, least_pages: int = 8, least: float = 0.25) -> DataFrame:
-    """Nodes below ``least`` importance that stand on at least ``least_pages`` different pages of their host."""
-    return importance(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path")
+def marked_nodes(nodes: DataFrame, least_pages: int = 8, least: float = 0.25) -> DataFrame:
+    """Nodes on at least ``least_pages`` different pages of their host: host, path, and whether they are ``low``.
 
+    Those below ``least`` importance are. The others decide only outside main text, and are left out inside.
+    """
+    rated = importance(nodes, ("host", "path", "main")).where(F.col("pages") >= least_pages)
+    low = F.col("importance") < least
+    return rated.where(low | ~F.col("main")).select("host", "path", low.alias("low"))
+
+
+def main_text(
+    html: str | None, low: set[int] | frozenset[int] = frozenset(), high: set[int] | frozenset[int] = frozenset()
+) -> str:
+    """Blocks of main text, one a line, without branches of the paths ``low``.
 
-def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
-    """Blocks of main text, one a line: those inside article or main if there are any, else those of the body."""
-    blocks = [(text, at.main) for text, at in dom.read(html, low).blocks if not at.noise and (at.main or not at.low)]
-    inside = any(main for _, main in blocks)
-    return "\n".join(text for text, main in blocks if main or not inside)
+    If there is an article or main element, blocks beside it need a path of ``high``. Where all text inside repeats,
+    nothing tells it from the page's own, and it stays.
+    """
+    blocks = [(text, at) for text, at in dom.read(html, low).blocks if not at.noise]
+    inside = any(at.main for _, at in blocks)
+    own = any(at.main and not at.low for _, at in blocks)
+    return "\n".join(
+        text for text, at in blocks if (not at.low or at.main and not own) and (at.main or not inside or at.path in high)
+    )
 
 
 def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -84,27 +99,27 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
     A null or empty page gives an empty text; a null url or one without host belongs to a host without name, whose
     pages make a tree like any other. Rows that repeat give rows that repeat, an empty table none, and further
     columns are not carried along. A host's pages never meet in one task: only hashes are counted, with partial
-    counts per task. Nodes to remove are broadcast if there are at most ``BROADCAST_NODES`` of them and joined with
+    counts per task. Marked nodes are broadcast if there are at most ``BROADCAST_NODES`` of them and joined with
     the pages otherwise.
     """
-    low = stored(low_nodes(style_nodes(pages, id_col, url_col, html_col), least_pages, least), "low-nodes")
+    marked = stored(marked_nodes(style_nodes(pages, id_col, url_col, html_col), least_pages, least), "marked-nodes")
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
         host_of(F.col(url_col)).alias("host"),
     )
-    found = low.limit(BROADCAST_NODES + 1).count()
+    found = marked.limit(BROADCAST_NODES + 1).count()
     if found <= BROADCAST_NODES:
-        by_host: dict[str, set[int]] = {}
-        for r in low.collect():
-            by_host.setdefault(r["host"], set()).add(r["path"])
+        by_host: dict[str, tuple[set[int], set[int]]] = {}
+        for r in marked.collect():
+            by_host.setdefault(r["host"], (set(), set()))[0 if r["low"] else 1].add(r["path"])
         sent = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hosts, htmls = batch.column("host").to_pylist(), batch.column("html").to_pylist()
-                yield _with_texts(batch, [main_text(x, sent.value.get(h, frozenset())) for h, x in zip(hosts, htmls, strict=True)])
+                yield _with_texts(batch, [main_text(x, *sent.value.get(h, ())) for h, x in zip(hosts, htmls, strict=True)])
 
         return rows.mapInArrow(run, _TEXTS)
 
@@ -114,7 +129,7 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
             out = [
                 (key, host, path)
                 for key, host, html in zip(batch["key"], batch["host"], batch["html"], strict=True)
-                for path in {n.path for n in dom.read(html).nodes[1:] if not (n.noise or n.main)}
+                for path in {n.path for n in dom.read(html).nodes[1:] if not n.noise}
             ]
             yield pd.DataFrame(out, columns=["key", "host", "path"])
 
@@ -122,17 +137,17 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
     wanted = (
         own.select("key", "host", "html")
         .mapInPandas(paths, "key bigint, host string, path bigint")
-        .join(low, ["host", "path"], "left_semi")
+        .join(marked, ["host", "path"])
         .groupBy("key")
-        .agg(F.collect_set("path").alias("low"))
+        .agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("high"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows, htmls = batch.column("low").to_pylist(), batch.column("html").to_pylist()
-            yield _with_texts(batch, [main_text(x, set(low or ())) for low, x in zip(lows, htmls, strict=True)])
+            lows, highs, htmls = (batch.column(c).to_pylist() for c in ("low", "high", "html"))
+            yield _with_texts(batch, [main_text(x, set(lo or ()), set(hi or ())) for lo, hi, x in zip(lows, highs, htmls, strict=True)])
 
-    return own.join(wanted, "key", "left").select("page_id", "url", "html", "low").mapInArrow(cut, _TEXTS)
+    return own.join(wanted, "key", "left").select("page_id", "url", "html", "low", "high").mapInArrow(cut, _TEXTS)
 
 
 _TEXTS = "page_id bigint, url string, text string"
