@@ -70,6 +70,17 @@ def test_prefixes_are_shortened_to_the_target(spark, monkeypatch):
     assert depths == [(6, 7)]
 
 
+def test_a_hot_group_costs_no_other_pair_its_link(spark):
+    rnd = random.Random(9)
+    base = words(rnd, 400)
+    hot = [" ".join([*base[:at], f"own{at}", *base[at + 1 :]]) for at in range(20, 320)]  # 44,850 pairs above 0.95
+    texts = [words(rnd, 44) for _ in range(1500)]
+    pairs = [" ".join(w[:n]) for w in texts for n in (44, 36)]  # 32 of 40 shingles
+    docs = spark.createDataFrame(list(enumerate(hot + pairs)), "doc_id bigint, text string").repartition(8)
+    links = dict(near_dup.join(docs).select("doc_id", "n_links").collect())
+    assert [links[i] for i in range(len(hot) + len(pairs))] == [299] * 300 + [1] * 3000
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 4)
     docs = frame(spark, near_copies(seed=7, bases=4))

@@ -2,9 +2,9 @@
 
 Texts with the same words are one class, which is looked up once. A class has a signature of ``TREES`` labels of
 ``DEPTH`` MinHash values; the labels of one tree, sorted, are a prefix trie. Classes that share a prefix in a tree
-are candidates. The join starts with whole labels and shortens the prefix until the estimated recall reaches its
-target: a pair of similarity s shares a prefix of d values in one of t trees with probability p = 1 - (1 - s^d)^t, so
-that each verified pair stands for 1 / p pairs, and the similarities found tell how far the prefix has to be shortened.
+are candidates. The join starts with whole labels and shortens the prefix until every link is found with the target's
+probability: a pair of similarity s shares a prefix of d values in one of t trees with probability 1 - (1 - s^d)^t,
+which is smallest at the bound, so that no pair's chance depends on what else the table holds.
 
 Candidates are verified on their whole sets of shingles. They meet block by block: the classes that hang together by
 shared prefixes are dealt over blocks of bounded size, and a task compares two blocks and gives counts and the
@@ -29,6 +29,7 @@ WORDS = 5
 TREES, DEPTH = 20, 6
 # Similarity of a link, as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
+# Least probability to be found, for each pair by itself.
 TARGET_RECALL = 0.9999
 # A block holds about this many classes, and about this many shingles (8 bytes each).
 BLOCK_CLASSES, BLOCK_SHINGLES = 192, 500_000
@@ -120,7 +121,7 @@ def _verify(block: pd.DataFrame, depth: int, done: int, least: tuple[int, int])
     """Compares the classes of two blocks, or those of one with each other.
 
     Only pairs that share a prefix of ``depth`` values and none of ``done`` are looked at. Rows: classes with their
-    numbers of links; links that connect what is linked; and the number of links by similarity, in hundredths.
+    numbers of links, and links that connect what is linked.
     """
     block = block.sort_values("node", ignore_index=True)
     one = block["first"].iloc[0] == block["second"].iloc[0]
@@ -134,7 +135,6 @@ def _verify(block: pd.DataFrame, depth: int, done: int, least: tuple[int, int])
     links = np.zeros(len(block), np.int64)
     root = list(range(len(block)))
     spanning = []
-    hundredths = np.zeros(101, np.int64)
 
     def top(i):
         while root[i] != i:
@@ -160,22 +160,20 @@ def _verify(block: pd.DataFrame, depth: int, done: int, least: tuple[int, int])
         similar = common * least[1] >= union * least[0]
         links[i] += similar.sum()
         links[others[similar]] += 1
-        np.add.at(hundredths, (100 * common[similar]) // union[similar], 1)
         for j in others[similar]:
             x, y = top(i), top(j)
             if x != y:
                 root[max(x, y)] = min(x, y)
                 spanning.append((i, j))
     node = block["node"].tolist()
-    rows = [(node[i], None, int(links[i]), 0) for i in np.flatnonzero(links)]
-    rows += [(node[i], node[j], 0, 0) for i, j in spanning]
-    rows += [(None, None, int(hundredths[h]), int(h)) for h in np.flatnonzero(hundredths)]
-    return pd.DataFrame(rows, columns=["a", "b", "links", "hundredths"])
+    rows = [(node[i], None, int(links[i])) for i in np.flatnonzero(links)]
+    rows += [(node[i], node[j], 0) for i, j in spanning]
+    return pd.DataFrame(rows, columns=["a", "b", "links"])
 
 
-def _chance(depth: int) -> np.ndarray:
-    """Probability that a pair shares a prefix of ``depth`` values, by its similarity in hundredths."""
-    return 1 - (1 - (np.maximum(np.arange(101), 1) / 100) ** depth) ** TREES
+def _chance(similarity: float, depth: int) -> float:
+    """Probability that a pair shares a prefix of ``depth`` values in any tree."""
+    return 1 - (1 - similarity**depth) ** TREES
 
 
 def _verified(
@@ -222,7 +220,7 @@ def _verified(
         "set",
     )
     return paired.groupBy("component", "first", "second").applyInPandas(
-        lambda block: _verify(block, depth, done, least), "a binary, b binary, links bigint, hundredths int"
+        lambda block: _verify(block, depth, done, least), "a binary, b binary, links bigint"
     )
 
 
@@ -248,20 +246,11 @@ def join(
         ),
         "classes",
     )
-    found = None
-    by_similarity = np.zeros(101)
-    by_similarity[100 * least[0] // least[1]] = 1  # a pair at the bound is always reckoned with
-    depth, done = DEPTH, DEPTH + 1
-    while depth:
-        rows = stored(_verified(docs, nodes, depth, done, least, id_col, text_col), "verified")
-        found = rows if found is None else found.unionByName(rows)
-        for r in rows.where("a IS NULL").groupBy("hundredths").agg(F.sum("links").alias("links")).collect():
-            by_similarity[r["hundredths"]] += r["links"]
-        # All pairs by similarity, and the share of them that prefixes of each length find.
-        every = by_similarity / _chance(depth)
-        enough = [d for d in range(1, DEPTH + 1) if (every * _chance(d)).sum() >= target * every.sum()]
-        done, depth = depth, min(depth - 1, max(enough, default=1)) if depth not in enough else 0
-    links = found.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+    last = max((d for d in range(1, DEPTH + 1) if _chance(least[0] / least[1], d) >= target), default=1)
+    found = stored(_verified(docs, nodes, DEPTH, DEPTH + 1, least, id_col, text_col), "verified")
+    if last < DEPTH:
+        found = found.unionByName(stored(_verified(docs, nodes, last, DEPTH, least, id_col, text_col), "verified"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     named = linked.join(nodes.select("node", "rep_id"), "node").groupBy("component").agg(F.min("rep_id").alias("class_id"))
     classes = linked.join(named, "component").select("node", "class_id").join(links, "node")
