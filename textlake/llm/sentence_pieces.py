@@ -9,7 +9,7 @@ wherever that falls, and is encoded in parallel as a path through a lattice of p
 * The state at a chunk's boundary is the piece that covers or ends at it: how many characters it has before and
   behind the boundary. A chunk gives a matrix of weights from every state at its left to every state at its right
   boundary. With weights of 0 and minus infinity a matrix is a set of pairs of states.
-* Matrices combine associatively. The state of every boundary is the one that can be reached from the document's
+* Matrices are applied one after the other, in one group per document. The state of every boundary is the one that can be reached from the document's
   start and from which its end can be reached; given these, every chunk is traced back on its own.
 
 No piece goes on behind a space once it has begun with another character, so that a path can be cut in front of such
