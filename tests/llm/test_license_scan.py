@@ -58,6 +58,14 @@ def test_own_labels(spark):
     assert by["one"] == ""
 
 
+def test_no_place_at_the_threshold_is_missed(spark):
+    notice = "not use this file except in compliance with the license you may obtain a copy of the license at"
+    common = {w: 50 for _, text, _ in license_scan.TEMPLATES for w in text.split()} | {"you": 40, "may": 40}
+    docs = frame(spark, [f"Users must {notice}", notice])  # its two rarest words altered, and cut off
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs, (100, common)).collect()}
+    assert [got[i][0] for i in (0, 1)] == ["apache-2.0"] * 2 and all(0.8 <= got[i][1] < 1 for i in (0, 1))
+
+
 def test_empty_table(spark):
     assert scanned(spark, [])[1] == []
 

@@ -98,8 +98,9 @@ def scan(
     one starts (null without any). A template gives its label where it stands with at least ``least`` of its weight
     and with all mandatory phrases; ``score`` is the largest share of weight among the accepted places (1.0 for a
     base phrase, 0.0 without any). A base phrase needs all its words; it is looked up by its rarest word, so no
-    place can be missed. A template is looked up by its ``anchors`` rarest words: a place at which all of these are
-    altered is not found.
+    place can be missed. A template is looked up by its rarest words, ``anchors`` at least and as many as hold
+    more than 1 - ``least`` of its weight: a place at which all of these are altered cannot be accepted. A template may
+    begin before the text does, whose first words are then missing.
 
     Null counts as empty: no words, no labels, score 0. Every row is scanned on its own, rows that repeat give rows
     that repeat, an empty table gives no rows, and further columns are not carried along. No text is shuffled.
@@ -112,7 +113,11 @@ def scan(
     for n, _, words, _, base in every:
         # Rarest first; of equal weights the earlier position.
         rarest = sorted(range(len(words)), key=lambda i: (-weight(words[i]), i))
-        for position in rarest[: 1 if base else anchors]:
+        enough, missed = 0, 0.0
+        while not base and missed <= 1 - least + 1e-9 and enough < len(words):
+            missed += weight(words[rarest[enough]]) / sum(map(weight, words))
+            enough += 1
+        for position in rarest[: 1 if base else max(anchors, enough)]:
             index.setdefault(words[position], []).append((n, position))
 
     postings = F.create_map(
@@ -147,12 +152,14 @@ def scan(
         starts = F.flatten(
             F.transform(known, lambda x: F.transform(postings[x["w"]], lambda p: F.struct(p["n"].alias("n"), (x["i"] - p["at"]).alias("start"))))
         )
-        return F.array_distinct(F.filter(starts, lambda s: s["start"] >= 0))
+        return F.array_distinct(starts)
 
     def compared(words: Column, place: Column) -> Column:
         """Share of weight of the words that stand where the template has them, 0 without the mandatory phrases."""
         template = F.get(about, place["n"])
-        here = F.slice(words, place["start"] + 1, F.size(template["words"]))
+        before = F.greatest(-place["start"], F.lit(0))
+        there = F.slice(words, F.greatest(place["start"], F.lit(0)) + 1, F.size(template["words"]) - before)
+        here = F.concat(F.array_repeat(F.lit(None).cast("string"), before), there)
         same = F.zip_with(here, template["words"], lambda a, b: a.eqNullSafe(b))
         share = F.aggregate(F.zip_with(same, template["shares"], lambda s, w: F.when(s, w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
         text = F.concat(F.lit(" "), F.array_join(here, " "), F.lit(" "))
