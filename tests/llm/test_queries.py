@@ -1,5 +1,6 @@
 """The registered queries over a given small table, against their SQL texts or brute force."""
 
+import hashlib
 import math
 import re
 import struct
@@ -15,6 +16,7 @@ from cases import frame, odd_texts
 from test_license_scan import base
 from test_line_dedup import brute as brute_lines
 from test_near_dup import brute as brute_links
+from test_personal_data import brute as brute_mentions
 from test_quality import counts
 from tokenizers import Tokenizer
 
@@ -28,7 +30,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ["documents", "pages", "labels"]:
+    for t in ["documents", "pages", "labels", "benchmark"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -45,7 +47,7 @@ def run(spark, name):
 
 def test_every_operator_has_a_query():
     names = [q.split("_")[0] for q in spark_entry.queries()]
-    assert all(names.count(f"op{n}") == 1 for n in range(1, 11)) and "pipeline" in names
+    assert all(names.count(f"op{n}") == 1 for n in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(spark_entry.LLM_ORACLES))
@@ -144,6 +146,19 @@ def test_op10(spark, docs, con):
     assert all(got[i]["kept"] or got[i]["base_failed"] for i, q in labels if q == 1)
 
 
+def test_op11(spark, docs):
+    got = {r["doc_id"]: r for r in run(spark, "op11")}
+    kinds = ["email", "ip", "card", "phone"]
+    for i, t in docs:
+        base = brute_mentions(t)
+        written = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in kinds] == [sum(k == n for _, k, _ in base) for n in range(4)]
+        assert set(written.split(",")) <= set(got[i]["spans"].split(","))
+        # What the given texts hold is complete, and nothing else of them is personal data.
+        assert got[i]["n_added"] == 0
+
+
 def test_the_stages_of_the_pipeline(spark, docs):
     """Each stage by brute force on what the stage before has kept."""
     stages = dict(corpus_pipeline.STAGES)

@@ -30,13 +30,13 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back.
+def stored(df: DataFrame, label: str, folders: list[str] | None = None) -> DataFrame:
+    """Writes a table to the shared folder, in folders by the columns ``folders``, and reads it back.
 
     This cuts the lineage: an executor that is lost costs its running tasks, not the steps before them.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +73,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PAGES = "page_id bigint, url string, html string"
 LABELS = "doc_id bigint, quality int, toxic int"
+BENCHMARK = "item_id bigint, text string"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +86,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels", LABELS)
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark", BENCHMARK)

@@ -5,8 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from textlake.llm import exact_dedup, html_extract, license_scan, line_dedup, near_dup, packing, quality, sentence_pieces, sharding, url_filter
-from textlake.llm.common import documents, labels, pages, ready, stored
+from textlake.llm import (
+    divergence,
+    exact_dedup,
+    html_extract,
+    lexical_search,
+    license_scan,
+    line_dedup,
+    near_dup,
+    packing,
+    personal_data,
+    quality,
+    sentence_pieces,
+    sharding,
+    url_filter,
+)
+from textlake.llm.common import benchmark, documents, labels, pages, ready, stored
 
 
 def word_tokenizer() -> str:
@@ -186,3 +200,64 @@ def op3(spark, sf_dir):
 def op7(spark, sf_dir):
     encoded = sentence_pieces.encode(documents(spark, sf_dir), piece_model())
     return encoded.withColumn("n_ids", F.size("ids").cast("bigint"))
+
+
+@query("op11_skip_chain_personal_data")
+def op11(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return personal_data.find(docs, personal_data.fit(docs)).drop("added")
+
+
+@query(
+    "op12_prefix_refined_divergence",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT d, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, sum(coalesce(n, 0))::HUGEINT AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, 1 + 1000000000 * (coalesce(n, 0)::HUGEINT + 5) // (total + 5 * v) AS p, coalesce(n, 0) AS n
+      FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000 * (sum(n) + 5)::HUGEINT // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v))::HUGEINT AS q
+      FROM p JOIN v USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+more AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM more))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+)
+def op12(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
+
+
+@query(
+    "op13_pipelined_lexical_search",
+    r"""
+WITH w AS (SELECT row_number() OVER () AS d, doc_id,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT d, doc_id, len(terms)::BIGINT AS n, terms FROM w WHERE len(terms) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM d),
+m AS (SELECT d, doc_id, 100 - 50 + (50 * n * docs) // l AS m FROM d, c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+x AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c),
+s AS (SELECT q.item_id, d, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN x USING (term) JOIN m USING (d) GROUP BY q.item_id, d),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
+)
+def op13(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
