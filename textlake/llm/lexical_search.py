@@ -154,14 +154,14 @@ def search(
     blocks = max(1, math.ceil(n_docs / block_docs))
     block = F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("bigint").alias("block")
     postings = held.join(terms, "term").select("owner", block, "term", "doc", (F.col("weight") * F.col("part")).alias("value"))
-    postings = stored(postings, "postings", ["owner"])
+    postings = stored(postings, "postings")
 
     bundles_of = max(1, math.ceil(wanted.count() / bundle_items))
     bundle = F.pmod(F.xxhash64("item"), F.lit(bundles_of)).cast("bigint")
     item_terms = stored(
         item_words.join(vocabulary, "word").join(terms, "term").select("item", bundle.alias("bundle"), "term", "owner", "most"), "item-weights"
     )
-    scores = spark.createDataFrame([], _SCORES)
+    scores = spark.range(0).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _SCORES.split(", ")])
     for at in range(len(owners)):
         # What the owners after this one can add to an item's score at most.
         plan = item_terms.groupBy("item", "bundle").agg(
