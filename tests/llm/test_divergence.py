@@ -69,11 +69,11 @@ def test_prefixes_below_the_threshold_are_not_extended(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(divergence, "_counted", spied)
-    kept = divergence.frequent_terms(docs.withColumn("text", docs["text"]), least_docs=13, first_bytes=2)
+    kept = divergence.frequent_terms(docs, least_docs=13, first_bytes=2, growth=2)
     assert kept.collect() == [] and len(seen) == 1
     seen.clear()
     docs = spark.createDataFrame([*rows, ("en", "s", "common"), ("de", "s", "rare")], "lang string, source string, text string")
-    kept = divergence.frequent_terms(docs, least_docs=13, first_bytes=2)
+    kept = divergence.frequent_terms(docs, least_docs=13, first_bytes=2, growth=2)
     assert kept.collect() == []
     # The 13th document shares "co", "comm" and "common" but not what follows; "ra" of the others fails at once.
     assert seen[1] == {b"comm"} and all(t.startswith(b"common") for t in seen[2]) and len(seen) == 3
@@ -81,6 +81,7 @@ def test_prefixes_below_the_threshold_are_not_extended(spark, monkeypatch):
 
 def test_a_task_sends_on_what_it_counts(spark, monkeypatch):
     monkeypatch.setattr(divergence, "FLUSH", 3)
+    monkeypatch.setattr(divergence, "FLUSH_CELLS", 3)
     rows = corpus(5, 60)
     docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
     assert sorted(map(tuple, divergence.audit(docs, 5).collect())) == brute(rows, 5)

@@ -2,7 +2,7 @@
 
 The frequent terms (those in at least so many documents of their language) are found by prefix refinement. A level
 counts the documents that hold a prefix of some bytes; a prefix below the threshold is discarded with all that begins
-with it, since no term is in more documents than its prefix; the others are extended by the next level, twice as
+with it, since no term is in more documents than its prefix; the others are extended by the next level, some times as
 long, until only complete terms are left. A term is followed by a zero byte, which no term holds, so that a complete
 term is a prefix like any other. A task counts what it reads before anything is shuffled.
 
@@ -11,6 +11,7 @@ Shares are compared as integers: p = 1 + floor(10^9 * (count + 5) / (N + 5 * V))
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -25,28 +26,15 @@ from textlake.llm.terms import LETTERS, SENT_TERMS, sent, separators
 
 _SPLIT = separators(LETTERS)
 _END = b"\0"
-# A task's counts go to Spark when there are this many of them.
-FLUSH = 200_000
+# A task's counts go to Spark when there are this many of them; counts of known terms are arrays, which go at more.
+FLUSH, FLUSH_CELLS = 400_000, 4_000_000
 # A block of the pairwise sums has about so many cells (terms x sources), and at least so many terms.
 CELLS, LEAST_TERMS = 1 << 16, 1 << 10
 
 
-class _Memo(dict):
-    """What a function gives for each term; starts anew when it has grown large."""
-
-    def __init__(self, fn: Callable[[bytes], bytes | None]):
-        super().__init__()
-        self.fn = fn
-
-    def __missing__(self, term: bytes) -> bytes | None:
-        if len(self) > FLUSH:
-            self.clear()
-        found = self[term] = self.fn(term)
-        return found
-
-
 def _counted(docs: DataFrame, keys: list[str], count: Callable) -> DataFrame:
-    """Sums of ``count(keys, terms, counter)`` over all rows: keys, term, n. ``count`` adds to the counter of its keys."""
+    """Sums over all rows of what ``count(lang, text, counter)`` adds to the counter of a row's keys: keys, term, n. The
+    text has single spaces or more between its terms and nothing else beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[tuple, Counter] = {}
@@ -63,18 +51,58 @@ def _counted(docs: DataFrame, keys: list[str], count: Callable) -> DataFrame:
             texts = batch.column("text").cast(pa.binary())
             for *key, text in zip(*[batch.column(k).to_pylist() for k in keys], texts, strict=True):
                 counter = counters.setdefault(tuple(key), Counter())
-                count(key[0], text.as_py().translate(_SPLIT).split(), counter)
+                count(key[0], text.as_py().translate(_SPLIT), counter)
                 if len(counter) > FLUSH:
                     yield from flushed()
             if sum(map(len, counters.values())) > FLUSH:
                 yield from flushed()
         yield from flushed()
 
-    partial = docs.select(*keys, "text").mapInArrow(run, f"{', '.join(f'{k} string' for k in keys)}, term binary, n bigint")
+    return _summed(docs.select(*keys, "text").mapInArrow(run, _schema(keys)), keys)
+
+
+def _schema(keys: list[str]) -> str:
+    return f"{', '.join(f'{k} string' for k in keys)}, term binary, n bigint"
+
+
+def _summed(partial: DataFrame, keys: list[str]) -> DataFrame:
     return partial.groupBy(*keys, "term").agg(F.sum("n").alias("n"))
 
 
-def frequent_terms(docs: DataFrame, least_docs: int = 30, first_bytes: int = 4, most_sent: int = SENT_TERMS) -> DataFrame:
+def _counted_known(docs: DataFrame, known) -> DataFrame:
+    """lang, source, term and n of the terms of a broadcast set of each language; a task counts in one array for each
+    language and source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = {lang: sorted(own) for lang, own in known.value.items()}
+        number = {lang: {t: i for i, t in enumerate(own)} for lang, own in terms.items()}
+        column = {lang: pa.array(own, pa.binary()) for lang, own in terms.items()}
+        counts: dict[tuple[str, str], np.ndarray] = {}
+
+        def flushed():
+            for (lang, source), n in counts.items():
+                there = np.flatnonzero(n)
+                names = [pa.array([x] * len(there), pa.string()) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, column[lang].take(pa.array(there)), pa.array(n[there])], ["lang", "source", "term", "n"])
+            counts.clear()
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
+                if own := number.get(lang):
+                    if (lang, source) not in counts:
+                        counts[lang, source] = np.zeros(len(own), np.int64)
+                    found = [i for i in map(own.get, text.as_py().translate(_SPLIT).split()) if i is not None]
+                    np.add.at(counts[lang, source], found, 1)
+            if sum(map(len, counts.values())) > FLUSH_CELLS:
+                yield from flushed()
+        yield from flushed()
+
+    keys = ["lang", "source"]
+    return _summed(docs.select(*keys, "text").mapInArrow(run, _schema(keys)), keys)
+
+
+def frequent_terms(docs: DataFrame, least_docs: int = 30, first_bytes: int = 4, growth: int = 3, most_sent: int = SENT_TERMS) -> DataFrame:
     """lang and term (binary) of the terms in at least ``least_docs`` rows of their language.
 
     ``docs`` has lang and text without nulls. Every level reads the texts once. Its parents, the prefixes that the
@@ -84,21 +112,17 @@ def frequent_terms(docs: DataFrame, least_docs: int = 30, first_bytes: int = 4,
     complete, parents, short, long = [], None, 0, first_bytes
     while True:
         known = sent(parents, most_sent) if parents is not None else None
-
-        # The lengths are bound now: the function runs later.
-        def count(lang, terms, counter, known=known, short=short, long=long, memos={}):  # noqa: B006
-            if lang not in memos:
-                alive = known and known.value.get(lang, ())
-
-                def prefix(term):
-                    whole = term + _END
-                    if len(whole) > short and (alive is None or whole[:short] in alive):
-                        return whole[:long]
-
-                memos[lang] = _Memo(prefix)
-            held = set(map(memos[lang].__getitem__, set(terms)))
-            held.discard(None)
-            counter.update(held)
+        # A term that is shorter was complete at a level before.
+        longer = re.compile(rb"[^ ]{%d,}" % short).findall if short else bytes.split
+
+        # What differs between levels is bound now: the function runs later.
+        def count(lang, text, counter, known=known, longer=longer, short=short, long=long):
+            terms = longer(text)
+            if known:
+                alive = known.value.get(lang, ())
+                counter.update({t[:long] if len(t) >= long else t + _END for t in set(terms) if t[:short] in alive})
+            else:
+                counter.update({t[:long] if len(t) >= long else t + _END for t in terms})
 
         counts = _counted(docs, ["lang"], count)
         if parents is not None and known is None:
@@ -110,7 +134,7 @@ def frequent_terms(docs: DataFrame, least_docs: int = 30, first_bytes: int = 4,
         parents = kept.where(~ended)
         if parents.isEmpty():
             break
-        short, long = long, 2 * long
+        short, long = long, growth * long
     every = complete[0]
     for level in complete[1:]:
         every = every.unionByName(level)
@@ -143,6 +167,7 @@ def audit(
     least_docs: int = 30,
     top: int = 50,
     first_bytes: int = 4,
+    growth: int = 3,
     most_sent: int = SENT_TERMS,
     text_col: str = "text",
     lang_col: str = "lang",
@@ -164,41 +189,40 @@ def audit(
     """
     empty = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
     rows = docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text"))
-    kept = stored(frequent_terms(rows, least_docs, first_bytes, most_sent), "frequent-terms")
-    known = sent(kept, most_sent)
-
-    def count(lang, terms, counter):
-        counter.update(terms if known is None else filter(known.value.get(lang, set()).__contains__, terms))
-
-    counts = _counted(rows, ["lang", "source"], count)
-    if known is None:
+    kept = stored(frequent_terms(rows, least_docs, first_bytes, growth, most_sent), "frequent-terms")
+    if known := sent(kept, most_sent):
+        counts = _counted_known(rows, known)
+    else:
+        counts = _counted(rows, ["lang", "source"], lambda lang, text, counter: counter.update(text.split()))
         counts = counts.join(kept, ["lang", "term"], "left_semi")
     counts = stored(counts, "term-counts")
 
+    # Tables of a row for each source or language are written: Spark then knows how small they are, and joins the terms
+    # with them without a shuffle by language.
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = (
-        rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "v"])
+    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "v"])
+    groups = stored(groups, "sources")
+    in_block = F.greatest(F.lit(LEAST_TERMS), F.floor(F.lit(CELLS) / F.count(F.lit(1))))
+    langs = groups.groupBy("lang").agg(
+        F.sum("total").alias("lang_total"), F.max("v").alias("v"), F.greatest(F.lit(1), F.ceil(F.max("v") / in_block)).cast("int").alias("blocks")
     )
-    groups = stored(groups, "groups")
-    each = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
+    langs = stored(langs, "languages")
+    groups = stored(groups.join(langs.drop("v"), "lang"), "groups")
 
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    lang_totals = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    of_lang = of_lang.join(lang_totals, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("q"))
+    each = counts.join(groups, ["lang", "source"]).select(
+        "lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "blocks"
+    )
+    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(langs, "lang")
+    of_lang = of_lang.select("lang", "term", _share(F.col("n"), F.col("lang_total"), F.col("v")).alias("q"))
     more = each.join(of_lang, ["lang", "term"]).where("p > q").select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value")
     )
 
-    shape = lang_totals.join(groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")), "lang")
-    in_block = F.greatest(F.lit(LEAST_TERMS), F.floor(F.lit(CELLS) / F.col("sources")))
-    shape = shape.select("lang", F.greatest(F.lit(1), F.ceil(F.col("v") / in_block)).cast("int").alias("blocks"))
-    absent = (
-        groups.join(shape, "lang")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("lang", "block", "source", F.lit(None).cast("binary").alias("term"), _share(F.lit(0), F.col("total"), F.col("v")).alias("p"))
+    absent = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "lang", "block", "source", F.lit(None).cast("binary").alias("term"), _share(F.lit(0), F.col("total"), F.col("v")).alias("p")
     )
-    dealt = each.join(shape, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
+    dealt = each.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
     sums = dealt.unionByName(absent).groupBy("lang", "block").applyInPandas(_distances, "lang string, source string, item string, value bigint")
     pairs = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
