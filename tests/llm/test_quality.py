@@ -90,8 +90,53 @@ def test_empty_table(spark):
 
 
 def test_far_points_have_short_paths():
-    random_points = np.random.default_rng(1).normal(size=(400, 3))
+    random_points = np.random.default_rng(1).uniform(size=(400, 3))
     forest = quality.grow(random_points)
-    scores = forest.scores(np.array([[0.0, 0.0, 0.0], [9.0, 9.0, 9.0]]))
-    assert scores[0] < 0.5 < scores[1]
-    assert np.allclose(quality.grow(np.ones((5, 2))).scores(np.ones((2, 2))), 0.5)  # nothing to split
+    scores = forest.scores(np.array([[0.5, 0.5, 0.5], [1.9, 1.9, 1.9], [0.5, 1.9, 0.5]]))
+    assert scores[0] < scores[2] < scores[1]
+    same = quality.grow(np.ones((50, 2)))
+    assert np.ptp(same.scores(np.ones((2, 2)))) == 0 and same.scores(np.array([[1.9, 1.0]]))[0] > same.scores(np.ones((1, 2)))[0]
+
+
+def test_two_features_together_make_the_anomaly():
+    """Good points have two features that go together; a bad one has a small value of one and a large one of the other,
+    each of them well inside the range of the good points."""
+    rnd = np.random.default_rng(4)
+    n = 3000
+    x = np.full((n, len(quality.FEATURES)), 0.5)
+    good = rnd.uniform(size=n) < 0.9
+    x[:, 0] = np.where(good, rnd.uniform(size=n), rnd.uniform(0.05, 0.2, n))
+    x[:, 1] = np.where(good, x[:, 0], 1 - x[:, 0])
+    held = np.arange(n) % 3 == 0
+    model = quality.fitted(x[~held], good[~held])
+    low, high = x[good].min(0), x[good].max(0)
+    assert ((x[~good] >= low) & (x[~good] <= high)).all() and 0 < model.threshold < 1
+    refused = model.scores(x[held]) > model.threshold
+    # No rule on one feature could refuse any of them.
+    assert refused[~good[held]].mean() > 0.5 and refused[good[held]].mean() < 0.02
+
+
+def test_verdicts_come_from_the_forest(spark):
+    """On the given labels: the threshold is a path score, held-out documents are told apart, and another forest gives
+    other verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    measured = quality.measure(docs).where(~quality.base_failed()).join(labels.select("doc_id", "quality"), "doc_id").orderBy("doc_id").collect()
+    x = np.array([r["features"] for r in measured])
+    good = np.array([r["quality"] == 1 for r in measured])
+    held = np.arange(len(x)) % 2 == 0
+    model = quality.fitted(x[~held], good[~held])
+    assert 0 < model.threshold < 1
+    refused = model.scores(x[held]) > model.threshold
+    assert refused[~good[held]].mean() >= 0.9 and refused[good[held]].mean() <= 0.01
+    blind = quality.Model(quality.grow(model.scale(x[good]) * 0 + 0.5), model.threshold, model.scale)
+    assert (blind.scores(x[held]) > model.threshold).sum() != refused.sum()
+
+
+def test_judged_by(spark):
+    docs, kinds = labelled_rows(spark, 100)
+    labels = spark.createDataFrame([(i, int(k), 0) for i, k in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
+    measured = quality.measure(docs)
+    for given, said in ((labels, "forest"), (labels.limit(0), "base rules")):
+        got = quality.judge(measured, quality.fit(measured, quality.labelled(given)))
+        assert {r["judged_by"] for r in got.collect()} == {said}

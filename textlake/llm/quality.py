@@ -1,8 +1,8 @@
 """Quality rules: rule statistics of every document, and an isolation forest over them.
 
-Statistics are counts and shares of a whole text. The forest is grown on a bounded sample of labelled documents;
-a tree splits a small sample at random values until its points are alone, and a document that falls out of the tree
-after few splits is an anomaly. The threshold comes from the labelled documents: the lowest score that refuses at
+Statistics are counts and shares of a whole text. The forest is grown on a bounded sample of labelled documents, on a
+scale of ranks; a tree splits a small sample at random values until its points are alone, and a document that falls
+out of the tree after few splits is an anomaly. Nothing but path lengths makes a score. The threshold comes from the labelled documents: the lowest score that refuses at
 most a given share of the good ones.
 """
 
@@ -79,7 +79,11 @@ def _repeated(ids: np.ndarray, kinds: int) -> int:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the counts and the features of every row; further columns are not carried along."""
+    """doc_id, the counts and the features of every row.
+
+    A null or empty text has no words. Rows that repeat give rows that repeat, an empty table none; ids may be null;
+    further columns, whatever their names, are not carried along. A text of any length is counted whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +102,27 @@ def _measured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.array([f for _, f in found]).reshape(len(found), len(FEATURES))
 
 
+@dataclass
+class Scale:
+    """Features on the scale of the fitted documents: ranks among them from 0 to 1, and beyond their range up to one
+    more, as a share of the range of all labelled documents."""
+
+    ordered: np.ndarray  # each feature's values, ascending
+    width: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        low, high = self.ordered[0], self.ordered[-1]
+        ranks = [np.searchsorted(o, c, "left") + np.searchsorted(o, c, "right") for o, c in zip(self.ordered.T, x.T, strict=True)]
+        over = np.clip((x - high) / self.width, 0, 1) - np.clip((low - x) / self.width, 0, 1)
+        return np.stack(ranks, 1) / 2 / len(self.ordered) + over
+
+
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), value, children, and path length at a leaf."""
+    """Trees in common arrays, a root for each: feature (-1 at a leaf), value, left child (the right one is next), and
+    path length at a leaf."""
 
+    roots: np.ndarray
     feature: np.ndarray
     value: np.ndarray
     left: np.ndarray
@@ -112,17 +133,17 @@ class Forest:
         """Anomaly scores in (0, 1): 2 to the power of minus the mean path length over the expected one."""
         total = np.zeros(len(x))
         rows = np.arange(len(x))
-        for t in range(len(self.feature)):
-            at = np.zeros(len(x), np.int32)
+        for root in self.roots:
+            at = np.full(len(x), root, np.int32)
             while True:
-                f = self.feature[t, at]
+                f = self.feature[at]
                 inner = f >= 0
                 if not inner.any():
                     break
-                right = x[rows, np.maximum(f, 0)] >= self.value[t, at]
-                at = np.where(inner, self.left[t, at] + right, at)
-            total += self.length[t, at]
-        return 2.0 ** (-total / len(self.feature) / _expected(self.size))
+                right = x[rows, np.maximum(f, 0)] >= self.value[at]
+                at = np.where(inner, self.left[at] + right, at)
+            total += self.length[at]
+        return 2.0 ** (-total / len(self.roots) / _expected(self.size))
 
 
 def _expected(n: int) -> float:
@@ -132,42 +153,48 @@ def _expected(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
-def grow(points: np.ndarray, trees: int = 200, size: int = 256, seed: int = 7) -> Forest:
-    """Grows trees on random samples of ``size`` points each; a tree has at most 2 * size - 1 nodes."""
+def grow(points: np.ndarray, trees: int = 200, size: int = 128, margin: float = 0.3, seed: int = 7) -> Forest:
+    """Grows trees on random samples of ``size`` points each.
+
+    A split is drawn from the range of a node's points and a ``margin`` on both sides, of any feature: a point beyond
+    what the sample has seen then falls into an empty branch early, also where all sampled points have one value.
+    """
     random = np.random.default_rng(seed)
     size = min(size, len(points))
-    depth = int(np.ceil(np.log2(max(size, 2)))) + 4
-    shape = (trees, 2 * size + 1)
-    feature, value = np.full(shape, -1, np.int32), np.zeros(shape)
-    left, length = np.zeros(shape, np.int32), np.zeros(shape)
-    for t in range(trees):
-        todo = [(0, points[random.choice(len(points), size, replace=False)], 0)]
-        used = 1
+    depth = int(np.ceil(np.log2(max(size, 2)))) + 8
+    feature, value, left, length, roots = [], [], [], [], []
+
+    def node() -> int:
+        for column, empty in ((feature, -1), (value, 0.0), (left, 0), (length, 0.0)):
+            column.append(empty)
+        return len(feature) - 1
+
+    for _ in range(trees):
+        roots.append(node())
+        todo = [(roots[-1], points[random.choice(len(points), size, replace=False)], 0)]
         while todo:
-            node, own, level = todo.pop()
-            low, high = own.min(0), own.max(0)
-            usable = np.flatnonzero(high > low)
-            if level >= depth or not len(usable):
-                length[t, node] = level + _expected(len(own))
+            at, own, level = todo.pop()
+            if level >= depth or len(own) <= 1:
+                length[at] = level + _expected(len(own))
                 continue
-            f = int(random.choice(usable))
-            v = random.uniform(low[f], high[f])
+            f = int(random.integers(points.shape[1]))
+            v = np.float32(random.uniform(own[:, f].min() - margin, own[:, f].max() + margin))
             right = own[:, f] >= v
-            if right.all():  # the draw met the lowest value
-                v = np.nextafter(low[f], high[f])
-                right = own[:, f] >= v
-            feature[t, node], value[t, node], left[t, node] = f, v, used
-            todo += [(used, own[~right], level + 1), (used + 1, own[right], level + 1)]
-            used += 2
-    return Forest(feature, value, left, length, size)
+            feature[at], value[at], left[at] = f, v, node()
+            todo += [(left[at], own[~right], level + 1), (node(), own[right], level + 1)]
+    small = [np.array(roots, np.int32), np.array(feature, np.int8), np.array(value, np.float32), np.array(left, np.int32)]
+    return Forest(*small, np.array(length, np.float32), size)
 
 
 @dataclass
 class Model:
     forest: Forest | None
     threshold: float
-    low: np.ndarray | None = None
-    high: np.ndarray | None = None
+    scale: Scale | None = None
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Forest scores, 0 without a forest."""
+        return self.forest.scores(self.scale(x)) if self.forest else np.zeros(len(x))
 
 
 def labelled(labels: DataFrame, sample: int = 20_000) -> DataFrame:
@@ -188,8 +215,9 @@ def fit(measured: DataFrame, sampled: DataFrame, refused: float = 0.002) -> Mode
     ``sampled`` comes from ``labelled``, whose number of rows is bounded; ``measured`` has to hold the statistics of
     these documents. The forest learns what good documents (quality 1) look like from one half of them; the
     threshold is the score that at most a share ``refused`` of the other half exceeds, raised to the middle between
-    it and the next score of a bad document. Documents that fail the base rules do not take part. With fewer than 20
-    good documents there is no forest, and nothing is refused beyond the base rules.
+    it and the next score of a bad document. Documents that fail the base rules do not take part. With fewer than
+    ``LEAST_GOOD`` good documents there is nothing to learn from: the model has no forest and refuses nothing beyond
+    the base rules, and ``judge`` says so in ``judged_by``.
     """
     rows = (
         measured.where(~base_failed())
@@ -200,46 +228,49 @@ def fit(measured: DataFrame, sampled: DataFrame, refused: float = 0.002) -> Mode
     )
     rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["features"] for r in rows]).reshape(len(rows), len(FEATURES))
-    good = np.array([r["quality"] == 1 for r in rows], bool)
-    if good.sum() < 20:
+    return fitted(x, np.array([r["quality"] == 1 for r in rows], bool), refused)
+
+
+LEAST_GOOD = 20
+
+
+def fitted(x: np.ndarray, good: np.ndarray, refused: float = 0.002) -> Model:
+    """``fit`` on features and labels that are at hand."""
+    if good.sum() < LEAST_GOOD:
         return Model(None, 1.0)
-    fitted, held = x[good][::2], x[good][1::2]
-    model = Model(grow(fitted), 1.0, fitted.min(0), fitted.max(0))
-    scores = np.sort(score(model, held))
-    bad = score(model, x[~good])
+    own, held = x[good][::2], x[good][1::2]
+    scale = Scale(np.sort(own, 0), np.maximum(x.max(0) - x.min(0), 1e-9))
+    model = Model(grow(scale(own)), 1.0, scale)
+    scores = np.sort(model.scores(held))
+    bad = model.scores(x[~good])
     floor = scores[min(len(scores) - 1, int(np.ceil(len(scores) * (1 - refused))) - 1)]
     above = bad[bad > floor]
     model.threshold = float((floor + above.min()) / 2) if len(above) else float(floor)
     return model
 
 
-def score(model: Model, x: np.ndarray) -> np.ndarray:
-    """Forest score, plus how far the features lie outside the range of the good documents.
-
-    Random splits lie inside that range, so that the trees alone can't tell the largest good value from one a
-    hundred times as large.
-    """
-    width = np.maximum(model.high - model.low, 1e-9)
-    beyond = np.maximum(np.maximum(model.low - x, x - model.high), 0) / width
-    return model.forest.scores(x) + beyond.max(1, initial=0)
-
-
 def base_failed():
     return (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
 
 
 def judge(measured: DataFrame, model: Model) -> DataFrame:
-    """The counts with base_failed, anomaly (the score) and kept: false for base failures, else score in bounds."""
+    """The counts with base_failed, anomaly (the score), kept, and judged_by (``forest``, or ``base rules`` if there was
+    nothing to learn from). kept is false for base failures and for scores above the threshold; a score that equals it
+    stays. Every row is judged by itself: rows that repeat get one verdict, null ids stay, an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("features").to_pylist()).reshape(batch.num_rows, len(FEATURES))
-            anomaly = score(model, x) if model.forest else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(anomaly)], [*batch.schema.names[:-1], "anomaly"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(x))], [*batch.schema.names[:-1], "anomaly"])
 
     failed = base_failed()
     return measured.mapInArrow(run, f"doc_id bigint, {STATISTICS}, anomaly double").withColumns(
-        {"base_failed": failed, "kept": ~failed & (F.col("anomaly") <= F.lit(float(model.threshold)))}
+        {
+            "base_failed": failed,
+            "kept": ~failed & (F.col("anomaly") <= F.lit(float(model.threshold))),
+            "judged_by": F.lit("forest" if model.forest else "base rules"),
+        }
     )
 
 
@@ -250,7 +281,6 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             counts, x = _measured(batch.column(text_col))
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
-            refused = score(model, x) > model.threshold if model.forest else np.zeros(len(x), bool)
-            yield batch.filter(pa.array(~failed & ~refused))
+            yield batch.filter(pa.array(~failed & ~(model.scores(x) > model.threshold)))
 
     return docs.mapInArrow(run, docs.schema)
