@@ -43,6 +43,16 @@ def test_article_without_the_rest():
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<div>x</b>" * 50_000, "\n".join("x" * 50_000)),
         ("<p>" + "long " * 100_000, ("long " * 100_000).strip()),
+        ('<p>Hello <span class="advert">BUY NOW</span> world</p>', "Hello world"),
+        ("<p>a <button>b</button> c <svg><text>q</text></svg><math>m</math><label>l</label> d</p>", "a c d"),
+        ('<p>a <span hidden>x</span>b <span class="comments">12 replies</span></p>', "a b"),
+        ("<article><p>See … end <select><option>one<option>two</select> after</p></article>", "See … end after"),
+        ('<article><p>text</p></article><article class="comment"><p>first!</p></article>', "text"),
+        ('<article><p>A</p><div class="menu-price"><p>Soup</p></div></article>', "A\nSoup"),
+        ('<article><p>A</p><p class="recommended-reading">Book</p></article>', "A\nBook"),
+        ('<div id="sideBar">s</div><div class="adBox">t</div><div class="cookie-notice top">u</div>z', "z"),
+        ('<body class="has-sidebar menu"><p>x</p></body>', "x"),
+        ("<p>a<b>b</b>c<br>d</p>", "abc d"),
         ('<p>"' + "<a \"b' " * 300 + "</p>", '"'),
     ],
 )
@@ -67,7 +77,7 @@ def test_what_repeats_on_a_host_is_removed(spark, monkeypatch, most):
     few = [(u.replace("h.org", "few.org"), h, own) for u, h, own in pages[:5]]
     got = extracted(spark, [p[:2] for p in pages + few] + [(None, None), ("no host", "<p>x"), ("https://h.org/0", pages[0][1])])
     assert [got[i] for i in range(20)] == [own for *_, own in pages]
-    assert [got[20 + i] for i in range(5)] == [f"Subscribe to our letter today\n{own}" for *_, own in few]  # too few pages
+    assert [got[20 + i] for i in range(5)] == [own for *_, own in few]
     assert [got[25], got[26], got[27]] == ["", "x", pages[0][2]]
 
 
@@ -98,11 +108,53 @@ def test_importance_decides_inside_and_beside_an_article(spark, monkeypatch, mos
     assert [got[i] for i in range(21)] == [*owns, "story"]
 
 
-def test_the_query_rates_nodes_of_the_given_pages(spark):
-    from textlake.llm.common import pages
+def test_two_pages_of_a_host_are_evidence(spark):
+    """What both pages of a host have goes if each has text of its own, and stays inside an article, where less is enough."""
+    box = "<div class=q><p>Read our letters</p></div>"
+    pages = [(f"https://two.org/{i}", f"<body>{box}<div class=m><p>{own}</p></div></body>") for i, own in enumerate(["story one", "another tale"])]
+    pages += [(f"https://art.org/{i}", f"<article><h2>Part</h2><p>{own}</p></article>") for i, own in enumerate(["first part", "second part"])]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(4)] == ["story one", "another tale", "Part\nfirst part", "Part\nsecond part"]
+
 
-    marked = html_extract.importance(html_extract.style_nodes(pages(spark, "/root/testdata/sf0.01"))).where("pages >= 8")
-    assert marked.count() > 0
+def test_many_copies_of_an_article_do_not_make_it_noise(spark):
+    """Half of a host's pages have one story under different menus."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choices("abcdefghij", k=n))
+    menus = [text(6) for _ in range(4)]
+    stories = [text(30) for _ in range(20)]
+    shown = [stories[0] if i % 2 else stories[i // 2] for i in range(40)]
+    pages = [(f"https://h.org/{i}", f"<body><div class=u><p>{menus[i % 4]}</p></div><div class=v><p>{s}</p></div></body>") for i, s in enumerate(shown)]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(40)] == shown
+
+
+def test_the_tree_alone_cleans_the_given_pages(spark, monkeypatch):
+    """Without a word list and without the tags of menus, importance removes what repeats. (A footer names its host in
+    the text and so hardly ever repeats; its tag remains.)"""
+    import re
+    from html import unescape
+
+    rows = spark.read.schema("page_id bigint, url string, html string").parquet("/root/testdata/sf0.1/pages.parquet")
+    marked = html_extract.marked_nodes(html_extract.style_nodes(rows)).collect()
+    low, high = {}, {}
+    for r in marked:
+        (low if r["low"] else high).setdefault(r["host"], set()).add(r["path"])
+    # Menu, list, item and link, and advert, of all hosts together.
+    assert len(low["*"]) >= 5
+    monkeypatch.setattr(dom, "NOISE_WORDS", set())
+    monkeypatch.setattr(dom, "NOISE_TAGS", dom.NOISE_TAGS - {"nav", "aside", "header", "menu"})
+    found = rows.selectExpr("html", "split(url, '/')[2] AS host").collect()
+    for r in found:
+        article = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
+        want = "\n".join(filter(None, (" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)))
+        # Without the article's tag as well: nothing but the tree tells text from menus.
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_extract.main_text(r["html"], low["*"] | low.get(r["host"], set()), high.get(r["host"], set())) == want
+        assert html_extract.main_text(plain, low["*"]) == want
+        # The advert and the menu are there without the tree.
+        assert len(html_extract.main_text(plain)) > len(want)
 
 
 def test_empty_table(spark):
@@ -110,12 +162,13 @@ def test_empty_table(spark):
 
 
 def test_importance(spark):
-    nodes = spark.createDataFrame(
-        [("h", 1, page, 0, page) for page in range(8)] + [("h", 2, page, 0, 5) for page in range(8)] + [("h", 3, page, 0, page % 2) for page in range(8)],
-        "host string, path bigint, page bigint, presentation bigint, content bigint",
-    )
-    got = {r["path"]: (r["pages"], round(r["importance"], 6)) for r in html_extract.importance(nodes).collect()}
-    assert got == {1: (8, 1.0), 2: (8, 0.0), 3: (8, round(1 / 3, 6))}
+    nodes = [("h", 1, page, 0, page) for page in range(8)] + [("h", 2, page, 0, 5) for page in range(8)] + [("h", 3, page, 0, page % 2) for page in range(8)]
+    nodes += [("h", 1, 7, 0, 7), ("i", 2, 9, 0, 5), ("i", 4, 9, 1, 1)]  # a copy of a page; another host
+    df = spark.createDataFrame(nodes, "host string, path bigint, page bigint, presentation bigint, content bigint").selectExpr("*", "path = 1 AS guarded")
+    got = {(r["host"], r["path"]): (r["pages"], r["guarded"], round(r["importance"], 6)) for r in html_extract.importance(df).collect()}
+    # All different; all alike on eight pages; two contents on four pages each: ln 4 / ln 8.
+    assert got["h", 1] == (8, True, 1.0) and got["h", 2] == (8, False, 0.125) and got["h", 3] == (8, False, round(1 - 2 / 3 * 7 / 8, 6))
+    assert got["i", 2] == (1, False, 1.0) and got["*", 2] == (9, False, round(1 / 9, 6)) and got["*", 4] == (1, False, 1.0)
 
 
 def test_hashes_do_not_depend_on_the_process(spark):

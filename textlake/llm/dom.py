@@ -6,6 +6,7 @@ import hashlib
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 _MARK = re.compile(
@@ -24,8 +25,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
-    footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search
-    section summary table tbody td tfoot th thead tr ul""".split()
+    footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary
+    table tbody td tfoot th thead tr ul""".split()
 )
 NOISE_TAGS = set(
     """aside audio button canvas dialog fieldset footer form head header iframe input label map math menu nav noembed
@@ -38,9 +39,11 @@ NOISE_WORDS = set(
     reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar
     widget""".split()
 )
+# Words that say nothing beside one of those.
+PLAIN_WORDS = set("area bar block body bottom box container content group inner item left list main outer panel right row section side text top wrap wrapper".split())
 NOISE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 MAIN_TAGS = {"article", "main"}
-KEPT_TAGS = MAIN_TAGS | {"html", "body"}
+KEPT_TAGS = {"html", "body"}
 # An element that starts closes an open one of these kinds, up to the nearest of the stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -68,6 +71,7 @@ class Node:
     tag: str
     path: int
     noise: bool  # by its tag, class, id or role, or by an element around it
+    hint: bool  # one word among others of its class or id speaks of noise, or of that of an element around it
     low: bool  # by its path, or by that of an element around it
     main: bool  # inside an article or main element
     styles: list[int] = field(default_factory=list)  # of its children, in order, repeats once
@@ -77,21 +81,32 @@ class Node:
 @dataclass
 class Page:
     nodes: list[Node]
-    blocks: list[tuple[str, Node]]  # text, and the element that it stands in
+    blocks: list[list[tuple[str, Node]]]  # pieces of text, each with the element that it stands in
 
 
-def _style(tag: str, more: str) -> tuple[str, bool]:
-    """How an element is styled, digits aside, and whether that says noise."""
-    noise = tag in NOISE_TAGS
+def joined(pieces: list[str]) -> str:
+    return " ".join("".join(pieces).split())
+
+
+def _style(tag: str, more: str) -> tuple[str, bool, bool]:
+    """How an element is styled, digits aside; whether that says noise; and whether one word among others hints at it.
+
+    A class or id says noise if all its words do, but for words that say nothing; ``menu-price`` only hints.
+    """
+    noise, hint = tag in NOISE_TAGS, False
     if not more or more == "/":
-        return tag, noise
+        return tag, noise, hint
     style = [tag]
     for m in _ATTRIBUTE.finditer(more):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = _WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower())
-            style += words
-            noise |= any(w in NOISE_WORDS for w in words)
+            for one in value.split():
+                whole = "".join(_WORDS.findall(one.lower()))
+                words = _WORDS.findall(_CAMEL.sub(r"\1 \2", one).lower())
+                style += words
+                telling = {w for w in words if w in NOISE_WORDS}
+                hint |= bool(telling)
+                noise |= whole in NOISE_WORDS or bool(telling) and all(w in telling or w in PLAIN_WORDS for w in words)
         elif name == "role":
             style.append(value.lower())
             noise |= value.lower() in NOISE_ROLES
@@ -99,27 +114,26 @@ def _style(tag: str, more: str) -> tuple[str, bool]:
             noise = True
         elif name == "style":
             noise |= bool(_HIDDEN.search(value))
-    return " ".join(style), noise and tag not in KEPT_TAGS
+    kept = tag in KEPT_TAGS
+    return " ".join(style), noise and not kept, hint and not kept
 
 
-def read(text: str | None, low: set[int] | frozenset[int] = frozenset()) -> Page:
+def read(text: str | None, low: Container[int] = frozenset()) -> Page:
     """Elements and blocks of a page; ``low`` has the paths of branches to mark.
 
     Comments, raw texts and markup go; what is left open is closed at the end. The work for an element or block does
     not grow with its depth.
     """
     text = text or ""
-    root = Node("", 0, False, False, False)
+    root = Node("", 0, False, False, False, False)
     stack, nodes, blocks, line = [root], [], [], []
     standing: Counter[str] = Counter()  # open elements by tag
-    known: dict[tuple[str, str], tuple[int, bool]] = {}
+    known: dict[tuple[str, str], tuple[int, bool, bool]] = {}
 
     def flush():
         if line:
-            words = " ".join("".join(line).split())
+            blocks.append(line.copy())
             line.clear()
-            if words:
-                blocks.append((words, stack[-1]))
 
     def close():
         node = stack.pop()
@@ -141,7 +155,7 @@ def read(text: str | None, low: set[int] | frozenset[int] = frozenset()) -> Page
     def say(piece: str):
         if "&" in piece:
             piece = entities.unescape(piece)
-        line.append(piece)
+        line.append((piece, stack[-1]))
         words = " ".join(piece.split())
         if words:
             stack[-1].content.append(number(words))
@@ -163,7 +177,7 @@ def read(text: str | None, low: set[int] | frozenset[int] = frozenset()) -> Page
                 close_open({tag}, set() if tag in BLOCKS else BLOCKS)
             continue
         if tag == "br":
-            line.append(" ")
+            line.append((" ", stack[-1]))
             continue
         if tag in BLOCKS:
             flush()
@@ -173,13 +187,13 @@ def read(text: str | None, low: set[int] | frozenset[int] = frozenset()) -> Page
             close_open(*CLOSES[tag])
         more = m["more"] if m["tag"] else m["more2"]
         if (found := known.get((tag, more))) is None:
-            style, noise = _style(tag, more)
-            found = known[tag, more] = number(style), noise
+            style, *says = _style(tag, more)
+            found = known[tag, more] = number(style), *says
         above = stack[-1]
         inside = above.main or tag in MAIN_TAGS
         noise = found[1] and not (tag in ("header", "hgroup") and above.main and "class" not in more and "id" not in more)
         path = _fold(above.path, found[0])
-        node = Node(tag, path, above.noise or noise, above.low or path in low, inside)
+        node = Node(tag, path, above.noise or noise, above.hint or found[2], above.low or path in low, inside)
         nodes.append(node)
         stack.append(node)
         standing[tag] += 1

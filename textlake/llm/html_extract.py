@@ -1,16 +1,22 @@
 """Main text of pages by a site style tree.
 
 The pages of a host are merged into one tree: elements with the same path of tags, classes and ids are one node. A
-node's presentation is the sequence of its children's styles, its content the text below it. The importance of a
-node is the larger of the two entropies over the host's different pages, as a share of the largest possible: a menu
-or notice that looks and reads the same on all pages has an importance near 0, an article near 1. Branches of low
-importance are removed from every page, inside article and main elements too, and so are those whose tag, class, id
-or role says that they are no main text. Text beside an article or main element stays if its node is important.
+node's presentations are the sequences of its children's styles, its contents the texts below it, one of each for a
+page. What stands on one page only has an entropy of 0 over the pages, what stands on all alike has 1; the importance
+of a node is 1 less the mean entropy of its different contents or presentations, whichever gives more, so that many
+copies of one article weigh no more than one, and as far as the number of pages bears that out. All hosts together
+make a further tree, in which notices and menus are seen to repeat that a host has on few pages. Branches of low
+importance are removed from every page; inside article and main elements less is enough to stay, unless a word of the
+class hints at noise.
+
+Elements that say in so many words what they are (nav, aside, class="cookie-notice") go as well, whatever their
+importance, for the pages of small hosts. Text beside an article or main element stays if its node is important.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Container, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -27,11 +33,7 @@ BROADCAST_NODES = 200_000
 
 def style_nodes(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """A row per page and different path: host, path, a hash of the whole page, of the presentation, and of the content,
-    and whether it is inside an article or main element.
-
-    Paths that are removed by what they are are left out, and so are html, body, article and main themselves: these
-    hold whole pages and texts.
-    """
+    and whether it is guarded: inside an article or main element, and without a word that hints at noise."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,61 +41,82 @@ def style_nodes(pages: DataFrame, id_col="page_id", url_col="url", html_col="htm
             for host, html in zip(batch["host"], batch["html"], strict=True):
                 page = dom.read(html)
                 whole = dom._fold(*page.nodes[0].content)
-                by: dict[tuple[int, bool], tuple[list[int], list[int]]] = {}
+                by: dict[int, tuple[list[int], list[int], bool]] = {}
                 for n in page.nodes[1:]:
-                    if not (n.noise or n.tag in dom.KEPT_TAGS):
-                        styles, content = by.setdefault((n.path, n.main), ([], []))
-                        styles.append(dom._fold(*n.styles))
-                        content.append(dom._fold(*n.content))
-                out += [(host, whole, path, dom._fold(*s), dom._fold(*c), main) for (path, main), (s, c) in by.items()]
-            yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content", "main"])
+                    styles, content, _ = by.setdefault(n.path, ([], [], n.main and not n.hint))
+                    styles.append(dom._fold(*n.styles))
+                    content.append(dom._fold(*n.content))
+                out += [(host, whole, path, dom._fold(*s), dom._fold(*c), guarded) for path, (s, c, guarded) in by.items() if any(c)]
+            yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content", "guarded"])
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "host string, page bigint, path bigint, presentation bigint, content bigint, main boolean")
+    return rows.mapInPandas(run, "host string, page bigint, path bigint, presentation bigint, content bigint, guarded boolean")
+
+
+def _rated(times: DataFrame, node: list[str]) -> DataFrame:
+    """Pages and importance of nodes from the number of pages of each of their values."""
+    pages = F.sum("n")
+    # Of a value on n of the pages alike: ln n / ln pages. The mean is over different values.
+    entropy = F.when(pages > 1, F.avg(F.ln("n")) / F.ln(pages)).otherwise(0.0)
+    each = times.groupBy(*node, "kind").agg(pages.alias("pages"), entropy.alias("entropy"), F.bool_and("guarded").alias("guarded"))
+    rated = each.groupBy(*node).agg(F.max("pages").alias("pages"), F.min("entropy").alias("entropy"), F.bool_and("guarded").alias("guarded"))
+    # Two pages bear out half of what is seen, many pages all.
+    return rated.select(*node, "pages", "guarded", (F.lit(1.0) - F.col("entropy") * (F.lit(1.0) - F.lit(1.0) / F.col("pages"))).alias("importance"))
 
 
-def importance(nodes: DataFrame, node: tuple[str, ...] = ("host", "path")) -> DataFrame:
-    """host, path, number of different pages, and importance of every node of the hosts' trees."""
+def importance(nodes: DataFrame) -> DataFrame:
+    """host, path, number of different pages, guarded, and importance of every node of the hosts' trees, and of the tree
+    of all hosts together, whose rows have ``*`` for the host."""
     # Pages that repeat word for word count once: copies of a page say nothing about its parts.
-    once = nodes.groupBy(*node, "page").agg(F.min("presentation").alias("presentation"), F.min("content").alias("content"))
-    kinds = F.inline(
-        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("presentation", "content")])
+    once = nodes.groupBy("host", "path", "page").agg(
+        F.min("presentation").alias("presentation"), F.min("content").alias("content"), F.bool_and("guarded").alias("guarded")
     )
-    times = once.select(*node, kinds).groupBy(*node, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    m = F.sum("n")
-    # log m - (sum of n log n) / m, over its largest value log m.
-    entropy = F.when(m > 1, F.lit(1.0) - F.sum(F.col("n") * F.ln("n")) / m / F.ln(m)).otherwise(1.0)
-    each = times.groupBy(*node, "kind").agg(m.alias("pages"), entropy.alias("entropy"))
-    return each.groupBy(*node).agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("presentation", "content")]))
+    times = once.select("host", "path", "guarded", kinds).groupBy("host", "path", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("guarded").alias("guarded")
+    )
+    times = stored(times, "node-values")
+    pooled = times.groupBy("path", "kind", "value").agg(F.sum("n").alias("n"), F.bool_and("guarded").alias("guarded"))
+    everywhere = _rated(pooled, ["path"]).withColumn("host", F.lit(EVERY_HOST))
+    return _rated(times, ["host", "path"]).unionByName(everywhere)
+
 
+# No host is named so.
+EVERY_HOST = "*"
 
-def marked_nodes(nodes: DataFrame, least_pages: int = 8, least: float = 0.25) -> DataFrame:
-    """Nodes on at least ``least_pages`` different pages of their host: host, path, and whether they are ``low``.
 
-    Those below ``least`` importance are. The others decide only outside main text, and are left out inside.
+def marked_nodes(nodes: DataFrame, least: float = 0.8, least_guarded: float = 0.3, high_pages: int = 8) -> DataFrame:
+    """Nodes that decide: host, path, and whether they are ``low``.
+
+    Those below ``least`` importance are low, or below ``least_guarded`` where they are guarded. Others are told from
+    nodes that nothing is known of, for the sake of text beside main text, if they have ``high_pages`` pages of a host.
     """
-    rated = importance(nodes, ("host", "path", "main")).where(F.col("pages") >= least_pages)
-    low = F.col("importance") < least
-    return rated.where(low | ~F.col("main")).select("host", "path", low.alias("low"))
+    rated = importance(nodes)
+    low = F.col("importance") < F.when(F.col("guarded"), least_guarded).otherwise(least)
+    high = (F.col("pages") >= high_pages) & (F.col("host") != EVERY_HOST) & ~F.col("guarded")
+    return rated.where(low | high).select("host", "path", low.alias("low"))
 
 
-def main_text(
-    html: str | None, low: set[int] | frozenset[int] = frozenset(), high: set[int] | frozenset[int] = frozenset()
-) -> str:
+def main_text(html: str | None, low: Container[int] = frozenset(), high: Container[int] = frozenset()) -> str:
     """Blocks of main text, one a line, without branches of the paths ``low``.
 
-    If there is an article or main element, blocks beside it need a path of ``high``. Where all text inside repeats,
-    nothing tells it from the page's own, and it stays.
+    Each piece of a block is judged by the element that it stands in. If there is an article or main element, pieces
+    beside it need a path of ``high``. Where all text repeats, nothing tells it from the page's own, and it stays.
     """
-    blocks = [(text, at) for text, at in dom.read(html, low).blocks if not at.noise]
-    inside = any(at.main for _, at in blocks)
-    own = any(at.main and not at.low for _, at in blocks)
-    return "\n".join(
-        text for text, at in blocks if (not at.low or at.main and not own) and (at.main or not inside or at.path in high)
+    blocks = [[(text, at) for text, at in block if not at.noise] for block in dom.read(html, low).blocks]
+    spoken = [at for block in blocks for text, at in block if not text.isspace()]
+    inside = any(at.main for at in spoken)
+    own = any(not at.low for at in spoken if at.main or not inside)
+    lines = (
+        dom.joined([text for text, at in block if (not at.low or not own and at.main >= inside) and (at.main or not inside or at.path in high)])
+        for block in blocks
     )
+    return "\n".join(filter(None, lines))
 
 
-def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
+def extract(
+    pages: DataFrame, least: float = 0.8, least_guarded: float = 0.3, id_col="page_id", url_col="url", html_col="html"
+) -> DataFrame:
     """page_id, url and text of every row.
 
     A null or empty page gives an empty text; a null url or one without host belongs to a host without name, whose
@@ -102,7 +125,7 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
     counts per task. Marked nodes are broadcast if there are at most ``BROADCAST_NODES`` of them and joined with
     the pages otherwise.
     """
-    marked = stored(marked_nodes(style_nodes(pages, id_col, url_col, html_col), least_pages, least), "marked-nodes")
+    marked = stored(marked_nodes(style_nodes(pages, id_col, url_col, html_col), least, least_guarded), "marked-nodes")
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
@@ -111,15 +134,19 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
     )
     found = marked.limit(BROADCAST_NODES + 1).count()
     if found <= BROADCAST_NODES:
-        by_host: dict[str, tuple[set[int], set[int]]] = {}
+        by_host: dict[str, tuple[dict, dict]] = {EVERY_HOST: ({}, {})}
         for r in marked.collect():
-            by_host.setdefault(r["host"], (set(), set()))[0 if r["low"] else 1].add(r["path"])
+            by_host.setdefault(r["host"], ({}, {}))[0 if r["low"] else 1][r["path"]] = True
         sent = pages.sparkSession.sparkContext.broadcast(by_host)
 
+        def sets(host: str | None) -> tuple[ChainMap, dict]:
+            (everywhere, _), (low, high) = sent.value[EVERY_HOST], sent.value.get(host, ({}, {}))
+            return ChainMap(low, everywhere), high
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hosts, htmls = batch.column("host").to_pylist(), batch.column("html").to_pylist()
-                yield _with_texts(batch, [main_text(x, *sent.value.get(h, ())) for h, x in zip(hosts, htmls, strict=True)])
+                yield _with_texts(batch, [main_text(x, *sets(h)) for h, x in zip(hosts, htmls, strict=True)])
 
         return rows.mapInArrow(run, _TEXTS)
 
@@ -129,7 +156,7 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
             out = [
                 (key, host, path)
                 for key, host, html in zip(batch["key"], batch["host"], batch["html"], strict=True)
-                for path in {n.path for n in dom.read(html).nodes[1:] if not n.noise}
+                for path in {n.path for n in dom.read(html).nodes[1:]}
             ]
             yield pd.DataFrame(out, columns=["key", "host", "path"])
 
@@ -137,6 +164,7 @@ def extract(pages: DataFrame, least_pages: int = 8, least: float = 0.25, id_col=
     wanted = (
         own.select("key", "host", "html")
         .mapInPandas(paths, "key bigint, host string, path bigint")
+        .select("key", "path", F.explode(F.array("host", F.lit(EVERY_HOST))).alias("host"))
         .join(marked, ["host", "path"])
         .groupBy("key")
         .agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("high"))
