@@ -8,12 +8,13 @@ from textlake.functions import code as flags
 from textlake.functions import text as tx
 from textlake.functions import vectors as vec
 from textlake.plans import ingest
+from textlake.plans.sessions import close_stored_sessions, mark_stored_incomplete
 from textlake.session import shared_dir
-from textlake.sources import files, tables
-from textlake.streaming.ingest import stream_merge, stream_safe_ingest
+from textlake.sources import files, tables, versions
+from textlake.streaming.ingest import stream_merge, stream_merge_logs, stream_safe_ingest
 
 from .code_queries import CODE, functions, sources
-from .log_queries import MERGED_OBS, observations, remote_observations, sessions
+from .log_queries import CLOSED, MERGED_OBS, MERGED_SESS, closing, observations, remote_observations, remote_sessions, sessions
 from .text_queries import LEAKS
 from .views import TABLES, VIEWS, oracle, query, spark_view
 
@@ -185,3 +186,63 @@ def _(spark, sf):
     job = stream_merge(arriving, f"{path}/log", f"{path}/checkpoint", obs.schema)
     job.awaitTermination()
     return tables.read_log(spark, f"{path}/log", obs.schema)
+
+
+@query(
+    "stream_merge_logs",
+    oracle(
+        """SELECT 'session' AS part, id, project, started_at AS at, coalesce(summary, '-') AS said FROM s
+        UNION ALL SELECT 'observation', id, project, created_s, content FROM m""",
+        "v_obs",
+        "v_sess",
+        "v_remote_obs",
+        "v_remote_sess",
+        m=MERGED_OBS,
+        s=MERGED_SESS,
+    ),
+)
+def _(spark, sf):
+    """Both tables of another machine arrive in two parts, and the streams start again for the second one."""
+    path = shared_dir(spark, "merge")
+    obs, sess = observations(spark, sf), sessions(spark, sf)
+    tables.append_log(obs, f"{path}/log/observations")
+    versions.create(sess, f"{path}/log/sessions", buckets=8)
+    for part in (0, 1):
+        for name, rows in (("observations", remote_observations(spark, sf)), ("sessions", remote_sessions(spark, sf))):
+            rows.where(F.expr("id % 4 div 2") == part).write.mode("append").parquet(f"{path}/arriving/{name}")
+        arriving = [spark.readStream.schema(t.schema).parquet(f"{path}/arriving/{n}") for n, t in (("sessions", sess), ("observations", obs))]
+        for job in stream_merge_logs(*arriving, f"{path}/log", f"{path}/checkpoint", obs.schema):
+            job.awaitTermination()
+    merged = tables.read_log(spark, f"{path}/log/observations", obs.schema)
+    said = F.coalesce("summary", F.lit("-")).alias("said")
+    return versions.read(spark, f"{path}/log/sessions").select(
+        F.lit("session").alias("part"), "id", "project", F.col("started_at").alias("at"), said
+    ).unionByName(
+        merged.select(F.lit("observation").alias("part"), "id", "project", F.col("created_at").alias("at"), F.col("content").alias("said"))
+    )
+
+
+@query("close_stored_sessions", oracle(f"SELECT 2 AS version, * FROM ({CLOSED}) UNION ALL SELECT 1, id, project, started_s, ended_s, summary FROM v_sess", "v_obs", "v_sess"))
+def _(spark, sf):
+    """The rows of both versions: before and after the sessions are closed."""
+    path = shared_dir(spark, "sessions")
+    versions.create(sessions(spark, sf), path, buckets=8)
+    close_stored_sessions(spark, path, closing(spark, sf))
+    both = [versions.read(spark, path, v).select(F.lit(v).alias("version"), "*") for v in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    "mark_stored_incomplete",
+    oracle(
+        """SELECT id, project, started_s AS started_at, CASE WHEN ended_s IS NULL AND id < 100000 THEN started_s + 99 ELSE ended_s END AS ended_at,
+        CASE WHEN ended_s IS NULL AND id < 100000 THEN '[incomplete]' ELSE summary END AS summary FROM v_sess""",
+        "v_sess",
+    ),
+)
+def _(spark, sf):
+    path = shared_dir(spark, "sessions")
+    stored = sessions(spark, sf)
+    versions.create(stored, path, buckets=8)
+    mark_stored_incomplete(spark, path, stored.where("id < 100000").select("id", (F.col("started_at") + 99).alias("ended_at")))
+    return versions.read(spark, path)

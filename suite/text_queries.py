@@ -169,6 +169,43 @@ def _(spark, sf):
     return vectors.fetch_hits(hits, table, "vec_id").select("vec_id", "score", "rank", "label")
 
 
+_MANY = """
+    SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))
+        / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))
+        / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score
+    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0"""
+
+
+def _many(spark, sf, least=None):
+    """Every fiftieth vector asks for all."""
+    table = spark_view(spark, sf, "embeddings")
+    queries = table.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    scored = vectors.score_many(table, queries, id_col="vec_id", least=least)
+    return scored.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("score_vectors_many", oracle("SELECT query_id, vec_id, score FROM s", s=_MANY))
+def _(spark, sf):
+    return _many(spark, sf)
+
+
+@query("score_vectors_least", oracle("SELECT query_id, vec_id, score FROM s WHERE score >= 0.3", s=_MANY))
+def _(spark, sf):
+    return _many(spark, sf, least=0.3)
+
+
+@query(
+    "top_k_by_query",
+    oracle(
+        """SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::BIGINT AS rank
+        FROM s QUALIFY rank <= 10""",
+        s=_MANY,
+    ),
+)
+def _(spark, sf):
+    return vectors.top_k_by(_many(spark, sf), "query_id", 10, ties=["vec_id"])
+
+
 @query("with_embedding", "SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings WHERE embedding IS NOT NULL")
 def _(spark, sf):
     rows = vectors.with_embedding(spark_view(spark, sf, "embeddings"), id_col="vec_id")

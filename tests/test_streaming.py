@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 from conftest import rows
 from textlake.operators import merge
 from textlake.plans import ingest
-from textlake.sources import tables
-from textlake.streaming.ingest import stream_merge, stream_safe_ingest
+from textlake.plans.sessions import longest_summaries
+from textlake.sources import tables, versions
+from textlake.streaming import ingest as stream_jobs
+from textlake.streaming.ingest import stream_merge, stream_merge_logs, stream_safe_ingest
 
 NOTE = "n int, project string, type string, content string"
 OBS = "id string, session_id string, project string, type string, content string, content_hash string, created_at bigint"
@@ -73,3 +75,81 @@ def test_odd_project_names_survive_the_folders(spark, tmp_path):
     one = back.where("project = '007'")
     assert [r.id for r in one.collect()] == ["1"]
     assert "PartitionFilters: [(coalesce(" in one._jdf.queryExecution().toString()
+
+
+def test_both_tables_arrive_in_streams(spark, tmp_path):
+    """Streams over both tables, started again for every part, give what the batch merge gives."""
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ckpt"))
+    local_obs, local_sess = log_rows(spark, 0, 12), sessions(spark, 0, 10, "CASE WHEN id % 2 = 0 THEN 'mine' END")
+    tables.append_log(local_obs, f"{path}/observations")
+    versions.create(local_sess, f"{path}/sessions", buckets=4)
+    for lo, hi, said in [(5, 12, "'longer one'"), (0, 20, "repeat('x', CAST(id AS INT))")]:
+        log_rows(spark, lo, hi).write.mode("append").parquet(f"{source}/obs")
+        sessions(spark, lo, hi, said).write.mode("append").parquet(f"{source}/sess")
+        arriving = [spark.readStream.schema(t.schema).parquet(f"{source}/{n}") for n, t in (("sess", local_sess), ("obs", local_obs))]
+        for job in stream_merge_logs(*arriving, path, checkpoint, local_obs.schema):
+            job.awaitTermination()
+    remote_sess = sessions(spark, 5, 12, "'longer one'").unionByName(sessions(spark, 0, 20, "repeat('x', CAST(id AS INT))"))
+    want_sess, want_obs = merge.merge_logs((local_sess, local_obs), (longest_summaries(remote_sess), log_rows(spark, 0, 20)))
+    assert sorted(rows(versions.read(spark, f"{path}/sessions"))) == sorted(rows(want_sess))
+    stored = tables.read_log(spark, f"{path}/observations", local_obs.schema)
+    assert sorted(rows(stored, "id", "content")) == sorted(rows(want_obs, "id", "content"))
+
+
+def sessions(spark, lo, hi, summary):
+    return spark.range(lo, hi).selectExpr("concat('s', id) AS id", "concat('p', id % 3) AS project", "id AS started_at", "id + 1 AS ended_at", f"{summary} AS summary")
+
+
+def test_first_of_equal_contents_in_a_batch(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    data = [(i, None, "p", "note", "same", h, at) for i, h, at in [("b", "h", 2), ("a", "h", 2), ("c", "h", 1), ("e", None, 0), ("d", None, 0)]]
+    arriving = spark.createDataFrame(data, OBS)
+    arriving.write.parquet(source)
+    tables.append_log(arriving.limit(0), path)
+    stream_merge(spark.readStream.schema(OBS).parquet(source), path, str(tmp_path / "ckpt"), arriving.schema).awaitTermination()
+    stored = tables.read_log(spark, path, arriving.schema)
+    # A row without a hash is known by that of its content.
+    assert sorted(rows(stored, "id")) == [("c",), ("d",)] == sorted(rows(merge.new_observations(arriving.limit(0), arriving), "id"))
+
+
+def test_a_micro_batch_does_not_read_the_log(spark, tmp_path, monkeypatch):
+    """The log is read when a stream starts and by its first micro-batch; every later one looks up its own hashes."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    tables.append_log(log_rows(spark, 0, 10), path)
+    for lo in range(0, 20, 5):
+        log_rows(spark, lo, lo + 5).coalesce(1).write.mode("append").parquet(source)
+    reads = []
+    real = stream_jobs.read_log
+    monkeypatch.setattr(stream_jobs, "read_log", lambda *a: reads.append(a) or real(*a))
+    arriving = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(source)
+    job = stream_merge(arriving, path, str(tmp_path / "ckpt"), log_rows(spark, 0, 1).schema)
+    job.awaitTermination()
+    assert len(job.recentProgress) >= 4 and len(reads) == 3
+    assert tables.read_log(spark, path, log_rows(spark, 0, 1).schema).count() == 20
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path, monkeypatch):
+    """The driver dies after a micro-batch's rows were appended and before the batch is committed."""
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ckpt"))
+    schema = log_rows(spark, 0, 1).schema
+    tables.append_log(log_rows(spark, 0, 3), path)
+
+    def start():
+        return stream_merge(spark.readStream.schema(OBS).parquet(source), path, checkpoint, schema)
+
+    log_rows(spark, 0, 6).write.mode("append").parquet(source)
+    start().awaitTermination()
+    log_rows(spark, 4, 15).write.mode("append").parquet(source)
+    real = stream_jobs.append_log
+
+    def dies(rows_, at):
+        real(rows_, at)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(stream_jobs, "append_log", dies)
+    with pytest.raises(Exception, match="killed"):
+        start().awaitTermination()
+    monkeypatch.setattr(stream_jobs, "append_log", real)
+    assert tables.read_log(spark, path, schema).count() == 15
+    start().awaitTermination()
+    assert sorted(rows(tables.read_log(spark, path, schema), "id")) == sorted(rows(log_rows(spark, 0, 15), "id"))

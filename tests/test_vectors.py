@@ -97,3 +97,58 @@ def test_unit_counts_equal_normalized_counts(spark):
     counted = df.select(V.unit_byte_counts("t").alias("u"), V.byte_counts("t").alias("c"))
     for r in counted.select("u", V.l2_normalize("c").alias("n")).collect():
         assert r.u == (None if r.n is None else pytest.approx(r.n, abs=1e-6))
+
+
+def cosines(vectors_, queries):
+    out = {}
+    for q, a in queries:
+        for i, b in vectors_:
+            if a and b and any(x and y for x, y in zip(a, b, strict=True)):
+                out[q, i] = sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    return out
+
+
+@pytest.mark.parametrize("least", [None, 0.21, 0.81, 0.999])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_many_queries(spark, least, parts):
+    rnd = random.Random(7)
+    sparse = [[rnd.choice([0, 0, 0, 1, 2, -1]) * 1.0 for _ in range(12)] for _ in range(60)]
+    held = list(enumerate([*sparse, [0.0] * 12, [1.0] + [0.0] * 11, None]))
+    asked = [(f"q{i}", v) for i, v in held[::7]] + [("none", None), ("zero", [0.0] * 12)]
+    table = spark.createDataFrame(held, "id int, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    got = {(r.query_id, r.id): r.score for r in vectors.score_many(table, queries, least=least, parts=parts).collect()}
+    want = {k: v for k, v in cosines(held, asked).items() if least is None or v >= least - 1e-12}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_many_queries_join_by_dimension(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0])], "id int, embedding array<double>")
+    queries = table.withColumnRenamed("id", "query_id")
+    for least in (None, 0.5):
+        p = plan(vectors.score_many(table, queries, least=least))
+        assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_pairs_below_the_bound_are_never_made(spark):
+    """A query whose weight is in one dimension is only compared with vectors that have it."""
+    table = spark.createDataFrame([(i, [0.0 if i else 1.0, 1.0, 1.0]) for i in range(50)], "id int, embedding array<double>")
+    queries = spark.createDataFrame([("q", [9.0, 1.0, 1.0])], "query_id string, embedding array<double>")
+    assert rows(vectors.score_many(table, queries, least=0.5), "id") == [(0,)]
+    assert vectors.score_many(table, queries).count() == 50
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_top_k_of_every_group(spark, parts):
+    rnd = random.Random(3)
+    data = [(rnd.choice(["hot", "hot", "hot", "a", "b", None]), i, float(rnd.randint(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, id int, score double").repartition(5)
+    best = vectors.top_k_by(df, "g", 4, ties=["id"], parts=parts)
+    want = []
+    for g in {d[0] for d in data}:
+        own = sorted((d for d in data if d[0] == g), key=lambda d: (-d[2], d[1]))[:4]
+        want += [(*d, n + 1) for n, d in enumerate(own)]
+    assert sorted(rows(best, "g", "id", "score", "rank"), key=str) == sorted(want, key=str)
+    # Every task keeps k rows of a part before anything is shuffled.
+    p = plan(best)
+    assert p.index("WindowGroupLimit") and p.count("Partial") >= 1

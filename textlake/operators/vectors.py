@@ -64,6 +64,62 @@ def top_k(df: DataFrame, k: int, score="score", ties=()) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))
 
 
+def top_k_by(df: DataFrame, group, k: int, score="score", ties=(), parts: int = 16) -> DataFrame:
+    """The k best rows of every group, with their rank; ``ties`` makes the order total.
+
+    Every task keeps at most k rows of a group before the first shuffle. That one deals a group over ``parts`` tasks, so
+    that a group that most rows belong to is not brought together in one place until k rows of each part are left.
+    """
+    keys = [group] if isinstance(group, str) else list(group)
+    order = [F.desc(score), *[F.asc(c) for c in ties]]
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(score, *ties), F.lit(parts)))
+    some = dealt.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_n") <= k).drop("_n", "_part")
+    return some.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
+
+
+def dimensions(df: DataFrame, ids, vector) -> DataFrame:
+    """(ids, dim, weight) of the dimensions of unit vectors that are not 0; a zero vector has none."""
+    unit = df.where(F.col(vector).isNotNull()).select(*ids, F.posexplode(V.l2_normalize(vector)).alias("dim", "weight"))
+    return unit.where("weight <> 0")
+
+
+def score_many(vectors: DataFrame, queries: DataFrame, vector="embedding", id_col="id", query_id="query_id", least: float | None = None, parts: int = 16) -> DataFrame:
+    """(query_id, id, score): the cosine of every query with every vector that shares a dimension with it.
+
+    ``queries`` has ``query_id`` and ``vector``; both ids are unique. Without a shared dimension a score would be 0, and
+    the pair is no row. The vectors' dimensions are an inverted index: a join by dimension gives partial products, which
+    are summed by pair. A dimension that all vectors have is dealt over ``parts`` tasks by the vector's id, with the
+    queries' entries once for each part.
+
+    With ``least`` (above 0) only pairs that reach it come, and others are not worked out where a bound says so: a
+    query's dimensions are looked at in the order of their weights until those left have a norm below ``least``; a
+    vector that has none of the dimensions looked at can't reach it, by the inequality of Cauchy and Schwarz. The
+    products of the other dimensions are taken for the remaining pairs only.
+    """
+    index = dimensions(vectors.select(id_col, vector), [id_col], vector).withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    asked = dimensions(queries.select(query_id, vector), [query_id], vector).withColumnRenamed("weight", "_asked")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
+    product = F.sum(F.col("weight") * F.col("_asked")).alias("score")
+    if least is None:
+        dealt = asked.select(query_id, "dim", "_asked", everywhere)
+        return index.join(dealt, ["dim", "_part"]).groupBy(query_id, id_col).agg(product)
+    # What a dimension and all after it can give; the first ones of a query are those where this is enough.
+    after = W.partitionBy(query_id).orderBy(F.abs("_asked"), "dim").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # A little room, so that no sum that is rounded otherwise falls out.
+    ahead = asked.withColumn("_first", F.sqrt(F.sum(F.col("_asked") ** 2).over(after)) >= least - 1e-9)
+    dealt = ahead.select(query_id, "dim", "_asked", "_first", everywhere)
+    pairs = index.join(dealt.where("_first"), ["dim", "_part"]).groupBy(query_id, id_col).agg(product)
+    # The rest of a pair's products: its query's later dimensions, looked up in the vector.
+    rest = (
+        pairs.select(query_id, F.col(id_col), "score")
+        .join(ahead.where("NOT _first").select(query_id, "dim", "_asked"), query_id)
+        .join(index.select(id_col, "dim", "weight"), [id_col, "dim"])
+        .select(query_id, id_col, (F.col("weight") * F.col("_asked")).alias("score"))
+    )
+    whole = pairs.unionByName(rest).groupBy(query_id, id_col).agg(F.sum("score").alias("score"))
+    return whole.where(F.col("score") >= least)
+
+
 def similarity(df: DataFrame, query: str, vector="embedding", out="score", digits=6) -> DataFrame:
     """Adds the similarity to the byte histogram of ``query``.
 
