@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from textlake.functions import code as flags
@@ -11,6 +13,7 @@ from textlake.plans import ingest
 from textlake.plans.sessions import close_stored_sessions, mark_stored_incomplete
 from textlake.session import shared_dir
 from textlake.sources import files, tables, versions
+from textlake.sources.tree_source import SourceTree
 from textlake.streaming.ingest import stream_merge, stream_merge_logs, stream_safe_ingest
 
 from .code_queries import CODE, functions, sources
@@ -21,28 +24,43 @@ from .views import TABLES, VIEWS, oracle, query, spark_view
 EPOCH = 1704067200
 
 
-@query(
-    "load_source_tree",
-    oracle(
-        """SELECT concat('n=', CAST(p_partkey % 40 AS STRING)) AS folder, sum(octet_length(encode(content)) + 1)::BIGINT AS bytes,
+_TREE = """SELECT concat('n=', CAST(p_partkey % 40 AS STRING)) AS folder, sum(octet_length(encode(content)) + 1)::BIGINT AS bytes,
         sum(len(string_split(content, 'export func ')) - 1)::BIGINT AS exports
         FROM (SELECT CAST(regexp_extract(path, 'k(\\d+)[.]ea', 1) AS BIGINT) AS p_partkey, content FROM v_src)
-        WHERE p_partkey % 40 <> 7 GROUP BY 1""",
-        "v_src",
-    ),
-)
-def _(spark, sf):
-    """Writes the sources as a tree of folders, one of which is to be skipped, and reads it again."""
+        WHERE p_partkey % 40 <> 7 GROUP BY 1"""
+
+
+def _written_tree(spark, sf):
+    """The sources as a tree of folders, one of which is to be skipped."""
     path = shared_dir(spark, "tree")
     number = F.regexp_extract("path", r"k(\d+)[.]ea", 1).cast("bigint") % 40
     texts = sources(spark, sf).select(number.alias("n"), F.col("content").alias("value"))
     texts.repartition(8, "n").write.partitionBy("n").text(path)
-    found = files.load_source_tree(spark, [path], suffix=".txt", skip_dirs=["n=7"])
+    return path
+
+
+def _by_folder(found):
     return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(
         F.sum("length").alias("bytes"), F.sum(flags.count_exports(tx.byte_view_of_binary("content"))).alias("exports")
     )
 
 
+@query("load_source_tree", oracle(_TREE, "v_src"))
+def _(spark, sf):
+    return _by_folder(files.load_source_tree(spark, [_written_tree(spark, sf)], suffix=".txt", skip_dirs=["n=7"]))
+
+
+@query("source_tree_stream", oracle(_TREE, "v_src"))
+def _(spark, sf):
+    """The tree as a stream into a table."""
+    spark.dataSource.register(SourceTree)
+    tree, path = _written_tree(spark, sf), shared_dir(spark, "stream")
+    stream = spark.readStream.format("source_tree").option("roots", json.dumps([tree])).option("suffix", ".txt").option("skip_dirs", '["n=7"]')
+    job = stream.option("settle", 0).load().writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    job.trigger(availableNow=True).start().awaitTermination()
+    return _by_folder(spark.read.parquet(f"{path}/rows"))
+
+
 @query(
     "write_read_tables",
     oracle(
