@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, node string, place string, ids string, key string"
+SCHEMA = "doc_id bigint, text string, lang string, node string, place string, ids string, key string, _id string, _of string, _dropped string, _whole string, _spread string, _id_ string"
 
 
 def words(rnd, n, letters="abcdefgh"):
@@ -38,7 +38,8 @@ def odd_texts():
 def frame(spark, texts=None):
     """The odd texts as documents with further columns whose names operators use inside; ids repeat and are null."""
     texts = odd_texts() if texts is None else texts
-    rows = [(i, t, "en", "n", "p", "i", "k") for i, t in enumerate(texts)]
+    inner = ("A", "B", "C", "D", "E", "F")
+    rows = [(i, t, "en", "n", "p", "i", "k", *inner) for i, t in enumerate(texts)]
     if texts:
-        rows += [(None, "one", None, None, None, None, None), (len(texts) - 1, texts[-1], "en", "n", "p", "i", "k")]
+        rows += [(None, "one", *[None] * 11), (len(texts) - 1, texts[-1], "en", "n", "p", "i", "k", *inner)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -1,8 +1,10 @@
 import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from cases import frame, odd_texts
 from tokenizers import Tokenizer
 
@@ -99,6 +101,38 @@ def test_knapsack_by_brute_force():
 
     for _ in range(10):
         prices = rnd.random(7)
-        value, pattern = packing._knapsack(prices, 7)
+        (value, pattern), *others = packing._knapsack(prices, 7, further=7)
+        assert np.allclose(sorted(o[0] for o in others), sorted(prices[s - 1] + best(prices, 7 - s) for s in range(1, 8)))
+        assert all(abs((p * prices).sum() - v) < 1e-9 and (p * np.arange(1, 8)).sum() <= 7 for v, p in others)
         assert abs(value - best(prices, 7)) < 1e-9
         assert abs((pattern * prices).sum() - value) < 1e-9 and (pattern * np.arange(1, 8)).sum() <= 7
+
+
+def test_column_generation_ends_at_the_optimum(monkeypatch):
+    """Demand over all 256 classes, drawn at random: at the end no pattern has a price above 1, and the prices' worth
+    of the demand, which no solution can undercut, is what the solution costs."""
+    last = {}
+    real = packing._knapsack
+
+    def spied(prices, capacity, further=0):
+        found = real(prices, capacity, further)
+        last.update(value=found[0][0], prices=prices)
+        return found
+
+    monkeypatch.setattr(packing, "_knapsack", spied)
+    started = time.time()
+    for seed in range(8):
+        demand = np.random.default_rng(seed).integers(0, 10 ** (seed + 1), 256)
+        solution = packing.column_generation(demand)
+        cost = sum(x for _, x in solution)
+        assert last["value"] <= 1 + 1e-6 and (last["prices"] * demand).sum() == pytest.approx(cost, rel=1e-5)
+        assert (sum(p * x for p, x in solution) >= demand * (1 - 1e-9) - 1e-6).all()
+    assert time.time() - started < 20
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "It's   12345  <|endoftext|>\n\tİ "
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing._Words(path).ids(text), "<u4").tolist() == want
+    assert packing._Words(WORDS).by_words and not packing._Words(path).by_words

@@ -18,6 +18,7 @@ from test_line_dedup import brute as brute_lines
 from test_near_dup import brute as brute_links
 from test_personal_data import brute as brute_mentions
 from test_quality import counts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as spark_entry
@@ -25,6 +26,7 @@ import corpus_pipeline
 from textlake.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
+given_schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 @pytest.fixture(scope="module")
@@ -203,15 +205,20 @@ def test_the_library_does_not_import_the_subpackage():
 
 def test_stages_on_odd_rows(spark):
     """Null ids, repeated rows, null and empty texts pass every stage, and what a stage gives fits the next."""
-    rows = frame(spark, odd_texts()).selectExpr("doc_id", "text", "lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
-    nameless = rows.where("doc_id = 10").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars")
-    rows = rows.unionByName(nameless)
+    rows = frame(spark, odd_texts()).selectExpr("*", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    rows = rows.unionByName(rows.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("bigint")))
     stages = dict(corpus_pipeline.STAGES)
     for frame_in in (rows, rows.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame_in, SF)
             assert out.columns == frame_in.columns and out.count() <= frame_in.count(), name
+            # Columns that have the names of inner ones stay as they were.
+            assert {r["_id"] for r in out.collect()} <= {"A", None} and {r["_spread"] for r in out.collect()} <= {"E", None}
         assert stages["packing"](spark, frame_in, SF).agg({"doc_tokens": "count"}).first()[0] >= frame_in.count()
     unique = stages["ngram_jaccard_join"](spark, rows, SF)
+    # Two near copies under the id that stays: one of them goes.
+    line = odd_texts()[10]
+    twice = spark.createDataFrame([(1, line, "en", "s", 1), (1, line + " end", "en", "s", 1), (2, line + " fin", "en", "s", 1)], given_schema)
+    assert stages["ngram_jaccard_join"](spark, twice, SF).count() == 1
     # Copies with and without ids, texts of the same words, and near copies of the line of 30 words go.
     assert sorted(r["doc_id"] for r in unique.collect()) == [0, 1, 2, 3, 5, 6, 8, 9, 10, 14, 15]

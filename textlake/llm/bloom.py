@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.common import free
+
 PROBES = 4
 # 2^16 words are 512 kB; with 16 bits a key that is good for 260,000 keys at a false positive rate below 1 %.
 LOG2_WORDS = 16
@@ -41,8 +43,9 @@ def split(rows: DataFrame, keys: DataFrame, of: list[Column], log2_words: int =
     passes.
     """
     # A generator, so that the hash is a column and the key is not worked out again for each use of it.
-    hashed = rows.withColumn("_spread", F.explode(F.array(F.xxhash64(*of))))
+    spread = free("_spread", rows)
+    hashed = rows.withColumn(spread, F.explode(F.array(F.xxhash64(*of))))
     words = build(keys, keys.columns, log2_words).scalar()
-    word, mask = _word_and_mask(F.col("_spread"), log2_words)
+    word, mask = _word_and_mask(F.col(spread), log2_words)
     held = F.get(words, word).bitwiseAND(mask) == mask
-    return hashed.where(held).drop("_spread"), hashed.where(~held).drop("_spread")
+    return hashed.where(held).drop(spread), hashed.where(~held).drop(spread)

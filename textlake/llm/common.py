@@ -30,6 +30,14 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """``name`` with as many underscores behind it as no column of the tables has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 

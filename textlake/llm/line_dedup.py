@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.llm import bloom
-from textlake.llm.common import stored
+from textlake.llm.common import free, stored
 from textlake.llm.exact_dedup import normalised
 
 # Lines are within the edit bound from this length on; shorter ones have to be equal. One word of ten is a tenth.
@@ -198,23 +198,21 @@ def drop_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc
 
     All columns stay; texts that lose nothing stay as they are, null and empty ones included.
     """
+    by_id, by_text, gone, whole = (free(name, docs) for name in ("_id", "_of", "_dropped", "_whole"))
     dropped = (
         mark_lines(docs, near_words, id_col, text_col)
         .where("NOT kept")
-        .groupBy(F.col("place.doc_id").alias("_id"), F.col("place.of").alias("_of"))
-        .agg(F.collect_set("place.line").alias("_dropped"))
+        .groupBy(F.col("place.doc_id").alias(by_id), F.col("place.of").alias(by_text))
+        .agg(F.collect_set("place.line").alias(gone))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"_id": F.col(id_col), "_of": F.xxhash64(text)})
     dropped = stored(dropped, "dropped-lines")
     # Texts that lose no line are not shuffled.
-    maybe, whole = bloom.split(rows, dropped.select("_id", "_of"), [F.col("_id"), F.col("_of")])
-    joined = maybe.withColumnsRenamed({"_id": "_id2", "_of": "_of2"}).join(
-        dropped, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_of") == F.col("_of2")), "left"
-    )
+    maybe, others = bloom.split(docs, dropped.select(by_id, by_text), [F.col(id_col), F.xxhash64(text)])
+    joined = maybe.join(dropped, F.col(id_col).eqNullSafe(F.col(by_id)) & (F.xxhash64(text) == F.col(by_text)), "left")
     lines = F.zip_with(F.split(text, "\n"), F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    left = F.filter(lines, lambda line: ~F.array_contains("_dropped", line["i"].cast("bigint")))
-    shown = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(left["x"], "\n"))
-    changed = joined.select(*[shown.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_dropped").isNull().alias("_whole"))
-    kept = changed.where(F.col("_whole") | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop("_whole")
-    return kept.unionByName(whole.select(*docs.columns))
+    left = F.filter(lines, lambda line: ~F.array_contains(gone, line["i"].cast("bigint")))
+    shown = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left["x"], "\n"))
+    changed = joined.select(*[shown.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col(gone).isNull().alias(whole))
+    kept = changed.where(F.col(whole) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop(whole)
+    return kept.unionByName(others.select(*docs.columns))

@@ -231,8 +231,8 @@ def join(
 
     rep_id is the smallest id of a document with the same words, n_links the number of other texts (each counted
     once, however many copies it has) at a similarity of at least ``least``, class_id the smallest id of the
-    documents that are connected by links, and kept whether the row is that document. text_hash (xxhash64 of the text,
-    null as empty) tells rows with one id apart.
+    documents that are connected by links, and kept whether the row is that document; of different texts of a class
+    under that id the one with the smallest text_hash is. text_hash is xxhash64 of the text, null as empty.
 
     Texts without words, null included, are similar to nothing: their class is the row itself and they are kept. A
     text of fewer than five words has one shingle. Rows that repeat with the same id and words are one document. A
@@ -242,7 +242,10 @@ def join(
     signatures = stored(signed(docs, id_col, text_col), "signatures")
     nodes = stored(
         signatures.groupBy("node").agg(
-            F.min("doc_id").alias("rep_id"), F.first("labels").alias("labels"), F.first("shingles").alias("shingles")
+            F.min("doc_id").alias("rep_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("row"),
+            F.first("labels").alias("labels"),
+            F.first("shingles").alias("shingles"),
         ),
         "classes",
     )
@@ -252,15 +255,16 @@ def join(
         found = found.unionByName(stored(_verified(docs, nodes, last, DEPTH, least, id_col, text_col), "verified"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
-    named = linked.join(nodes.select("node", "rep_id"), "node").groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    classes = linked.join(named, "component").select("node", "class_id").join(links, "node")
-    about = nodes.select("node", "rep_id").join(classes, "node", "left")
+    named = linked.join(nodes.select("node", "row"), "node").groupBy("component").agg(F.min("row").alias("first"))
+    classes = linked.join(named, "component").select("node", "first").join(links, "node")
+    about = nodes.select("node", "rep_id", "row").join(classes, "node", "left").withColumn("first", F.coalesce("first", "row"))
     with_words = signatures.select("doc_id", "node", "text_hash").join(about, "node").select(
         "doc_id",
         "text_hash",
         "rep_id",
-        F.coalesce("class_id", "rep_id").alias("class_id"),
+        F.col("first.doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"),
     )
     own = F.col(id_col)
     without = docs.where(F.size(words_of(F.col(text_col))) == 0).select(
@@ -269,5 +273,6 @@ def join(
         own.alias("rep_id"),
         own.alias("class_id"),
         F.lit(0).cast("bigint").alias("n_links"),
+        F.lit(True).alias("kept"),
     )
-    return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return with_words.unionByName(without)

@@ -11,6 +11,7 @@ The program sees counts only (one per class, 256 for 4096 ids), whatever the num
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,6 +35,10 @@ _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 # Byte-level vocabularies write bytes that are no visible Latin-1 character as those from U+0100 on, in order.
 _HIDDEN_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTE_MARKS = {b: 256 + n for n, b in enumerate(_HIDDEN_BYTES)}
+# How a tokenizer normalises and cuts for which the short ways above hold.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _encoders: dict[str, _Words] = {}
 
 
@@ -55,7 +60,7 @@ class _Kept(dict):
 class _Words:
     """Token ids of single words, kept for the words that come often.
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words. It lower
+    A tokenizer with other rules than those that the short ways rest on encodes whole texts itself. The usual one drops white space and never joins across it, so that a text's ids are those of its words. It lower
     cases, and cuts between letters and punctuation, so that a new word is put together from its parts, and parts of
     plain letters go straight to the merges.
     """
@@ -67,9 +72,24 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kept = _Kept(self.made, {})
+        with open(path, encoding="utf-8") as f:
+            self.by_words = self._cuts_words(json.load(f))
+
+    @staticmethod
+    def _cuts_words(rules: dict) -> bool:
+        cut = {"type": "Split", "pattern": {"Regex": _CUTS}, "behavior": "Removed", "invert": True}
+        return (
+            rules["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS}
+            and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [cut, _BYTES]}
+            and rules["model"]["type"] == "BPE"
+            and not rules["model"]["dropout"]
+            and all(t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) for t in rules["added_tokens"])
+        )
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if not self.by_words:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.kept) > CACHED_WORDS:
             self.kept = _Kept(self.made, dict(self.kept))
         return b"".join(map(self.kept.__getitem__, text.encode("utf-8", "surrogatepass").split()))
@@ -101,7 +121,9 @@ def pieces(
     """Cuts every document into pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens and payload.
 
     ``payload`` is ``ids`` (the ids as an array) or ``crc32`` (a checksum of the ids as little-endian unsigned 32-bit
-    numbers). A null or empty text has the end id only.
+    numbers). A null or empty text has the end id only. Rows that repeat are cut each for itself, also with one id; an
+    empty table gives no rows; ids may be null; further columns, whatever their names, are not read. A text of any
+    length is encoded whole.
     """
     kind = {"ids": "ids array<int>", "crc32": "ids_crc32 bigint"}[payload]
     end = np.array([end_id], "<u4").tobytes()
@@ -129,8 +151,9 @@ def pieces(
     return rows.mapInArrow(run, f"doc_id bigint, start bigint, length bigint, doc_tokens bigint, {kind}")
 
 
-def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of classes 1..len(prices) whose sizes sum up to ``capacity`` at most."""
+def _knapsack(prices: np.ndarray, capacity: int, further: int = 0) -> list[tuple[float, np.ndarray]]:
+    """Value and content of the most valuable multiset of classes 1..len(prices) whose sizes sum up to ``capacity`` at
+    most, and of the best ones that hold a certain class, for the ``further`` classes where these are worth most."""
     best = np.zeros(capacity + 1)
     took = np.zeros(capacity + 1, np.int64)  # 0: leaves a unit free
     for c in range(1, capacity + 1):
@@ -141,15 +164,24 @@ def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
             best[c], took[c] = values[k], k + 1
         else:
             best[c] = best[c - 1]
-    pattern = np.zeros(len(prices), np.int64)
-    c = capacity
-    while c > 0:
-        if took[c]:
-            pattern[took[c] - 1] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return float(best[capacity]), pattern
+
+    def pattern(c: int, first: int = 0) -> np.ndarray:
+        out = np.zeros(len(prices), np.int64)
+        if first:
+            out[first - 1] += 1
+            c -= first
+        while c > 0:
+            if took[c]:
+                out[took[c] - 1] += 1
+                c -= took[c]
+            else:
+                c -= 1
+        return out
+
+    sizes = np.arange(1, min(capacity, len(prices)) + 1)
+    with_class = np.where(prices[: len(sizes)] > 0, prices[: len(sizes)] + best[capacity - sizes], 0)
+    order = np.argsort(-with_class, kind="stable")[:further]
+    return [(float(best[capacity]), pattern(capacity)), *[(float(with_class[k]), pattern(capacity, int(k) + 1)) for k in order]]
 
 
 def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
@@ -171,11 +203,31 @@ def _inverse(matrix: np.ndarray) -> np.ndarray:
     return both[:, n:]
 
 
-def column_generation(demand: np.ndarray, most_rounds: int = 5000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each, a fractional solution: min sum x with patterns * x >= demand.
+def _first_fit(demand: np.ndarray) -> list[np.ndarray]:
+    """Patterns of filling sequences with the largest pieces that fit; a pattern is used until one of its classes ends."""
+    left, units, out = demand.astype(np.int64).copy(), len(demand), []
+    while left.any():
+        pattern, room = np.zeros(units, np.int64), units
+        for size in np.flatnonzero(left)[::-1] + 1:
+            pattern[size - 1] = min(room // size, left[size - 1])
+            room -= size * pattern[size - 1]
+        times = (left[pattern > 0] // pattern[pattern > 0]).min()
+        left -= times * pattern
+        out.append(pattern)
+    return out
+
+
+# A price by which a pattern may still undercut: the solution is then the best one up to this share.
+OPTIMAL = 1e-7
+
+
+def column_generation(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often to use each, the best fractional solution: min sum x with patterns * x >= demand.
 
     ``demand[i]`` is the number of pieces of class i + 1, and a sequence holds len(demand) units. The simplex method
-    starts with a pattern of its own for every class; a knapsack over the dual prices gives the column that enters.
+    starts with a pattern of its own for every class and solves the program over all patterns that are known, at first
+    those of a first fit. A knapsack over the dual prices then gives further patterns, until none has a price above 1.
+    A program that does not end is an error.
     """
     units = len(demand)
     classes = np.flatnonzero(demand)
@@ -186,15 +238,30 @@ def column_generation(demand: np.ndarray, most_rounds: int = 5000) -> list[tuple
     basis = np.zeros((n, n))  # columns are patterns, rows are classes
     basis[np.arange(n), np.arange(n)] = units // sizes
     inverse = np.diag(1.0 / (units // sizes))
-    wanted = demand[classes].astype(float)
+    # A little more of each class, by different shares, so that no step is of length 0.
+    wanted = demand[classes] * (1 + 1e-9 * np.random.default_rng(1).uniform(1, 2, n))
     x = _times(inverse, wanted)
-    for number in range(1, most_rounds + 1):
+    known = {p[classes].tobytes(): p[classes] for p in _first_fit(demand)}
+    pool = np.array(list(known.values()), float)
+    pivots = 0
+    while True:
         prices = np.zeros(units)
         prices[classes] = inverse.sum(0)  # every column costs 1
-        value, pattern = _knapsack(np.maximum(prices, 0), units)
-        if value <= 1 + 1e-7:
-            break
-        column = pattern[classes].astype(float)
+        worth = _times(pool, prices[classes])
+        entering = int(worth.argmax())
+        if worth[entering] <= 1 + OPTIMAL:
+            found = _knapsack(np.maximum(prices, 0), units, further=20)
+            if found[0][0] <= 1 + OPTIMAL:
+                break
+            fresh = {p[classes].tobytes(): p[classes] for value, p in found if value > 1 + OPTIMAL}
+            fresh = {k: p for k, p in fresh.items() if k not in known}
+            if not fresh:
+                # All of them are known and worth no more than 1: prices are only rounded otherwise.
+                break
+            known |= fresh
+            pool = np.vstack([pool, np.array(list(fresh.values()), float)])
+            continue
+        column = pool[entering]
         step = _times(inverse, column)
         usable = step > 1e-9
         ratio = np.full(n, np.inf)
@@ -206,10 +273,14 @@ def column_generation(demand: np.ndarray, most_rounds: int = 5000) -> list[tuple
         row = inverse[out] / step[out]
         inverse -= step[:, None] * row
         inverse[out] = row
-        if number % 200 == 0:  # against rounding errors
+        pivots += 1
+        if pivots % 200 == 0:  # against rounding errors
             inverse = _inverse(basis)
             x = _times(inverse, wanted)
+        if pivots > 1000 * (n + 10):
+            raise RuntimeError(f"the linear program over {n} classes has not ended after {pivots} steps")
     found = []
+    x = _times(_inverse(basis), demand[classes].astype(float))  # of what is wanted, without the little more
     for i in range(n):
         if x[i] > 1e-9:
             whole = np.zeros(units, np.int64)
