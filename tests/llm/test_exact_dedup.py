@@ -66,3 +66,50 @@ def test_a_hot_text(spark, tmp_path):
     docs = frame(spark, ["same text"] * 3000 + [f"own {i % 900}" for i in range(2000)])
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(run(spark, tmp_path, docs), key=repr) == wanted(rows)
+
+
+def test_a_hit_in_a_later_batch_comes_from_the_state(spark, tmp_path, monkeypatch):
+    """The driver dies between two micro-batches; the stream goes on with the state of the batches before."""
+    path, out, checkpoint = (str(tmp_path / n) for n in ("docs", "out", "checkpoint"))
+    for i in range(4):
+        spark.createDataFrame([(i, "same"), (10 + i, f"own {i}")], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(path)
+
+    def start():
+        docs = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1).parquet(path)
+        return exact_dedup.dedup_stream(exact_dedup.keyed(docs), out, checkpoint)
+
+    class Dies(type(spark.range(0).write)):
+        def parquet(self, at, *args, **named):
+            if at.endswith("batch=2"):
+                raise RuntimeError("killed")
+            return super().parquet(at, *args, **named)
+
+    before = {k: spark.conf.get(k, None) for k in exact_dedup.STATE_SETTINGS}
+    for k, v in exact_dedup.STATE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        frames = type(spark.range(0))
+        real = frames.write
+        monkeypatch.setattr(frames, "write", property(lambda df: Dies(df)))
+        with pytest.raises(Exception, match="killed"):
+            start().awaitTermination()
+        monkeypatch.setattr(frames, "write", real)
+        job = start()
+        job.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # The batches after the restart see the copies of those before it.
+    last = spark.read.parquet(f"{out}/batch=3").orderBy("copies").collect()
+    assert [(r["copies"], r["keep_id"]) for r in last][-1] == (4, 0) and len(last) == 2
+    state = exact_dedup.state_of(spark, out)
+    assert state.count() == 5 and state.agg(F.sum("copies")).first()[0] == 8
+
+
+def test_batches_of_bytes(spark, tmp_path):
+    docs = frame(spark, odd_texts() * 2).select("doc_id", "text", "lang").selectExpr("*", "'s' AS source", "1L AS n_chars")
+    for part in range(3):
+        docs.where(f"doc_id % 3 = {part} OR doc_id IS NULL AND {part} = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    got = exact_dedup.mark_copies_of_table(spark, str(tmp_path), bytes_per_batch=1)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(map(tuple, got.select("doc_id", F.hex("digest"), "keep_id", "group_size", "kept").collect()), key=repr) == wanted(rows)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from cases import frame, odd_texts, words
+from pyspark.sql import functions as F
 
 from textlake.llm import line_dedup
 
@@ -95,3 +96,20 @@ def test_edit_test_by_the_table(spark):
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
     got = df.select("a", "b", line_dedup._within_one_word(df.a, df.b).alias("near")).collect()
     assert all(r["near"] == near(r["a"], r["b"]) for r in got)
+
+
+def test_lines_whose_keys_clash_are_looked_up_again(spark, monkeypatch):
+    """Keys cut to a few bits agree for many different variants, under every seed."""
+    rnd = random.Random(9)
+    bases = [words(rnd, rnd.randint(5, 9), "abcde") for _ in range(25)]
+    texts = ["\n".join(" ".join(edited(rnd, rnd.choice(bases))) for _ in range(6)) for _ in range(40)]
+    docs = frame(spark, texts)
+    real, seeds = line_dedup.deletion_variants, []
+
+    def cut(lines, seed):
+        seeds.append(seed)
+        return real(lines, seed).withColumn("key", F.pmod("key", F.lit(1 << 11)))
+
+    monkeypatch.setattr(line_dedup, "deletion_variants", cut)
+    assert marked(docs, 5) == brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
+    assert max(seeds) >= 1

@@ -171,7 +171,8 @@ def mark_copies(
     )
 
 
-def mark_copies_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``mark_copies`` of the given documents."""
-    stream = spark.readStream.schema(documents(spark, sf_dir).schema).parquet
+def mark_copies_of_table(spark: SparkSession, sf_dir: str, bytes_per_batch: int = 64 << 30) -> DataFrame:
+    """``mark_copies`` of the given documents, in micro-batches of files of about ``bytes_per_batch``, so that a large
+    table is not one batch that has to succeed as a whole."""
+    stream = spark.readStream.schema(documents(spark, sf_dir).schema).option("maxBytesPerTrigger", bytes_per_batch).parquet
     return mark_copies(spark, lambda: documents(spark, sf_dir), lambda: stream(f"{sf_dir}/document[s].parquet"))

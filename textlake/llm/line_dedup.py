@@ -16,6 +16,8 @@ second half is equal. Lines whose halves nobody shares have no variants to offer
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,22 +145,39 @@ def match_lines(docs: DataFrame, keyed: DataFrame, id_col: str = "doc_id", text_
     maybe, _ = bloom.split(_raw_lines(of_partners, id_col, text_col), partners.select("place"), [F.col("place")])
     texts = maybe.join(partners, "place").dropDuplicates(["n"]).select("n", F.split(_words(F.col("raw")), " ").alias("words"))
     texts = stored(texts, "line-texts")
-    for seed in range(8):
-        found = stored(_candidates(texts, seed), "line-matches")
-        first = texts.select(F.col("n").alias("first"), F.col("words").alias("first_words"))
-        verified = found.join(texts, "n").join(first, "first")
-        if verified.where(~_within_one_word(F.col("words"), F.col("first_words"))).isEmpty():
-            break
-    else:
-        raise RuntimeError("keys of different variants agree under every seed")
+    found = _earliest(texts)
     place_of = partners.select(F.col("n").alias("first"), F.col("place").alias("first_place"))
     places = found.join(partners, "n").join(place_of, "first").select("place", "first_place")
     return distinct.join(places, "place", "left").select("digest", "place", "copies", F.coalesce("first_place", "place").alias("first"))
 
 
-def _candidates(texts: DataFrame, seed: int) -> DataFrame:
-    """n and first, for lines that share a variant with an earlier one."""
-    variants = stored(deletion_variants(texts, seed), "line-variants")
+def _earliest(texts: DataFrame) -> DataFrame:
+    """n and first, the earliest line one word apart, for lines that have such a line.
+
+    Every true match is a candidate, so that a line whose earliest candidate is verified has its first. Where keys of
+    different variants agree by chance the earliest candidate may be wrong: these lines, and no others, are looked up
+    again under another seed, until none is left.
+    """
+    words = texts.select(F.col("n").alias("first"), F.col("words").alias("first_words"))
+    found, seed, right = _candidates(texts, 0), 0, []
+    while True:
+        verified = found.join(texts, "n").join(words, "first").select("n", "first", _within_one_word(F.col("words"), F.col("first_words")).alias("right"))
+        verified = stored(verified, "line-matches")
+        right.append(verified.where("right").select("n", "first"))
+        wrong = verified.where("NOT right").select("n")
+        if wrong.isEmpty():
+            return reduce(DataFrame.unionByName, right)
+        seed += 1
+        found = _candidates(texts, seed, wrong)
+
+
+def _candidates(texts: DataFrame, seed: int, only: DataFrame | None = None) -> DataFrame:
+    """n and first, for lines (those of ``only``, if it is given) that share a variant with an earlier one."""
+    variants = deletion_variants(texts, seed)
+    if only is not None:
+        keys = stored(variants.join(only, "n", "left_semi").select("key").distinct(), "line-keys-again")
+        variants = variants.join(keys, "key", "left_semi")
+    variants = stored(variants, "line-variants")
     by_position = variants.groupBy("key", "at").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("lines"))
     by_key = (
         by_position.groupBy("key")
@@ -175,7 +194,9 @@ def _candidates(texts: DataFrame, seed: int) -> DataFrame:
     # becomes, and at those that lose a word at the same position.
     other = variants.join(by_key, "key").select("n", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("first"))
     same = variants.where("at >= 0").join(at_position, ["key", "at"]).select("n", "first")
-    return other.unionByName(same).where("first < n").groupBy("n").agg(F.min("first").alias("first"))
+    found = other.unionByName(same).where("first < n")
+    found = found if only is None else found.join(only, "n", "left_semi")
+    return found.groupBy("n").agg(F.min("first").alias("first"))
 
 
 def mark_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
