@@ -42,7 +42,8 @@ HISTOGRAM = {
 }
 STORED = {
     "write_read_tables", "append_log", "export_snapshot", "ingest_observations", "quarantine_warnings",
-    "ingest_observations_batches", "load_source_tree", "stream_safe_ingest", "stream_merge", "partition_by_safety",
+    "ingest_observations_batches", "load_source_tree", "source_tree_stream", "stream_safe_ingest", "stream_merge",
+    "stream_merge_logs", "close_stored_sessions", "mark_stored_incomplete", "partition_by_safety",
 }
 
 
