@@ -13,7 +13,7 @@ from textlake.sources import files
 
 from .log_queries import observations
 from .text_queries import byte_scores
-from .views import VIEWS, oracle, query, spark_view
+from .views import ORACLES, VIEWS, oracle, query, spark_view
 
 KEYS = ["path"]
 
@@ -142,6 +142,12 @@ def _(spark, sf):
     return code.brace_depth(spark_view(spark, sf, "pages"), ["page_id"], "html")
 
 
+# Slices far smaller than the default, so that the given pages have several.
+@query("brace_depth_sliced", ORACLES["brace_depth"])
+def _(spark, sf):
+    return code.brace_depth_sliced(spark_view(spark, sf, "pages"), ["page_id"], "html", slice_bytes=1024)
+
+
 @query(
     "index_stats",
     code_oracle(

@@ -65,6 +65,53 @@ def brace_depth(files: DataFrame, keys, content="content") -> DataFrame:
     )
 
 
+def _slices(files: DataFrame, keys, content, slice_bytes: int) -> DataFrame:
+    """Every text as rows of ``slice_bytes`` bytes: keys, slice, part, and the braces still open in front of it."""
+    part = lambda i: F.substring(F.col("_bytes"), i * slice_bytes + 1, F.lit(slice_bytes))
+    many = lambda p, brace: F.length(p) - F.length(F.replace(p, F.lit(brace), F.lit("")))
+    view = lambda p: F.decode(p, "ISO-8859-1")
+    last = F.floor((F.octet_length("_bytes") - 1) / slice_bytes).cast("int")
+    cut = files.select(*keys, F.col(content).cast("binary").alias("_bytes")).select(
+        *keys, F.transform(F.sequence(F.lit(0), last), lambda i: view(part(i))).alias("_parts")
+    )
+    steps = F.transform("_parts", lambda p: (many(p, "{") - many(p, "}")).cast("bigint"))
+    sums = F.aggregate(steps, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    summed = cut.select(*keys, "_parts", F.slice(sums, 1, F.size("_parts")).alias("_open"))
+    return summed.select(*keys, F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), F.col("_open").alias("open"))).alias("slice", "s")).select(
+        *keys, "slice", "s.part", "s.open"
+    )
+
+
+def brace_depth_sliced(files: DataFrame, keys, content="content", slice_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``brace_depth``, for tables with giant texts: each is dealt over tasks in slices.
+
+    The summary of a slice is by how much it changes the depth; sums of these put the levels of different slices on one
+    scale. Partners inside a slice are found there. Of each slice and level only the first and the last event can have
+    a partner elsewhere, which is the next of these in the file.
+    """
+    slices = _slices(files.where(holds(files, content, "{")), keys, content, slice_bytes)
+    own = [*keys, "slice"]
+    events = _events(slices.repartition(*own), own, F.col("part"), _BRACE, ["open"], measure={"newlines": lambda p: F.lit(0)})
+    in_level = W.partitionBy(*own, "level").orderBy("ord")
+    found = events.where("ord > 0").select(
+        *keys,
+        "slice",
+        "kind",
+        (F.col("level") + F.col("open")).cast("bigint").alias("level"),
+        (F.col("position") + F.col("slice").cast("bigint") * slice_bytes).alias("position"),
+        F.lag("ord").over(in_level).isNull().alias("first"),
+        F.lead("position").over(in_level).alias("near"),
+    )
+    found = found.withColumn("near", F.col("near") + F.col("slice").cast("bigint") * slice_bytes)
+    edge = F.col("first") | F.col("near").isNull()
+    needed = found.where((F.col("kind") == "{") | edge).withColumn("group", F.when(edge, -1).otherwise(F.col("slice")))
+    later = F.lead("position").over(W.partitionBy(*keys, "level", "group").orderBy("position"))
+    paired = needed.withColumn("later", later).where("kind = '{'")
+    return paired.select(
+        *keys, F.col("position").alias("open_position"), "level", F.coalesce("near", "later").alias("close_position")
+    )
+
+
 def _with_first_open(events: DataFrame, keys) -> DataFrame:
     """The first ``{`` at or after every event, as a running last value read backwards.
 

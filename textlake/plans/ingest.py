@@ -30,6 +30,11 @@ STORED_SCHEMA = (
 )
 
 
+def escaped(batch: str) -> str:
+    """The name of a batch as one folder: what a path or Spark's readers take for something else is %XX."""
+    return "".join(c if c.isalnum() or c in "-_." else "".join(f"%{b:02X}" for b in c.encode()) for c in str(batch))
+
+
 def ingest_observations(rows: DataFrame, path: str, key_cols, created_at: Column | None = None, batch=None) -> None:
     """Appends rows below ``path``, partitioned by batch and status.
 
@@ -46,7 +51,7 @@ def ingest_observations(rows: DataFrame, path: str, key_cols, created_at: Column
     if batch is None:
         writer.mode("append").parquet(f"{path}/batch={UNNAMED}")
     else:
-        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
+        writer.mode("overwrite").parquet(f"{path}/batch={escaped(batch)}")
 
 
 def ingested(spark: SparkSession, path: str, time_type="timestamp") -> DataFrame:
