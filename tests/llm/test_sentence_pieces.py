@@ -42,17 +42,35 @@ def test_matrices_combine_associatively():
     m = sp.model(PATH)
     text = sp.marked("onewordwithoutanyspacesthatgoesonforalongtimeandendssomewhere" * 3)
 
-    def product(a, b):
-        found = {s: sorted({u for t in ts for u in b.get(t, ())}) for s, ts in a.items()}
-        return {s: ts for s, ts in found.items() if ts}
-
     cuts = [0, 40, 80, 130, len(text)]
     one, two, three, four = (sp.transfer(m, text, a, b) for a, b in zip(cuts, cuts[1:], strict=False))
-    left = product(product(product(one, two), three), four)
-    assert left == product(one, product(two, product(three, four))) == product(product(one, two), product(three, four))
+    join = lambda *matrices: sp.product(list(matrices))
+    left = join(join(join(one, two), three), four)
+    assert left == join(one, join(two, join(three, four))) == join(join(one, two), join(three, four)) == join(one, two, three, four)
     assert [t for t in left[sp.START] if t[1] == 0]
 
 
+def chunk_texts(text, chunk):
+    m = sp.model(PATH)
+    seen = sp.marked(text)
+    for low in range(0, len(seen), chunk):
+        begin, high = max(0, low - m.longest), min(len(seen), low + chunk)
+        yield sp.transfer(m, seen[begin : high + m.longest], low - begin, high - begin)
+
+
+def test_rounds_give_the_states_of_one_pass(spark):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices(["able", "con", "s", " t", "ion", "é"], k=k)) for k in (3, 30, 333, 900)]
+    own = [list(chunk_texts(t, 40)) for t in texts]
+    leaves = [(r, n, sp._bytes(x)) for r, matrices in enumerate(own) for n, x in enumerate(matrices)]
+    rnd.shuffle(leaves)
+    table = spark.createDataFrame(leaves, "row bigint, node int, matrix binary")
+    want = {(r, n): (*a, *b) for r, ms in enumerate(own) for s in [sp.boundaries(ms)] for n, (a, b) in enumerate(zip(s, s[1:], strict=False))}
+    for fan in (3, 16):
+        got = sp.scan(table, max(map(len, own)), fan).collect()
+        assert {(r["row"], r["node"]): tuple(r)[2:] for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("chunk", [64, 1000, sp.CHUNK])
 def test_rows(spark, chunk):
     rnd = random.Random(9)

@@ -9,8 +9,10 @@ wherever that falls, and is encoded in parallel as a path through a lattice of p
 * The state at a chunk's boundary is the piece that covers or ends at it: how many characters it has before and
   behind the boundary. A chunk gives a matrix of weights from every state at its left to every state at its right
   boundary. With weights of 0 and minus infinity a matrix is a set of pairs of states.
-* Matrices are applied one after the other, in one group per document. The state of every boundary is the one that can be reached from the document's
-  start and from which its end can be reached; given these, every chunk is traced back on its own.
+* Matrices of neighbours are multiplied in rounds, ``FAN`` at a time, until a document has one; the product is
+  associative. On the way back the states at a product's ends give those between its factors: the one state that can
+  be reached from the left end and from which the right end can be reached. Given the states of its boundaries, every
+  chunk is traced back on its own.
 
 No piece goes on behind a space once it has begun with another character, so that a path can be cut in front of such
 a space. A matrix of a chunk with such places is a column times a row, and the part between its first and last one is
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from textlake.llm.common import stored
 
 CHUNK = 32_768
+FAN = 16  # neighbours that a round of the scan combines
 SPACE = "▁"
 START = (0, 0)  # the state at a document's start
 _models: dict[str, Model] = {}
@@ -221,16 +224,27 @@ def _walk(m: Model, text: str, start: int, before: str, goal: int, last: int | N
     return [i for p in reversed(pieces) for i in m.ids(p)]
 
 
-def boundaries(matrices: list[dict]) -> list[tuple[int, int]]:
-    """The states at all boundaries of a document, its start included, from its chunks' matrices in order.
+def product(matrices: list[dict]) -> dict:
+    """The matrix of neighbouring chunks together, in order: for every state at their start the states at their end.
 
-    Weights are 0 or minus infinity, so that a product of matrices is reachability. What is reached from the start
-    and what the end is reached from have one state in common at every boundary.
+    Weights are 0 or minus infinity, so that the max-plus product is reachability; it is associative.
     """
-    ahead = [{START}]
+    first, *others = matrices
+    for other in others:
+        first = {s: sorted({u for t in ts for u in other.get(t, ())}) for s, ts in first.items()}
+    return {s: ts for s, ts in first.items() if ts}
+
+
+def boundaries(matrices: list[dict], left: tuple[int, int] = START, right: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """The states at all boundaries of neighbouring chunks between the states at their ends.
+
+    Without ``right`` the last chunk ends the document. What is reached from the start and what the end is reached
+    from have one state in common at every boundary.
+    """
+    ahead = [{left}]
     for matrix in matrices:
         ahead.append({t for s in ahead[-1] for t in matrix.get(s, ())})
-    behind = [{s for s in ahead[-1] if s[1] == 0}]
+    behind = [{s for s in ahead[-1] if (s[1] == 0 if right is None else s == right)}]
     for matrix in reversed(matrices):
         behind.append({s for s, ts in matrix.items() if not behind[-1].isdisjoint(ts)})
     states = [a & b for a, b in zip(ahead, reversed(behind), strict=True)]
@@ -239,6 +253,49 @@ def boundaries(matrices: list[dict]) -> list[tuple[int, int]]:
     return [s.pop() for s in states]
 
 
+_SIDES = "row bigint, node int, k int, o int, k2 int, o2 int"
+
+
+def scan(leaves: DataFrame, chunks: int, fan: int = FAN) -> DataFrame:
+    """The states at both ends of every chunk, from row, node (number of the chunk) and matrix: a scan over a tree.
+
+    Upwards, the matrices of ``fan`` neighbours become one in every round, until a document has a single matrix, whose
+    ends are the document's. Downwards, the states at the ends of a node give those between its children. A group has
+    ``fan`` matrices whatever the document's length, and the rounds grow with its logarithm. Every round is written,
+    as both directions read it. ``chunks`` is the largest number of chunks of a document.
+    """
+    numbers = ["k", "o", "k2", "o2"]
+    parent = F.floor(F.col("node") / fan).cast("int")
+
+    def join(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+        ordered = nodes.sort_values("node")
+        return pd.DataFrame({"row": [key[0]], "node": [key[1]], "matrix": [_bytes(product([_matrix(x) for x in ordered["matrix"]]))]})
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [boundaries([_matrix(x)]) for x in batch["matrix"]]
+            sides = pd.DataFrame([(*a, *b) for a, b in found], columns=numbers, index=batch.index)
+            yield pd.concat([batch[["row", "node"]], sides], axis=1)
+
+    def split(key: tuple, nodes: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        ordered = nodes.sort_values("node", ignore_index=True)
+        k, o, k2, o2 = sides[numbers].iloc[0].tolist()
+        states = boundaries([_matrix(x) for x in ordered["matrix"]], (k, o), (k2, o2))
+        found = [(*a, *b) for a, b in zip(states, states[1:], strict=False)]
+        return pd.concat([ordered[["row", "node"]], pd.DataFrame(found, columns=numbers)], axis=1)
+
+    levels, width = [stored(leaves, "matrices")], chunks
+    while width > 1:
+        above = levels[-1].groupBy("row", parent.alias("up")).applyInPandas(join, "row bigint, node int, matrix binary")
+        levels.append(stored(above, "matrices"))
+        width = -(-width // fan)
+    sides = levels.pop().mapInPandas(ends, _SIDES)
+    for level in reversed(levels):
+        children = level.withColumn("up", parent).groupBy("row", "up")
+        sides = children.cogroup(sides.groupBy("row", "node")).applyInPandas(split, _SIDES)
+    return sides
+
+
 def _bytes(matrix: dict) -> bytes:
     rows = [(*s, *t) for s, ts in matrix.items() for t in ts]
     return np.array(rows, "<i4").tobytes()
@@ -254,7 +311,7 @@ def _matrix(raw: bytes) -> dict:
 _ENCODED = "doc_id bigint, chunk int, chunks int, ids array<int>, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """The ids of every document: doc_id, chunk (from 0), chunks, ids, and round_trip.
 
     A document of at most ``chunk`` characters is one row; of a longer one each chunk is a row with the ids of the
@@ -264,6 +321,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id
     columns are not carried along.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # A chunk is much work for its size, so that the number of tasks must not follow from the bytes.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,21 +363,13 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id
         m = model(path)
         for batch in batches:
             found = [_bytes(transfer(m, t, a, b)) for t, a, b in zip(batch["text"], batch["low"], batch["high"], strict=True)]
-            yield batch[["row", "chunk"]].assign(matrix=found)
-
-    def scan(document: pd.DataFrame) -> pd.DataFrame:
-        document = document.sort_values("chunk", ignore_index=True)
-        states = boundaries([_matrix(x) for x in document["matrix"]])
-        sides = [(*a, *b) for a, b in zip(states, states[1:], strict=False)]
-        return pd.concat([document[["row", "chunk"]], pd.DataFrame(sides, columns=["k", "o", "k2", "o2"])], axis=1)
-
-    # Every chunk is a task's row of its own; only matrices of a few numbers meet by document.
-    spread = parts.repartition(F.col("row"), F.col("chunk"))
-    states = (
-        spread.mapInPandas(matrices, "row bigint, chunk int, matrix binary")
-        .groupBy("row")
-        .applyInPandas(scan, "row bigint, chunk int, k int, o int, k2 int, o2 int")
-    )
+            yield pd.DataFrame({"row": batch["row"], "node": batch["chunk"], "matrix": found})
+
+    # Every chunk is a task's row of its own; only matrices of a few numbers meet, those of neighbours.
+    spread = parts.repartition(tasks, F.col("row"), F.col("chunk"))
+    leaves = spread.mapInPandas(matrices, "row bigint, node int, matrix binary")
+    most = parts.agg(F.max("chunks")).first()[0] or 0
+    states = scan(leaves, most, fan).withColumnRenamed("node", "chunk")
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
