@@ -1,3 +1,4 @@
+import random
 import re
 
 from cases import frame, odd_texts
@@ -66,6 +67,61 @@ def test_no_place_at_the_threshold_is_missed(spark):
     assert [got[i][0] for i in (0, 1)] == ["apache-2.0"] * 2 and all(0.8 <= got[i][1] < 1 for i in (0, 1))
 
 
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+# Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."""
+MIT = license_scan.PARAGRAPHS[0][1]
+
+
+def test_notices_paragraphs_and_identifiers(spark):
+    inserted = MIT.replace("without limitation", "without any limitation")
+    texts = {
+        GPL: "gpl,gpl-3.0",
+        GPL.replace("version 3", "version 2"): "gpl,gpl-2.0",
+        "// SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: BSD-3-Clause\nx": "bsd,bsd-3-clause",
+        "SPDX license identifier": "",
+        "MIT identifier license spdx": "",
+        inserted[inserted.index("documentation") :]: "mit",  # begins inside a paragraph, with a further word
+        license_scan.PARAGRAPHS[4][1].upper(): "bsd-3-clause",
+        "The origin of this software": "",
+    }
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(frame(spark, list(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def brute_labels(text, weights, least=0.8):
+    """Every template at every place, without an index."""
+    rows, found = weights
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(license_scan.SEPARATORS, low) if w]
+    labels = set()
+    for _, label, template, phrases, base in license_scan._templates():
+        share = [license_scan._idf(rows, found.get(w, 0)) for w in template]
+        for start in range(-len(template), len(words)):
+            here = [words[start + i] if 0 <= start + i < len(words) else None for i in range(len(template))]
+            score = sum(s for s, a, b in zip(share, here, template, strict=True) if a == b) / sum(share)
+            seen = " ".join(h for h in here if h is not None)
+            if (here == template if base else score >= least) and all(f" {' '.join(p)} " in f" {seen} " for p in phrases):
+                labels.add(label)
+    return ",".join(sorted(labels))
+
+
+def test_labels_of_altered_notices_by_brute_force(spark):
+    rnd = random.Random(8)
+    texts = []
+    for _, _, template, _, _ in license_scan._templates():
+        for altered in (0, 1, 2, 4):
+            words = list(template)
+            for _ in range(altered):
+                words[rnd.randrange(len(words))] = rnd.choice(["software", "the", "license", "other"])
+            texts.append(" ".join(rnd.choices(["some", "the", "free"], k=rnd.randrange(4)) + words[rnd.randrange(2) :] + ["end"]))
+    docs = frame(spark, texts)
+    weights = license_scan.word_weights(docs)
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs, weights).collect() if r["doc_id"] is not None}
+    want = {r["doc_id"]: brute_labels(r["text"], weights) for r in docs.collect() if r["doc_id"] is not None}
+    assert got == want and len({x for x in want.values()}) > 20
+
+
 def test_empty_table(spark):
     assert scanned(spark, [])[1] == []
 

@@ -1,14 +1,16 @@
 """Licence scans by a positional index of rare words.
 
 The templates' words form an index: word, template, position. A word's weight is its inverse document frequency in
-the corpus. Every template is looked up by its rarest words only (anchors): an anchor found at word p of a file,
-standing at position q of a template, proposes the template at p - q. There the other words of the template are
-compared by their relative positions, and the template's mandatory phrases have to stand word for word.
+the corpus. Of every template two groups of its rarest words are looked up (anchors): an anchor found at word p of a
+file, standing at position q of a template, proposes the template at p - q. The places that both groups propose are
+intersected. There the other words of the template are compared by their relative positions, and the template's
+mandatory phrases have to stand word for word.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +60,128 @@ TEMPLATES = [
     ),
     ("mpl-2.0", "mozilla public license version 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    (
+        "gpl-2.0",
+        "gnu general public license as published by the free software foundation either version 2 of the license",
+        ["gnu general public license", "version 2 of the license"],
+    ),
+    (
+        "gpl-3.0",
+        "gnu general public license as published by the free software foundation either version 3 of the license",
+        ["gnu general public license", "version 3 of the license"],
+    ),
+    (
+        "lgpl",
+        "gnu lesser general public license as published by the free software foundation",
+        ["lesser general public license"],
+    ),
+    (
+        "agpl",
+        "gnu affero general public license as published by the free software foundation",
+        ["affero general public license"],
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    (
+        "epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+        ["eclipse public license"],
+    ),
+    ("wtfpl", "do what the fuck you want to public license", ["you want to public license"]),
 ]
+# Fixed values. Paragraphs of licences that no other of these licences has, whole, and phrases of theirs; paragraphs are cut
+# into passages, and the phrases within a passage must stand in it word for word.
+PARAGRAPHS = [
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        ["hereby granted free of charge", "deal in the software without restriction", "sublicense and or sell copies", "to whom the software is furnished"],
+    ),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software.",
+        ["shall be included in all copies"],
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ["permission to use copy modify", "permission notice appear in all copies"],
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ["retain the above copyright notice", "reproduce the above copyright notice", "materials provided with the distribution"],
+    ),
+    (
+        "bsd-3-clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        ["neither the name", "endorse or promote products"],
+    ),
+    (
+        "zlib",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is "
+        "not required.",
+        ["must not be misrepresented", "acknowledgment in the product documentation"],
+    ),
+    (
+        "unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ["anyone is free to copy", "commercial or non commercial"],
+    ),
+    (
+        "bsl",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit "
+        "the Software, and to prepare derivative works of the Software",
+        ["any person or organization", "display distribute execute", "prepare derivative works"],
+    ),
+    (
+        "apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+        "the specific language governing permissions and limitations under the License.",
+        ["unless required by applicable law", "without warranties or conditions", "specific language governing permissions"],
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        ["distributed in the hope that it will be useful", "without even the implied warranty"],
+    ),
+]
+# Fixed values. Words of identifiers that stand behind SPDX-License-Identifier, by label.
+IDENTIFIERS = {
+    "agpl": ["agpl 3 0"],
+    "apache-2.0": ["apache 2 0"],
+    "bsd": ["bsd 2 clause", "bsd 3 clause", "0bsd"],
+    "bsd-3-clause": ["bsd 3 clause"],
+    "bsl": ["bsl 1 0"],
+    "cc-by": ["cc by 4 0"],
+    "cc-by-nc": ["cc by nc 4 0"],
+    "cc-by-sa": ["cc by sa 4 0"],
+    "cc0": ["cc0 1 0"],
+    "epl-2.0": ["epl 2 0"],
+    "gpl-2.0": ["gpl 2 0"],
+    "gpl-3.0": ["gpl 3 0"],
+    "isc": ["isc"],
+    "lgpl": ["lgpl 2 1", "lgpl 3 0"],
+    "mit": ["mit"],
+    "mpl-2.0": ["mpl 2 0"],
+    "unlicense": ["unlicense"],
+    "wtfpl": ["wtfpl"],
+    "zlib": ["zlib"],
+}
+# Passages of paragraphs have this many words at least, so that a word put in breaks one passage only.
+PASSAGE = 16
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,13 +192,47 @@ def words_of(text: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
+def _passages(paragraph: str) -> list[list[str]]:
+    """Words of a paragraph in passages of even length."""
+    words = [w for w in re.split(SEPARATORS, paragraph.lower()) if w]
+    n = max(1, len(words) // PASSAGE)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+
+
 def _templates():
-    """Every template as (number, label, words, mandatory phrases, base): base phrases first."""
+    """Every template as (number, label, words, mandatory phrases, base): base phrases first.
+
+    An identifier has to stand whole.
+    """
     base = [(label, phrase.split(), [], True) for phrase, label in PHRASES.items()]
     own = [(label, text.split(), [p.split() for p in phrases], False) for label, text, phrases in TEMPLATES]
+    for label, paragraph, phrases in PARAGRAPHS:
+        for words in _passages(paragraph):
+            inside = [p.split() for p in phrases if f" {p} " in f" {' '.join(words)} "]
+            own.append((label, words, inside, False))
+    marked = [(label, f"spdx license identifier {name}".split()) for label, names in IDENTIFIERS.items() for name in names]
+    own += [(label, words, [words], False) for label, words in marked]
     return [(n, *t) for n, t in enumerate(base + own)]
 
 
+def _anchors(words: list[str], weight, least: float, base: bool) -> tuple[list[int], list[int]]:
+    """Positions of two groups of a template's rarest words.
+
+    Each holds more than 1 - ``least`` of its weight, so that a place without any word of a group cannot be accepted;
+    of a base phrase, which needs all words, each is one word. If a short template has no second group it is the first.
+    """
+    # Rarest first; of equal weights the earlier position.
+    rarest = sorted(range(len(words)), key=lambda i: (-weight(words[i]), i))
+    total = sum(map(weight, words))
+    groups: list[list[int]] = [[]]
+    for i in rarest:
+        if groups[-1] and (base or sum(weight(words[k]) for k in groups[-1]) / total > 1 - least + 1e-9):
+            groups.append([])
+        groups[-1].append(i)
+    whole = [g for g in groups if base or sum(weight(words[k]) for k in g) / total > 1 - least + 1e-9]
+    return whole[0], whole[min(1, len(whole) - 1)]
+
+
 def word_weights(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Number of rows, and of rows that hold each word of the templates.
 
@@ -90,17 +247,15 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str
 
 
 def scan(
-    docs: DataFrame, weights: tuple[int, dict[str, int]] | None = None, id_col="doc_id", text_col="text", anchors=2, least=0.8
+    docs: DataFrame, weights: tuple[int, dict[str, int]] | None = None, id_col="doc_id", text_col="text", least=0.8
 ) -> DataFrame:
     """Words, places of base phrases, and licence labels of every row.
 
     n_base counts all places of base phrases, first_word and last_word are the smallest and largest word at which
     one starts (null without any). A template gives its label where it stands with at least ``least`` of its weight
     and with all mandatory phrases; ``score`` is the largest share of weight among the accepted places (1.0 for a
-    base phrase, 0.0 without any). A base phrase needs all its words; it is looked up by its rarest word, so no
-    place can be missed. A template is looked up by its rarest words, ``anchors`` at least and as many as hold
-    more than 1 - ``least`` of its weight: a place at which all of these are altered cannot be accepted. A template may
-    begin before the text does, whose first words are then missing.
+    base phrase, 0.0 without any). No place that would be accepted is missed: both groups of anchors propose it (see
+    ``_anchors``). A template may begin before the text does, whose first words are then missing.
 
     Null counts as empty: no words, no labels, score 0. Every row is scanned on its own, rows that repeat give rows
     that repeat, an empty table gives no rows, and further columns are not carried along. No text is shuffled.
@@ -109,27 +264,18 @@ def scan(
     weight = lambda w: _idf(rows, found.get(w, 0))
     every = _templates()
 
-    index: dict[str, list[tuple[int, int]]] = {}
+    indexes: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
     for n, _, words, _, base in every:
-        # Rarest first; of equal weights the earlier position.
-        rarest = sorted(range(len(words)), key=lambda i: (-weight(words[i]), i))
-        enough, missed = 0, 0.0
-        while not base and missed <= 1 - least + 1e-9 and enough < len(words):
-            missed += weight(words[rarest[enough]]) / sum(map(weight, words))
-            enough += 1
-        for position in rarest[: 1 if base else max(anchors, enough)]:
-            index.setdefault(words[position], []).append((n, position))
-
-    postings = F.create_map(
-        *[
-            x
-            for word, places in index.items()
-            for x in (
-                F.lit(word),
-                F.array(*[F.struct(F.lit(n).alias("n"), F.lit(at).alias("at")) for n, at in places]),
-            )
-        ]
-    )
+        for index, group in zip(indexes, _anchors(words, weight, least, base), strict=True):
+            for position in group:
+                index.setdefault(words[position], []).append((n, position))
+
+    # A place in one number, so that sets of places are hashed: the template's number, and above it the start.
+    places = len(every)
+    postings = [
+        F.create_map(*[x for word, at in index.items() for x in (F.lit(word), F.array(*[F.lit(n - q * places).cast("bigint") for n, q in at]))])
+        for index in indexes
+    ]
     shares = [[weight(w) / sum(map(weight, words)) for w in words] for _, _, words, _, _ in every]
     about = F.array(
         *[
@@ -144,15 +290,16 @@ def scan(
         ]
     )
 
-    def proposed(words: Column) -> Column:
-        """Places that the anchors of a text propose: template and start, each once."""
+    def proposed(words: Column, number: int) -> Column:
+        """Places that the anchors of a group propose."""
         known = F.filter(
-            F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(list(index))
-        )
-        starts = F.flatten(
-            F.transform(known, lambda x: F.transform(postings[x["w"]], lambda p: F.struct(p["n"].alias("n"), (x["i"] - p["at"]).alias("start"))))
+            F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("bigint").alias("i"))), lambda x: x["w"].isin(list(indexes[number]))
         )
-        return F.array_distinct(starts)
+        return F.flatten(F.transform(known, lambda x: F.transform(postings[number][x["w"]], lambda p: x["i"] * places + p)))
+
+    def opened(place: Column) -> Column:
+        n = F.pmod(place, F.lit(places))
+        return F.struct(n.cast("int").alias("n"), F.floor((place - n) / places).cast("int").alias("start"))
 
     def compared(words: Column, place: Column) -> Column:
         """Share of weight of the words that stand where the template has them, 0 without the mandatory phrases."""
@@ -172,20 +319,19 @@ def scan(
         )
 
     text = F.col(text_col)
-    # Only texts that hold the letters of an anchor somewhere can hold the anchor as a word.
-    letters = "(?i)" + "|".join(sorted(index))
-    read = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(text.rlike(letters), F.lit(False)).alias("candidate"),
-        words_of(text).alias("words"),
+    words = F.col("words")
+    held = lambda index: F.arrays_overlap(words, F.array(*map(F.lit, sorted(index))))
+    read = docs.select(F.col(id_col).alias("doc_id"), words_of(text).alias("words")).select(
+        "*", (held(indexes[0]) & held(indexes[1])).alias("candidate")
     )
+    agreed = F.transform(F.array_intersect(proposed(words, 0), proposed(words, 1)), opened)
     none = F.array().cast("array<struct<start:bigint,base:boolean,label:string,score:double>>")
     hits = read.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
         F.when(
             F.col("candidate"),
-            F.filter(F.transform(proposed(F.col("words")), lambda p: compared(F.col("words"), p)), lambda h: h["score"] >= least),
+            F.filter(F.transform(agreed, lambda p: compared(words, p)), lambda h: h["score"] >= least),
         )
         .otherwise(none)
         .alias("hits"),
