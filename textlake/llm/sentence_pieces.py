@@ -253,6 +253,11 @@ def boundaries(matrices: list[dict], left: tuple[int, int] = START, right: tuple
     return [s.pop() for s in states]
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions for rows that are much work for their size, where the number must not follow from the bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 _SIDES = "row bigint, node int, k int, o int, k2 int, o2 int"
 
 
@@ -265,6 +270,7 @@ def scan(leaves: DataFrame, chunks: int, fan: int = FAN) -> DataFrame:
     as both directions read it. ``chunks`` is the largest number of chunks of a document.
     """
     numbers = ["k", "o", "k2", "o2"]
+    tasks = _tasks(leaves)
     parent = F.floor(F.col("node") / fan).cast("int")
 
     def join(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
@@ -286,13 +292,14 @@ def scan(leaves: DataFrame, chunks: int, fan: int = FAN) -> DataFrame:
 
     levels, width = [stored(leaves, "matrices")], chunks
     while width > 1:
-        above = levels[-1].groupBy("row", parent.alias("up")).applyInPandas(join, "row bigint, node int, matrix binary")
+        dealt = levels[-1].withColumn("up", parent).repartition(tasks, "row", "up")
+        above = dealt.groupBy("row", "up").applyInPandas(join, "row bigint, node int, matrix binary")
         levels.append(stored(above, "matrices"))
         width = -(-width // fan)
     sides = levels.pop().mapInPandas(ends, _SIDES)
     for level in reversed(levels):
-        children = level.withColumn("up", parent).groupBy("row", "up")
-        sides = children.cogroup(sides.groupBy("row", "node")).applyInPandas(split, _SIDES)
+        children = level.withColumn("up", parent).repartition(tasks, "row", "up").groupBy("row", "up")
+        sides = children.cogroup(sides.repartition(tasks, "row", "node").groupBy("row", "node")).applyInPandas(split, _SIDES)
     return sides
 
 
@@ -321,8 +328,6 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id
     columns are not carried along.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # A chunk is much work for its size, so that the number of tasks must not follow from the bytes.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +371,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id
             yield pd.DataFrame({"row": batch["row"], "node": batch["chunk"], "matrix": found})
 
     # Every chunk is a task's row of its own; only matrices of a few numbers meet, those of neighbours.
-    spread = parts.repartition(tasks, F.col("row"), F.col("chunk"))
+    spread = parts.repartition(_tasks(parts), F.col("row"), F.col("chunk"))
     leaves = spread.mapInPandas(matrices, "row bigint, node int, matrix binary")
     most = parts.agg(F.max("chunks")).first()[0] or 0
     states = scan(leaves, most, fan).withColumnRenamed("node", "chunk")
