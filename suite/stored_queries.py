@@ -171,7 +171,8 @@ def _(spark, sf):
 
 @query("stream_safe_ingest", oracle(_INGESTED, "v_planted", **LEAKS))
 def _(spark, sf):
-    stream = spark.readStream.schema(TABLES["documents"]).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # A pattern, as the table may be one file or a folder of files.
+    stream = spark.readStream.schema(TABLES["documents"]).parquet(f"{sf}/document[s].parquet")
     sql = VIEWS["v_planted"].replace("FROM documents", "FROM {documents}")
     path = shared_dir(spark, "stream")
     job = stream_safe_ingest(
@@ -182,7 +183,7 @@ def _(spark, sf):
         F.lit(EPOCH).cast("bigint"),
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+    return spark.read.schema(ingest.STORED_SCHEMA.format(time="bigint")).parquet(f"{path}/rows").drop("batch")
 
 
 @query(

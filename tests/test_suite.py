@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as spark_entry
 import check
 from conftest import plan
+from suite.views import spark_view
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,3 +97,13 @@ def test_one_shuffle_at_most(spark, name):
 def test_log_appends_are_rebalanced(spark):
     df = spark_entry.queries()["append_log"](spark, SF).hint("rebalance", "project")
     assert "REBALANCE_PARTITIONS_BY_COL" in plan(df)
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_the_stream_reads_a_table_of_many_files(spark, tmp_path, files):
+    """``documents`` as a folder of files, also one without a row."""
+    docs = spark.range(30 if files else 0).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'web' AS source", "7L AS n_chars")
+    docs.repartition(max(1, files)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = spark_entry.queries()["stream_safe_ingest"](spark, str(tmp_path))
+    assert sorted(r.content for r in got.collect()) == sorted(r.text for r in spark_view(spark, str(tmp_path), "v_planted").collect())
+    assert got.columns == spark_entry.queries()["ingest_observations"](spark, str(tmp_path)).columns
