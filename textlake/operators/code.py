@@ -196,8 +196,12 @@ def file_flags(files: DataFrame, keys, content="content") -> DataFrame:
 
 
 def attach_embeddings(functions: DataFrame, embeddings: DataFrame, key="path") -> DataFrame:
-    """Gives every function the vector of its file; the vector is stored once per file."""
-    return functions.join(embeddings, key, "left")
+    """Gives every function the vector of its file; the vector is stored once per file.
+
+    Spark takes a computed vector for a few bytes and would send all of them to every executor, by way of the driver;
+    the hint has both sides shuffled by file.
+    """
+    return functions.join(embeddings.hint("merge"), key, "left")
 
 
 def filter_arch(df: DataFrame, arch) -> DataFrame:
