@@ -221,16 +221,19 @@ def first_matches(matches: DataFrame, limit: int | None = 10) -> DataFrame:
     return (ordered if limit is None else ordered.limit(limit)).withColumn("total", total)
 
 
-def source_snippet(functions: DataFrame, files: DataFrame, text="content", key="path", max_lines=None) -> DataFrame:
+def source_snippet(functions: DataFrame, files: DataFrame, text="content", key="path", max_lines=None, few: bool = False) -> DataFrame:
     """Adds ``snippet``: the lines of each function, clipped to the end of the file.
 
     With ``max_lines`` longer functions give NULL. The ranges that are asked for are collected by file first, so
-    that a text is joined and split once and only slices of it are copied; files that none asks for stay where they
-    are.
+    that a text is joined and split once and only slices of it are copied. Texts, ranges and snippets are shuffled by
+    file, as there can be as many of each as there are files. ``few`` says that the functions come out of a limit:
+    their ranges are sent to the texts, and files that none asks for stay where they are.
     """
     asked = functions.select(key, "line_start", "line_count").distinct()
     ranges = asked.groupBy(key).agg(F.collect_list(F.struct("line_start", "line_count")).alias("_ranges"))
-    split = files.select(key, lines_universal(F.col(text)).alias("_lines")).join(ranges, key)
+    texts = files.select(key, F.col(text).alias("_text"))
+    joined = texts.join(F.broadcast(ranges), key) if few else texts.join(ranges.hint("merge"), key)
+    split = joined.select(key, lines_universal(F.col("_text")).alias("_lines"), "_ranges")
     start = lambda r: F.greatest(F.lit(0), r["line_start"] - 1)
     end = lambda r: F.least(F.size("_lines"), start(r) + r["line_count"])
     taken = lambda r: F.greatest(end(r) - start(r), F.lit(0)).cast("int")
@@ -247,7 +250,8 @@ def source_snippet(functions: DataFrame, files: DataFrame, text="content", key="
     shown = rstrip(F.col("body"))
     if max_lines is not None:
         shown = F.when(F.col("taken") <= max_lines, shown)
-    return functions.join(pieces.select(key, "line_start", "line_count", shown.alias("snippet")), [key, "line_start", "line_count"], "left")
+    snippets = pieces.select(key, "line_start", "line_count", shown.alias("snippet"))
+    return functions.join(snippets if few else snippets.hint("merge"), [key, "line_start", "line_count"], "left")
 
 
 def index_stats(functions: DataFrame, files: DataFrame, catalog: DataFrame) -> DataFrame:

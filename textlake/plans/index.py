@@ -68,7 +68,7 @@ def search_all(
             first = code.first_matches(found, function_limit)
             hits = _ranked(first, function_limit, "path", "line_start")
         if files is not None:
-            hits = code.source_snippet(hits, files)
+            hits = code.source_snippet(hits, files, few=function_limit is not None)
         else:
             hits = hits.withColumn("snippet", none)
         branches.append(
