@@ -176,11 +176,11 @@ _MANY = """
     FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0"""
 
 
-def _many(spark, sf, least=None):
+def _many(spark, sf, **options):
     """Every fiftieth vector asks for all."""
     table = spark_view(spark, sf, "embeddings")
     queries = table.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    scored = vectors.score_many(table, queries, id_col="vec_id", least=least)
+    scored = vectors.score_many(table, queries, id_col="vec_id", **options)
     return scored.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -203,7 +203,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return vectors.top_k_by(_many(spark, sf), "query_id", 10, ties=["vec_id"])
+    return vectors.top_k_by(_many(spark, sf, best=10, digits=6), "query_id", 10, ties=["vec_id"])
 
 
 @query("with_embedding", "SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings WHERE embedding IS NOT NULL")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,39 @@ def test_many_queries_join_by_dimension(spark):
         assert "NestedLoop" not in p and "Cartesian" not in p
 
 
+@pytest.mark.parametrize("least", [None, 0.5])
+def test_many_scores_pass_no_shuffle(spark, least):
+    """What is shuffled are the vectors in blocks; pairs leave the task that makes them."""
+    table = spark.range(40).selectExpr("id", "array(1.0D, id, id % 7) AS embedding")
+    scored = vectors.score_many(table, table.withColumnRenamed("id", "query_id"), least=least)
+    assert "MapInArrow" in plan(scored).splitlines()[1]
+
+
+@pytest.mark.parametrize(("parts", "block_rows"), [(1, 2048), (3, 8)])
+def test_the_best_scores_of_each_part(spark, parts, block_rows):
+    """Equal scores by id, also where the unrounded ones differ; copies, NaN and rows without a shared dimension."""
+    rnd = random.Random(5)
+    held = [(i, [float(rnd.randint(0, 2)) for _ in range(4)] + [0.0] * (i % 2)) for i in range(90)]
+    held += [(i, [1.0, 1.0, 1.0 + i * 1e-9, 1.0]) for i in range(90, 110)] + [(110, [float("nan"), 0.0, 0.0, 1.0]), (111, [0.0] * 4)]
+    table = spark.createDataFrame(held, "vec_id bigint, embedding array<double>")
+    queries = table.where("vec_id % 10 = 0 AND vec_id < 110").withColumnRenamed("vec_id", "query_id")
+    options = {"id_col": "vec_id", "parts": parts, "block_rows": block_rows}
+    every = vectors.score_many(table, queries, **options).withColumn("score", F.round("score", 6))
+    some = vectors.score_many(table, queries, **options, best=5, digits=6)
+    top = lambda df: sorted(rows(vectors.top_k_by(df, "query_id", 5, ties=["vec_id"]), "query_id", "rank", "vec_id"))
+    assert top(some) == top(every) and len(top(some)) >= 5 * 10
+    counts = dict(rows(some.groupBy("query_id").count()))
+    assert max(counts.values()) <= 5 * parts
+    values = {(r.query_id, r.vec_id): r.score for r in every.collect()}
+    assert all(str(values[r.query_id, r.vec_id]) == str(r.score) for r in some.collect())
+
+
+def test_rounding_is_that_of_spark(spark):
+    values = [0.1234565, -0.1234565, 2.5e-06, 1.5e-06, -4e-07, 0.9999995, 0.30000049999999999, float("nan"), 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).alias("x"))
+    assert [str(r.x) for r in df.collect()] == [str(float(x)) for x in vectors._rounded(np.array(values), 6)]
+
+
 def test_pairs_below_the_bound_are_never_made(spark):
     """A query whose weight is in one dimension is only compared with vectors that have it."""
     table = spark.createDataFrame([(i, [0.0 if i else 1.0, 1.0, 1.0]) for i in range(50)], "id int, embedding array<double>")
