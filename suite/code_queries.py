@@ -533,7 +533,7 @@ def _(spark, sf):
     files_of = spark.sql(_ROOTED.replace("v_src", "{v_src}"), v_src=sources(spark, sf))
     docs = spark_view(spark, sf, "v_doc").select(F.col("p_partkey").cast("string").alias("path"), "text")
     fns, vectors_of, cat = build_index(files_of, _curated(spark, sf), docs, docs)
-    norms = vectors_of.join(sources(spark, sf).select("path", F.octet_length("content").alias("n")), "path")
+    norms = vectors_of.join(sources(spark, sf).select("path", F.octet_length("content").alias("n")).hint("merge"), "path")
     one = lambda df, c, name: df.groupBy().agg(c.alias("x")).scalar().alias(name)
     return spark.range(1).select(
         one(fns, F.count(F.lit(1)), "functions"),

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan, rows
 from textlake.operators import code, history
 from textlake.plans.index import build_index, search_all
 from textlake.session import ensure_shared_dir, shared_dir
@@ -235,3 +235,14 @@ def test_no_histories(spark, tmp_path):
 def test_strategy_notes(spark, benchmarks):
     got = dict(rows(files.load_strategy_notes(spark, benchmarks)))
     assert got == {"none": "- one\n- two", "dot": None}
+
+
+def test_vectors_are_sorted_behind_the_shuffle_only(spark):
+    """A task that reads files sorts none of their vectors, however many files it reads."""
+    found = spark.range(60).selectExpr("CAST(id % 3 AS INT) AS root_no", "concat('f', id % 20) AS path", "repeat('x', CAST(id % 3 AS INT)) AS content")
+    no_catalog = spark.createDataFrame([], "ordinal bigint, name string, category string, signature string, description string")
+    embeddings = build_index(found, no_catalog)[1]
+    reading = plan(embeddings).split("Exchange", 1)[1]
+    assert "Sort" not in reading and "Aggregate" not in reading
+    # The vector of the lowest root's file.
+    assert {(r.path, r.embedding[ord("x")]) for r in embeddings.collect()} == {(r.path, float(r.n > 0)) for r in found.groupBy("path").agg(F.min_by(F.length("content"), "root_no").alias("n")).collect()}

@@ -19,7 +19,8 @@ def build_index(files: DataFrame, curated: DataFrame, documented=None, dispatch=
     functions = code.extract_functions(files, ["root_no", "path"])
     # A path below several roots has one vector; it is picked among the finished vectors, so no text is shuffled.
     vectors_of = vectors.embed(files.select("root_no", "path", "content"), "content")
-    embeddings = vectors_of.groupBy("path").agg(F.min_by("embedding", "root_no").alias("embedding"))
+    # They are dealt by path before that: to pick earlier, a task would sort the vectors of all the files that it reads.
+    embeddings = vectors_of.repartition("path").groupBy("path").agg(F.min_by("embedding", "root_no").alias("embedding"))
     catalog = curated.select(
         F.lit(0).cast("bigint").alias("origin"),
         F.col("ordinal").cast("bigint").alias("ordinal"),
