@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,17 @@ def test_many_queries_join_by_dimension(spark):
         assert "NestedLoop" not in p and "Cartesian" not in p
 
 
+def test_a_giant_text_is_counted_in_little_room():
+    """Three bytes of room for each byte of a text would be too many."""
+    text = pa.array(["ab" * (10 << 20), "", "b" * 200_000, "aab"])
+    tracemalloc.start()
+    counts = V._byte_counts_udf(False).func(text).to_pylist()
+    room = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(c[97], c[98], sum(c)) for c in counts] == [(10 << 20, 10 << 20, 20 << 20), (0, 0, 0), (0, 200_000, 200_000), (2, 1, 3)]
+    assert room < 10 << 20
+
+
 @pytest.mark.parametrize("least", [None, 0.5])
 def test_many_scores_pass_no_shuffle(spark, least):
     """What is shuffled are the vectors in blocks; pairs leave the task that makes them."""

@@ -69,13 +69,17 @@ def _byte_counts_udf(unit: bool):
         data = binary.buffers()[2]
         data = numpy.frombuffer(data, dtype=numpy.uint8) if data else numpy.empty(0, numpy.uint8)
         counts = numpy.zeros((len(binary), 256), dtype=numpy.int32)
-        # Slices of rows of about a megabyte, so that short texts share a call and long ones need little room.
-        lo = 0
+        # Slices of 128 KB, of several rows or of one, so that short texts share a call and long ones need little room.
+        lo, most = 0, 1 << 17
         while lo < len(binary):
-            hi = max(lo + 1, int(numpy.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
-            rows = numpy.repeat(numpy.arange(hi - lo), numpy.diff(offsets[lo : hi + 1]))
-            codes = rows * 256 + data[offsets[lo] : offsets[hi]]
-            counts[lo:hi] = numpy.bincount(codes, minlength=256 * (hi - lo)).reshape(-1, 256)
+            hi = max(lo + 1, int(numpy.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+            if hi == lo + 1:
+                for at in range(offsets[lo], offsets[hi], most):
+                    counts[lo] += numpy.bincount(data[at : min(at + most, offsets[hi])], minlength=256)
+            else:
+                rows = numpy.repeat(numpy.arange(hi - lo, dtype=numpy.int32) * 256, numpy.diff(offsets[lo : hi + 1]))
+                rows += data[offsets[lo] : offsets[hi]]
+                counts[lo:hi] = numpy.bincount(rows, minlength=256 * (hi - lo)).reshape(-1, 256)
             lo = hi
         if unit:
             exact = counts.astype(numpy.float64)
