@@ -136,3 +136,16 @@ def test_another_tokenizer_encodes_whole_texts():
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing._Words(path).ids(text), "<u4").tolist() == want
     assert packing._Words(WORDS).by_words and not packing._Words(path).by_words
+
+
+def test_ascii_letters_are_their_own_marks(monkeypatch):
+    """Words of ASCII letters are neither decoded as UTF-8 nor translated letter by letter; ids stay those of the tokenizer."""
+    words = packing._Words(WORDS)
+    text = "plain Words iN every CASE, zzxqv don't x1 \u212a İ Übermaß naïve"
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(words.ids(text), "<u4")) == want
+    monkeypatch.setattr(packing, "_BYTE_MARKS", None)
+    monkeypatch.setattr(packing, "_LETTERS", None)
+    again = packing._Words(WORDS)
+    want = again.tokenizer.encode("plain Words iN every CASE", add_special_tokens=False).ids
+    assert list(np.frombuffer(again.ids("plain Words iN every CASE"), "<u4")) == want

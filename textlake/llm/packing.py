@@ -95,11 +95,13 @@ class _Words:
         return b"".join(map(self.kept.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
     def made(self, word: bytes) -> bytes:
-        if _LETTERS.match(word):
-            low = word.decode().lower().encode()
+        if word.isalpha() or _LETTERS.match(word):
+            # Bytes count as letters, and change case, in ASCII alone; ASCII letters are their own marks.
+            plain = word.isascii()
+            low = word.lower() if plain else word.decode().lower().encode()
             if low != word:
                 return self.kept[low]
-            marks = word.decode("latin-1").translate(_BYTE_MARKS)
+            marks = word.decode() if plain else word.decode("latin-1").translate(_BYTE_MARKS)
             return array("I", [t.id for t in self.model.tokenize(marks)]).tobytes()
         # The mark of a special token keeps its word whole.
         if b"<|" not in word and (m := _ENDING.match(word)):
