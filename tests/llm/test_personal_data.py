@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 
+import numpy as np
 import pytest
 from cases import frame, odd_texts
 from hypothesis import given, settings
@@ -97,6 +98,60 @@ def test_the_links_decide(field):
     assert pd_.added_spans(text, pd_.mentions(text), loose, 0.5) == []
 
 
+def sure_of(kind, least_digits=10):
+    """A field whose words alone decide: those with so many digits are of one kind, all others are O."""
+    field = pd_.Field(np.zeros((pd_.N_FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    field.unary[[i for i, s in enumerate(pd_._SIZES, 1) if s >= least_digits], 1 + pd_.KINDS.index(kind)] = 20.0
+    field.unary[0, 0] = 10.0
+    return field
+
+
+def test_a_document_without_mentions_goes_through_the_field(spark):
+    text = "again 743-555-3824 there and 12 or (743) 555-3824"
+    assert pd_.mentions(text) == []
+    assert shown(sure_of("phone"), text) == [("phone", "743-555-3824")]
+    got = {r["doc_id"]: r for r in pd_.find(frame(spark, [text, "", "12"]).where("doc_id IS NOT NULL"), sure_of("phone")).collect()}
+    assert (got[0]["n_phone"], got[0]["n_added"], got[0]["spans"]) == (0, 1, "phone:6:18")
+    assert [got[i]["n_added"] for i in (1, 2)] == [0, 0]
+
+
+@pytest.mark.parametrize("other", FULL.values())
+@pytest.mark.parametrize("text", ["5500.0055.5555.5559 there", "5500_0055_5555_5559 or 5500/0055/5555/5559", "212-333-4567 and 2024-01-02", "jo.12(at)host1 or 10-20-30-456"])
+def test_a_mention_that_nothing_repeats_changes_nothing(field, text, other):
+    """Whether a document has some mention is no reason to look at its other words or to pass over them."""
+    for f in (field, sure_of("card", 8)):
+        assert shown(f, f"{other} far from {text}") == shown(f, f"far from {text}")
+    assert shown(sure_of("card", 8), f"far from {text}") != []
+
+
+@pytest.mark.parametrize("n", [3, 200])
+def test_a_number_that_passes_the_card_check_is_no_card_by_itself(n):
+    field = pd_._fitted(rows(texts(n)))
+    for i in range(40):
+        number = card(1000 + i)
+        for mark in "./_":
+            short = mark.join(number[j : j + 4] for j in range(0, len(number), 4))
+            # The link decides, with a card of its own far away and without.
+            assert shown(field, f"again {short} there") == []
+            assert shown(field, f"{FULL['email']} again {short} there") == []
+            assert shown(field, f"{number} again {short} there") == [("card", short)]
+
+
+def test_strangers_of_a_card_pass_its_check():
+    luhn = pd_.features("4111.1111.1111.1111")[-1]
+    passed = {r["label"] for r in rows(texts(1)) if luhn in r["features"]}
+    assert passed == {0, 1 + pd_.KINDS.index("card")}
+
+
+def test_messages_in_blocks_are_the_same(field, monkeypatch):
+    text = f"{FULL['phone']} {FULL['ip']} " + "743-555-3824 97-51-17-173 2024-01-02 and 4111.1111.1111.1111 " * 40
+    words = pd_.words_of(text, pd_.mentions(text))
+    whole = field.marginals(words)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(pd_, "BLOCK", block)
+        assert np.array_equal(field.marginals(words), whole)
+
+
 def test_consistency_over_many_repeats(field):
     """A label reaches every occurrence over links between neighbours in the list of repeats; all pairs are not needed."""
     text = "+1 (743) 555-3824 " + "and 743-555-3824 " * 50
